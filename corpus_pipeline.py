@@ -7,11 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import simhash
-from docspark.llm.common import shared_dir
+from docspark.llm import decontaminate, language, quality, simhash
+from docspark.llm.common import shared_dir, table
 from docspark.llm.sentencepiece_codec import encode_documents
 
 
+#: Clean documents score well above this, see the README.
+QUALITY_FLOOR = 0.5
+#: The least share of the predicted language in a document.
+LANGUAGE_FLOOR = 0.5
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on their labels, scores at least ``QUALITY_FLOOR``."""
+    network = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score(F.col("text"), network) >= QUALITY_FLOOR)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that makes up at least ``LANGUAGE_FLOOR`` of them; those without letters go."""
+    model = language.train(docs)
+    found = language.identify(F.col("text"), model)
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LANGUAGE_FLOOR))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: of each component the row with the smallest doc_id stays, of its copies one.
 
@@ -23,6 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, and whether they decode to the text again."""
     coded = encode_documents(docs.select("doc_id", "lang", "source", "text"))
@@ -30,7 +54,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", good_quality),
+    ("language_id", known_language),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", without_benchmarks),
     ("sentencepiece", encode),
 ]
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from docspark.llm.chat import OP4_SQL, op4_chat_format
+from docspark.llm.decontaminate import op9_decontamination
+from docspark.llm.language import op5_language_id
+from docspark.llm.quality import op3_quality
 from docspark.llm.sentencepiece_codec import op1_sentencepiece
 from docspark.llm.sharding import OP6_SQL, op6_sharding
 from docspark.llm.simhash import op2_simhash_dedup
@@ -10,7 +14,11 @@ from docspark.llm.token_counts import op8_token_counts
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_quality": op3_quality,
+    "op4_chat_format": op4_chat_format,
+    "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
-SQL = {"op6_sharding": OP6_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL}
