@@ -5,6 +5,7 @@ from __future__ import annotations
 from docspark.llm.chat import OP4_SQL, op4_chat_format
 from docspark.llm.decontaminate import op9_decontamination
 from docspark.llm.language import op5_language_id
+from docspark.llm.lm_score import OP10_SQL, op10_lm_score
 from docspark.llm.quality import op3_quality
 from docspark.llm.sentencepiece_codec import op1_sentencepiece
 from docspark.llm.sharding import OP6_SQL, op6_sharding
@@ -20,5 +21,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op10_lm_score": OP10_SQL}
