@@ -6,6 +6,7 @@ from docspark.llm.chat import OP4_SQL, op4_chat_format
 from docspark.llm.decontaminate import op9_decontamination
 from docspark.llm.language import op5_language_id
 from docspark.llm.lm_score import OP10_SQL, op10_lm_score
+from docspark.llm.mtree import OP7_SQL, op7_exact_topk
 from docspark.llm.quality import op3_quality
 from docspark.llm.sentencepiece_codec import op1_sentencepiece
 from docspark.llm.sharding import OP6_SQL, op6_sharding
@@ -19,8 +20,9 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
+    "op7_exact_topk": op7_exact_topk,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op10_lm_score": OP10_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_lm_score": OP10_SQL}
