@@ -1 +1 @@
-"""docspark.plans."""
+"""Derived tables that the registered queries share, as DataFrame plans and as SQL."""

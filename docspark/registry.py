@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("docspark.operators.catalog", "docspark.functions.scalars", "docspark.operators.files")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
