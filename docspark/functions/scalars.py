@@ -60,11 +60,15 @@ def extraction_clean(t: Column) -> Column:
     return F.trim(F.array_join(keep, "\n"))
 
 
-@F.arrow_udf("string")
-def unicode_normalise(t: pa.Array) -> pa.Array:
+def unicode_normalise(t: Column) -> Column:
     """NFKC; dashes become hyphens and bullets spaces. There is no JVM built-in for it."""
     table = {0x2013: "-", 0x2014: "-", 0x2022: " ", 0x25AA: " ", 0x25CF: " "}
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x).translate(table) for x in t.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.normalize("NFKC", v).translate(table) for v in x.to_pylist()], pa.string())
+
+    return run(t)
 
 
 def join_hyphens(t: Column, keep_hyphen: bool = False) -> Column:
