@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
-MODULES: tuple[str, ...] = ("docspark.operators.catalog", "docspark.functions.scalars", "docspark.operators.files", "docspark.operators.chunking", "docspark.operators.similarity", "docspark.operators.search")
+MODULES = (
+    "docspark.operators.catalog",
+    "docspark.functions.scalars",
+    "docspark.operators.files",
+    "docspark.operators.chunking",
+    "docspark.operators.similarity",
+    "docspark.operators.search",
+    "docspark.operators.layout",
+    "docspark.operators.spelling",
+    "docspark.operators.reports",
+    "docspark.streaming.jobs",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
