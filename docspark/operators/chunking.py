@@ -86,7 +86,7 @@ def block_chunks(blocks: DataFrame, most: int = MOST) -> DataFrame:
     holder = F.startswith(raw, F.lit("Image ")) | F.startswith(raw, F.lit("Drawing/Graphic "))
     label = F.when(c("block_type") == "TEXT_BLOCK", raw).otherwise(F.concat(F.lit("[Page "), c("page").cast("string"), F.lit(", "), c("block_type"), F.lit("] "), raw))
     rows = blocks.where(~(F.startswith(F.coalesce("text", F.lit("")), F.lit("Drawing/Graphic ")) & (c("block_type") == "DRAWING")))
-    rows = rows.select("doc_id", "page", F.struct("pos", F.when(holder, "").otherwise(label).alias("t"), F.length(raw).alias("bare")).alias("b"))
+    rows = rows.select("doc_id", "page", F.struct("pos", F.when(holder | (raw == ""), "").otherwise(label).alias("t"), F.length(raw).alias("bare")).alias("b"))
     pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # a page is bounded
     start = F.array().cast("array<struct<t:string,n:int>>")
     part = lambda t, n: F.struct(t.alias("t"), n.cast("int").alias("n"))
