@@ -96,14 +96,15 @@ class Renderer:
     def _loss(self, span: str, role: str) -> tuple[int, int] | tuple[None, None]:
         """Where the text begins and ends in the span. Two probes differ just there."""
         known = (role, self.turns[-1][0] if self.turns else None)
-        if known not in self.frames:
-            a, b = (self.template([*self.turns, (role, probe)])[len(self.output) :] for probe in ("A", "B"))
-            head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None)
-            self.frames[known] = None if head is None else (a[:head], a[head + 1 :])
-        frame = self.frames[known]
-        if frame is None or not (span.startswith(frame[0]) and span.endswith(frame[1])):
-            return None, None
-        return len(frame[0]), len(span) - len(frame[1])
+        for fresh in (False, True):  # frames of like turns are tried first
+            if fresh or known not in self.frames:
+                a, b = (self.template([*self.turns, (role, probe)])[len(self.output) :] for probe in ("A", "B"))
+                head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None)
+                self.frames[known] = None if head is None else (a[:head], a[head + 1 :])
+            frame = self.frames[known]
+            if frame is not None and len(span) >= len(frame[0]) + len(frame[1]) and span.startswith(frame[0]) and span.endswith(frame[1]):
+                return len(frame[0]), len(span) - len(frame[1])
+        return None, None
 
     def _restarts(self, turn: tuple[str, str], span: str) -> bool:
         last = self.turns[-1]

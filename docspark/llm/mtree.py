@@ -39,11 +39,13 @@ _FOUND_KIND = pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score"
 class Node:
     """A routing vector (by position), its covering radius and its entries: child nodes, or vectors if it's a leaf."""
 
-    __slots__ = ("center", "radius", "members", "to_parent", "children", "child_at", "child_radius")
+    __slots__ = ("center", "radius", "members", "to_parent", "children", "child_at", "child_radius", "size")
 
     def __init__(self, center: int, radius: float, members: np.ndarray, to_parent: np.ndarray, children: list | None = None) -> None:
         self.center, self.radius, self.members, self.to_parent, self.children = center, radius, members, to_parent, children
+        self.size = len(members)
         if children:
+            self.size = sum(c.size for c in children)
             self.child_at = np.array([c.center for c in children])
             self.child_radius = np.array([c.radius for c in children])
 
@@ -87,7 +89,8 @@ class MTree:
         tie = 0
         while agenda:
             least, _, to_center, node = heapq.heappop(agenda)
-            if least > far:
+            if least > far:  # nothing that is left can reach the bound
+                self.avoided += node.size + sum(x[3].size for x in agenda)
                 break
             if node.children is None:
                 near = node.members[np.abs(to_center - node.to_parent) <= far]
@@ -108,16 +111,18 @@ class MTree:
                     far = min(far, reach(best[0][0]))
                 continue
             open_ = np.flatnonzero(np.abs(to_center - node.to_parent) - node.child_radius <= far)
-            self.avoided += len(node.children) - len(open_)
+            self.avoided += node.size - sum(node.children[k].size for k in open_)
             if not len(open_):
                 continue
             d = np.sqrt(np.maximum(q2 + self.longest - 2 * (self.points[node.child_at[open_]] @ query), 0))
             self.computed += len(open_)
             for c, dc in zip(open_.tolist(), d.tolist(), strict=True):
                 child = node.children[c]
-                if (low := max(0.0, dc - child.radius)) <= far:
-                    tie += 1
-                    heapq.heappush(agenda, (low, tie, dc, child))
+                if (low := max(0.0, dc - child.radius)) > far:
+                    self.avoided += child.size
+                    continue
+                tie += 1
+                heapq.heappush(agenda, (low, tie, dc, child))
         return [(s, -i) for s, i in best]
 
 

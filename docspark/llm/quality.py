@@ -82,7 +82,7 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: in
     share = float(labels.mean()) if len(labels) else 0.5
     shape = (WIDTH, 256, FILTERS)
     zero = Network(np.zeros(shape, np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.zeros(FILTERS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return zero
     p = {"tables": rng.normal(0, 0.05, shape).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "mean": rng.normal(0, 0.3, FILTERS), "top": rng.normal(0, 0.1, FILTERS), "shift": np.array(zero.shift)}
     first, second, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
