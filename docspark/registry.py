@@ -19,6 +19,8 @@ MODULES = (
     "docspark.operators.layout",
     "docspark.operators.spelling",
     "docspark.operators.reports",
+    "docspark.operators.content",
+    "docspark.plans.flows",
     "docspark.streaming.jobs",
 )
 

@@ -179,3 +179,31 @@ def test_stream_statistics_match_batch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(str, spark.table("live").collect())) == sorted(map(str, jobs.windowed_statistics(spark.read.parquet(f"{tmp_path}/in")).collect()))
+
+
+def test_content_types(spark):
+    from docspark.operators import content
+
+    texts = {"| a | b | c |\n1 2 3\n4 5 6": "TABLE", "SECTION ONE": "HEADER", "Chart 1 and figure 2": "CHART", "Plain words here, nothing else in this sentence of ordinary prose that goes on for rather more than one hundred characters.": "PARAGRAPH"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", content.content_type(c("t")).alias("x")).collect()
+    assert {r["t"]: r["x"]["type"] for r in rows} == texts
+
+
+def test_columns_and_merge(spark):
+    from docspark.operators import content
+
+    pages = spark.createDataFrame([([100.0, 102.0, 500.0, 498.0],), ([100.0, 110.0],), ([50.0, 300.0, 550.0],), (None,)], "m array<double>")
+    assert [r["n"] for r in pages.select(content.count_columns(c("m"), F.lit(600.0)).alias("n")).collect()] == [2, 1, 3, 1]
+    assert one(spark, content.merge_page_text(c("a"), c("b")), a="First line\nB", b="first lime\nB\n\nNew one\nFirst line") == "First line\nB\nNew one"
+    assert one(spark, content.merge_page_text(c("a"), c("b")), a="", b="x") == "x"
+
+
+def test_ask_without_hits(spark):
+    from docspark.plans import flows
+
+    chunks = spark.createDataFrame([(1, "f", "alpha beta")], "item bigint, filename string, content string").withColumn("vector", flows.embed(c("content")))
+    questions = spark.createDataFrame([(1, "beta"), (2, "")], "query_id bigint, text string")
+    found = {r["query_id"]: r for r in flows.ask(chunks, questions).collect()}
+    assert found[1]["answer"] == "alpha beta" and found[2]["confidence"] == 0.1 and "could not find" in found[2]["answer"]
+    with pytest.raises(ValueError, match="unknown method"):
+        flows.retrieve(chunks, questions, method="other")
