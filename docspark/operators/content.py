@@ -89,7 +89,8 @@ def count_columns(mids: Column, width: Column, most: int = 3, gap: float = 0.2)
                     if np.array_equal(new, centres):
                         break
                     centres = new
-                if np.diff(np.sort(centres)).min() >= gap * w:
+                full = len(np.unique(np.abs(x[:, None] - centres).argmin(axis=1))) == k
+                if full and np.diff(np.sort(centres)).min() >= gap * w:
                     found = k
                     break
             out.append(found)
