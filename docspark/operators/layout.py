@@ -247,3 +247,46 @@ def _(s: SparkSession, d: str) -> DataFrame:
     both = t.withColumn("src", F.lit(0)).unionByName(ocr.withColumn("src", F.lit(1)))
     first = both.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", F.lower(F.trim("line"))).orderBy("pos", "src"))).where("n = 1")
     return first.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src", "line"))), lambda x: x["line"]), "\n")).alias("merged_md5"))
+
+
+# --- recognised text of image blocks, the older block rules ----------------------------------------------
+
+
+OCR_TYPES = ("IMAGE", "FIGURE", "CHART", "DRAWING")
+
+
+def attach_ocr(blocks_: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Image-like blocks with the text recognised in them, matched on page and exact box; placeholders are not text."""
+    keys = ["doc_id", "page", "x0", "y0", "x1", "y1"]
+    found = blocks_.join(ocr.select(*keys, c("text").alias("ocr_text")), keys, "left")
+    real = ~(F.startswith("text", F.lit("Image ")) | F.startswith("text", F.lit("Drawing/Graphic ")))
+    target = c("block_type").isin(*OCR_TYPES)
+    return found.select("doc_id", "pos", "page", "block_type", F.when(target, c("ocr_text")).otherwise(F.when(real, c("text"))).alias("text"), target.alias("is_target"), (target & c("ocr_text").isNotNull()).alias("recognised"))
+
+
+def older_block_type(t: Column, height: Column, font: Column) -> Column:
+    """The older rules: headers must be in capitals and lower than 30, tabs need three lines, no lettered lists;
+    a font over 14 makes any short text a header."""
+    n = {k: count_lines(t, k) for k in LINES}
+    lines = F.size(F.split(t, "\n"))
+    table = (n["pipes"] >= 2) | ((n["gaps"] >= 3) & (n["numbers"] >= 2)) | ((n["tabs"] >= 2) & (lines >= 3))
+    shouting = (F.upper(t) == t) & (F.lower(t) != t)
+    kind = F.when(table, "TABLE").when((F.length(t) < 100) & shouting & (height < 30), "HEADER").when((n["bullets"] >= 2) | (n["numbered"] >= 2), "LIST").when(t.rlike(r"(?i)\b(figure|chart|graph|diagram)\s+\d+"), "CHART").otherwise("TEXT_BLOCK")
+    return F.when((font > 14) & (F.length(t) < 100), "HEADER").otherwise(kind)
+
+
+@query("layout_ocr_success", f"""WITH {_BLOCKS}, t AS (SELECT *, (['IMAGE', 'FIGURE', 'CHART', 'DRAWING', 'TEXT_BLOCK'])[(doc_id + pos) % 5 + 1] AS kind FROM blocks)
+SELECT kind AS block_type, count(*) AS n, count(*) FILTER (kind <> 'TEXT_BLOCK' AND pos % 3 = 0) AS recognised, round(count(*) FILTER (kind <> 'TEXT_BLOCK' AND pos % 3 = 0) / count(*), 6) AS rate FROM t GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, (*OCR_TYPES, "TEXT_BLOCK"))), ((c("doc_id") + c("pos")) % 5 + 1).cast("int"))
+    b = blocks(s, d).withColumn("block_type", kinds).dropDuplicates(["doc_id", "pos"])
+    ocr = b.where("pos % 3 = 0").withColumn("text", F.upper("text"))
+    found = attach_ocr(b, ocr)
+    return found.groupBy("block_type").agg(F.count("*").alias("n"), F.count_if("recognised").alias("recognised"), F.round(F.count_if("recognised") / F.count("*"), 6).alias("rate"))
+
+
+@query("layout_older_types", f"""WITH {_BLOCKS} SELECT doc_id, pos, CASE WHEN pos % 17 = 0 AND length(text) < 100 THEN 'HEADER' WHEN {_COUNT('pipes')} >= 2 OR ({_COUNT('gaps')} >= 3 AND {_COUNT('numbers')} >= 2) OR ({_COUNT('tabs')} >= 2 AND len(string_split(text, chr(10))) >= 3) THEN 'TABLE'
+  WHEN length(text) < 100 AND upper(text) = text AND lower(text) <> text AND height < 30 THEN 'HEADER' WHEN {_COUNT('bullets')} >= 2 OR {_COUNT('numbered')} >= 2 THEN 'LIST' WHEN regexp_matches(text, '(?i)\\b(figure|chart|graph|diagram)\\s+\\d+') THEN 'CHART' ELSE 'TEXT_BLOCK' END AS block_type FROM blocks""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    font = F.when(c("pos") % 17 == 0, 18).otherwise(10)
+    return blocks(s, d).select("doc_id", "pos", older_block_type(c("text"), c("y1") - c("y0"), font).alias("block_type"))

@@ -145,3 +145,35 @@ def _(s: SparkSession, d: str) -> DataFrame:
         a, b = phrase.split(" ")
         t = F.regexp_replace(t, rf"(?i)\b({a}) ({b})\b", "$1_$2")
     return load(s, d, "documents").select("doc_id", F.md5(t).alias("protected_md5"))
+
+
+# --- the enhanced corrector: protection, exact, fuzzy, word list -------------------------------------------
+
+
+def correct_enhanced(docs: DataFrame, entries: DataFrame, known: DataFrame, acronyms: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, token, corrected, method, n): distinct tokens with what becomes of them, by document.
+
+    A token of one character stays; compounds (``-/_``), numbers, acronyms, codes, ALL CAPS and Titlecase are
+    protected; then the terminology decides, then its closest term at distance one (tokens of four characters
+    or more that aren't known words), then the closest known word for unknown lower-case tokens over six characters.
+    """
+    tok = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9_\-/]*"), F.lit(0))
+    counts = docs.select("doc_id", F.explode(tok).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+    t, low = c("tok"), F.lower("tok")
+    guard = F.when(F.length(t) < 2, "short").when(t.rlike("[-/_]"), "compound").when(t.rlike("^[0-9]+$"), "numeric").when(t.isin(*acronyms) | t.rlike(r"^[A-Za-z]\d+[A-Za-z]?$") | t.rlike("^[A-Z]{2,}$") | t.rlike("^[A-Z][a-z]+$"), "protected")
+    distinct = counts.select("tok").distinct().withColumn("guard", guard).withColumn("low", low)
+    exact = lookups(entries).where("kind = 0").select(c("word").alias("low"), "correction")
+    found = distinct.join(exact, "low", "left").join(known.select(c("word").alias("low"), F.lit(True).alias("is_known")), "low", "left")
+    open_ = found.where("guard is null and correction is null and is_known is null and length(tok) >= 4").select(c("low").alias("token")).distinct()
+    fuzzy = fuzzy_candidates(open_, exact.select(c("low").alias("word"))).join(exact.select(c("low").alias("word"), "correction"), "word").select(c("token").alias("low"), c("correction").alias("near_term"))
+    listed = fuzzy_candidates(open_.where(F.length("token") > 6), known).select(c("token").alias("low"), c("word").alias("near_word"))
+    done = found.join(fuzzy, "low", "left").join(listed, "low", "left")
+    chosen = done.select("tok", F.when(c("guard").isNotNull(), F.struct(c("tok").alias("t"), c("guard").alias("m"))).when(c("correction").isNotNull(), F.struct(c("correction").alias("t"), F.lit("exact").alias("m"))).when(c("near_term").isNotNull(), F.struct(c("near_term").alias("t"), F.lit("fuzzy").alias("m"))).when(c("near_word").isNotNull(), F.struct(c("near_word").alias("t"), F.lit("word_list").alias("m"))).otherwise(F.struct(c("tok").alias("t"), F.lit("unchanged").alias("m"))).alias("x"))
+    return counts.join(chosen, "tok").select("doc_id", c("tok").alias("token"), c("x.t").alias("corrected"), c("x.m").alias("method"), "n")
+
+
+@query("spelling_enhanced")
+def _(s: SparkSession, d: str) -> DataFrame:
+    known = _english(s, d).groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
+    x = correct_enhanced(load(s, d, "documents").where("lang = 'en'").select("doc_id", "text"), terminology(s), known)
+    return x.groupBy("method").agg(F.sum("n").alias("n"), F.countDistinct("token").alias("n_tokens"))

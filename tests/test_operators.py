@@ -207,3 +207,12 @@ def test_ask_without_hits(spark):
     assert found[1]["answer"] == "alpha beta" and found[2]["confidence"] == 0.1 and "could not find" in found[2]["answer"]
     with pytest.raises(ValueError, match="unknown method"):
         flows.retrieve(chunks, questions, method="other")
+
+
+def test_enhanced_spelling(spark):
+    docs = spark.createDataFrame([(1, "Heat that haters heatex was AB12 x ok-no 42 considerr NASA zzz")], "doc_id int, text string")
+    known = spark.createDataFrame([("consider",), ("haters",)], "word string")
+    found = {r["token"]: (r["corrected"], r["method"]) for r in spelling.correct_enhanced(docs, spelling.terminology(spark), known).collect()}
+    assert found["that"] == ("HEAT", "exact") and found["heatex"] == ("HEAT", "fuzzy") and found["considerr"] == ("consider", "word_list")
+    assert found["Heat"][1] == found["NASA"][1] == "protected" and found["ok-no"][1] == "compound" and found["42"][1] == "numeric" and found["x"][1] == "short"
+    assert found["haters"] == ("haters", "unchanged") and found["zzz"] == ("zzz", "unchanged")
