@@ -1,14 +1,19 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-A bigram model over the whole corpus: S(w | v) = c(v w) / c(v ·) where v w occurs at least ``MIN_COUNT``
-times, else 0.4 c(w) / N. A document's first word has the start sign as v. Every document's n-grams are
+A bigram model over the whole corpus: S(w | v) = c(v w) / c(v .) where v w occurs at least ``MIN_COUNT``
+times, else 0.4 c(w) / N. A document's first word has the start sign as v. Every document's bigrams are
 exploded once each with their number (so a pair of words gives at most one row a document), dealt by hash,
 counted, joined with the counts, and summed by document. Logarithms are natural.
 
-Skew: the ``HOT`` = 1,024 most frequent words and their counts are broadcast (a fixed number, whatever the
-corpus), as is the table of pairs of two such words (at most HOT squared). Rows of such pairs are not shuffled
-at all. Any other pair holds a word that is, by its rank, less than 1/1,024 of all words; it is dealt by its
-first word, or by both where the first is hot.
+Rows go one of three ways, so that little is shuffled and no key is hot:
+- both words are among the ``HOT`` most frequent: their pair counts (at most HOT squared) are broadcast, the
+  rows themselves are not shuffled;
+- both are among the ``TOP`` most frequent, whose counts are broadcast: the row carries the pair of their
+  ranks, four bytes, and is dealt by it. By its rank a word of such a pair is less than 1 / HOT of all words;
+- one is rare: the row is dealt by the rare word, which is less than 1 / TOP of all words, and counted there.
+  A pair of two rare words goes to both: to the first, which scores it if it is seen often enough, and to the
+  second, which scores it if not; either has the count that it needs.
+``HOT`` and ``TOP`` are fixed numbers, whatever the corpus; every pair is counted and scored exactly.
 
 Words are maximal runs without white space, A-Z lower-cased, known by 64-bit hashes. Defined results: null
 and empty texts have no words and a null mean; rows with one doc_id (null included) are scored as one
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import materialise, table
 
-BACKOFF, MIN_COUNT, HOT, BATCH = 0.4, 2, 1024, 1 << 20
+BACKOFF, MIN_COUNT, HOT, TOP, BATCH = 0.4, 2, 1024, 65_536, 1 << 20
 #: Stands for the start of a document.
 START = 0
 
@@ -50,60 +55,114 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[START, words]), pa.array(np.r_[0, n]), pa.array(np.r_[starts, heads])], ["word", "n", "heads"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, v, w, n) of each document's different pairs; one row with n = 0 for a document without words."""
-    for batch in batches:
-        held, size = [], 0
-        for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-            w = _hashes(text.as_py() or b"")
-            v = np.r_[np.int64(START), w[:-1]] if len(w) else w
-            order = np.lexsort((w, v))
-            v, w = v[order], w[order]
-            new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(w) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[new, len(w)])
-            if not len(w):
-                v, w, new, n = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-            held.append((np.full(len(new), doc.as_py() or 0), np.full(len(new), doc.as_py() is None), v[new], w[new], n))
-            size += len(new)
-            if size >= BATCH:
+class Frequent:
+    """The most frequent words in order of their hash, with their counts; broadcast."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, heads: np.ndarray, hot: int) -> None:
+        order = np.argsort(words)
+        self.words, self.n, self.heads = words[order], n[order], heads[order]
+        self.hot = np.zeros(len(words), dtype=bool)
+        self.hot[np.argsort(order)[:hot]] = True  # they came by frequency
+
+        self.hot_words = self.words[self.hot]
+
+    def is_hot(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hot_words):
+            return np.zeros(len(words), dtype=bool)
+        return self.hot_words[np.searchsorted(self.hot_words, words).clip(0, len(self.hot_words) - 1)] == words
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """Positions of words, -1 for rare ones."""
+        at = np.searchsorted(self.words, words).clip(0, max(0, len(self.words) - 1))
+        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
+
+
+def _document_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (v, w) of a document and how often each occurs."""
+    w = _hashes(data)
+    if not len(w):
+        return w, w, w
+    v = np.r_[np.int64(START), w[:-1]]
+    with np.errstate(over="ignore"):
+        both = v * np.int64(-7046029254386353131) + w
+    _, first, n = np.unique(both, return_index=True, return_counts=True)
+    return v[first], w[first], n
+
+
+def _exploder(shared, kind: str):  # noqa: ANN001, ANN202
+    """hot, mid: (doc_id, pair, n), pairs of ranks. rare: (doc_id, by_second, key, other, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: Frequent = shared.value
+        for batch in batches:
+            held, size = [], 0
+            for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                v, w, n = _document_pairs(text.as_py() or b"")
+                if kind == "hot":
+                    columns = (np.array([-1]), np.array([0]))  # a document without words leaves a mark
+                    if len(w):
+                        chosen = np.flatnonzero(top.is_hot(v) & top.is_hot(w))
+                        columns = (top.ranks(v[chosen]) * TOP + top.ranks(w[chosen]), n[chosen])
+                else:
+                    a, b = top.ranks(v), top.ranks(w)
+                    if kind == "mid":
+                        chosen = np.flatnonzero((a >= 0) & (b >= 0))
+                        chosen = chosen[~(top.hot[a[chosen]] & top.hot[b[chosen]])]
+                        columns = (a[chosen] * TOP + b[chosen], n[chosen])
+                    else:
+                        one, two = a < 0, b < 0
+                        columns = (np.repeat([True, False], [two.sum(), one.sum()]), np.r_[w[two], v[one]], np.r_[v[two], w[one]], np.r_[n[two], n[one]])
+                held.append((np.full(len(columns[0]), doc.as_py() or 0), np.full(len(columns[0]), doc.as_py() is None), *columns))
+                size += len(columns[0])
+                if size >= BATCH:
+                    yield _batch(held)
+                    held, size = [], 0
+            if held:
                 yield _batch(held)
-                held, size = [], 0
-        if held:
-            yield _batch(held)
+
+    return run
 
 
 def _batch(held: list[tuple]) -> pa.RecordBatch:
-    doc, missing, v, w, n = (np.concatenate(c) for c in zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=missing), pa.array(v), pa.array(w), pa.array(n.astype(np.int64))], ["doc_id", "v", "w", "n"])
+    doc, missing, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+    names = ["doc_id", "pair", "n"] if len(rest) == 2 else ["doc_id", "by_second", "key", "other", "n"]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=missing), *[pa.array(x if x.dtype == bool else x.astype(np.int64)) for x in rest]], names)
 
 
-def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def scores(docs: DataFrame, hot: int = HOT, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of log S) and mean_log_score."""
+    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = text.select("text").mapInArrow(_words, "word long, n long, heads long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
     counts = materialise(counts, "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.orderBy(F.desc(F.greatest("n", "heads")), "word").limit(hot)
-    as_v = F.broadcast(frequent.select(F.col("word").alias("v"), F.col("heads").alias("v_heads")))
-    as_w = F.broadcast(frequent.select(F.col("word").alias("w"), F.col("n").alias("w_n")))
-    pairs = text.mapInArrow(_pairs, "doc_id long, v long, w long, n long").join(as_v, "v", "left").join(as_w, "w", "left")
-    hit = lambda c, heads: F.col("n") * F.log(F.col(c) / F.col(heads))
-    missed = lambda c: F.col("n") * F.log(F.lit(BACKOFF) * F.col(c) / F.lit(float(max(1, total))))
-    part = lambda df, value: df.select("doc_id", "n", F.when(F.col("n") > 0, value).alias("x"))
-
-    hot_pairs = pairs.where("v_heads is not null and w_n is not null")
-    hot_counts = hot_pairs.groupBy("v", "w").agg(F.sum("n").alias("c"))
-    of_hot = part(hot_pairs.join(F.broadcast(hot_counts), ["v", "w"]), F.when(F.col("c") >= MIN_COUNT, hit("c", "v_heads")).otherwise(missed("w_n")))
-
-    cold = pairs.where("v_heads is null or w_n is null").select("doc_id", "v", "w", "n", F.when(F.col("v_heads").isNull(), F.xxhash64("v")).otherwise(F.xxhash64("v", "w")).alias("place"))
-    dealt = cold.repartition("place").withColumn("c", F.sum("n").over(Window.partitionBy("place", "v", "w")))
-    dealt = dealt.withColumn("own", F.sum("n").over(Window.partitionBy("place", "v"))).join(as_v, "v", "left")
-    dealt = materialise(dealt.select("doc_id", "w", "n", F.when(F.col("c") >= MIN_COUNT, F.col("n") * F.log(F.col("c") / F.coalesce("v_heads", "own"))).alias("x")), "pairs")
-    of_cold = dealt.where("x is not null or n = 0").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    lost = dealt.where("x is null and n > 0").groupBy("w", "doc_id").agg(F.sum("n").alias("n"))
-    of_lost = part(lost.join(counts.select(F.col("word").alias("w"), F.col("n").alias("w_n")), "w"), missed("w_n"))
-
-    every = of_hot.unionByName(of_cold).unionByName(of_lost)
+    total = float(max(1, counts.agg(F.sum("n")).first()[0] or 0))
+    rows = counts.orderBy(F.desc(F.greatest("n", "heads")), "word").limit(min(top, TOP)).toPandas()
+    frequent = Frequent(*(rows[c].to_numpy(dtype=np.int64) for c in ("word", "n", "heads")), hot)
+    shared = spark.sparkContext.broadcast(frequent)
+    listed = pa.table({"rank": pa.array(np.arange(len(frequent.words))), "word": pa.array(frequent.words), "top_n": pa.array(frequent.n), "top_heads": pa.array(frequent.heads)})
+    known = spark.createDataFrame(listed)
+    as_v = F.broadcast(known.select(F.col("rank").alias("v"), "top_heads"))
+    as_w = F.broadcast(known.select(F.col("rank").alias("w"), "top_n"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # larger ones leave fewer sums by document
+
+    seen = lambda heads: F.col("n") * F.log(F.col("c") / heads)
+    unseen = lambda n: F.col("n") * F.log(F.lit(BACKOFF) * n / F.lit(total))
+    ranked = lambda df: df.withColumn("v", F.shiftright("pair", 16)).withColumn("w", F.col("pair").bitwiseAND(F.lit(TOP - 1))).join(as_v, "v", "left").join(as_w, "w", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("c") >= MIN_COUNT, seen(F.col("top_heads"))).otherwise(unseen(F.col("top_n")))).alias("x"))
+
+    pairs = text.mapInArrow(_exploder(shared, "hot"), "doc_id long, pair long, n long")
+    of_hot = ranked(pairs.join(F.broadcast(pairs.groupBy("pair").agg(F.sum("n").alias("c"))), "pair"))
+    mid = text.mapInArrow(_exploder(shared, "mid"), "doc_id long, pair long, n long").repartition(parts, "pair")
+    of_mid = ranked(mid.withColumn("c", F.sum("n").over(Window.partitionBy("pair"))))
+
+    rare = text.mapInArrow(_exploder(shared, "rare"), "doc_id long, by_second boolean, key long, other long, n long").repartition(parts, "key")
+    rare = rare.withColumn("c", F.sum("n").over(Window.partitionBy("key", "by_second", "other"))).withColumn("own", F.sum("n").over(Window.partitionBy("key", "by_second")))
+    rare = rare.join(F.broadcast(known.select(F.col("word").alias("other"), "top_n", "top_heads")), "other", "left")
+    often, alone = F.col("c") >= MIN_COUNT, F.col("top_n").isNull()
+    by_second = F.when(~often, unseen(F.col("own"))).when(~alone, seen(F.col("top_heads")))
+    by_first = F.when(often, seen(F.col("own"))).when(~alone, unseen(F.col("top_n")))
+    of_rare = rare.select("doc_id", "n", F.when(F.col("by_second"), by_second).otherwise(by_first).alias("x")).where("x is not null")
+
+    every = of_hot.unionByName(of_mid).unionByName(of_rare)
     summed = every.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("x").alias("log_score"))
     return summed.select("doc_id", "n_tokens", F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))
 
