@@ -85,8 +85,10 @@ def _document_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = np.r_[np.int64(START), w[:-1]]
     with np.errstate(over="ignore"):
         both = v * np.int64(-7046029254386353131) + w
-    _, first, n = np.unique(both, return_index=True, return_counts=True)
-    return v[first], w[first], n
+    order = np.argsort(both)
+    both = both[order]
+    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    return v[order[new]], w[order[new]], np.diff(np.r_[new, len(both)])
 
 
 def _exploder(shared, kind: str):  # noqa: ANN001, ANN202
