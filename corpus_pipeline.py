@@ -32,11 +32,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: of each component the row with the smallest doc_id stays, of its copies one.
+    """SimHash near-duplicates and all texts of similarity 0.8 (sets of five words): of each component the row with the
+    smallest doc_id stays, of its copies one.
 
     Rows with one doc_id and one text are one document; rows whose doc_id is null stay as they are.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = simhash.near_duplicates(docs.select("doc_id", "text"), similarity=simhash.NEAR)
     keep = found.where("doc_id = component").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -443,3 +443,66 @@ def test_stages_on_odd_tables(spark, tmp_path, kind):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(rows)
+
+
+def planted_copies():
+    """(similarity, original, copy) of five-word sets, planted at 0.8 to 0.95 in texts of 60 to 1,000 words."""
+    rng = random.Random(8)
+    five = lambda t: set(zip(*(t.split()[k:] for k in range(5)), strict=False))
+    out = []
+    while len(out) < 120:
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 100, 200, 1000)))]
+        changed = list(ws)
+        for _ in range(rng.randint(1, max(1, len(ws) // 45))):
+            changed[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        a, b = " ".join(ws), " ".join(changed)
+        j = len(five(a) & five(b)) / len(five(a) | five(b))
+        if 0.8 <= j <= 0.95:
+            out.append((j, a, b))
+    return out
+
+
+def test_near_dedup_of_planted_copies(spark):
+    """Each copy of similarity 0.8 to 0.95 goes, none of those that share half of an original."""
+    pairs = planted_copies()
+    halves = [a[: len(a) // 2] + " " + " ".join(f"y{k}-{n}" for n in range(a.count(" ") // 2)) for k, (_, a, _) in enumerate(pairs[:20])]
+    rows = [(k, t) for k, t in enumerate([a for _, a, _ in pairs] + [b for _, _, b in pairs] + halves)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(range(len(pairs))) | set(range(2 * len(pairs), len(rows)))
+    prints = [(simhash.simhash(a.encode()) ^ simhash.simhash(b.encode())).bit_count() for _, a, b in pairs]
+    assert sum(x <= simhash.RADIUS for x in prints) < len(pairs) // 2  # the fingerprints alone miss most
+
+
+def test_verified_links_against_brute_force():
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(60)] for _ in range(3)]
+    texts = []
+    for k in range(60):
+        ws = list(base[k % 3])
+        for _ in range(rng.randint(0, 3)):
+            ws[rng.randrange(len(ws))] = "zz"
+        texts.append(" ".join(ws).encode())
+    sets = [set(simhash.shingle_set(t).tolist()) for t in [*texts, b"", b"one two"]]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp = [min(comp[i], comp[j]) if x in (comp[i], comp[j]) else x for x in comp]
+    found = list(range(len(sets)))
+    for i, j in simhash.verified_links([*texts, b"", b"one two"]):
+        found = [min(found[i], found[j]) if x in (found[i], found[j]) else x for x in found]
+    assert found == comp and 3 < len(set(comp)) < 60
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    """The stage on the smallest tables: what is kept of components by fingerprints or by a five-word similarity of 0.8."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    keys, sets = [k for k, _ in rows], [set(simhash.shingle_set(t.encode()).tolist()) for _, t in rows]
+    comp = brute_components(keys, [brute_print(t) for _, t in rows])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        comp = [min(comp[i], comp[j]) if x in (comp[i], comp[j]) else x for x in comp]
+    by_prints = set(brute_components(keys, [brute_print(t) for _, t in rows]))
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(comp) < by_prints
