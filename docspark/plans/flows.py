@@ -61,6 +61,7 @@ for _method in ("dense_only", "sparse_only", "hybrid_rrf", "hybrid_weighted", "h
 
     @query(f"flow_ask_{_method}")
     def _(s: SparkSession, d: str, m: str = _method) -> DataFrame:
-        docs = load(s, d, "documents").select(c("doc_id").alias("item"), F.concat(F.lit("doc_"), c("doc_id").cast("string")).alias("filename"), c("text").alias("content"), embed(c("text")).alias("vector"))
+        """Over chunks, so that every part of a text has a vector; ``embed`` takes 8,000 characters as one input."""
+        stored = ingest(documents(s, d)).select(c("chunk_id").alias("item"), "filename", "content", "vector")
         questions = load(s, d, "benchmark").where("item_id % 10 = 0").select(c("item_id").alias("query_id"), "text")
-        return ask(docs, questions, 5, m)
+        return ask(stored, questions, 5, m)

@@ -216,3 +216,18 @@ def test_enhanced_spelling(spark):
     assert found["that"] == ("HEAT", "exact") and found["heatex"] == ("HEAT", "fuzzy") and found["considerr"] == ("consider", "word_list")
     assert found["Heat"][1] == found["NASA"][1] == "protected" and found["ok-no"][1] == "compound" and found["42"][1] == "numeric" and found["x"][1] == "short"
     assert found["haters"] == ("haters", "unchanged") and found["zzz"] == ("zzz", "unchanged")
+
+
+def test_questions_reach_the_end_of_long_texts(spark, tmp_path):
+    """What follows the first 8,000 characters of a document is found by its vectors."""
+    from docspark import registry
+
+    early = "\n\n".join(" ".join(f"early{k}x{n}" for n in range(60)) for k in range(40))
+    late = "zebra quagga okapi tapir"
+    rows = [(1, f"{early}\n\n" + " ".join([late] * 75), "en", "a", 1), (2, "\n\n".join(" ".join(f"other{k}x{n}" for n in range(60)) for k in range(9)), "de", "b", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, late)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert len(early) > 8000
+    for method in ("dense_only", "hybrid_rrf", "hybrid_weighted", "hybrid_borda"):
+        (found,) = registry.load()[f"flow_ask_{method}"][0](spark, str(tmp_path)).collect()
+        assert found["sources"][0]["filename"] == "a/doc_1.docx" and "zebra" in found["sources"][0]["preview"]
