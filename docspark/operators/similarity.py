@@ -101,6 +101,14 @@ def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str
     return candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(c("wa"), c("wb"))).where(c("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def existing_document(docs: DataFrame) -> DataFrame:
+    """Arriving documents against the first stored one of the same name (here: source)."""
+    w = docs.select("doc_id", "source", words(F.lower("text")).alias("ws"))
+    first = w.groupBy("source").agg(F.min("doc_id").alias("first_id"), F.min_by("ws", "doc_id").alias("first_ws"))
+    x = jaccard(c("ws"), c("first_ws"))
+    return w.join(first, "source").select("doc_id", "first_id", F.round(x, 6).alias("similarity"), (x >= DOCUMENT).alias("is_same"))
+
+
 # --- queries ---------------------------------------------------------------------------------------------
 
 _SET = lambda t: rf"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[ \t\n\r\x0B\f]+'), lambda w: w <> ''))"
@@ -142,6 +150,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return similar_pairs(load(s, d, "benchmark"), 0.0401, "item_id").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("similarity_all_document_pairs")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of alike documents. Those with one word set are listed once each, with the first of them; a pair of
+    different sets stands for all their documents, so no group of copies grows with its square."""
+    docs = load(s, d, "documents").select("doc_id", "text")
+    sets = docs.select(c("doc_id").alias("b"), F.array_sort(words(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
+    same = sets.join(sets.groupBy("ws").agg(F.min("b").alias("a")), "ws").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return similar_pairs(docs, DOCUMENT, "doc_id").union(same).withColumn("similarity", F.round("similarity", 6))
+
+
 def _neighbours(s: SparkSession, d: str) -> DataFrame:
     """Each turn with the next of its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -164,8 +182,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("similarity_existing_document", f"""WITH w AS (SELECT doc_id, source, {_SET('text')} AS ws FROM documents WHERE lang = 'es'), f AS (SELECT source, arg_min(doc_id, doc_id) AS first_id, arg_min(ws, doc_id) AS ws FROM w GROUP BY source)
 SELECT w.doc_id, first_id, round({_JACCARD('w.ws', 'f.ws')}, 6) AS similarity, {_JACCARD('w.ws', 'f.ws')} >= 0.5 AS is_same FROM w JOIN f USING (source)""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Arriving documents against the first stored one of the same name (here: source)."""
-    w = load(s, d, "documents").where("lang = 'es'").select("doc_id", "source", words(F.lower("text")).alias("ws"))
-    first = w.groupBy("source").agg(F.min("doc_id").alias("first_id"), F.min_by("ws", "doc_id").alias("first_ws"))
-    x = jaccard(c("ws"), c("first_ws"))
-    return w.join(first, "source").select("doc_id", "first_id", F.round(x, 6).alias("similarity"), (x >= DOCUMENT).alias("is_same"))
+    return existing_document(load(s, d, "documents").where("lang = 'es'"))
+
+
+@query("similarity_existing_all_documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return existing_document(load(s, d, "documents"))

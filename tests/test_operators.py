@@ -231,3 +231,19 @@ def test_questions_reach_the_end_of_long_texts(spark, tmp_path):
     for method in ("dense_only", "hybrid_rrf", "hybrid_weighted", "hybrid_borda"):
         (found,) = registry.load()[f"flow_ask_{method}"][0](spark, str(tmp_path)).collect()
         assert found["sources"][0]["filename"] == "a/doc_1.docx" and "zebra" in found["sources"][0]["preview"]
+
+
+def test_whole_table_similarity(spark, tmp_path):
+    """All document pairs at 0.5 and every language's documents against the first of their source, by brute force."""
+    from docspark import registry
+
+    rows = [(1, "a b c d", "en", "x"), (2, "a b c e", "de", "x"), (3, "D c b a", "es", "y"), (4, "q r", None, "x"), (5, "a b c d", "fr", "y"), (6, "q r s", "es", "y"), (7, "", "en", "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {r[0]: set(r[1].lower().split()) for r in rows}
+    jac = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) if sets[a] | sets[b] else 0.0
+    run = {n: registry.load()[n][0](spark, str(tmp_path)).collect() for n in ("similarity_all_document_pairs", "similarity_existing_all_documents")}
+    first = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets if sets[k]}
+    found = {(r["a"], r["b"]): r["similarity"] for r in run["similarity_all_document_pairs"]}
+    assert found == {(a, b): jac(a, b) for a in first for b in first if a < b and jac(a, b) >= 0.5 and first[a] == a and first[b] in (a, b)}
+    assert {(r["doc_id"], r["first_id"]) for r in run["similarity_existing_all_documents"]} == {(k, 1 if s == "x" else 3) for k, _, _, s in rows}
+    assert {r["doc_id"]: r["similarity"] for r in run["similarity_existing_all_documents"] if r["doc_id"] != 7} == {k: jac(k, 1 if s == "x" else 3) for k, _, _, s in rows if k != 7}
