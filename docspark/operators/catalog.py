@@ -158,6 +158,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return upsert(rows.where("document_id % 2 = 0").select("id", "payload"), rows.where("document_id % 7 = 0").select("id", F.concat(F.lit("new "), "payload").alias("payload")), "id")
 
 
+@query("catalog_upsert_all_points")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every chunk whole: those that are vectorized are stored, those of all documents but every fifth arrive again."""
+    rows = chunks(s, d).select("document_id", "vectorized", (c("document_id") * 100000 + c("chunk_index")).alias("id"), c("chunk_text").alias("payload"))
+    return upsert(rows.where("vectorized or document_id % 5 = 0").select("id", "payload"), rows.where("document_id % 5 <> 0").select("id", F.concat(F.lit("new "), "payload").alias("payload")), "id")
+
+
 @query("catalog_insert_or_get", f"""WITH {DOCUMENTS_SQL}, stored AS (SELECT content_hash, min(id) AS stored_id FROM cat WHERE id % 2 = 0 GROUP BY 1),
 arriving AS (SELECT id, content_hash, min(id) OVER (PARTITION BY content_hash) AS first_id FROM cat WHERE id % 2 = 1)
 SELECT id, coalesce(stored_id, first_id) AS kept_id, stored_id IS NULL AND first_id = id AS inserted FROM arriving LEFT JOIN stored USING (content_hash)""")

@@ -112,6 +112,27 @@ def _english(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
 
 
+def _all_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of every language, of letters of any alphabet."""
+    return load(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+
+
+def _frequent(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
+
+
+@query("spelling_split_all_tokens")
+def _(s: SparkSession, d: str) -> DataFrame:
+    tokens = _all_tokens(s, d)
+    return split_long_tokens(tokens, _frequent(tokens))
+
+
+@query("spelling_fuzzy_all")
+def _(s: SparkSession, d: str) -> DataFrame:
+    tokens = _all_tokens(s, d)
+    return fuzzy_candidates(tokens, _frequent(tokens))
+
+
 _EN = "en AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en'), cnt AS (SELECT token, count(*) AS n FROM en GROUP BY 1), known AS (SELECT token AS word FROM cnt WHERE n >= 100)"
 
 
@@ -174,6 +195,5 @@ def correct_enhanced(docs: DataFrame, entries: DataFrame, known: DataFrame, acro
 
 @query("spelling_enhanced")
 def _(s: SparkSession, d: str) -> DataFrame:
-    known = _english(s, d).groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
-    x = correct_enhanced(load(s, d, "documents").where("lang = 'en'").select("doc_id", "text"), terminology(s), known)
+    x = correct_enhanced(load(s, d, "documents").select("doc_id", "text"), terminology(s), _frequent(_all_tokens(s, d)))
     return x.groupBy("method").agg(F.sum("n").alias("n"), F.countDistinct("token").alias("n_tokens"))

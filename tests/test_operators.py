@@ -247,3 +247,21 @@ def test_whole_table_similarity(spark, tmp_path):
     assert found == {(a, b): jac(a, b) for a in first for b in first if a < b and jac(a, b) >= 0.5 and first[a] == a and first[b] in (a, b)}
     assert {(r["doc_id"], r["first_id"]) for r in run["similarity_existing_all_documents"]} == {(k, 1 if s == "x" else 3) for k, _, _, s in rows}
     assert {r["doc_id"]: r["similarity"] for r in run["similarity_existing_all_documents"] if r["doc_id"] != 7} == {k: jac(k, 1 if s == "x" else 3) for k, _, _, s in rows if k != 7}
+
+
+def test_queries_of_every_language(spark, tmp_path):
+    """Rows of other or no languages, long tokens and all chunks get results."""
+    from docspark import registry
+
+    rows = [(1, "consideration " * 100 + "considerations", "en", "x", 1), (2, "straße " * 100 + "strasse straßen", "de", "x", 1), (3, "uno ing the dos", None, "y", 1), (4, "considerationstraße", "fr", "y", 1), (5, "z" * 1500, "es", "y", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: registry.load()[n][0](spark, str(tmp_path)).collect()
+    for name, key in (("text_similarity_normalise_all", "doc_id"), ("text_join_hyphens_all", "doc_id"), ("ids_all_languages", "id")):
+        assert sorted(r[key] for r in run(name)) == [1, 2, 3, 4, 5]
+    fuzzy = {r["token"]: (r["word"], r["distance"]) for r in run("spelling_fuzzy_all")}
+    assert fuzzy == {"consideration": ("consideration", 0), "considerations": ("consideration", 1), "straße": ("straße", 0), "straßen": ("straße", 1)}
+    assert [tuple(r) for r in run("spelling_split_all_tokens")] == [("considerationstraße", "consideration", "straße")]
+    assert {r["method"]: r["n"] for r in run("spelling_enhanced")}["word_list"] == 1
+    points = {r["id"]: r["payload"] for r in run("catalog_upsert_all_points")}
+    assert sorted(points) == [100000, 100001, 200000, 300000, 400000, 500000, 500001]
+    assert points[500000] == "z" * 1000 and points[300000] == "new uno ing the dos"
