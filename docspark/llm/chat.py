@@ -6,9 +6,11 @@ An output that does not begin with the one before it shows a template that rewri
 marked and carry what follows the common part. The place of the text inside an assistant's span, the part
 under the loss mask, is found by rendering the turn twice more with one-character probes for its text.
 
-Rows are dealt by conversation, sorted by turn and streamed, so memory holds a window of turns, never a whole
-conversation. After ``WINDOW`` turns the prefix is started again from the last turn only, provided that the
-template renders the present turn alike from both; a template that looks further back keeps its full prefix.
+Rows are dealt by conversation, sorted by turn and streamed. Of a template declared to restart, memory holds a
+window of turns: after ``WINDOW`` turns the prefix is started again from the last turn only, where the template renders
+the present turn alike from both. That looks at one turn; what a template so declared does with earlier turns later on,
+for other roles or by rewriting, is not detected. Of any other template the full prefix is kept and rendered each turn,
+in memory that grows with the conversation and time that grows with its square.
 
 Defined results: null roles and texts count as empty; turns are ordered by turn (nulls first), then role,
 then text, and repeated rows are turns of their own; null conversation ids form one conversation; an empty
@@ -66,6 +68,8 @@ class Renderer:
     """Renders one conversation turn by turn."""
 
     template: Template
+    #: Declares that a turn's span depends on no turn before the last one.
+    restarts: bool = False
     turns: list[tuple[str, str]] = field(default_factory=list)
     output: str = ""
     length: int = 0
@@ -85,7 +89,7 @@ class Renderer:
             loss = self._loss(span, role)
         found = {"role": role, "span": span, "start": self.length - (len(self.output) - common), "loss_start": loss[0], "loss_end": loss[1], "rewrites": rewrites}
         self.length = found["start"] + len(span)
-        if len(self.turns) >= WINDOW and not rewrites and self._restarts(turn, span):
+        if self.restarts and len(self.turns) >= WINDOW and not rewrites and self._restarts(turn, span):
             self.turns = [turn]
             self.output = self.template(self.turns)
         else:
@@ -111,9 +115,11 @@ class Renderer:
         return self.template([last, turn]).removeprefix(self.template([last])) == span
 
 
-def format_conversations(rows: DataFrame, template: Template = chat_template) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = chat_template, restarts: bool | None = None) -> DataFrame:
     """A row for each turn, in order within its partition: its formatted span, where it starts in the
-    conversation's output, where the loss mask begins and ends in the span, whether history was rewritten."""
+    conversation's output, where the loss mask begins and ends in the span, whether history was rewritten.
+    ``restarts`` is as in ``Renderer``; of the own template it is known."""
+    restarts = template is chat_template if restarts is None else restarts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renderer, now, position = None, None, 0
@@ -122,7 +128,7 @@ def format_conversations(rows: DataFrame, template: Template = chat_template) ->
             out = []
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if renderer is None or conv != now:
-                    renderer, now, position = Renderer(template), conv, 0
+                    renderer, now, position = Renderer(template, restarts), conv, 0
                 position += 1
                 out.append({"conv_id": conv, "position": position} | renderer.add(role or "", text or ""))
             yield pa.RecordBatch.from_pylist(out, schema=kind)

@@ -506,3 +506,19 @@ def test_near_dedup_stage_against_brute_force(spark):
         comp = [min(comp[i], comp[j]) if x in (comp[i], comp[j]) else x for x in comp]
     by_prints = set(brute_components(keys, [brute_print(t) for _, t in rows]))
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(comp) < by_prints
+
+
+def test_long_chats_of_templates_that_look_back():
+    """A template that uses the first turn for later tool turns, or drops history from turn 40 on, is rendered in full."""
+    first = lambda turns: "".join(f"<{r}>{t}{turns[0][1] if r == 'tool' else ''}\n" for r, t in turns)
+    late = lambda turns: "".join(f"<{r}>{t}\n" for r, t in (turns if len(turns) < 40 else turns[-2:]))
+    turns = [("user", f"t{k}") for k in range(50)] + [("tool", "x")]
+    for template in (first, late):
+        renderer = chat.Renderer(template)
+        found = [renderer.add(*turn) for turn in turns]
+        assert renderer.output == template(turns)
+        assert any(x["rewrites"] for x in found) == (template is late)
+    declared = chat.Renderer(chat.chat_template, restarts=True)
+    for turn in turns:
+        declared.add(*turn)
+    assert len(declared.turns) < len(turns) and declared.length == len(chat.chat_template(turns))
