@@ -1,23 +1,29 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-A bigram model over the whole corpus: S(w | v) = c(v w) / c(v .) where v w occurs at least ``MIN_COUNT``
-times, else 0.4 c(w) / N. A document's first word has the start sign as v. Every document's bigrams are
-exploded once each with their number (so a pair of words gives at most one row a document), dealt by hash,
-counted, joined with the counts, and summed by document. Logarithms are natural.
-
-Rows go one of three ways, so that little is shuffled and no key is hot:
-- both words are among the ``HOT`` most frequent: their pair counts (at most HOT squared) are broadcast, the
-  rows themselves are not shuffled;
-- both are among the ``TOP`` most frequent, whose counts are broadcast: the row carries the pair of their
-  ranks, four bytes, and is dealt by it. By its rank a word of such a pair is less than 1 / HOT of all words;
-- one is rare: the row is dealt by the rare word, which is less than 1 / TOP of all words, and counted there.
-  A pair of two rare words goes to both: to the first, which scores it if it is seen often enough, and to the
-  second, which scores it if not; either has the count that it needs.
-``HOT`` and ``TOP`` are fixed numbers, whatever the corpus; every pair is counted and scored exactly.
-
-Words are maximal runs without white space, A-Z lower-cased, known by 64-bit hashes. Defined results: null
-and empty texts have no words and a null mean; rows with one doc_id (null included) are scored as one
-document; other columns are ignored; an empty table gives an empty table.
+S(w | u v) = c(u v w) / c(u v) where u v w occurs, else 0.4 S(w | v), and so on down to c(w) / c(), where c() is the
+number of all words. The order is a parameter, three by default. Logarithms are natural.
+
+A corpus scored by its own counts holds every n-gram of itself, so nothing would ever back off. A document's own
+occurrences are therefore taken from all counts (``leave_out``): what is left is the model of all other documents. A word
+that no other document has counts once.
+
+Relations, all packed by block (some ``BLOCK`` bytes of documents) and bucket (a range of n-gram hashes):
+- exploded: the distinct n-grams of each block, of every order, with their counts, dealt by bucket;
+- counts: each bucket's table of n-grams and their sums, made in the task that has the bucket;
+- joined: the exploded n-grams of each block with their counts from that table, dealt back by block;
+- summed: a block's documents meet the counts of their n-grams and are summed one by one.
+Words and n-grams are known by 64-bit hashes. A block holds an n-gram once, however often its documents repeat it, so no
+word, pair or line is hot in any bucket: a bucket gets at most one row of each order from a block. Buckets and blocks are dealt
+evenly by number. Nothing is collected or broadcast. There are at least as many buckets as ``BUCKET`` bytes of text
+go into all texts, so memory depends on neither the corpus nor its vocabulary: a task holds one order of one bucket, or one
+block; a single document beyond ``BLOCK`` is a block of its own and held whole.
+
+The documents are read twice, once to be exploded and once to be summed, and must come in the same order both times and
+when a lost task is run again, as the rows of files do; write other frames to a table first.
+
+Words are maximal runs without white space, A-Z lower-cased. Defined results: null and empty texts have no words, a score
+of 0 and a null mean; each row is a document of its own, so rows with one doc_id (null included) give a row each, and copies
+count for each other; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,167 +32,260 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialise, table
+from docspark.llm.common import table
 
-BACKOFF, MIN_COUNT, HOT, TOP, BATCH = 0.4, 2, 1024, 65_536, 1 << 20
-#: Stands for the start of a document.
-START = 0
+BACKOFF, ORDER = 0.4, 3
+#: Bytes of text in a block, and at most about so many in all the blocks for each bucket.
+BLOCK, BUCKET = 8 << 20, 16 << 20
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+EXPLODED = "block long, counted boolean, asked boolean, ngram_order int, bucket int, grams binary, counts binary"
+JOINED = "block long, ngram_order int, bucket int, counts binary"
+SCORED = "doc_id long, n_tokens long, log_score double, mean_log_score double"
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    import xxhash
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, so that high bytes, mostly zero, lie together and are compressed away by the shuffle."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    words = data.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, heads): how often a word occurs, and how often another word follows it; summed by batch."""
+
+def _pack(grams: np.ndarray) -> bytes:
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data), dtype=np.uint64)
+
+
+class Words:
+    """The words of some documents in order: their hashes, their document and place in it, the documents' lengths."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        import xxhash
+
+        runs = [t.lower().split() for t in texts]
+        self.lengths = np.array([len(r) for r in runs], dtype=np.int64)
+        total = int(self.lengths.sum())
+        self.hashes = np.fromiter((h for r in runs for h in map(xxhash.xxh64_intdigest, r)), dtype=np.uint64, count=total)
+        self.owner = np.repeat(np.arange(len(runs)), self.lengths)
+        self.place = np.arange(total) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the last word, hash) of every n-gram of an order; of order 0 one for each word, all alike."""
+        n = len(self.hashes)
+        if order == 0:
+            return np.arange(n), np.zeros(n, dtype=np.uint64)
+        at = np.flatnonzero(self.place >= order - 1)
+        mixed = np.full(len(at), order, dtype=np.uint64)
+        for k in range(order):
+            mixed = (mixed ^ self.hashes[at - k]) * _ODD[k % len(_ODD)]
+            mixed ^= mixed >> np.uint64(29)
+        return at, mixed
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(number, ids, texts) of doc_id, text and the number of the partition: the same blocks whenever the same rows are read."""
+    number, ids, texts, held = 0, [], [], 0
     for batch in batches:
-        runs = [_hashes(x.as_py() or b"") for x in batch.column(0).cast(pa.binary())]
-        words, n = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]), return_counts=True)
-        last, ends = np.unique(np.array([r[-1] for r in runs if len(r)], dtype=np.int64), return_counts=True)
-        heads = n.copy()
-        heads[np.searchsorted(words, last)] -= ends
-        starts = sum(len(r) > 0 for r in runs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[START, words]), pa.array(np.r_[0, n]), pa.array(np.r_[starts, heads])], ["word", "n", "heads"])
-
-
-class Frequent:
-    """The most frequent words in order of their hash, with their counts; broadcast."""
-
-    def __init__(self, words: np.ndarray, n: np.ndarray, heads: np.ndarray, hot: int) -> None:
-        order = np.argsort(words)
-        self.words, self.n, self.heads = words[order], n[order], heads[order]
-        self.hot = np.zeros(len(words), dtype=bool)
-        self.hot[np.argsort(order)[:hot]] = True  # they came by frequency
-
-        self.hot_words = self.words[self.hot]
-
-    def is_hot(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hot_words):
-            return np.zeros(len(words), dtype=bool)
-        return self.hot_words[np.searchsorted(self.hot_words, words).clip(0, len(self.hot_words) - 1)] == words
-
-    def ranks(self, words: np.ndarray) -> np.ndarray:
-        """Positions of words, -1 for rare ones."""
-        at = np.searchsorted(self.words, words).clip(0, max(0, len(self.words) - 1))
-        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
-
-
-def _document_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different (v, w) of a document and how often each occurs."""
-    w = _hashes(data)
-    if not len(w):
-        return w, w, w
-    v = np.r_[np.int64(START), w[:-1]]
-    with np.errstate(over="ignore"):
-        both = v * np.int64(-7046029254386353131) + w
-    order = np.argsort(both)
-    both = both[order]
-    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-    return v[order[new]], w[order[new]], np.diff(np.r_[new, len(both)])
-
-
-def _exploder(shared, kind: str):  # noqa: ANN001, ANN202
-    """hot, mid: (doc_id, pair, n), pairs of ranks. rare: (doc_id, by_second, key, other, n)."""
+        if not ids and not number and batch.num_rows:
+            number = batch.column(2)[0].as_py() << 32
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            data = text.as_py() or b""
+            if ids and held + len(data) > BLOCK:
+                yield number, ids, texts
+                number, ids, texts, held = number + 1, [], [], 0
+            ids.append(key)
+            texts.append(data)
+            held += len(data) + 8
+    if ids:
+        yield number, ids, texts
+
+
+def _exploder(order: int, buckets: int, counted: bool, asked: bool):  # noqa: ANN202
+    """Rows of EXPLODED: the distinct n-grams of a block that belong to a bucket, with how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: Frequent = shared.value
+        for number, _, texts in _blocks(batches):
+            words = Words(texts)
+            for k in range(order + 1):
+                grams, n = np.unique(words.grams(k)[1], return_counts=True)
+                bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(grams)] if len(grams) else np.zeros(1, int)
+                parts = [(slice(a, b), int(bucket[a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                size = len(parts)
+                columns = [
+                    pa.array([number] * size, pa.int64()),
+                    pa.array([counted] * size, pa.bool_()),
+                    pa.array([asked] * size, pa.bool_()),
+                    pa.array([k] * size, pa.int32()),
+                    pa.array([b for _, b in parts], pa.int32()),
+                    pa.array([_pack(grams[s]) for s, _ in parts], pa.binary()),
+                    pa.array([_planes(n[s]) for s, _ in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "counted", "asked", "ngram_order", "bucket", "grams", "counts"])
+
+    return run
+
+
+def count_table(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams in order, and the sum of each one's counts."""
+    if not grams or not (every := np.concatenate(grams)).size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    order = np.argsort(every)
+    every = every[order]
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    return every[starts], np.add.reduceat(np.concatenate(counts)[order], starts)
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of EXPLODED sorted by bucket and order; those that ask come back with the counts of the bucket's table."""
+
+    def joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        counted = [r for r in rows if r["counted"]]
+        known, total = count_table([_unpack(r["grams"]) for r in counted], [_numbers(r["counts"]) for r in counted])
+        for r in rows:
+            if r["asked"]:
+                grams = _unpack(r["grams"])
+                found = np.zeros(len(grams), dtype=np.uint64)
+                if len(known):
+                    at = np.searchsorted(known, grams).clip(0, len(known) - 1)
+                    found = np.where(known[at] == grams, total[at], np.uint64(0))
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "ngram_order": r["ngram_order"], "bucket": r["bucket"], "counts": _planes(found)}], schema=kind)
+
+    kind = pa.schema([("block", pa.int64()), ("ngram_order", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())])
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (held[0]["bucket"], held[0]["ngram_order"]) != (row["bucket"], row["ngram_order"]):
+                yield from joined(held)
+                held = []
+            held.append(row)
+    yield from joined(held)
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of JOINED for each block, ahead of those of its counts: its documents, compressed."""
+    import zstandard
+
+    for number, ids, texts in _blocks(batches):
+        packed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, packed.schema) as writer:
+            writer.write_batch(packed)
+        data = zstandard.compress(sink.getvalue().to_pybytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "ngram_order", "bucket", "counts"])
+
+
+def block_scores(texts: list[bytes], counts: list[np.ndarray], leave_out: bool, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sum of log S) of each document. ``counts`` has for every order those of the block's distinct n-grams in order."""
+    words = Words(texts)
+    n = len(words.hashes)
+    shorter, best, level = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+    for k, total in enumerate(counts):
+        at, grams = words.grams(k)
+        order = np.argsort(grams, kind="stable")  # so that the same n-grams of a document lie together
+        ordered, owner = grams[order], words.owner[at][order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]
+        here = total[np.cumsum(new) - 1].astype(np.float64)
+        if leave_out:
+            runs = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+            here -= np.repeat(np.diff(np.r_[runs, len(ordered)]), np.diff(np.r_[runs, len(ordered)]))
+        mine = np.zeros(n)
+        mine[at[order]] = here
+        if k == 0:
+            shorter = np.maximum(mine, 1)
+            continue
+        # c() stands beside the word itself; any other history ends one word before it
+        history = shorter if k == 1 else np.r_[0.0, shorter[:-1]]
+        seen = np.arange(n) >= 0 if k == 1 else (words.place >= k - 1) & (mine > 0)
+        top = np.maximum(mine, 1) if k == 1 else mine
+        best[seen] = np.log(top[seen] / history[seen])
+        level[seen] = k
+        shorter = mine
+    missed = np.minimum(words.place + 1, len(counts) - 1) - level
+    return words.lengths, np.bincount(words.owner, weights=best + missed * np.log(backoff), minlength=len(texts))
+
+
+def _summer(order: int, leave_out: bool):  # noqa: ANN202
+    """Rows of JOINED sorted by block, order and bucket; of each block first the documents, then all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        def close() -> pa.RecordBatch:
+            docs = pa.ipc.open_stream(zstandard.decompress(held)).read_all()
+            n, x = block_scores(docs["text"].to_pylist(), [np.concatenate([np.zeros(0, np.uint64), *c]) for c in counts], leave_out)
+            mean = pa.array(x / np.maximum(n, 1), mask=n == 0)
+            return pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(x), mean], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
+
+        now, held, counts = None, None, []
         for batch in batches:
-            held, size = [], 0
-            for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                v, w, n = _document_pairs(text.as_py() or b"")
-                if kind == "hot":
-                    columns = (np.array([-1]), np.array([0]))  # a document without words leaves a mark
-                    if len(w):
-                        chosen = np.flatnonzero(top.is_hot(v) & top.is_hot(w))
-                        columns = (top.ranks(v[chosen]) * TOP + top.ranks(w[chosen]), n[chosen])
+            for block, k, data in zip(*(batch.column(c) for c in ("block", "ngram_order", "counts")), strict=True):
+                if now is None or block.as_py() != now:
+                    if now is not None:
+                        yield close()
+                    now, held, counts = block.as_py(), data.as_py(), [[] for _ in range(order + 1)]
                 else:
-                    a, b = top.ranks(v), top.ranks(w)
-                    if kind == "mid":
-                        chosen = np.flatnonzero((a >= 0) & (b >= 0))
-                        chosen = chosen[~(top.hot[a[chosen]] & top.hot[b[chosen]])]
-                        columns = (a[chosen] * TOP + b[chosen], n[chosen])
-                    else:
-                        one, two = a < 0, b < 0
-                        columns = (np.repeat([True, False], [two.sum(), one.sum()]), np.r_[w[two], v[one]], np.r_[v[two], w[one]], np.r_[n[two], n[one]])
-                held.append((np.full(len(columns[0]), doc.as_py() or 0), np.full(len(columns[0]), doc.as_py() is None), *columns))
-                size += len(columns[0])
-                if size >= BATCH:
-                    yield _batch(held)
-                    held, size = [], 0
-            if held:
-                yield _batch(held)
+                    counts[k.as_py()].append(_numbers(data.as_py()))
+        if now is not None:
+            yield close()
 
     return run
 
 
-def _batch(held: list[tuple]) -> pa.RecordBatch:
-    doc, missing, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-    names = ["doc_id", "pair", "n"] if len(rest) == 2 else ["doc_id", "by_second", "key", "other", "n"]
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=missing), *[pa.array(x if x.dtype == bool else x.astype(np.int64)) for x in rest]], names)
-
+def scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, log_score (sum of log S) and mean_log_score of each row of ``docs``, by the n-grams of ``corpus``.
 
-def scores(docs: DataFrame, hot: int = HOT, top: int = TOP) -> DataFrame:
-    """doc_id, n_tokens, log_score (sum of log S) and mean_log_score."""
+    Without a corpus the documents are their own, and ``leave_out`` takes a document's own occurrences from all counts.
+    """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = text.select("text").mapInArrow(_words, "word long, n long, heads long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
-    counts = materialise(counts, "words")
-    total = float(max(1, counts.agg(F.sum("n")).first()[0] or 0))
-    rows = counts.orderBy(F.desc(F.greatest("n", "heads")), "word").limit(min(top, TOP)).toPandas()
-    frequent = Frequent(*(rows[c].to_numpy(dtype=np.int64) for c in ("word", "n", "heads")), hot)
-    shared = spark.sparkContext.broadcast(frequent)
-    listed = pa.table({"rank": pa.array(np.arange(len(frequent.words))), "word": pa.array(frequent.words), "top_n": pa.array(frequent.n), "top_heads": pa.array(frequent.heads)})
-    known = spark.createDataFrame(listed)
-    as_v = F.broadcast(known.select(F.col("rank").alias("v"), "top_heads"))
-    as_w = F.broadcast(known.select(F.col("rank").alias("w"), "top_n"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # larger ones leave fewer sums by document
-
-    seen = lambda heads: F.col("n") * F.log(F.col("c") / heads)
-    unseen = lambda n: F.col("n") * F.log(F.lit(BACKOFF) * n / F.lit(total))
-    ranked = lambda df: df.withColumn("v", F.shiftright("pair", 16)).withColumn("w", F.col("pair").bitwiseAND(F.lit(TOP - 1))).join(as_v, "v", "left").join(as_w, "w", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("c") >= MIN_COUNT, seen(F.col("top_heads"))).otherwise(unseen(F.col("top_n")))).alias("x"))
-
-    pairs = text.mapInArrow(_exploder(shared, "hot"), "doc_id long, pair long, n long")
-    of_hot = ranked(pairs.join(F.broadcast(pairs.groupBy("pair").agg(F.sum("n").alias("c"))), "pair"))
-    mid = text.mapInArrow(_exploder(shared, "mid"), "doc_id long, pair long, n long").repartition(parts, "pair")
-    of_mid = ranked(mid.withColumn("c", F.sum("n").over(Window.partitionBy("pair"))))
-
-    rare = text.mapInArrow(_exploder(shared, "rare"), "doc_id long, by_second boolean, key long, other long, n long").repartition(parts, "key")
-    rare = rare.withColumn("c", F.sum("n").over(Window.partitionBy("key", "by_second", "other"))).withColumn("own", F.sum("n").over(Window.partitionBy("key", "by_second")))
-    rare = rare.join(F.broadcast(known.select(F.col("word").alias("other"), "top_n", "top_heads")), "other", "left")
-    often, alone = F.col("c") >= MIN_COUNT, F.col("top_n").isNull()
-    by_second = F.when(~often, unseen(F.col("own"))).when(~alone, seen(F.col("top_heads")))
-    by_first = F.when(often, seen(F.col("own"))).when(~alone, unseen(F.col("top_n")))
-    of_rare = rare.select("doc_id", "n", F.when(F.col("by_second"), by_second).otherwise(by_first).alias("x")).where("x is not null")
-
-    every = of_hot.unionByName(of_mid).unionByName(of_rare)
-    summed = every.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("x").alias("log_score"))
-    return summed.select("doc_id", "n_tokens", F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))
+    text = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    own = corpus is None
+    size = (docs if own else corpus).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    exploded = text(docs).mapInArrow(_exploder(order, buckets, own, True), EXPLODED)
+    if not own:
+        exploded = exploded.unionByName(text(corpus).mapInArrow(_exploder(order, buckets, True, False), EXPLODED))
+    dealt = exploded.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "ngram_order")
+    joined = dealt.mapInArrow(_join, JOINED).unionByName(text(docs).mapInArrow(_carried, JOINED))
+    by_block = joined.repartitionById(buckets, (F.shiftright("block", 32) % buckets).cast("int")).sortWithinPartitions("block", "ngram_order", "bucket")
+    return by_block.mapInArrow(_summer(order, leave_out and own), SCORED)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number of words of every document and their mean log score."""
+    """The number of words of every document and their mean log score by the trigrams of all other documents."""
     found = scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+#: Of each word the counts of the n-grams that it ends, in all documents but its own.
 OP10_SQL = f"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS ws
   FROM documents),
-pairs AS (
-  SELECT doc_id, unnest(list_concat([NULL], ws[:len(ws) - 1])) AS v, unnest(ws) AS w FROM words WHERE len(ws) > 0),
-uni AS (SELECT w, count(*) AS c FROM pairs GROUP BY w),
-heads AS (SELECT v, count(*) AS c FROM pairs GROUP BY v),
-bi AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w),
+placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+grams AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM placed),
+counted AS (
+  SELECT doc_id, i,
+    count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n0,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS n1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) ELSE 0 END AS n2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) ELSE 0 END AS n3
+  FROM grams),
+histories AS (
+  SELECT *, lag(n1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(n2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM counted),
 scored AS (
-  SELECT p.doc_id, CASE WHEN bi.c >= {MIN_COUNT} THEN ln(bi.c::DOUBLE / heads.c) ELSE ln({BACKOFF}::DOUBLE * uni.c / (SELECT sum(c)::DOUBLE FROM uni)) END AS x
-  FROM pairs p JOIN bi ON bi.v IS NOT DISTINCT FROM p.v AND bi.w = p.w JOIN heads ON heads.v IS NOT DISTINCT FROM p.v JOIN uni ON uni.w = p.w)
+  SELECT doc_id, CASE
+    WHEN n3 > 0 THEN ln(n3::DOUBLE / h2)
+    WHEN n2 > 0 THEN ln(n2::DOUBLE / h1) + (least(i, {ORDER}) - 2) * ln({BACKOFF}::DOUBLE)
+    ELSE ln(greatest(n1, 1)::DOUBLE / greatest(n0, 1)) + (least(i, {ORDER}) - 1) * ln({BACKOFF}::DOUBLE) END AS x
+  FROM histories)
 SELECT d.doc_id, count(s.x) AS n_tokens, round(avg(s.x), 6) AS mean_log_score
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """

@@ -1,5 +1,6 @@
 """The llm operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import collections
 import hashlib
 import random
 import re
@@ -384,30 +385,48 @@ def test_radius_keeps_alike_passages():
 # --- language-model scores -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("hot", "top"), [(1024, 65536), (2, 5), (1, 1), (3, 8)])
-def test_lm_scores_against_brute_force(spark, hot, top):
-    rng = random.Random(6)
-    texts = [" ".join(rng.choice("the a Of cat dog sat x1 x2 x3 x4".split()) for _ in range(rng.randint(0, 25))) for _ in range(30)] + [None, "", "the", "the cat\x0bsat"]
-    docs = table(spark, texts).withColumn("n", F.lit(1)).withColumn("v", F.lit(1))
-    found = {r["doc_id"]: r for r in lm_score.scores(docs, hot, top).collect()}
+def brute_scores(texts, order=3, corpus=None, backoff=0.4):
+    """(words, sum of log S) of each text, from counts of all other texts or of a corpus."""
     runs = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    pairs = [list(zip([None, *r], r, strict=False)) for r in runs]
-    flat = [p for ps in pairs for p in ps]
-    uni, heads, bi = ({} for _ in range(3))
-    for v, w in flat:
-        uni[w] = uni.get(w, 0) + 1
-        heads[v] = heads.get(v, 0) + 1
-        bi[v, w] = bi.get((v, w), 0) + 1
-    for k, ps in enumerate(pairs):
-        total = sum(np.log(bi[v, w] / heads[v]) if bi[v, w] >= 2 else np.log(0.4 * uni[w] / len(flat)) for v, w in ps)
-        assert found[k]["n_tokens"] == len(ps) and found[k]["log_score"] == pytest.approx(total)
-        assert (found[k]["mean_log_score"] is None) == (not ps)
-    assert lm_score.scores(table(spark, [])).count() == 0
+    counted = runs if corpus is None else [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in corpus]
+    grams = lambda r: collections.Counter(tuple(r[i - k : i]) for k in range(order + 1) for i in range(max(1, k), len(r) + 1))
+    every = sum(map(grams, counted), collections.Counter())
+    out = []
+    for r in runs:
+        left, total = every if corpus is not None else every - grams(r), 0.0
+        for i, w in enumerate(r):
+            k, factor = min(order, i + 1), 1.0
+            while k > 1 and not left[tuple(r[i + 1 - k : i + 1])]:
+                k, factor = k - 1, factor * backoff
+            history = tuple(r[i + 1 - k : i])
+            total += np.log(factor * (left[*history, w] if k > 1 else max(1, left[(w,)])) / (left[history] if k > 1 else max(1, left[()])))
+        out.append((len(r), total))
+    return out
+
 
+LM_TEXTS = [None, "", "the", "the cat\x0bsat", "the cat sat", "The CAT sat", "zz " * 3000, "only here"]
 
-def test_lm_scores_of_null_and_repeated_ids(spark):
-    rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string")
-    assert {r["doc_id"]: r["n_tokens"] for r in lm_score.scores(rows).collect()} == {None: 2, 1: 4}
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_scores_against_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_score, "BLOCK", 200)
+    monkeypatch.setattr(lm_score, "BUCKET", 100)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("the a Of cat dog sat x1 x2 x3 x4".split()) for _ in range(rng.randint(0, 25))) for _ in range(30)] + LM_TEXTS
+    docs = table(spark, texts).withColumn("n", F.lit(1)).withColumn("block", F.lit(1)).withColumn("counts", F.lit("x")).repartition(3, "doc_id")
+    for corpus in (None, texts[:9]):
+        other = None if corpus is None else table(spark, corpus)
+        found = {r["doc_id"]: r for r in lm_score.scores(docs, other, order).collect()}
+        for k, (n, total) in enumerate(brute_scores(texts, order, corpus)):
+            assert found[k]["n_tokens"] == n and found[k]["log_score"] == pytest.approx(total)
+            assert found[k]["mean_log_score"] == (pytest.approx(total / n) if n else None)
+
+
+def test_lm_scores_of_odd_tables(spark):
+    assert lm_score.scores(table(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, "q")], "doc_id bigint, text string")
+    found = sorted(((r["doc_id"] or 0), r["n_tokens"], round(r["log_score"], 9)) for r in lm_score.scores(rows).collect())
+    assert found == [(k, n, round(float(x), 9)) for k, (n, x) in zip([0, 1, 1, 2], brute_scores(["a b", "a b", "a b", "q"]), strict=True)]
 
 
 # --- pipeline --------------------------------------------------------------------------------------------
