@@ -2,9 +2,9 @@
 
 Texts are cut where the vocabulary proves a token boundary; each segment is encoded by a score-ordered
 agenda of adjacent symbol pairs and, when first seen by a worker, checked against the library in the same
-Arrow batch. Segments are remembered in a memo of bounded size. Where the two differ the library's ids
-are taken and the difference is counted. Models whose boundaries can't be proven are encoded and checked
-text by text.
+Arrow batch. Segments are remembered in a memo of bounded size. The ids are always the agenda's; segments of a
+text whose ids the library has otherwise are counted in ``differences``, each time that they occur. Models whose
+boundaries can't be proven are encoded and checked text by text.
 
 Defined results: a null or empty text has no ids but the end id and decodes to the empty text; the length
 of a text is bounded only by a row's size; every other column is passed on untouched, whatever its name;
@@ -23,7 +23,11 @@ from docspark.llm.common import table
 from docspark.llm.piece_vocab import SPACE, KeyMemo, PieceVocabulary, vocabulary
 
 MODEL = "piece_bpe_32k.model"
-_MEMOS: dict[str, tuple[KeyMemo, list[int]]] = {}
+_MEMOS: dict[str, KeyMemo] = {}
+
+
+class Differing(bytes):
+    """Packed ids of a segment for which the library has others."""
 
 
 def default_model() -> str:
@@ -32,31 +36,33 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def _memo(model_file: str) -> tuple[KeyMemo, list[int]]:
-    """The worker's memo of packed ids, and its count of segments in which agenda and library differed."""
-    if model_file not in _MEMOS:
-        vocab, differed = vocabulary(model_file), [0]
+def checked(keys: list[str], vocab: PieceVocabulary) -> list[bytes]:
+    """The agenda's packed ids of segments; the library's, all encoded at once, are held beside them."""
+    own = [vocab.key_ids(k) for k in keys]
+    return [vocab.packed(a) if a == b else Differing(vocab.packed(a)) for a, b in zip(own, vocab.library_ids(keys), strict=True)]
 
-        def fill(keys: list[str]) -> list[bytes]:
-            own, right = [vocab.key_ids(k) for k in keys], vocab.library_ids(keys)
-            differed[0] += sum(a != b for a, b in zip(own, right, strict=True))
-            return [vocab.packed(ids) for ids in right]
 
-        _MEMOS[model_file] = KeyMemo(fill), differed
+def _memo(model_file: str) -> KeyMemo:
+    """The worker's memo of packed ids."""
+    if model_file not in _MEMOS:
+        vocab = vocabulary(model_file)
+        _MEMOS[model_file] = KeyMemo(lambda keys: checked(keys, vocab))
     return _MEMOS[model_file]
 
 
-def _encode_slices(text: str, vocab: PieceVocabulary, model_file: str) -> tuple[list[bytes], int]:
-    """Packed ids of the slices of a text, and how many differences the check has found."""
+def _encode_slices(text: str, vocab: PieceVocabulary, memo: KeyMemo) -> tuple[list[bytes], int]:
+    """Packed ids of the slices of a text, and how many segments differ from the library's."""
     if not text:
         return [], 0
     if not vocab.segmented:
-        own, right = vocab.agenda_ids(vocab.normalised(text)), vocab.library.encode(text)
-        return [vocab.packed(right)], int(own != right)
-    memo, differed = _memo(model_file)
-    before = differed[0]
-    out = [b"".join(memo.values(vocab.keys(part))) for part in vocab.slices(text)]
-    return out, differed[0] - before
+        own = vocab.agenda_ids(vocab.normalised(text))
+        return [vocab.packed(own)], int(own != vocab.library.encode(text))
+    out, differences = [], 0
+    for part in vocab.slices(text):
+        packed = memo.values(vocab.keys(part))
+        differences += list(map(type, packed)).count(Differing)
+        out.append(b"".join(packed))
+    return out, differences
 
 
 def _decode(ids: list[int], vocab: PieceVocabulary, most: int = 1 << 20) -> str:
@@ -86,11 +92,11 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        vocab = vocabulary(file)
+        vocab, memo = vocabulary(file), _memo(file)
         for batch in batches:
             ids, ends, decoded, differences, end = [], [0], [], [], 0
             for text in batch:
-                slices, found = _encode_slices(text.as_py() or "", vocab, file)
+                slices, found = _encode_slices(text.as_py() or "", vocab, memo)
                 parts = [np.frombuffer(s, dtype=np.int32).tolist() for s in slices]
                 decoded.append(" ".join(_decode(p, vocab) for p in parts))
                 if add_end:

@@ -1,13 +1,14 @@
 """Token counts of whole texts, by the library of the vocabulary.
 
-A huge document is encoded in overlapping chunks. Token offsets inside an overlap are laid side by side, and
-the two encodings are spliced where both have a boundary that the vocabulary proves stable: no piece holds
-the two characters around it side by side, so no merge crosses it, whatever comes before or after. Where an
-overlap has none, it is widened, to the whole rest of the document if need be. Other documents are cut at
-such boundaries at once and their segments counted by the library, with a memo of bounded size.
-
-Defined results: null and empty texts have no tokens and no bytes; extra columns are passed on untouched;
-repeated rows are counted each; an empty table gives an empty table.
+Every text is encoded in overlapping chunks; one that fits a chunk is its own only one. The library gives each token's byte
+offset. Where two chunks overlap the offsets are laid side by side, and the encodings are spliced at the first boundary that
+both have and that the vocabulary proves stable: a space after another character, where a token always starts if no piece
+holds a word sign after another character, so no merge crosses it, whatever comes before or after. Where an overlap has
+none, it is widened fourfold and tried again, up to the rest of the text if need be, so a text without spaces is encoded
+about once in all. Vocabularies without that proof have no stable boundary and are widened at once.
+
+Memory holds a text and the tokens of one chunk. Defined results: null and empty texts have no tokens and no bytes; extra
+columns, whatever their names, are passed on untouched; repeated rows are counted each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,61 +20,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import table
-from docspark.llm.piece_vocab import SPACE, KeyMemo, PieceVocabulary, vocabulary
+from docspark.llm.piece_vocab import SPACE, PieceVocabulary, vocabulary
 from docspark.llm.sentencepiece_codec import default_model
 
-CHUNK, OVERLAP, LIMIT = 32_768, 256, 4096
-_MEMOS: dict[str, KeyMemo] = {}
-
-
-def _boundaries(pieces: list[str], start: int) -> Iterator[tuple[int, int]]:
-    """(character offset, tokens before it) of each token boundary after the first tokens of a chunk.
-
-    The word sign that the library puts before a chunk stands at ``start`` - 1; the bytes of one character
-    are counted as it ends.
-    """
-    at, pending, need = start - 1, 0, 0
-    for k, piece in enumerate(pieces):
-        if len(piece) == 6 and piece.startswith("<0x"):
-            byte = int(piece[3:5], 16)
-            if not pending:
-                need = 1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-            pending += 1
-            if pending < need:
-                continue
-            pending = 0
-            at += 1
-        else:
-            at += len(piece)
-        yield at, k + 1
-
-
-def stable(text: str, at: int) -> bool:
-    """A word starts at ``at``: a proven boundary for vocabularies whose pieces hold word signs only in front."""
-    return 0 < at < len(text) and text[at] in " " + SPACE and text[at - 1] not in " " + SPACE
+#: Bytes.
+CHUNK, OVERLAP = 4096, 256
+LIMIT = 4096
+_SIGN = SPACE.encode()
+
 
+def _whole(data: bytes, at: int) -> int:
+    """The first end of a character from ``at`` on."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(data))
 
-def count_by_overlap(text: str, vocab: PieceVocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a huge text from overlapping chunks, exactly as many as of the whole."""
-    pieces_of = lambda part: vocab.library.encode(part, out_type=str, num_threads=1)
-    total, start, skip, held = 0, 0, 0, None
+
+def stable(data: bytes, at: int) -> bool:
+    """A word starts at ``at``: a proven boundary for vocabularies whose pieces hold word signs only in front."""
+    return 0 < at < len(data) and data[at] == 32 and data[at - 1] != 32 and data[max(0, at - 3) : at] != _SIGN
+
+
+def _splice(data: bytes, left: list, start: int, right: list, stop: int) -> tuple[int, int, int] | None:
+    """(offset, left tokens before it, right tokens before it) of the first stable boundary after ``stop`` that both have."""
+    begins = {}
+    for k in range(len(left) - 1, -1, -1):
+        if (at := start + left[k].begin) <= stop:
+            break
+        begins[at] = k
+    last = max(begins, default=stop)
+    for k, token in enumerate(right):
+        if (at := stop + token.begin) > last:
+            break
+        if at > stop and at in begins and stable(data, at):
+            return at, begins[at], k
+    return None
+
+
+def count_by_overlap(data: bytes, vocab: PieceVocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text in UTF-8 from overlapping chunks, exactly as many as of the whole."""
+    tokens = lambda a, b: vocab.library.encode(data[a:b].decode(), return_type="proto", num_threads=1).pieces
+    n, total, start, stop, skip, held = len(data), 0, 0, chunk, 0, None
     while True:
-        stop, width = min(len(text), start + chunk), overlap
+        stop, width = _whole(data, stop), overlap if vocab.segmented else n
         while True:
-            end = min(len(text), stop + width)
-            pieces = held[1] if held and held[0] == end else pieces_of(text[start:end])
-            if end == len(text):
-                return total + len(pieces) - skip
-            left = {at: k for at, k in _boundaries(pieces, start) if at >= stop}
-            follow_end = min(len(text), stop + chunk + overlap)
-            follow = pieces_of(text[stop:follow_end])
-            # both encodings must have the boundary, and it must be a proven one
-            spliced = next(((at, left[at], k) for at, k in _boundaries(follow, stop) if at in left and stable(text, at)), None)
-            if spliced:
+            end = _whole(data, stop + width)
+            if end == n:
+                return total - skip + (len(held[1]) if held and held[0] == n else len(vocab.library.encode(data[start:].decode(), num_threads=1)))
+            left = held[1] if held and held[0] == end else tokens(start, end)
+            follow_end = _whole(data, stop + chunk + width)
+            right = tokens(stop, follow_end)
+            if spliced := _splice(data, left, start, right, stop):
                 break
             width *= 4  # alignment failed: widen the overlap and try again
         total += spliced[1] - skip
-        start, skip, held = stop, spliced[2], (follow_end, follow)
+        start, skip, held = stop, spliced[2], (follow_end, right)
+        stop = max(start + chunk, spliced[0] + 1)
 
 
 def count_tokens(text: Column, model_file: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -83,20 +85,8 @@ def count_tokens(text: Column, model_file: str | None = None, chunk: int = CHUNK
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(file)
-        if file not in _MEMOS:
-            _MEMOS[file] = KeyMemo(lambda keys: list(map(len, vocab.library_ids(keys))))
-        memo = _MEMOS[file]
         for batch in batches:
-            out = []
-            for item in batch:
-                value = item.as_py() or ""
-                if not vocab.segmented:
-                    out.append(len(vocab.library.encode(value)))
-                elif len(value) > chunk:
-                    out.append(count_by_overlap(value, vocab, chunk, overlap))
-                else:
-                    out.append(sum(memo.values(vocab.keys(value))))
-            yield pa.array(out, pa.int64())
+            yield pa.array([count_by_overlap(x.as_py() or b"", vocab, chunk, overlap) for x in batch.cast(pa.binary())], pa.int64())
 
     return run(text)
 

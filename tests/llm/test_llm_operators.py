@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docspark.llm import chat, components, decontaminate, language, lm_score, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts
-from docspark.llm.piece_vocab import vocabulary
+from docspark.llm.piece_vocab import KeyMemo, vocabulary
 
 c = F.col
 MODEL = sentencepiece_codec.default_model()
@@ -55,14 +55,37 @@ def test_codec_query_columns(spark):
     assert [r["t"] for r in back] == [v.library.decode([1526, 2]), None]
 
 
+def test_ids_are_the_agendas(monkeypatch):
+    """With a library that answers otherwise, the ids stay the agenda's and each differing segment is counted."""
+    v = vocabulary(MODEL)
+    right, other = v.library.encode("the cat the dog"), lambda keys: [[7] if k == "the" else v.key_ids(k) for k in keys]
+    monkeypatch.setattr(v, "library_ids", other)
+    memo = KeyMemo(lambda keys: sentencepiece_codec.checked(keys, v))
+    for _ in range(2):  # the second time from the memo
+        packed, differences = sentencepiece_codec._encode_slices("the cat the dog", v, memo)
+        assert np.frombuffer(b"".join(packed), dtype=np.int32).tolist() == right and differences == 2
+
+
 def test_overlap_counts():
     v = vocabulary(MODEL)
     for text in noise(300, 1) + [t for t in ODD if t]:
-        assert token_counts.count_by_overlap(text, v, 40, 8) == len(v.library.encode(text))
+        for chunk, overlap in ((40, 8), (7, 1), (4096, 256)):
+            assert token_counts.count_by_overlap(text.encode(), v, chunk, overlap) == len(v.library.encode(text))
+
+
+def test_overlap_counts_splice_and_widen(monkeypatch):
+    """Many splices in a text of words, one encoding of the whole in a text without any boundary."""
+    v, spliced, real = vocabulary(MODEL), [], token_counts._splice
+    monkeypatch.setattr(token_counts, "_splice", lambda *a: spliced.append(real(*a)) or spliced[-1])
+    text = "the cat sat on the mat. " * 500 + "y" * 20_000 + " and the dog" * 9000
+    assert token_counts.count_by_overlap(text.encode(), v) == len(v.library.encode(text))
+    assert sum(x is not None for x in spliced) >= 5 and None in spliced
+    spliced.clear()
+    assert token_counts.count_by_overlap(b"x" * 300_000, v) == len(v.library.encode("x" * 300_000)) and set(spliced) == {None} and len(spliced) < 8
 
 
 def test_token_counts(spark):
-    docs = table(spark, ODD + ODD)
+    docs = table(spark, ODD + ODD).withColumn("n", F.lit("clash")).withColumn("n_tokens", F.lit(-1))
     found = [r["n"] for r in docs.orderBy("doc_id").select(token_counts.count_tokens(c("text")).alias("n")).collect()]
     assert found == [len(vocabulary(MODEL).library.encode(t or "")) for t in ODD + ODD]
 
