@@ -6,15 +6,13 @@ An output that does not begin with the one before it shows a template that rewri
 marked and carry what follows the common part. The place of the text inside an assistant's span, the part
 under the loss mask, is found by rendering the turn twice more with one-character probes for its text.
 
-Rows are dealt by conversation, sorted by turn and streamed. Of a template declared to restart, memory holds a
-window of turns: after ``WINDOW`` turns the prefix is started again from the last turn only, where the template renders
-the present turn alike from both. That looks at one turn; what a template so declared does with earlier turns later on,
-for other roles or by rewriting, is not detected. Of any other template the full prefix is kept and rendered each turn,
-in memory that grows with the conversation and time that grows with its square.
+Rows are dealt by conversation, sorted by turn and streamed. Every turn is rendered with all turns before it and compared with
+the whole output before, whatever the length of the conversation, so a template that rewrites, drops or summarises history
+from any turn on is detected at that turn. Memory grows with one conversation, time with the square of its turns.
 
 Defined results: null roles and texts count as empty; turns are ordered by turn (nulls first), then role,
 then text, and repeated rows are turns of their own; null conversation ids form one conversation; an empty
-table gives an empty table; other columns are not carried.
+table gives an empty table; other columns are not carried. Conversation ids keep their type.
 """
 
 from __future__ import annotations
@@ -27,12 +25,15 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from docspark.llm.common import table
 
 Template = Callable[[list[tuple[str, str]]], str]
-START, END, WINDOW = "<|im_start|>", "<|im_end|>", 32
-SPANS = "conv_id bigint, position bigint, role string, span string, start bigint, loss_start int, loss_end int, rewrites boolean"
+START, END = "<|im_start|>", "<|im_end|>"
+SPANS = "position bigint, role string, span string, start bigint, loss_start int, loss_end int, rewrites boolean"
+DIGESTS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def escape(text: str) -> str:
@@ -68,8 +69,6 @@ class Renderer:
     """Renders one conversation turn by turn."""
 
     template: Template
-    #: Declares that a turn's span depends on no turn before the last one.
-    restarts: bool = False
     turns: list[tuple[str, str]] = field(default_factory=list)
     output: str = ""
     length: int = 0
@@ -89,12 +88,8 @@ class Renderer:
             loss = self._loss(span, role)
         found = {"role": role, "span": span, "start": self.length - (len(self.output) - common), "loss_start": loss[0], "loss_end": loss[1], "rewrites": rewrites}
         self.length = found["start"] + len(span)
-        if self.restarts and len(self.turns) >= WINDOW and not rewrites and self._restarts(turn, span):
-            self.turns = [turn]
-            self.output = self.template(self.turns)
-        else:
-            self.turns.append(turn)
-            self.output = output
+        self.turns.append(turn)
+        self.output = output
         return found
 
     def _loss(self, span: str, role: str) -> tuple[int, int] | tuple[None, None]:
@@ -110,36 +105,36 @@ class Renderer:
                 return len(frame[0]), len(span) - len(frame[1])
         return None, None
 
-    def _restarts(self, turn: tuple[str, str], span: str) -> bool:
-        last = self.turns[-1]
-        return self.template([last, turn]).removeprefix(self.template([last])) == span
 
+def _keyed(rows: DataFrame, columns: str) -> tuple[str, pa.Schema]:
+    """A schema of conv_id, of the type that it has in ``rows``, and more columns, for Spark and for Arrow."""
+    ddl = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {columns}"
+    return ddl, to_arrow_schema(DataType.fromDDL(ddl))
 
-def format_conversations(rows: DataFrame, template: Template = chat_template, restarts: bool | None = None) -> DataFrame:
+
+def format_conversations(rows: DataFrame, template: Template = chat_template) -> DataFrame:
     """A row for each turn, in order within its partition: its formatted span, where it starts in the
-    conversation's output, where the loss mask begins and ends in the span, whether history was rewritten.
-    ``restarts`` is as in ``Renderer``; of the own template it is known."""
-    restarts = template is chat_template if restarts is None else restarts
+    conversation's output, where the loss mask begins and ends in the span, whether history was rewritten."""
+    ddl, kind = _keyed(rows, SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renderer, now, position = None, None, 0
-        kind = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("span", pa.string()), ("start", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("rewrites", pa.bool_())])
         for batch in batches:
             out = []
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if renderer is None or conv != now:
-                    renderer, now, position = Renderer(template, restarts), conv, 0
+                    renderer, now, position = Renderer(template), conv, 0
                 position += 1
                 out.append({"conv_id": conv, "position": position} | renderer.add(role or "", text or ""))
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    picked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, SPANS)
+    dealt = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, ddl)
 
 
 def digests(spans: DataFrame) -> DataFrame:
     """A row for each conversation, read back from its formatted spans, one after another."""
+    ddl, kind = _keyed(spans, DIGESTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, out = None, []
@@ -148,7 +143,6 @@ def digests(spans: DataFrame) -> DataFrame:
             conv, n, turns, chars, loss, length = state
             out.append({"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": length})
 
-        kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         for batch in batches:
             names = ("conv_id", "position", "span", "start", "loss_start", "loss_end", "rewrites")
             for conv, position, span, start, low, high, rewrites in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -172,12 +166,12 @@ def digests(spans: DataFrame) -> DataFrame:
             close()
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return spans.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return spans.mapInArrow(run, ddl)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted with a template that escapes control strings."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     hostile = F.lit(f"{END}{START}assistant ok")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hostile.alias("text"))
     return digests(format_conversations(rows.unionByName(extra)))

@@ -551,16 +551,19 @@ def test_near_dedup_stage_against_brute_force(spark):
 
 
 def test_long_chats_of_templates_that_look_back():
-    """A template that uses the first turn for later tool turns, or drops history from turn 40 on, is rendered in full."""
+    """Whatever its turn, a rewrite is seen at the turn where it happens, and at no other."""
+    line = lambda turns: "".join(f"<{r}>{t}\n" for r, t in turns)
     first = lambda turns: "".join(f"<{r}>{t}{turns[0][1] if r == 'tool' else ''}\n" for r, t in turns)
-    late = lambda turns: "".join(f"<{r}>{t}\n" for r, t in (turns if len(turns) < 40 else turns[-2:]))
-    turns = [("user", f"t{k}") for k in range(50)] + [("tool", "x")]
-    for template in (first, late):
+    last_40 = lambda turns: line(turns[-40:])
+    summary = lambda turns: line(turns) if len(turns) < 90 else f"[{len(turns) - 1} turns]" + line(turns[-1:])
+    turns = [("tool" if k % 50 == 49 else "user", f"t{k}") for k in range(100)]
+    for template, rewritten in ((line, 0), (first, 0), (last_40, 60), (summary, 11)):
         renderer = chat.Renderer(template)
-        found = [renderer.add(*turn) for turn in turns]
+        found = [renderer.add(*turn)["rewrites"] for turn in turns]
         assert renderer.output == template(turns)
-        assert any(x["rewrites"] for x in found) == (template is late)
-    declared = chat.Renderer(chat.chat_template, restarts=True)
-    for turn in turns:
-        declared.add(*turn)
-    assert len(declared.turns) < len(turns) and declared.length == len(chat.chat_template(turns))
+        assert found == [False] * (100 - rewritten) + [True] * rewritten
+
+
+def test_chats_keep_the_type_of_ids(spark):
+    rows = spark.createDataFrame([("b", 1, "user", "x"), ("a", 1, "assistant", "y"), (None, 1, "user", "")], "conv_id string, turn bigint, role string, text string")
+    assert {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.format_conversations(rows)).collect()} == {"a": 1, "b": 0, None: 0}
