@@ -4,14 +4,15 @@ Filters of six bytes are learned as one table of weights per offset (a convoluti
 run over chunks of 256 bytes that overlap by half and cover the whole document; each filter is max-pooled in
 every chunk, and the chunks' values are combined (their mean and their largest) into one probability.
 
-The network is fitted on a bounded sample of labelled rows (``max_rows``; from each at most ``max_chunks``
-evenly spaced chunks), drawn by a hash of the key, the same in every run. Scoring reads whole texts, slab by
-slab, and holds a few MB whatever a text's length. lang, source and doc_id are never inputs.
+The network is fitted on a bounded sample of labelled rows (``max_rows``, drawn by a hash of the key and the text, the same in
+every run), of each the whole text. Fitting and scoring share the forward pass, which goes over a text slab by slab and holds
+a few MB whatever its length; the driver holds the sample's texts. lang, source and doc_id are never inputs.
 
 Defined results: null and empty texts get the score that no active filter gives; labels that are null take
-no part, of repeated labels of a document the largest counts; without any label of both kinds every score
-is the share of label 1 (a half without labels); other columns are passed on untouched; an empty table stays
-empty.
+no part, of repeated labels of a document the largest counts; rows that share a labelled doc_id (null ids have no label) all
+take that label, and count for the bound each; without any label of both kinds every score
+is the share of label 1 (a half without labels); other columns are passed on untouched, whatever their names; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import bounded_fraction, crc_bucket, hash_unit, table
 
 WIDTH, FILTERS, STRIDE, SLAB = 6, 16, 128, 65_536
-MAX_ROWS, MAX_CHUNKS, FOLDS, THRESHOLD = 2400, 6, 5, 0.3
+MAX_ROWS, FOLDS, THRESHOLD = 1500, 5, 0.3
 
 
 @dataclass
@@ -40,24 +41,42 @@ class Network:
     top: np.ndarray
     shift: float
 
-    def chunk_values(self, data: bytes) -> np.ndarray:
-        """Max-pooled filter values of all chunks of a document."""
+    def _slabs(self, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        """(first byte, values of all filters at each byte of the next blocks), block by block of ``STRIDE`` bytes."""
         n = len(data)
-        blocks = max(1, -(-n // STRIDE))
-        pooled = np.zeros((blocks, FILTERS), dtype=np.float32)
         for start in range(0, n, SLAB):
             stop = min(n, start + SLAB)
-            here = -(-(stop - start) // STRIDE)
-            part = np.zeros(here * STRIDE + WIDTH, dtype=np.uint8)
+            here = -(-(stop - start) // STRIDE) * STRIDE
+            part = np.zeros(here + WIDTH, dtype=np.uint8)
             given = np.frombuffer(data, dtype=np.uint8, offset=start, count=min(n - start, len(part)))
             part[: len(given)] = given
-            values = self.tables[0].take(part[: here * STRIDE], axis=0)
+            values = self.tables[0].take(part[:here], axis=0)
             for k in range(1, WIDTH):
-                values += self.tables[k].take(part[k : k + here * STRIDE], axis=0)
+                values += self.tables[k].take(part[k : k + here], axis=0)
             values[stop - start :] = -1e9
-            pooled[start // STRIDE : start // STRIDE + here] = values.reshape(here, STRIDE, FILTERS).max(axis=1)
-        chunks = np.maximum(pooled[:-1], pooled[1:]) if blocks > 1 else pooled
-        return np.maximum(chunks + self.bias, 0) if n else np.zeros((1, FILTERS), dtype=np.float32)
+            yield start, values.reshape(-1, STRIDE, FILTERS)
+
+    def chunk_values(self, data: bytes) -> np.ndarray:
+        """Max-pooled filter values of all chunks of a document; a chunk is a block and the next one."""
+        if not data:
+            return np.zeros((1, FILTERS), dtype=np.float32)
+        best = np.concatenate([values.max(axis=1) for _, values in self._slabs(data)])
+        return np.maximum((np.maximum(best[:-1], best[1:]) if len(best) > 1 else best) + self.bias, 0)
+
+    def winners(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, FILTERS): the largest value of each filter in each chunk, and the first of the bytes that give it."""
+        best, place = [], []
+        for start, values in self._slabs(data):
+            at = values.argmax(axis=1)
+            best.append(np.take_along_axis(values, at[:, None], axis=1)[:, 0])
+            place.append(at + start + STRIDE * np.arange(len(at))[:, None])
+        if not best:
+            return np.zeros((0, FILTERS), np.float32), np.zeros((0, FILTERS), np.int64)
+        best, place = np.concatenate(best), np.concatenate(place)
+        if len(best) == 1:
+            return best, place
+        later = best[1:] > best[:-1]
+        return np.where(later, best[1:], best[:-1]), np.where(later, place[1:], place[:-1])
 
     def score(self, data: bytes) -> float:
         values = self.chunk_values(data)
@@ -65,78 +84,65 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def training_chunks(data: bytes, most: int = MAX_CHUNKS) -> np.ndarray:
-    """At most ``most`` evenly spaced chunks of a document, padded with zero bytes."""
-    starts = np.arange(0, max(1, len(data) - STRIDE), STRIDE)
-    starts = starts[np.linspace(0, len(starts) - 1, min(most, len(starts))).astype(int)]
-    out = np.zeros((len(starts), 2 * STRIDE + WIDTH), dtype=np.uint8)
-    for row, s in zip(out, starts, strict=True):
-        part = np.frombuffer(data[s : s + out.shape[1]], dtype=np.uint8)
-        row[: len(part)] = part
-    return out
-
-
-def fit(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 48, seed: int = 7) -> Network:
-    """Adam on the logistic loss. Max-pooling sends a filter's gradient to the six bytes that won."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 32, seed: int = 7) -> Network:
+    """Adam on the logistic loss over all chunks of the texts. Max-pooling sends a filter's gradient to the bytes that won."""
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     shape = (WIDTH, 256, FILTERS)
-    zero = Network(np.zeros(shape, np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.zeros(FILTERS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    shift = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(labels) or not 0 < share < 1:
-        return zero
-    p = {"tables": rng.normal(0, 0.05, shape).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "mean": rng.normal(0, 0.3, FILTERS), "top": rng.normal(0, 0.1, FILTERS), "shift": np.array(zero.shift)}
-    first, second, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
-    first, second = first
+        return Network(np.zeros(shape, np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.zeros(FILTERS), shift)
+    p = {"tables": rng.normal(0, 0.05, shape).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "mean": rng.normal(0, 0.3, FILTERS), "top": rng.normal(0, 0.1, FILTERS), "shift": np.array(shift)}
+    first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
+    cell = np.arange(FILTERS)
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         rate = 0.03 * (1 - epoch / epochs) + 0.003
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
-            x = np.concatenate([chunks[i] for i in ids])
-            sizes = np.array([len(chunks[i]) for i in ids])
-            begins = np.cumsum(sizes) - sizes
-            values = p["tables"][0].take(x[:, : 2 * STRIDE], axis=0)
-            for k in range(1, WIDTH):
-                values += p["tables"][k].take(x[:, k : k + 2 * STRIDE], axis=0)
-            won = values.argmax(axis=1)
-            raw = np.take_along_axis(values, won[:, None, :], axis=1)[:, 0] + p["bias"]
-            active = np.maximum(raw, 0)
-            mean = np.add.reduceat(active, begins, axis=0) / sizes[:, None]
-            top = np.maximum.reduceat(active, begins, axis=0)
-            z = mean @ p["mean"] + top @ p["top"] + p["shift"]
-            dz = (1 / (1 + np.exp(-z)) - labels[ids]) * weight[ids] / len(ids)
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            dvalue = (dz / sizes)[owner, None] * p["mean"] + np.where(active == top[owner], dz[owner, None] * p["top"], 0)
-            dvalue = np.where(raw > 0, dvalue, 0.01 * dvalue)
-            g = {"tables": np.zeros(shape), "bias": dvalue.sum(axis=0), "mean": mean.T @ dz, "top": top.T @ dz, "shift": dz.sum()}
-            rows, filters = np.arange(len(x))[:, None], np.broadcast_to(np.arange(FILTERS), won.shape)
-            for k in range(WIDTH):
-                np.add.at(g["tables"][k], (x[rows, won + k], filters), dvalue)
+            network = Network(p["tables"], p["bias"], p["mean"], p["top"], float(p["shift"]))
+            grad = {"tables": np.zeros(WIDTH * 256 * FILTERS)} | {k: np.zeros(FILTERS) for k in ("bias", "mean", "top")} | {"shift": np.zeros(())}
+            for i in ids.tolist():
+                best, place = network.winners(texts[i])
+                raw = best + p["bias"] if len(best) else np.zeros((1, FILTERS))
+                active = np.maximum(raw, 0)
+                mean, top = active.mean(axis=0), active.max(axis=0)
+                z = mean @ p["mean"] + top @ p["top"] + p["shift"]
+                dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]) * weight[i] / len(ids)
+                grad["mean"] += dz * mean
+                grad["top"] += dz * top
+                grad["shift"] += dz
+                if len(best):
+                    dvalue = dz / len(raw) * p["mean"] + np.where(active == top, dz * p["top"], 0)
+                    dvalue = np.where(raw > 0, dvalue, 0.01 * dvalue)
+                    grad["bias"] += dvalue.sum(axis=0)
+                    data = np.frombuffer(texts[i] + bytes(WIDTH), dtype=np.uint8).astype(np.int64)
+                    for k in range(WIDTH):
+                        grad["tables"] += np.bincount(((k * 256 + data[place + k]) * FILTERS + cell).ravel(), weights=dvalue.ravel(), minlength=WIDTH * 256 * FILTERS)
+            grad["tables"] = grad["tables"].reshape(shape)
             step += 1
             for k, v in p.items():
-                grad = g[k] + 1e-4 * v
-                first[k] = 0.9 * first[k] + 0.1 * grad
-                second[k] = 0.99 * second[k] + 0.01 * grad**2
+                g = grad[k] + 1e-4 * v
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g**2
                 p[k] = (v - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(v.dtype)
     return Network(p["tables"], p["bias"].astype(np.float32), p["mean"], p["top"], float(p["shift"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
-    """Fit on labelled documents whose crc32 bucket is not 0. ``labels`` has doc_id and quality."""
-    known = labels.where(F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``max_rows`` labelled texts whose crc32 bucket is not 0: (order, text, quality)."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = bounded_fraction(max_rows, known.count())
-    sample = known.where(hash_unit(F.col("doc_id")) < share).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    cut = F.arrow_udf("binary")(_cut)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", cut(F.coalesce(F.col("text"), F.lit(""))).alias("chunks"))
-    rows = texts.toPandas().sort_values("doc_id", kind="stable")
-    chunks = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 2 * STRIDE + WIDTH) for x in rows["chunks"]]
-    return fit(chunks, rows["quality"].to_numpy(dtype=float))
+    sample = known.where(hash_unit(F.col("doc_id")) < 1.2 * share)  # about so many rows, so the broadcast is bounded as well
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return texts.select(F.xxhash64("doc_id", "text").alias("order"), "text", "quality").orderBy("order", "text", "quality").limit(max_rows)
 
 
-def _cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([training_chunks(x.as_py()).tobytes() for x in batch.cast(pa.binary())], pa.binary())
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
+    """Fit on labelled documents whose crc32 bucket is not 0. ``labels`` has doc_id and quality."""
+    rows = training_rows(docs, labels, max_rows).toArrow()
+    return fit([t.as_py() for t in rows["text"].cast(pa.binary())], rows["quality"].to_numpy().astype(float))
 
 
 def score(text: Column, network: Network) -> Column:

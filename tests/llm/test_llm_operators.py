@@ -219,14 +219,54 @@ def test_quality_learns_and_covers_whole_texts(spark):
     assert 0 <= network.score(b"") <= 1
 
 
-def test_slabs_do_not_matter():
-    rng = np.random.default_rng(0)
-    network = quality.Network(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), np.ones(quality.FILTERS), np.ones(quality.FILTERS), 0.0)
-    data = rng.integers(0, 256, 3 * quality.SLAB // 2, dtype=np.uint8).tobytes()
-    whole = np.stack([sum(network.tables[k][data[t + k] if t + k < len(data) else 0] for k in range(quality.WIDTH)) for t in range(quality.SLAB - 200, quality.SLAB + 200)])
-    first = (quality.SLAB - 128) // quality.STRIDE
-    expected = np.maximum(whole[72 : 72 + 256].max(axis=0), 0)
-    assert np.allclose(network.chunk_values(data)[first], expected, atol=1e-4)
+def brute_quality(network, data):
+    """The score of a text, one byte and one chunk at a time."""
+    at = lambda t: data[t] if t < len(data) else 0
+    values = [[sum(float(network.tables[k][at(t + k)][f]) for k in range(quality.WIDTH)) for f in range(quality.FILTERS)] for t in range(len(data))]
+    starts = range(0, max(1, len(data) - quality.STRIDE), quality.STRIDE)
+    chunks = [[max(0.0, max(v[f] for v in values[s : s + 2 * quality.STRIDE]) + float(network.bias[f])) for f in range(quality.FILTERS)] for s in starts] if data else [[0.0] * quality.FILTERS]
+    z = network.shift
+    for f in range(quality.FILTERS):
+        column = [chunk[f] for chunk in chunks]
+        z += sum(column) / len(column) * network.mean[f] + max(column) * network.top[f]
+    return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+
+def random_network(seed=0):
+    rng = np.random.default_rng(seed)
+    f = quality.FILTERS
+    return quality.Network(rng.normal(0, 0.3, (quality.WIDTH, 256, f)).astype(np.float32), rng.normal(0, 0.1, f).astype(np.float32), rng.normal(0, 0.3, f), rng.normal(0, 0.1, f), 0.1)
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 127, 128, 129, 256, 257, 700, 1300])
+def test_quality_scores_against_brute_force(monkeypatch, size):
+    """Whole texts, over the borders of chunks and slabs; fitting sees the same values and where they come from."""
+    monkeypatch.setattr(quality, "SLAB", 512)
+    network, data = random_network(), np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8).tobytes()
+    assert network.score(data) == pytest.approx(brute_quality(network, data), abs=1e-5)
+    best, place = network.winners(data)
+    if size:
+        assert np.allclose(np.maximum(best + network.bias, 0), network.chunk_values(data))
+        at = lambda t: data[t] if t < size else 0
+        assert np.allclose(best, [[sum(network.tables[k][at(t + k)][f] for k in range(quality.WIDTH)) for f, t in enumerate(row)] for row in place], atol=1e-5)
+
+
+def test_quality_gradient():
+    """One step of the fit lowers the loss of its batch; the end of a text counts as much as its beginning."""
+    texts = [b"a" * 1500 + (b"good text " if k % 2 else b"!!$$!!$$!! ") * 9 for k in range(60)]
+    labels = np.array([float(k % 2) for k in range(60)])
+    network = quality.fit(texts, labels, epochs=6, batch=12)
+    assert np.mean([(network.score(t) > 0.5) == y for t, y in zip(texts, labels, strict=True)]) > 0.95
+
+
+def test_quality_of_repeats_nulls_and_clashes(spark):
+    docs, labels = judged(spark, 60)
+    odd = docs.union(docs).union(table(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("quality", F.lit("clash")).withColumn("order", F.lit(1))
+    rows = quality.training_rows(odd, labels, 30)
+    assert rows.count() == 30 and quality.training_rows(odd, labels).count() == 2 * sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(60))
+    a, b = quality.train(odd, labels), quality.train(odd.repartition(3), labels)
+    assert np.array_equal(a.tables, b.tables)
+    assert quality.train(docs.where("false"), labels).score(b"x") == 0.5
 
 
 def test_quality_without_labels(spark):
