@@ -10,8 +10,9 @@ The distributions are fitted on a sample of at most about ``max_rows`` documents
 a hash of the key; predictions read whole texts, slab by slab.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter (or no language was learned);
-null langs are not learned from; repeated rows are predicted each; other columns are passed on untouched; an
-empty table stays empty. Over ``MAX_LANGUAGES`` different langs raise an error.
+null langs are not learned from; equally likely languages go to the first name; repeated rows are predicted each and learned
+from each; other columns, whatever their names, are passed on untouched; an empty table stays empty. There may be any number
+of languages: the driver and each worker hold 128 KB for each.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_fraction, crc_bucket, hash_unit, table
 
-CELLS, SLAB, FOLDS, MAX_ROWS, MAX_LANGUAGES = 32_768, 1 << 18, 3, 1500, 256
+CELLS, SLAB, FOLDS, MAX_ROWS = 32_768, 1 << 18, 3, 1500
 #: Neighbouring trigrams overlap, so a document holds about a third as many independent observations.
-DEPENDENCE, ROUNDS = 3.0, 12
+DEPENDENCE = 3.0
+#: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds.
+CONVERGED, ROUNDS = 1e-4, 500
 
 
 @functools.cache
@@ -54,6 +57,16 @@ def trigram_counts(text: str) -> np.ndarray | None:
     return total
 
 
+def proportions(chances: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation: the most likely proportions of languages (rows of ``chances``) for counts ``n`` of cells."""
+    pi, total = start, n.sum()
+    for _ in range(ROUNDS):
+        before, pi = pi, pi * (chances @ (n / (pi @ chances))) / total
+        if np.abs(pi - before).max() <= CONVERGED:
+            break
+    return pi / pi.sum()
+
+
 @dataclass
 class LanguageModel:
     """names in order; chances (languages, CELLS) of trigrams."""
@@ -77,9 +90,7 @@ class LanguageModel:
             found = None
             for k in tried:
                 own = q[[*chosen, k]]
-                pi = np.r_[shares * 0.8, 0.2]
-                for _ in range(ROUNDS):
-                    pi = pi * (own @ (n / (pi @ own))) / total
+                pi = proportions(own, n, np.r_[shares * 0.8, 0.2])
                 gain = n @ np.log(pi @ own) - best
                 if gain > penalty and (found is None or gain > found[0]):
                     found = gain, k, pi
@@ -114,14 +125,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learn from text and non-null lang of documents whose crc32 bucket is not 1."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 1))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((0, CELLS), np.float32))
-    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, bounded_fraction(max_rows, sizes[n]))]), F.col("lang"))
-    sample = known.where(hash_unit(F.col("doc_id")) < share).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(n, bounded_fraction(max_rows, sizes[n])) for n in names], "lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang").where(hash_unit(F.col("doc_id")) < F.col("share")).select("lang", "text")
     # at most languages x cells rows reach the driver, whatever the input
     sums = sample.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(names), CELLS), 0.05)

@@ -291,6 +291,78 @@ def test_language(spark):
     assert language.train(table(spark, [])).predict("the house")[0] == "und"
 
 
+def brute_mixture(model, text):
+    """The mixture of a text by plain loops: every language set that one more language makes, each with its own long EM."""
+    padded, n = f" {text.lower()} ", collections.Counter()
+    norm = "".join(ch if ch.isalpha() else " " for ch in padded)
+    for k in range(1, len(norm) - 1):
+        if norm[k].isalpha():
+            a, b, d = (ord(ch) for ch in norm[k - 1 : k + 2])
+            h = (a * 0x9E3779B1 + b * 0x85EBCA6B + d * 0xC2B2AE35) % 2**32
+            n[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 17] += 1 / language.DEPENDENCE
+    if not n:
+        return None
+    total = sum(n.values())
+    like = lambda pi: sum(x * np.log(sum(share * float(model.chances[k][cell]) for k, share in pi.items())) for cell, x in n.items())
+
+    def fitted(ks):
+        pi = {k: 1 / len(ks) for k in ks}
+        for _ in range(300):
+            new = dict.fromkeys(ks, 0.0)
+            for cell, x in n.items():
+                parts = {k: pi[k] * float(model.chances[k][cell]) for k in ks}
+                for k in ks:
+                    new[k] += x * parts[k] / sum(parts.values()) / total
+            pi = new
+        return pi
+
+    chosen = fitted([max(range(len(model.names)), key=lambda k: (like({k: 1.0}), -k))])
+    while len(chosen) < len(model.names):
+        best = max((fitted([*chosen, k]) for k in range(len(model.names)) if k not in chosen), key=like)
+        if like(best) - like(chosen) <= 0.5 * np.log(total + 1) + 2.0:
+            break
+        chosen = best
+    return {model.names[k]: x for k, x in chosen.items()}
+
+
+def tongues(spark):
+    words = {"en": "the house with that of and".split(), "de": "das haus mit nicht und der".split(), "fr": "une maison avec pas et le".split(), "es": "una casa con que y el".split()}
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(40)), lang, "s", 0) for k, lang in enumerate(list(words) * 30)]
+    return words, spark.createDataFrame(rows, DOCS)
+
+
+def test_mixtures_against_brute_force(spark):
+    words, docs = tongues(spark)
+    model, rng = language.train(docs), random.Random(3)
+    for langs in (["en"], ["de", "fr"], ["en", "es"], ["en", "de", "fr"], ["fr", "es", "de", "en"]):
+        text = " ".join(rng.choice(words[lang]) for lang in langs for _ in range(rng.randint(15, 60)))
+        expected, (name, score, mix) = brute_mixture(model, text), model.predict(text)
+        assert set(mix) == set(expected) and mix == pytest.approx(expected, abs=0.01)
+        assert name == max(expected, key=expected.get) and score == mix[name]
+
+
+def test_learned_chances_against_brute_force(spark):
+    """Trigrams of all documents outside the held-out bucket, rows that repeat included, nothing of the others."""
+    _, docs = tongues(spark)
+    docs = docs.union(docs.where("doc_id < 10")).union(table(spark, ["zz zz"], None).withColumn("doc_id", F.lit(0).cast("long")))
+    model = language.train(docs)
+    counts = np.full((4, language.CELLS), 0.05)
+    for r in docs.collect():
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            counts[model.names.index(r["lang"])] += language.trigram_counts(r["text"])
+    assert np.allclose(model.chances, counts / counts.sum(axis=1, keepdims=True), rtol=1e-5)
+
+
+def test_many_languages_and_ties(spark):
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * 9, f"l{k:03d}", "s", 0) for k in range(300)]
+    model = language.train(spark.createDataFrame(rows, DOCS))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(model.names) == len(held) < 300 and len(held) > 150 and model.predict(held[7][1])[0] == held[7][2]
+    same = language.train(spark.createDataFrame([(0, "abc abc", "b", "s", 0), (0, "abc abc", "a", "s", 0)], DOCS))
+    assert same.predict("abc")[0] == "a"
+
+
 # --- chat ------------------------------------------------------------------------------------------------
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
