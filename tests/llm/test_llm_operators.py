@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -430,38 +431,61 @@ def test_written_shards(spark, tmp_path):
 # --- exact top-k -----------------------------------------------------------------------------------------
 
 
-def test_topk_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "PAGE", 60)
-    rng = np.random.default_rng(8)
-    vectors = rng.normal(size=(400, 6)).round(2)
+def brute_topk(rows, k=5):
+    """{query id: [[(rank, vec_id, score), ...] for each of its rows]} by Python's integers."""
+    usable = [(i, [math.floor(float(c) * 256) for c in x]) for i, x in rows if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    out = {}
+    for a, (q, x) in enumerate(usable):
+        if q % 50 == 0:
+            order = sorted((-sum(s * t for s, t in zip(x, y, strict=False)), i) for b, (i, y) in enumerate(usable) if a != b)[:k]
+            out.setdefault(q, []).append([(n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(order, 1)])
+    return {q: sorted(answers) for q, answers in out.items()}
+
+
+def found_topk(spark, rows):
+    df = spark.createDataFrame([(i, None if x is None else [None if c is None else float(c) for c in x], 0, "clash") for i, x in rows], "vec_id bigint, embedding array<double>, score int, row string")
+    flat = sorted(map(tuple, mtree.top_k(mtree.quantised(df, "vec_id", "embedding")).collect()))
+    return {q: sorted(r[1:] for r in flat if r[0] == q) for q in {r[0] for r in flat}}
+
+
+def flat_topk(expected):
+    return {q: sorted(x for answer in answers for x in answer) for q, answers in expected.items()}
+
+
+@pytest.mark.parametrize(("page", "queries", "leaf"), [(60, 3, 8), (16_384, 16_384, 256)])
+def test_topk_against_brute_force(spark, monkeypatch, page, queries, leaf):
+    for name, value in (("PAGE", page), ("QUERIES", queries), ("LEAF", leaf)):
+        monkeypatch.setattr(mtree, name, value)
+    vectors = np.random.default_rng(8).normal(size=(400, 6)).round(2)
     vectors[50:200] = vectors[50]
-    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(vectors)] + [(1000, None, 0), (1050, [1.0, None], 0), (1051, [float("nan")] * 6, 0), (None, [1.0] * 6, 0), (1052, [float("inf")] * 6, 0), (1053, [], 0), (1054, [9.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
-    found = {}
-    q = mtree.quantised(df, "vec_id", "embedding")
-    for r in mtree.top_k(q, q.where("vec_id % 50 = 0")).collect():
-        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    x = {k: np.floor(np.pad(v, (0, 6 - len(v))) * 256).astype(int) for k, v in [*enumerate(vectors), (1054, np.array([9.0]))]}
-    assert set(found) == set(range(0, 400, 50))
-    for k, got in found.items():
-        order = sorted(((-int(x[k] @ v), j) for j, v in x.items() if j != k))[:5]
-        assert sorted(got) == [(n, j, -s) for n, (s, j) in enumerate(order, 1)]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, None), (1050, [1.0, None]), (1051, [float("nan")] * 6), (None, [1.0] * 6), (1052, [float("inf")] * 6), (1053, []), (1054, [9.0])]
+    assert found_topk(spark, rows) == flat_topk(brute_topk(rows))
+
+
+def test_topk_of_repeated_queries_and_large_values(spark):
+    """Each row of a repeated id has its own answer; scores beyond 2^53 and 2^63 rank exactly."""
+    repeats = [(0, [1.0]), (0, [-1.0]), (0, [1.0]), (1, [2.0]), (2, [2.0]), (3, [-3.0])]
+    assert found_topk(spark, repeats) == flat_topk(brute_topk(repeats))
+    large = [(0, [5000.0, 1e12]), (1, [5000.0, 1e12]), (2, [4999.5, 1e12]), (3, [5000.25, 1e12]), (4, [1.0, 2.0]), (50, [-1e14, 3.0]), (51, [1e14, 1.0]), (52, [1e14, 0.99]), (53, [-1e13, 1.0]), (54, [-1e13, 1.1])]
+    assert found_topk(spark, large) == flat_topk(brute_topk(large))
+    rng = np.random.default_rng(3)
+    wild = [(k, (rng.normal(size=4) * 10.0 ** rng.integers(-3, 13)).tolist()) for k in range(0, 500, 5)]
+    assert found_topk(spark, wild) == flat_topk(brute_topk(wild))
 
 
 def test_topk_few_and_none(spark):
-    df = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id bigint, embedding array<float>")
-    q = mtree.quantised(df, "vec_id", "embedding")
-    assert [tuple(r) for r in mtree.top_k(q, q.where("vec_id % 50 = 0")).collect()] == [(0, 1, 3, 131072)]
-    assert mtree.top_k(q.where("false"), q.where("false")).count() == 0
+    assert found_topk(spark, [(0, [1.0]), (3, [2.0])]) == {0: [(1, 3, 131072)]}
+    assert found_topk(spark, [(0, [1.0])]) == found_topk(spark, [(1, [1.0]), (2, [2.0])]) == found_topk(spark, []) == {}
 
 
-def test_tree_avoids_distances():
+def test_tree_avoids_distances(monkeypatch):
+    monkeypatch.setattr(mtree, "LEAF", 64)
     rng = np.random.default_rng(1)
-    points = np.floor(np.concatenate([rng.normal(m, 0.05, (200, 8)) for m in (-4, 0, 4)]) * 256)
-    tree = mtree.MTree(np.arange(600), points, float((points**2).sum(axis=1).max()))
+    points = np.floor(np.concatenate([rng.normal(m, 0.05, (200, 8)) for m in (-4, 0, 4)]) * 256).astype(np.int64)
+    tree = mtree.MTree(np.arange(600), np.arange(600), points, float((points**2).sum(axis=1).max()))
     best = tree.search(points[-1], -1, None)
     scores = points @ points[-1]
-    assert sorted(best, key=lambda b: (-b[0], b[1])) == [(int(scores[i]), int(i)) for i in np.lexsort((np.arange(600), -scores))[:5]]
+    assert sorted((b[:2] for b in best), key=lambda b: (-b[0], b[1])) == [(int(scores[i]), int(i)) for i in np.lexsort((np.arange(600), -scores))[:5]]
     assert tree.avoided > 0 and tree.computed < 600
 
 
