@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set for this session."""
+    """The folder of ``spark.checkpoint.dir``, which every executor must see. Where it is unset there is none: set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -47,3 +45,14 @@ def bounded_fraction(bound: int, available: int) -> float:
 def hash_unit(key: Column) -> Column:
     """A deterministic pseudo-random number in [0, 1) for a key."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int, share: int = 256) -> DataFrame:
+    """Inner join on keys that are unique in ``right``, where ``n`` counts the rows that ``left`` (``total`` rows) has of each.
+
+    Keys with more than 1 / ``share`` of all rows, of which there are fewer than ``share``, are broadcast, so that no task
+    gets their rows; the others are joined by a shuffle.
+    """
+    hot = F.broadcast(right.where(F.col("n") * share > total))
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") * share <= total), keys)
+    return left.join(hot, keys).unionByName(cold)

@@ -3,7 +3,8 @@
 Documents with equal fingerprints collapse to one row first. Fingerprints within the radius agree in two of
 five bit ranges, so each is put in ten buckets, one for each pair of ranges, and compared inside them only.
 A bucket with more than ``HOT`` fingerprints is split on four ranges of its other bits, of which again one
-must agree; so no bucket grows with the data alone, and no pair within the radius is lost.
+must agree, and so on, until it is small or 12 bits are left, which no more than 4,096 fingerprints tell apart. So no bucket
+grows with the data, and no pair within the radius is lost.
 
 Inside a task the buckets lie one after another, as 64 vertical bit planes. All lanes are compared with the
 lane d places on at once: the planes are XORed with themselves shifted by d, distances are kept in carry-save
@@ -14,7 +15,8 @@ With a ``similarity``, texts whose sets of shingles have at least that Jaccard s
 distance of their fingerprints: at 0.8 these differ in about ten bits and up to twenty, which no index of 64 bits can
 serve. So candidates are texts that share one of 40 bands of five min-hashes, which two texts of similarity 0.8 miss
 with a probability of 1.2e-7 (0.95: below 1e-25); joined bands make groups of distinct texts, in which all pairs are
-compared exactly. A group is compared in one task, in memory that grows with the group and time that grows with its square.
+compared exactly. A large group is dealt to parts of about ``GROUP`` texts or ``GROUP_BYTES``, and every two parts meet in a task
+of their own, in bounded memory; all the work together grows with the square of the group.
 
 Defined results: null text counts as empty, with fingerprint zero, and is linked like any other; a null id
 takes part, but never names a component unless it has no other id; repeated rows are kept; an empty table
@@ -24,6 +26,7 @@ gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialise, table
+from docspark.llm.common import join_counted, materialise, table
 from docspark.llm.components import connected_components
 
 RADIUS, WIDTH, SEED, HOT = 3, 3, 42, 4096
 #: Of the verified links: shingle width, least similarity, bands and min-hashes in each.
-NEAR_WIDTH, NEAR, BANDS, ROWS = 5, 0.8, 40, 5
+NEAR_WIDTH, NEAR, BANDS, ROWS, GROUP, GROUP_BYTES = 5, 0.8, 40, 5, 1024, 16 << 20
 RANGES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 PAIRS = tuple(combinations(range(5), 2))
 
@@ -161,21 +164,21 @@ def spanning_links(prints: np.ndarray, bucket: np.ndarray, radius: int = RADIUS)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted (key, part, sub, fp) rows. A bucket that goes on in the next batch is kept for it."""
+    """Links of sorted (mask, value, fp) rows. A bucket that goes on in the next batch is kept for it."""
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
-        change = np.r_[False, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-        a, b = spanning_links(rows[:, 3].view(np.uint64), np.cumsum(change))
-        return pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], ["a", "b"])
+        change = np.r_[False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+        a, b = spanning_links(rows[:, 2].view(np.uint64), np.cumsum(change))
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
 
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64)
         if not len(rows):
             continue
-        new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        held_goes_on = held and (held[-1][-1, :3] == rows[0, :3]).all()
-        cut = int(new[-1]) if len(new) else (0 if held_goes_on or not held else 0)
+        new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        held_goes_on = held and (held[-1][-1, :2] == rows[0, :2]).all()
+        cut = int(new[-1]) if len(new) else 0
         if held and not held_goes_on:
             yield links(np.concatenate(held))
             held = []
@@ -187,32 +190,33 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(np.concatenate(held))
 
 
-def _masks() -> list[list[int]]:
-    """For each of the ten tables four bit masks that share out the bits outside its two ranges."""
-    out = []
-    for pair in PAIRS:
-        rest = [b for k, (lo, hi) in enumerate(RANGES) if k not in pair for b in range(lo, hi)]
-        parts = [rest[len(rest) * j // 4 : len(rest) * (j + 1) // 4] for j in range(4)]
-        out.append([(m := sum(1 << b for b in p)) - (1 << 64) * (m >> 63) for p in parts])
-    return out
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def finer(mask: int) -> list[int]:
+    """The four masks of a bucket's parts: the bits that agree, and one of four ranges of the others."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [_signed(mask % (1 << 64) | sum(1 << b for b in rest[len(rest) * j // 4 : len(rest) * (j + 1) // 4])) for j in range(4)]
 
 
 def near_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) that join all fingerprints (column fp, distinct) which links of radius 3 or less join."""
-    fp = F.col("fp")
-    bits = lambda k: F.shiftrightunsigned(fp, RANGES[k][0]).bitwiseAND(F.lit((1 << RANGES[k][1] - RANGES[k][0]) - 1))
-    keys = [(F.lit(t << 26) + F.shiftleft(bits(i), 13) + bits(j)).cast("long") for t, (i, j) in enumerate(PAIRS)]
-    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    crowded = rows.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("crowded"))
-    marked = rows.join(crowded, "key", "left")
-    table_no = F.shiftright(F.col("key"), 26)
-    parts = []
-    for j in range(4):
-        mask = F.element_at(F.array(*[F.lit(m[j]) for m in _masks()]), (table_no + 1).cast("int"))
-        parts.append(F.struct(F.lit(j + 1).cast("long").alias("part"), fp.bitwiseAND(mask).alias("sub")))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("sub")))
-    split = marked.select("key", "fp", F.explode(F.when(F.col("crowded"), F.array(*parts)).otherwise(whole)).alias("x")).select("key", "x.part", "x.sub", "fp")
-    dealt = split.repartition("key", "part", "sub").sortWithinPartitions("key", "part", "sub", "fp")
+    spark, parts = prints.sparkSession, []
+    masks = [_signed(sum(1 << b for k in pair for b in range(*RANGES[k]))) for pair in PAIRS]
+    rows = prints.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp")
+    while True:
+        rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+        full = rows.where(F.bit_count("mask") < 52).groupBy("mask", "value").count().where(F.col("count") > hot)
+        crowded = materialise(full.select("mask", "value"), "crowded")
+        split = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # at most ten, four times as many each round
+        if not split:
+            parts.append(rows)
+            break
+        parts.append(rows.join(crowded, ["mask", "value"], "left_anti"))
+        next_masks = spark.createDataFrame([(m, finer(m)) for m in split], "mask long, finer array<long>")
+        rows = rows.join(crowded, ["mask", "value"], "left_semi").join(F.broadcast(next_masks), "mask").select(F.explode("finer").alias("mask"), "fp")
+    dealt = reduce(DataFrame.unionByName, parts).repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
     return dealt.mapInArrow(_spans, "a long, b long")
 
 
@@ -280,11 +284,18 @@ def verified_links(texts: list[bytes], similarity: float = NEAR, width: int = NE
 
 def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_WIDTH, prints_width: int = WIDTH) -> DataFrame:
     """Links (a, b) of fingerprints (of ``prints_width`` words) that join all texts of at least this similarity; ``docs`` has text."""
-    rows = docs.withColumn("id", F.xxhash64("text"))
-    keyed = materialise(rows.select("id", band_keys(F.col("text"), width).alias("keys")), "bands").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key")).repartition("key")
+    rows = docs.select(F.xxhash64("text").alias("id"), "text")
+    banded = materialise(rows.select("id", band_keys(F.col("text"), width).alias("keys")), "bands")
+    keyed = banded.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    groups = connected_components(keyed.join(shared, "key").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    members = rows.join(groups, rows.id == groups.node).select("root", "id", "text").dropDuplicates(["id"]).select("root", "text")
+    groups = connected_components(keyed.join(shared, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), "root")
+    copies = banded.groupBy("id").agg(F.count("*").alias("n")).join(groups, "id")
+    members = join_counted(rows, materialise(copies, "groups"), ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    members = materialise(members, "members")
+    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int")
+    sized = members.join(members.groupBy("root").agg(parts.alias("parts")), "root")
+    placed = sized.withColumn("part", F.pmod("id", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = placed.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "text")
 
     def links(group: pa.Table) -> pa.Table:
         texts = group["text"].cast(pa.binary()).to_pylist()
@@ -293,7 +304,7 @@ def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_W
         ends = [np.array([fp[link[k]] for link in found], dtype=np.uint64).view(np.int64) for k in (0, 1)]
         return pa.table({"a": ends[0], "b": ends[1]})
 
-    return members.groupBy("root").applyInArrow(links, "a long, b long")
+    return met.groupBy("root", "low", "high").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT, similarity: float | None = None) -> DataFrame:
@@ -303,7 +314,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets of ``NEAR_WIDTH`` words.
     """
     prints = materialise(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), width).alias("fp")), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "distinct")
     links = near_links(distinct.select("fp"), hot)
     if similarity is not None:
         links = links.union(similar_links(docs.select(F.col(text).alias("text")).where("text is not null"), similarity, prints_width=width))
@@ -311,8 +322,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     linked = distinct.join(nodes, distinct.fp == nodes.node).select("fp", "least", "root")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     of_linked = linked.join(named, "root").select("fp", "component")
-    of_all = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(of_all, "fp").select(F.col("key").alias(key), "fp", "component")
+    of_all = materialise(distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")), "components")
+    total = of_all.agg(F.sum("n")).first()[0] or 0
+    return join_counted(prints, of_all, ["fp"], total).select(F.col("key").alias(key), "fp", "component")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docspark.llm import chat, components, decontaminate, language, lm_score, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts
+from docspark.llm import chat, common, components, decontaminate, language, lm_score, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts
 from docspark.llm.piece_vocab import KeyMemo, vocabulary
 
 c = F.col
@@ -149,6 +149,29 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"] or 0, r["component"]) for r in simhash.near_duplicates(rows).collect() if r["component"]) == [(0, 7), (7, 7), (7, 7)]
 
 
+def test_crowded_buckets_are_split_until_small(spark):
+    """Fingerprints that share all but a few bits: no bucket that is compared stays crowded, no link is lost."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**63))
+    prints = sorted({base ^ int(sum(1 << int(b) for b in rng.choice(20, 4, replace=False))) for _ in range(300)})
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), hot=8).collect()
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert (a ^ b).bit_count() <= 3
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(p) for p in prints] == brute_components(prints, prints)
+    masks = [simhash._signed(0)]
+    for _ in range(9):
+        masks = [m for x in masks for m in simhash.finer(x)][:8]
+    assert all(bin(m % 2**64).count("1") >= 52 for m in masks)
+
+
 @pytest.mark.parametrize("radius", [2, 3])
 def test_bit_slices(radius):
     rng = np.random.default_rng(radius)
@@ -183,7 +206,7 @@ def test_buckets_over_batches():
 
     fp = np.arange(10, dtype=np.int64)
     keys = np.array([0, 1, 1, 1, 1, 1, 2, 2, 3, 4])
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(keys[s] * 0), pa.array(keys[s] * 0), pa.array(fp[s])], ["key", "part", "sub", "fp"]) for s in (slice(0, 3), slice(3, 4), slice(4, 8), slice(8, 10))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(keys[s] * 0), pa.array(fp[s])], ["mask", "value", "fp"]) for s in (slice(0, 3), slice(3, 4), slice(4, 8), slice(8, 10))]
     links = {frozenset(x) for b in simhash._spans(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     assert {x for link in links for x in link} == {1, 2, 3, 4, 5, 6, 7} and len(links) == 5
 
@@ -640,12 +663,24 @@ def planted_copies():
     return out
 
 
+def test_hot_keys_of_joins(spark):
+    left = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)], "key bigint, x bigint")
+    right = left.groupBy("key").agg(F.count("*").alias("n")).where("key <> 1")
+    found = common.join_counted(left, right, ["key"], 1000, 10)
+    assert sorted((r["key"], r["x"]) for r in found.collect()) == sorted((r["key"], r["x"]) for r in left.collect() if r["key"] != 1)
+
+
+def test_large_groups_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 5)
+    test_near_dedup_of_planted_copies(spark)
+
+
 def test_near_dedup_of_planted_copies(spark):
     """Each copy of similarity 0.8 to 0.95 goes, none of those that share half of an original."""
     pairs = planted_copies()
     halves = [a[: len(a) // 2] + " " + " ".join(f"y{k}-{n}" for n in range(a.count(" ") // 2)) for k, (_, a, _) in enumerate(pairs[:20])]
     rows = [(k, t) for k, t in enumerate([a for _, a, _ in pairs] + [b for _, _, b in pairs] + halves)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit("clash")).withColumn("text_hash", F.lit(1))
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(range(len(pairs))) | set(range(2 * len(pairs), len(rows)))
     prints = [(simhash.simhash(a.encode()) ^ simhash.simhash(b.encode())).bit_count() for _, a, b in pairs]
