@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import decontaminate, language, quality, simhash
-from docspark.llm.common import shared_dir, table
+from docspark.llm.common import join_counted, materialise, shared_dir, table
 from docspark.llm.sentencepiece_codec import encode_documents
 
 
@@ -33,14 +33,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates and all texts of similarity 0.8 (sets of five words): of each component the row with the
-    smallest doc_id stays, of its copies one.
+    smallest doc_id stays (null ids last, then the smaller hash of the text), of its copies one.
 
-    Rows with one doc_id and one text are one document; rows whose doc_id is null stay as they are.
+    A document is known by its id and its text: rows with one id (null included) and different texts are different documents,
+    and only rows alike in both are copies of one.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), similarity=simhash.NEAR)
-    keep = found.where("doc_id = component").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
+    found = simhash.near_duplicates(docs.select(F.struct(*row).alias("row"), "text"), key="row", similarity=simhash.NEAR)
+    kept = found.where("row = component").groupBy("row.no_id", "row.id", "row.text_hash").agg(F.count("*").alias("n"))
+    kept = materialise(kept, "kept")
+    named = docs.select(*row, F.struct("*").alias("document"))
+    chosen = join_counted(named, kept, ["no_id", "id", "text_hash"], docs.count())
+    copied = chosen.where("n > 1").dropDuplicates(["no_id", "id", "text_hash"])
+    return chosen.where("n = 1").unionByName(copied).select("document.*")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
