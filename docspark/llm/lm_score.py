@@ -28,6 +28,7 @@ count for each other; other columns are ignored; an empty table gives an empty t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +47,20 @@ JOINED = "block long, ngram_order int, bucket int, counts binary"
 SCORED = "doc_id long, n_tokens long, log_score double, mean_log_score double"
 
 
+@functools.cache
+def _zstd() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, so that high bytes, mostly zero, lie together and are compressed away by the shuffle."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers as byte planes, so that high bytes, mostly zero, lie together; compressed."""
+    return _zstd()[0].compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+    return np.frombuffer(_zstd()[1].decompress(data), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
 def _pack(grams: np.ndarray) -> bytes:
@@ -171,14 +179,12 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of JOINED for each block, ahead of those of its counts: its documents, compressed."""
-    import zstandard
-
     for number, ids, texts in _blocks(batches):
         packed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, packed.schema) as writer:
             writer.write_batch(packed)
-        data = zstandard.compress(sink.getvalue().to_pybytes(), 1)
+        data = _zstd()[0].compress(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "ngram_order", "bucket", "counts"])
 
 
@@ -216,10 +222,8 @@ def _summer(order: int, leave_out: bool):  # noqa: ANN202
     """Rows of JOINED sorted by block, order and bucket; of each block first the documents, then all counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         def close() -> pa.RecordBatch:
-            docs = pa.ipc.open_stream(zstandard.decompress(held)).read_all()
+            docs = pa.ipc.open_stream(_zstd()[1].decompress(held)).read_all()
             n, x = block_scores(docs["text"].to_pylist(), [np.concatenate([np.zeros(0, np.uint64), *c]) for c in counts], leave_out)
             mean = pa.array(x / np.maximum(n, 1), mask=n == 0)
             return pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(x), mean], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
