@@ -179,12 +179,14 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row of JOINED for each block, ahead of those of its counts: its documents, compressed."""
+    import zstandard
+
     for number, ids, texts in _blocks(batches):
         packed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, packed.schema) as writer:
             writer.write_batch(packed)
-        data = _zstd()[0].compress(sink.getvalue().to_pybytes())
+        data = zstandard.compress(sink.getvalue().to_pybytes(), 6)
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "ngram_order", "bucket", "counts"])
 
 
