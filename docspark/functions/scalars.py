@@ -195,20 +195,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("doc_id", F.md5(chunk_clean(marked)).alias("cleaned_md5"))
 
 
-def _normalised(docs: DataFrame) -> DataFrame:
-    marked = F.concat(F.lit("Document: f.pdf\nPage: 1\n[Page 2, OCR] "), c("text"))
-    return docs.select("doc_id", F.md5(similarity_normalise(marked)).alias("norm_md5"))
-
-
 @query("text_similarity_normalise", rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(
-  lower('Document: f.pdf' || chr(10) || 'Page: 1' || chr(10) || '[Page 2, OCR] ' || text), 'document:\s*[^\n]+\n', '', 'g'), 'page:\s*\d+\n', '', 'g'), '{WS}', ' ', 'g')), '\[pymupdf extracted text\]', '', 'g'), '\[ocr text from \w+\]', '', 'g'), '\[page \d+, \w+\]', '', 'g')) AS norm_md5 FROM documents WHERE lang = 'en'""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _normalised(load(s, d, "documents").where("lang = 'en'"))
-
-
-@query("text_similarity_normalise_all")
+  lower('Document: f.pdf' || chr(10) || 'Page: 1' || chr(10) || '[Page 2, OCR] ' || text), 'document:\s*[^\n]+\n', '', 'g'), 'page:\s*\d+\n', '', 'g'), '{WS}', ' ', 'g')), '\[pymupdf extracted text\]', '', 'g'), '\[ocr text from \w+\]', '', 'g'), '\[page \d+, \w+\]', '', 'g')) AS norm_md5 FROM documents""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _normalised(load(s, d, "documents"))
+    marked = F.concat(F.lit("Document: f.pdf\nPage: 1\n[Page 2, OCR] "), c("text"))
+    return load(s, d, "documents").select("doc_id", F.md5(similarity_normalise(marked)).alias("norm_md5"))
 
 
 @query("text_extraction_clean", r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, ' the ', 'The2x'), '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([a-zA-Z])([0-9])', '\1 \2', 'g'), '([0-9])([a-zA-Z])', '\1 \2', 'g') AS x FROM documents),
@@ -223,20 +214,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("doc_id", F.md5(unicode_normalise(c("text"))).alias("norm_md5"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    x = docs.select("doc_id", F.replace("text", F.lit("ing the"), F.lit("ing-\n the")).alias("x"))
-    return x.select("doc_id", F.md5(join_hyphens(c("x"))).alias("joined_md5"), F.md5(join_hyphens(c("x"), True)).alias("kept_md5"))
-
-
 @query("text_join_hyphens", r"""SELECT doc_id, md5(regexp_replace(x, '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g')) AS joined_md5, md5(regexp_replace(x, '(\w+)-\s*\n\s*(\w+)', '\1-\2', 'g')) AS kept_md5
-FROM (SELECT doc_id, replace(text, 'ing the', 'ing-' || chr(10) || ' the') AS x FROM documents WHERE lang = 'en')""")
+FROM (SELECT doc_id, replace(text, 'ing the', 'ing-' || chr(10) || ' the') AS x FROM documents)""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _joined(load(s, d, "documents").where("lang = 'en'"))
-
-
-@query("text_join_hyphens_all")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _joined(load(s, d, "documents"))
+    x = load(s, d, "documents").select("doc_id", F.replace("text", F.lit("ing the"), F.lit("ing-\n the")).alias("x"))
+    return x.select("doc_id", F.md5(join_hyphens(c("x"))).alias("joined_md5"), F.md5(join_hyphens(c("x"), True)).alias("kept_md5"))
 
 
 @query("text_tokens", r"""SELECT doc_id, len(ts)::INT AS n_tokens, md5(array_to_string(ts, '|')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_\-''/]*') AS ts FROM documents)""")
@@ -271,27 +253,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return t.select("conv_id", "turn", (F.size(F.filter(F.split("text", WS), lambda x: x != "")) > 3).alias("needs_search"))
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    t = c("raw_text")
-    key = F.replace(F.replace(F.lower(t), F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(""))
-    return docs.select(
-        "id", chunk_uuid(c("filename"), F.lit("3"), t).alias("uuid"), block_chunk_id(c("filename"), (c("id") % 20000).cast("int"), t).alias("block_id"), vector_id(c("id").cast("string"), F.lit("2"), F.lit("3")).alias("vec"),
-        "content_hash", F.md5(t).alias("full_hash"), F.substring(F.md5(t), 1, 8).alias("original_hash"), quick_hash(t.cast("binary")).alias("quick"), F.md5(key).alias("dedup_key"),
-    )
-
-
 @query("ids_all", rf"""WITH {DOCUMENTS_SQL}, h AS (SELECT *, md5(filename || '_' || 3 || '_' || raw_text) AS h FROM cat)
 SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid,
   substr(md5(filename), 1, 4) || '_' || printf('%04d', (id % 20000)::INT) || '_' || substr(md5(raw_text), 1, 8) AS block_id, ('0x' || substr(md5(id || '_2_3'), 1, 8))::BIGINT AS vec,
   content_hash, md5(raw_text) AS full_hash, substr(md5(raw_text), 1, 8) AS original_hash, md5(raw_text) AS quick,
-  md5(replace(replace(lower(raw_text), chr(10), ' '), ' ', '')) AS dedup_key FROM h WHERE file_type = 'en'""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _ids(documents(s, d).where("file_type = 'en'"))
-
-
-@query("ids_all_languages")
+  md5(replace(replace(lower(raw_text), chr(10), ' '), ' ', '')) AS dedup_key FROM h""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _ids(documents(s, d))
+    t = c("raw_text")
+    key = F.replace(F.replace(F.lower(t), F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(""))
+    return documents(s, d).select(
+        "id", chunk_uuid(c("filename"), F.lit("3"), t).alias("uuid"), block_chunk_id(c("filename"), (c("id") % 20000).cast("int"), t).alias("block_id"), vector_id(c("id").cast("string"), F.lit("2"), F.lit("3")).alias("vec"),
+        "content_hash", F.md5(t).alias("full_hash"), F.substring(F.md5(t), 1, 8).alias("original_hash"), quick_hash(t.cast("binary")).alias("quick"), F.md5(key).alias("dedup_key"),
+    )
 
 
 @query("dates_pdf_and_age", """WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'D:' || strftime(ts, '%Y%m%d%H%M%S') || '+02' WHEN 1 THEN 'D:' || strftime(ts, '%Y%m%d%H%M') WHEN 2 THEN 'D:' || strftime(ts, '%Y%m%d') WHEN 3 THEN strftime(ts, '%Y%m%d') ELSE 'D:2024' END AS raw FROM events),

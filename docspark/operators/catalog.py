@@ -51,9 +51,16 @@ def delete_documents(docs: DataFrame, chunk_rows: DataFrame, doomed: DataFrame)
 
 
 def pair_stages(log: DataFrame) -> DataFrame:
-    """Each start of a stage with the next event of the same document and stage as its completion."""
-    w = Window.partitionBy("document_id", "stage").orderBy("started_at", "event_id")
-    return log.withColumn("completed_at", F.lead("started_at").over(w)).withColumn("n", F.row_number().over(w)).where(c("n") % 2 == 1).drop("n")
+    """Starts of stages with what completed them. ``log`` has document_id, stage, at, event_id and a status, ``started`` or else.
+
+    A completion closes all open starts of its document and stage, so a start belongs to the first completion after it, whatever
+    starts or completions are missing or come twice; a start without one stays open (completed_at and success are null).
+    """
+    done = c("status") != "started"
+    back = Window.partitionBy("document_id", "stage").orderBy(F.desc("at"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    closing = F.last(F.when(done, F.struct("at", "status")), ignorenulls=True).over(back)
+    starts = log.withColumn("closing", closing).where(~done)
+    return starts.select("document_id", "stage", c("at").alias("started_at"), "event_id", c("closing.at").alias("completed_at"), (c("closing.status") == "succeeded").alias("success"))
 
 
 def file_rollup(chunk_rows: DataFrame) -> DataFrame:
@@ -201,11 +208,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").agg(F.count_if(c("source") != "src2").alias("kept"), F.count_if(c("source") == "src2").alias("deleted"))
 
 
-@query("catalog_stage_pairs", """SELECT document_id, stage, started_at, event_id, completed_at FROM (SELECT user_id AS document_id, event_type AS stage, ts AS started_at, event_id,
-lead(ts) OVER w AS completed_at, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE n % 2 = 1""")
+@query("catalog_stage_pairs", """WITH l AS (SELECT user_id AS document_id, event_type AS stage, ts AS at, event_id, CASE WHEN event_id % 5 < 3 THEN 'started' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events)
+SELECT a.document_id, a.stage, a.at AS started_at, a.event_id, min(b.at) AS completed_at, arg_min(b.status, (b.at, b.event_id)) = 'succeeded' AS success
+FROM l a LEFT JOIN l b ON a.document_id = b.document_id AND a.stage = b.stage AND b.status <> 'started' AND (b.at, b.event_id) > (a.at, a.event_id) WHERE a.status = 'started' GROUP BY ALL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    log = load(s, d, "events").select(c("user_id").alias("document_id"), c("event_type").alias("stage"), c("ts").alias("started_at"), "event_id")
-    return pair_stages(log)
+    status = F.when(c("event_id") % 5 < 3, "started").when(c("event_id") % 7 == 0, "failed").otherwise("succeeded")
+    return pair_stages(load(s, d, "events").select(c("user_id").alias("document_id"), c("event_type").alias("stage"), c("ts").alias("at"), "event_id", status.alias("status")))
 
 
 @query("catalog_stage_log_join", """SELECT event_type AS stage, lang, count(*) AS n, round(avg(value), 4) AS avg_value FROM events JOIN documents ON doc_id = user_id GROUP BY 1, 2""")

@@ -25,11 +25,19 @@ def _pieces(t: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(t, pattern), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
 
 
+def fold(parts: Column, kind: str, fits, join) -> Column:
+    """Neighbouring parts joined while ``fits(current, part)`` holds. The array of what is closed grows once for each that closes,
+    so the fold takes time in proportion to the parts and to what they hold."""
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    closed = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+    step = lambda acc, x: F.when(acc["now"].isNotNull() & fits(acc["now"], x), state(acc["done"], join(acc["now"], x))).otherwise(state(closed(acc), x))
+    return F.reduce(parts, start, step, closed)
+
+
 def pack(pieces: Column, fits, joiner: str = " ") -> Column:
     """Join neighbouring pieces while ``fits(text so far, piece)`` holds."""
-    start = F.array().cast("array<string>")
-    step = lambda acc, x: F.when((F.size(acc) > 0) & fits(F.try_element_at(acc, F.lit(-1)), x), F.concat(_front(acc), F.array(F.concat(_last(acc), F.lit(joiner), x)))).otherwise(F.concat(acc, F.array(x)))
-    return F.reduce(pieces, start, step)
+    return fold(pieces, "string", fits, lambda now, x: F.concat(now, F.lit(joiner), x))
 
 
 def merge_short_tail(chunks: Column, joiner: str, least: int = LEAST, most: int = MOST) -> Column:
@@ -51,13 +59,12 @@ def sentence_split(t: Column, size: int = SIZE) -> Column:
 
 def semantic(t: Column) -> Column:
     """Paragraphs packed up to ``MOST``; an oversized paragraph is cut into sentences, which stay closed."""
-    paragraphs = F.when(F.size(_pieces(t, "\n\n")) > 0, _pieces(t, "\n\n")).otherwise(_pieces(t, "\n"))
+    paragraphs = F.get(F.transform(F.array(_pieces(t, "\n\n")), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(_pieces(t, "\n"))), F.lit(0))
     part = lambda x, open_: F.struct(x.alias("t"), F.lit(open_).alias("open"))
     parts = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MOST, F.array(part(p, True))).otherwise(F.transform(sentence_split(p), lambda x: part(x, False)))))
-    start = F.array().cast("array<struct<t:string,open:boolean>>")
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    fits = lambda acc, x: (F.size(acc) > 0) & last(acc)["open"] & x["open"] & (F.length(last(acc)["t"]) + 2 + F.length(x["t"]) <= MOST)
-    packed = F.reduce(parts, start, lambda acc, x: F.when(fits(acc, x), F.concat(_front(acc), F.array(part(F.concat(last(acc)["t"], F.lit("\n\n"), x["t"]), True)))).otherwise(F.concat(acc, F.array(x))))
+    fits = lambda now, x: now["open"] & x["open"] & (F.length(now["t"]) + 2 + F.length(x["t"]) <= MOST)
+    packed = fold(parts, "struct<t:string,open:boolean>", fits, lambda now, x: part(F.concat(now["t"], F.lit("\n\n"), x["t"]), True))
     texts = F.transform(packed, lambda x: x["t"])
     return F.when((F.size(packed) > 0) & last(packed)["open"], merge_short_tail(texts, "\n\n")).otherwise(texts)
 

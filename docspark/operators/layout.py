@@ -13,8 +13,18 @@ from docspark.registry import query
 c = F.col
 #: Fixed confidences of the block types.
 CONFIDENCE = {"TABLE": 0.85, "HEADER": 0.80, "LIST": 0.85, "CHART": 0.75, "TEXT_BLOCK": 0.70}
-#: Fixed type names of two layout models, with the block type each means and its confidence.
-ELEMENTS = {"Title": ("HEADER", 0.9), "NarrativeText": ("TEXT_BLOCK", 0.8), "ListItem": ("LIST", 0.8), "Table": ("TABLE", 0.9), "Image": ("IMAGE", 0.8), "Figure": ("FIGURE", 0.8), "Text": ("TEXT_BLOCK", 0.8), "List": ("LIST", 0.8)}
+#: The element names of two layout models, the block type that each means, and its confidence.
+ELEMENTS = {
+    "partition": {
+        "Title": ("HEADER", 0.95), "Header": ("HEADER", 0.90), "Footer": ("HEADER", 0.85), "Table": ("TABLE", 0.95), "Image": ("IMAGE", 0.95),
+        "Figure": ("FIGURE", 0.90), "FigureCaption": ("FIGURE", 0.85), "ListItem": ("LIST", 0.90), "BulletedText": ("LIST", 0.85),
+        "NarrativeText": ("TEXT_BLOCK", 0.80), "Text": ("TEXT_BLOCK", 0.75), "UncategorizedText": ("TEXT_BLOCK", 0.70),
+        "Formula": ("CHART", 0.85), "PageBreak": ("UNKNOWN", 0.50),
+    },
+    "detection": {"Title": ("HEADER", 0.90), "Text": ("TEXT_BLOCK", 0.80), "Figure": ("FIGURE", 0.90), "Table": ("TABLE", 0.90), "List": ("LIST", 0.90)},
+}
+#: What names mean that a model does not list.
+UNLISTED = {"partition": ("UNKNOWN", 0.60), "detection": ("UNKNOWN", 0.50)}
 LINES = {"pipes": r"\|.*\|", "gaps": r"\s{3,}", "numbers": r"\d+.*\d+.*\d+", "tabs": r"\t", "bullets": r"^\s*[•▪▫*-]\s+", "numbered": r"^\s*\d+[.)]\s+", "lettered": r"^\s*[a-z]\)\s+"}
 
 
@@ -41,10 +51,71 @@ def table_indicators(t: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in tests]))
 
 
-def map_element(name: Column) -> Column:
-    """A layout model's element name as (block type, confidence); unknown names are text blocks at 0.5."""
-    table = F.create_map(*[x for k, (t, v) in ELEMENTS.items() for x in (F.lit(k), F.struct(F.lit(t).alias("type"), F.lit(v).alias("confidence")))])
-    return F.coalesce(F.try_element_at(table, name), F.struct(F.lit("TEXT_BLOCK").alias("type"), F.lit(0.5).alias("confidence")))
+def map_element(name: Column, model: str = "partition") -> Column:
+    """A layout model's element name as (type, confidence)."""
+    pair = lambda x: F.struct(F.lit(x[0]).alias("type"), F.lit(x[1]).alias("confidence"))
+    table = F.create_map(*[x for k, v in ELEMENTS[model].items() for x in (F.lit(k), pair(v))])
+    return F.coalesce(F.try_element_at(table, name), pair(UNLISTED[model]))
+
+
+def chart_references(t: Column) -> Column:
+    """The kinds of numbered figures that a text refers to, in order."""
+    return F.regexp_extract_all(t, F.lit(r"(?i)\b(figure|chart|graph|diagram)\s+\d+"), F.lit(1))
+
+
+def list_type(t: Column) -> Column:
+    kinds = (("bulleted", "bullets"), ("numbered", "numbered"), ("lettered", "lettered"))
+    out = F.lit("unknown")
+    for name, kind in reversed(kinds):
+        out = F.when(t.rlike(f"(?m){LINES[kind]}"), name).otherwise(out)
+    return out
+
+
+def to_points(df: DataFrame, width: Column, height: Column, image_width: Column, image_height: Column) -> DataFrame:
+    """Boxes in pixels of a page's image as boxes in points of the page."""
+    across, down = width / image_width, height / image_height
+    return df.withColumns({"x0": c("x0") * across, "y0": c("y0") * down, "x1": c("x1") * across, "y1": c("y1") * down})
+
+
+def usable_image(width: Column, height: Column, brightest: Column) -> Column:
+    """Whether an image can be recognised: sides of 10 to 5,000 pixels, not black all over; uniform white is allowed."""
+    side = lambda x: x.between(10, 5000)
+    return side(width) & side(height) & (brightest > 0)
+
+
+def confident(words_: DataFrame, least: float = 0.3) -> DataFrame:
+    """Recognised words that are not blank, with a confidence over ``least``."""
+    return words_.where((c("confidence") > least) & (F.trim("text") != ""))
+
+
+def first_regions(blocks_: DataFrame) -> DataFrame:
+    """(doc_id, pos) of text regions that no region kept before on their page covers, repeats or nearly repeats.
+
+    Repeats are texts alike but for case, spaces and line feeds; of two texts over five characters so, also one that holds the
+    other, or word sets with a Jaccard over 0.7, or over 0.6 if both have more than two words. Covered is a region of which one
+    before covers over 0.6. A page's regions are folded in order; a page holds few.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.lower("text"), "[\n ]", ""), r"^\s+|\s+$", "")
+    region = F.struct("pos", clean.alias("clean"), words(F.lower("text")).alias("ws"), *[c(x).cast("double").alias(x) for x in ("x0", "y0", "x1", "y1")])
+    pages = blocks_.select("doc_id", "page", region.alias("r")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+
+    def repeats(k: Column, r: Column) -> Column:
+        longer = (F.length(k["clean"]) > 5) & (F.length(r["clean"]) > 5)
+        alike = F.when((F.size(k["ws"]) > 2) & (F.size(r["ws"]) > 2), jaccard(k["ws"], r["ws"]) > 0.6).when(F.size(k["ws"]) + F.size(r["ws"]) > 0, jaccard(k["ws"], r["ws"]) > 0.7).otherwise(F.lit(False))
+        side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(k[hi], r[hi]) - F.greatest(k[lo], r[lo]))
+        covered = side("x0", "x1") * side("y0", "y1") > 0.6 * (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+        return (k["clean"] == r["clean"]) | (longer & (F.contains(k["clean"], r["clean"]) | F.contains(r["clean"], k["clean"]) | alike)) | covered
+
+    start = F.slice("rs", 1, 0)
+    kept = F.reduce("rs", start, lambda kept, r: F.when(F.exists(kept, lambda k: repeats(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
+    return pages.select("doc_id", F.explode(kept).alias("r")).select("doc_id", "r.pos")
+
+
+def outside_tables(blocks_: DataFrame, tables: DataFrame, most: float = 0.3, of_smaller: bool = False) -> DataFrame:
+    """Blocks that no table region of their page covers by more than a share of the block's area, or of the smaller of both areas."""
+    base = F.least(area("a"), area("b")) if of_smaller else area("b")
+    covered = (c("a.doc_id") == c("b.doc_id")) & (c("a.page") == c("b.page")) & (base > 0) & (intersection("a", "b") > most * base)
+    return blocks_.alias("b").join(tables.alias("a"), covered, "left_anti")
 
 
 def intersection(a: str, b: str) -> Column:
@@ -157,16 +228,35 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "page", "page_chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
-@query("layout_table_indicators", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, '|') THEN 'pipe_separated' END, CASE WHEN regexp_matches(text, '\\t') THEN 'tab_separated' END, CASE WHEN regexp_matches(text, '\\d+.*\\d+.*\\d+') THEN 'numeric_columns' END, CASE WHEN regexp_matches(text, '\\s{{3,}}') THEN 'space_separated' END], lambda x: x IS NOT NULL), ',') AS indicators,
-  len(regexp_extract_all(text, '(?i)(the|de) \\w+'))::INT AS n_refs FROM documents""".replace("\\w+", "[a-z]+"))
+_FIGURED = r"regexp_replace(text, '(the|de) ([a-z]+)', '\1 figure ' || (doc_id % 90) || ' \2')"
+
+
+@query("layout_table_indicators", rf"""WITH t AS (SELECT doc_id, {_FIGURED} AS text FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, '|') THEN 'pipe_separated' END, CASE WHEN regexp_matches(text, '\t') THEN 'tab_separated' END, CASE WHEN regexp_matches(text, '\d+.*\d+.*\d+') THEN 'numeric_columns' END, CASE WHEN regexp_matches(text, '\s{{3,}}') THEN 'space_separated' END], lambda x: x IS NOT NULL), ',') AS indicators,
+  array_to_string(regexp_extract_all(text, '(?i)\b(figure|chart|graph|diagram)\s+\d+', 1), ',') AS references,
+  CASE WHEN regexp_matches(text, '(?m)^\s*[•▪▫*-]\s+') THEN 'bulleted' WHEN regexp_matches(text, '(?m)^\s*\d+[.)]\s+') THEN 'numbered' WHEN regexp_matches(text, '(?m)^\s*[a-z]\)\s+') THEN 'lettered' ELSE 'unknown' END AS list_type FROM t""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").select("doc_id", F.array_join(table_indicators(c("text")), ",").alias("indicators"), F.size(F.regexp_extract_all("text", F.lit("(?i)(the|de) [a-z]+"), F.lit(1))).alias("n_refs"))
+    """Whole texts, with one reference to a figure put into those that have a place for it."""
+    figured = F.regexp_replace("text", F.lit("^((?s:.*?))(the|de) ([a-z]+)"), F.concat(F.lit("$1$2 figure "), (c("doc_id") % 90).cast("string"), F.lit(" $3")))
+    t = load(s, d, "documents").select("doc_id", figured.alias("text"))
+    return t.select("doc_id", F.array_join(table_indicators(c("text")), ",").alias("indicators"), F.array_join(chart_references(c("text")), ",").alias("references"), list_type(c("text")).alias("list_type"))
 
 
-@query("layout_element_map", "SELECT lang, CASE lang WHEN 'en' THEN 'HEADER' WHEN 'fr' THEN 'LIST' ELSE 'TEXT_BLOCK' END AS type, CASE lang WHEN 'en' THEN 0.9 WHEN 'fr' THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, count(*) AS n FROM documents GROUP BY ALL")
+_NAMES = ("Title", "Header", "Footer", "Table", "Image", "Figure", "FigureCaption", "ListItem", "BulletedText", "NarrativeText", "Text", "UncategorizedText", "Formula", "PageBreak", "List", "Unheard", "title")
+
+
+@query("layout_element_map", f"""WITH names AS (SELECT unnest({list(_NAMES)}) AS name, unnest(range(0, {len(_NAMES)})) AS k), m AS (SELECT * FROM (VALUES
+  ('partition', 'Title', 'HEADER', 0.95), ('partition', 'Header', 'HEADER', 0.9), ('partition', 'Footer', 'HEADER', 0.85), ('partition', 'Table', 'TABLE', 0.95), ('partition', 'Image', 'IMAGE', 0.95),
+  ('partition', 'Figure', 'FIGURE', 0.9), ('partition', 'FigureCaption', 'FIGURE', 0.85), ('partition', 'ListItem', 'LIST', 0.9), ('partition', 'BulletedText', 'LIST', 0.85), ('partition', 'NarrativeText', 'TEXT_BLOCK', 0.8),
+  ('partition', 'Text', 'TEXT_BLOCK', 0.75), ('partition', 'UncategorizedText', 'TEXT_BLOCK', 0.7), ('partition', 'Formula', 'CHART', 0.85), ('partition', 'PageBreak', 'UNKNOWN', 0.5),
+  ('detection', 'Title', 'HEADER', 0.9), ('detection', 'Text', 'TEXT_BLOCK', 0.8), ('detection', 'Figure', 'FIGURE', 0.9), ('detection', 'Table', 'TABLE', 0.9), ('detection', 'List', 'LIST', 0.9)) t(model, name, type, confidence))
+SELECT o.model, n.name, coalesce(m.type, 'UNKNOWN') AS type, coalesce(m.confidence, CASE o.model WHEN 'partition' THEN 0.6 ELSE 0.5 END)::DOUBLE AS confidence, count(*) AS n
+FROM documents d JOIN names n ON d.doc_id % {len(_NAMES)} = n.k CROSS JOIN (VALUES ('partition'), ('detection')) o(model) LEFT JOIN m ON m.model = o.model AND m.name = n.name GROUP BY ALL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    name = F.when(c("lang") == "en", "Title").when(c("lang") == "fr", "ListItem").otherwise("Unheard")
-    return load(s, d, "documents").select("lang", map_element(name).alias("m")).groupBy("lang", "m.type", "m.confidence").agg(F.count("*").alias("n"))
+    """Every name of either model and two of none, dealt to the documents."""
+    named = load(s, d, "documents").select(F.element_at(F.array(*map(F.lit, _NAMES)), (c("doc_id") % len(_NAMES) + 1).cast("int")).alias("name"))
+    found = [named.select(F.lit(m).alias("model"), "name", map_element(c("name"), m).alias("m")) for m in ELEMENTS]
+    return found[0].union(found[1]).groupBy("model", "name", "m.type", "m.confidence").agg(F.count("*").alias("n"))
 
 
 @query("layout_box_validation", f"""WITH {_BLOCKS}, b AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN x1 ELSE x0 END - 30 AS x0, CASE WHEN pos % 5 = 0 THEN x0 ELSE x1 END AS x1, y0, CASE WHEN pos % 7 = 0 THEN y0 ELSE y1 END AS y1 FROM blocks),
@@ -178,25 +268,40 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return valid_box(odd, 150, 280)
 
 
-@query("layout_region_overlap", f"""WITH {_BLOCKS}, n AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0B\\f]+'), lambda w: w <> '')) AS ws FROM blocks)
-SELECT b.doc_id, b.pos FROM n b WHERE NOT EXISTS (SELECT 1 FROM n a WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos AND (lower(trim(a.text)) = lower(trim(b.text))
-  OR greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.6
-  OR len(list_intersect(a.ws, b.ws)) / greatest(1, len(list_distinct(list_concat(a.ws, b.ws)))) > 0.7))""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    """Regions that no earlier one of the page covers, repeats or nearly repeats. A page holds few."""
-    n = blocks(s, d).withColumn("ws", words(F.lower("text")))
-    alike = (F.lower(F.trim("a.text")) == F.lower(F.trim("b.text"))) | (intersection("a", "b") / area("b") > 0.6) | ((F.size("a.ws") + F.size("b.ws") > 0) & (jaccard(c("a.ws"), c("b.ws")) > 0.7))
-    same = (c("a.doc_id") == c("b.doc_id")) & (c("a.page") == c("b.page")) & (c("a.pos") < c("b.pos"))
-    return n.alias("b").join(n.alias("a"), same & alike, "left_anti").select("doc_id", "pos")
+_SHIFTED = "sh AS (SELECT doc_id, page, pos, CASE WHEN pos % 3 = 2 THEN substr(lower(text), 3) ELSE text END AS text, x0, (y0 - CASE WHEN pos % 5 = 3 THEN 24.7 ELSE 0 END)::DOUBLE AS y0, x1, (y1 - CASE WHEN pos % 5 = 3 THEN 24.7 ELSE 0 END)::DOUBLE AS y1 FROM blocks UNION ALL SELECT doc_id, page, pos + 1000000, text || ' and', x0 + 500, y0 + 500, x1 + 500, y1 + 500 FROM blocks WHERE pos % 4 = 0)"
 
 
-@query("layout_table_overlap", f"""WITH {_BLOCKS} SELECT b.doc_id, b.pos FROM blocks b WHERE b.block_type <> 'TABLE' AND NOT EXISTS (SELECT 1 FROM blocks a WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.pos % 4 = 1 AND a.pos <> b.pos
-  AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.3)""")
+def _shifted(s: SparkSession, d: str) -> DataFrame:
+    """Blocks with some moved over the one before, some in small letters and cut, and some recognised once more elsewhere."""
+    b, up = blocks(s, d), F.when(c("pos") % 5 == 3, 24.7).otherwise(0)
+    moved = b.select("doc_id", "page", "pos", F.when(c("pos") % 3 == 2, F.expr("substr(lower(text), 3)")).otherwise(c("text")).alias("text"), "x0", (c("y0") - up).cast("double").alias("y0"), "x1", (c("y1") - up).cast("double").alias("y1"))
+    again = b.where("pos % 4 = 0").select("doc_id", "page", c("pos") + 1000000, F.concat("text", F.lit(" and")), *[(c(x) + 500).cast("double") for x in ("x0", "y0", "x1", "y1")])
+    return moved.union(again)
+
+
+_ALIKE = "(len(list_intersect(k.ws, x[1].ws)) / greatest(1, len(list_distinct(list_concat(k.ws, x[1].ws)))))"
+
+
+@query("layout_region_overlap", rf"""WITH {_BLOCKS}, {_SHIFTED}, n AS (SELECT doc_id, page, pos, x0, y0, x1, y1, regexp_replace(regexp_replace(lower(text), '[\n ]', '', 'g'), '^\s+|\s+$', '', 'g') AS cl, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\x0B\f]+'), lambda w: w <> '')) AS ws FROM sh),
+p AS (SELECT doc_id, page, list({{'pos': pos, 'cl': cl, 'ws': ws, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY pos) AS rs FROM n GROUP BY doc_id, page),
+f AS (SELECT doc_id, list_reduce(list_transform(rs, lambda r: [r]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.cl = x[1].cl
+  OR (length(k.cl) > 5 AND length(x[1].cl) > 5 AND (contains(k.cl, x[1].cl) OR contains(x[1].cl, k.cl) OR {_ALIKE} > 0.7 OR (len(k.ws) > 2 AND len(x[1].ws) > 2 AND {_ALIKE} > 0.6)))
+  OR greatest(0, least(k.x1, x[1].x1) - greatest(k.x0, x[1].x0)) * greatest(0, least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0)) > 0.6 * (x[1].x1 - x[1].x0) * (x[1].y1 - x[1].y0))) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM p)
+SELECT doc_id, unnest(list_transform(kept, lambda k: k.pos)) AS pos FROM f""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Text blocks that no table region (here: the second block of a page) covers by more than 0.3."""
-    n = blocks(s, d)
-    covered = (c("a.doc_id") == c("b.doc_id")) & (c("a.page") == c("b.page")) & (c("a.pos") != c("b.pos")) & (intersection("a", "b") / area("b") > 0.3)
-    return n.where("block_type <> 'TABLE'").alias("b").join(n.where("pos % 4 = 1").alias("a"), covered, "left_anti").select("doc_id", "pos")
+    return first_regions(_shifted(s, d))
+
+
+_TABLES = "tb AS (SELECT doc_id, page, x0 + 4.7 AS x0, y0 + 12.3 AS y0, x0 + 4.7 + (x1 - x0) * (pos % 7) / 6.0 AS x1, y1 + 14 AS y1 FROM blocks WHERE pos % 4 = 1)"
+for _variant, (_share, _base) in {"layout_table_overlap": (0.3, "(b.x1 - b.x0) * (b.y1 - b.y0)"), "layout_table_overlap_smaller": (0.5, "least((b.x1 - b.x0) * (b.y1 - b.y0), (a.x1 - a.x0) * (a.y1 - a.y0))")}.items():
+
+    @query(_variant, f"""WITH {_BLOCKS}, {_TABLES} SELECT b.doc_id, b.pos FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM tb a WHERE a.doc_id = b.doc_id AND a.page = b.page AND {_base} > 0
+  AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > {_share} * {_base})""")
+    def _(s: SparkSession, d: str, share: float = _share) -> DataFrame:
+        """Blocks outside of table regions. The test texts have no tables, so a detector's regions are laid over them: each page's second block, shifted and cut."""
+        b = blocks(s, d)
+        regions = b.where("pos % 4 = 1").select("doc_id", "page", F.expr("x0 + 4.7D").alias("x0"), F.expr("y0 + 12.3D").alias("y0"), F.expr("x0 + 4.7D + (x1 - x0) * (pos % 7) / 6.0D").alias("x1"), F.expr("y1 + 14").alias("y1"))
+        return outside_tables(b, regions, share, share == 0.5).select("b.doc_id", "b.pos")
 
 
 @query("layout_page_fill", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)
@@ -231,10 +336,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return group_blocks(_words(s, d))
 
 
-@query("layout_ocr_confidence", f"WITH {_WORDS} SELECT page_id, count(*) AS n, round(avg(h / 12), 6) AS mean FROM w WHERE h / 12 > 0.7 AND trim(text) <> '' GROUP BY 1")
+@query("layout_ocr_confidence", "SELECT l_orderkey AS page_id, count(*) AS n, round(avg(conf), 6) AS mean FROM (SELECT *, (l_orderkey * 31 + l_linenumber * 17) % 11 / 10.0::DOUBLE AS conf FROM lineitem) WHERE conf > 0.3 AND trim(l_returnflag) <> '' GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    good = _words(s, d).where((c("h") / 12 > 0.7) & (F.trim("text") != ""))
-    return good.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.avg(c("h") / 12), 6).alias("mean"))
+    rows = load(s, d, "lineitem").select(c("l_orderkey").alias("page_id"), c("l_returnflag").alias("text"), ((c("l_orderkey") * 31 + c("l_linenumber") * 17) % 11 / F.lit(10.0)).alias("confidence"))
+    return confident(rows).groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
 
 
 @query("layout_merge_native_ocr", """WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents), u AS (SELECT doc_id, pos, 0 AS src, line FROM t UNION ALL SELECT doc_id, pos, 1, upper(left(line, 1)) || substr(line, 2) FROM t WHERE pos % 2 = 0 UNION ALL SELECT doc_id, pos, 1, 'ocr ' || pos FROM t WHERE pos % 4 = 1),

@@ -115,7 +115,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "embeddings").select("vec_id", "embedding", "label")
 
 
-def _asked(s: SparkSession, d: str, every: int = 100) -> DataFrame:
+def _asked(s: SparkSession, d: str, every: int = 50) -> DataFrame:
     """The stated query set: every ``every``-th vector."""
     return _vectors(s, d).where(c("vec_id") % every == 0).select(c("vec_id").alias("query_id"), c("embedding").alias("q"), c("label").alias("q_label"))
 
@@ -125,20 +125,20 @@ _DENSE = lambda every, k, where="TRUE": f"""dense AS (SELECT * FROM (SELECT q.ve
   FROM embeddings q JOIN embeddings e ON q.vec_id % {every} = 0 AND e.vec_id <> q.vec_id WHERE {where}) WHERE rank <= {k})"""
 
 
-@query("search_dense_topk", f"WITH {_DENSE(100, 20, _COS + ' >= 0.25')} SELECT query_id, rank::INT AS rank, vec_id, round(score, 3) AS score, 'src' || label AS source FROM dense")
+@query("search_dense_topk", f"WITH {_DENSE(50, 20, _COS + ' >= 0.25')} SELECT query_id, rank::INT AS rank, vec_id, round(score, 3) AS score, 'src' || label AS source FROM dense")
 def _(s: SparkSession, d: str) -> DataFrame:
     top = dense_topk(_vectors(s, d), _asked(s, d), 20, threshold=0.25)
     return top.select("query_id", "rank", "vec_id", F.round("score", 3).alias("score"), F.concat(F.lit("src"), c("label").cast("string")).alias("source"))
 
 
 @query("search_distance_topk", """SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
-(SELECT q.vec_id AS query_id, e.vec_id, 1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10""")
+(SELECT q.vec_id AS query_id, e.vec_id, 1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10""")
 def _(s: SparkSession, d: str) -> DataFrame:
     top = dense_topk(_vectors(s, d), _asked(s, d), 10, lambda a, b: 1 / (1 + squared_distance(a, b)))
     return top.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("search_retrieval_stats", f"""WITH {_DENSE(100, 5)}, g AS (SELECT query_id, count(*) AS n, max(score) AS most, min(score) AS least, avg(score) AS mean, string_agg(DISTINCT 'src' || label, ',' ORDER BY 'src' || label) AS sources FROM dense GROUP BY 1)
+@query("search_retrieval_stats", f"""WITH {_DENSE(50, 5)}, g AS (SELECT query_id, count(*) AS n, max(score) AS most, min(score) AS least, avg(score) AS mean, string_agg(DISTINCT 'src' || label, ',' ORDER BY 'src' || label) AS sources FROM dense GROUP BY 1)
 SELECT query_id, n, round(most, 6) AS most, round(least, 6) AS least, round(mean, 6) AS mean, sources, round(least(0.9, (CASE WHEN most >= 0.7 THEN 0.8 WHEN most >= 0.5 THEN 0.65 WHEN most >= 0.3 THEN 0.5 WHEN most >= 0.2 THEN 0.35 ELSE 0.25 END)::DOUBLE + least(0.1, 0.02 * n)), 6) AS confidence FROM g""")
 def _(s: SparkSession, d: str) -> DataFrame:
     g = dense_topk(_vectors(s, d), _asked(s, d), 5).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("most"), F.min("score").alias("least"), F.avg("score").alias("mean"), F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("src"), c("label").cast("string")))), ",").alias("sources"))
@@ -154,11 +154,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "benchmark").where(c("item_id") % 10 == 0).select(c("item_id").alias("query_id"), "text")
+    return load(s, d, "benchmark").select(c("item_id").alias("query_id"), "text")
 
 
 _BM25 = f"""docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean_len FROM docs),
-terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 10 = 0),
+terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
 post AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM docs), tf AS (SELECT term, doc_id, count(*) AS tf, any_value(l) AS l FROM post WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2),
 w AS (SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) AS idf, mean_len FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
 sums AS (SELECT query_id, doc_id, sum(idf * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B}::DOUBLE * l / mean_len))) AS score FROM tf JOIN w USING (term) JOIN terms USING (term) GROUP BY 1, 2),
@@ -177,7 +177,7 @@ def _two_lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tuple(x.select("query_id", c("vec_id").alias("item"), "rank", "score") for x in (a, b))
 
 
-_LISTS = f"""{_DENSE(100, 20)}, b0 AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) + (e.vec_id % 7)::DOUBLE / 20 AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+_LISTS = f"""{_DENSE(50, 20)}, b0 AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) + (e.vec_id % 7)::DOUBLE / 20 AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 lb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM b0) WHERE rank <= 12),
 va AS (SELECT query_id, vec_id, 1.0 / ({RRF} + rank) AS rrf, (count(*) OVER q - rank)::DOUBLE AS borda, (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) AS weighted FROM dense WINDOW q AS (PARTITION BY query_id)),
 vb AS (SELECT query_id, vec_id, 1.0 / ({RRF} + rank) AS rrf, (count(*) OVER q - rank)::DOUBLE AS borda, (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) AS weighted FROM lb WINDOW q AS (PARTITION BY query_id))"""

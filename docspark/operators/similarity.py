@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ from docspark.registry import query
 c = F.col
 DOCUMENT, CHUNK = 0.5, 0.6
 METHODS = ("sequence", "jaccard", "cosine", "fuzzy")
+#: The most terms that a cosine looks at, the most frequent of both texts.
+FEATURES = 1000
+
+
+def english_stop_words() -> frozenset[str]:
+    """Spark's own list. Where another one is meant, give it as ``stop``."""
+    return frozenset(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -29,13 +38,18 @@ def jaccard_ratio(a: str, b: str) -> float:
     return 1.0 if not x and not y else len(x & y) / len(x | y)
 
 
-def cosine_ratio(a: str, b: str, stop: frozenset[str] = frozenset()) -> float:
-    """TF-IDF cosine fitted on the two texts alone: a term of both has idf 1, of one 1 + ln(3/2)."""
+def cosine_ratio(a: str, b: str, stop: frozenset[str] = frozenset(), features: int = FEATURES) -> float:
+    """TF-IDF cosine of words (of two characters or more, without stop words) and pairs of neighbours, fitted on the two texts
+    alone: a term of both has idf 1, of one 1 + ln(3/2). Of more than ``features`` terms the most frequent count."""
     grams = []
     for t in (a, b):
         ws = [w for w in re.findall(r"(?u)\b\w\w+\b", t.lower()) if w not in stop]
         grams.append(Counter(ws + [f"{x} {y}" for x, y in zip(ws, ws[1:], strict=False)]))
     x, y = grams
+    if len(x | y) > features:
+        terms = sorted(x | y)
+        chosen = {terms[k] for k in np.argsort(-np.array([x[t] + y[t] for t in terms]))[:features]}
+        x, y = ({t: n for t, n in own.items() if t in chosen} for own in (x, y))
     single = 1 + math.log(1.5)
     norm = [math.sqrt(sum((n * (1 if k in other else single)) ** 2 for k, n in own.items())) for own, other in ((x, y), (y, x))]
     return sum(n * y[k] for k, n in x.items() if k in y) / (norm[0] * norm[1]) if all(norm) else 0.0
@@ -60,26 +74,109 @@ def fuzzy_ratio(a: str, b: str) -> float:
 RATIOS = {"sequence": sequence_ratio, "jaccard": jaccard_ratio, "cosine": cosine_ratio, "fuzzy": fuzzy_ratio}
 
 
-def content_similarity(a: Column, b: Column, method: str = "combined", methods: tuple[str, ...] = METHODS) -> Column:
-    """Of two texts after normalisation: empty 0, equal 1, else the method's value, or the mean of several."""
+def _ratio(methods: tuple[str, ...], stop: frozenset[str]):  # noqa: ANN202
+    """The mean of the methods' values for two normalised texts, or a lower number if it can't reach ``least``.
+
+    Cheap methods come first; sequence and fuzzy values are at most the share of characters that both texts have.
+    """
+    ordered = sorted(methods, key=("jaccard", "cosine", "fuzzy", "sequence").index)
+
+    def run(a: str, b: str, least: float = 0.0) -> float:
+        if a == b:
+            return 1.0
+        letters = [m for m in ordered if m in ("fuzzy", "sequence")]
+        most = 2 * sum((Counter(a) & Counter(b)).values()) / max(1, len(a) + len(b)) if letters and least > 0 else 1.0
+        total, left = 0.0, len(ordered) - len(letters) + most * len(letters)
+        for m in ordered:
+            if least > 0 and (total + left) / len(ordered) < least - 1e-9:
+                return -1.0
+            left -= most if m in letters else 1.0
+            total += cosine_ratio(a, b, stop) if m == "cosine" else RATIOS[m](a, b)
+        return total / len(ordered)
+
+    return run
+
+
+def _methods(method: str, methods: tuple[str, ...]) -> tuple[str, ...]:
     if method != "combined" and method not in RATIOS:
         raise ValueError(f"unknown method {method}")
-    used = [RATIOS[m] for m in (methods if method == "combined" else (method,))]
+    return methods if method == "combined" else (method,)
+
+
+def content_similarity(a: Column, b: Column, method: str = "combined", methods: tuple[str, ...] = METHODS, stop: frozenset[str] | None = None) -> Column:
+    """Of two texts after normalisation: empty 0, equal 1, else the method's value, or the mean of several."""
+    ratio = _ratio(_methods(method, methods), english_stop_words() if stop is None else stop)
 
     @F.arrow_udf("double")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([0.0 if not p or not q else 1.0 if p == q else sum(f(p, q) for f in used) / len(used) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+        return pa.array([0.0 if p is None or q is None else ratio(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
     empty = lambda t: F.coalesce(t, F.lit("")) == ""
     return F.when(empty(a) | empty(b), 0.0).otherwise(run(similarity_normalise(a), similarity_normalise(b)))
 
 
-def greedy_dedup(texts: Column, threshold: float, floor: float = CHUNK) -> Column:
-    """First-wins: a text stays unless its word-set Jaccard with one that stayed reaches the threshold (not under the floor)."""
-    t = max(threshold, floor)
-    start = F.array().cast("array<string>")
-    alike = lambda kept, x: F.exists(kept, lambda k: jaccard(words(F.lower(k)), words(F.lower(x))) >= t)
-    return F.reduce(F.filter(texts, lambda x: F.trim(x) != ""), start, lambda kept, x: F.when(alike(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+def documents_similar(a: Column, b: Column, threshold: float = DOCUMENT, method: str = "combined") -> Column:
+    """(is_similar, similarity) of two documents."""
+    x = content_similarity(a, b, method)
+    return F.struct((x >= threshold).alias("is_similar"), x.alias("similarity"))
+
+
+def chunks_similar(a: Column, b: Column, threshold: float = DOCUMENT, method: str = "combined") -> Column:
+    """As for documents, with a threshold of 0.6 at least."""
+    return documents_similar(a, b, max(threshold, CHUNK), method)
+
+
+def first_of_alike(texts: Column, threshold: float, method: str = "combined", methods: tuple[str, ...] = METHODS, stop: frozenset[str] | None = None) -> Column:
+    """The positions of an array's texts that stay: first wins, a later one goes if it is as similar as ``threshold`` to one that
+    stayed. Null and empty texts go. Texts are compared as they are given; ``similarity_normalise`` them before.
+
+    Word sets meet by an index of the words of those that stayed, so Jaccard values cost no more than the words they share.
+    """
+    used = _methods(method, methods)
+    ratio = _ratio(used, english_stop_words() if stop is None else stop)
+
+    def by_words(group: list[str | None]) -> list[int]:
+        kept, sizes, holders = [], [], {}
+        for k, t in enumerate(group):
+            if not t:
+                continue
+            own = set(t.split())
+            shared = Counter(j for w in own for j in holders.get(w, ()))
+            if (not own and 0 in sizes) or any(n / (len(own) + sizes[j] - n) >= threshold for j, n in shared.items()):
+                continue
+            for w in own:
+                holders.setdefault(w, []).append(len(sizes))
+            sizes.append(len(own))
+            kept.append(k)
+        return kept
+
+    def one_by_one(group: list[str | None]) -> list[int]:
+        kept: list[int] = []
+        for k, t in enumerate(group):
+            if t and not any(ratio(t, group[j], threshold) >= threshold for j in kept):
+                kept.append(k)
+        return kept
+
+    @F.arrow_udf("array<int>")
+    def run(x: pa.Array) -> pa.Array:
+        find = by_words if used == ("jaccard",) and threshold > 0 else one_by_one
+        return pa.array([None if g is None else find(g) for g in x.to_pylist()], pa.list_(pa.int32()))
+
+    return run(texts)
+
+
+def deduplicate(texts: Column, threshold: float = DOCUMENT, method: str = "combined") -> Column:
+    """The texts of an array without near repeats of an earlier one, at a threshold of 0.6 at least."""
+    at = first_of_alike(F.transform(texts, similarity_normalise), max(threshold, CHUNK), method)
+    return F.transform(at, lambda k: F.get(texts, k))
+
+
+def filter_alike(results: DataFrame, by: list[str], order: list[str], content: str = "content", threshold: float = DOCUMENT, method: str = "combined") -> DataFrame:
+    """Results in order, by group, without those as similar as ``threshold`` to a better one. A group's results are few."""
+    row = F.struct(*order, F.struct("*").alias("row"), c(content).alias("content"))
+    groups = results.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    at = first_of_alike(F.transform("rs", lambda r: similarity_normalise(r["content"])), threshold, method)
+    return groups.select(F.explode(F.transform(at, lambda k: F.get("rs", k))).alias("r")).select("r.row.*")
 
 
 def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str = "text") -> DataFrame:
@@ -141,16 +238,31 @@ f AS (SELECT doc_id, len(sets) AS n, list_reduce(sets, lambda kept, x: CASE WHEN
 SELECT doc_id, n::INT AS n_lines, len(kept)::INT AS n_kept FROM f""")
 def _(s: SparkSession, d: str) -> DataFrame:
     lines = load(s, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("xs"))
-    return lines.where(F.size("xs") > 0).select("doc_id", F.size("xs").alias("n_lines"), F.size(greedy_dedup(c("xs"), 0.5)).alias("n_kept"))
+    kept = first_of_alike(F.transform("xs", F.lower), CHUNK, "jaccard")
+    return lines.where(F.size("xs") > 0).select("doc_id", F.size("xs").alias("n_lines"), F.size(kept).alias("n_kept"))
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    turns = load(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    return turns.select("conv_id", F.transform("ts", lambda t: t["text"]).alias("texts"))
 
 
-@query("similarity_document_pairs", f"""WITH w AS (SELECT ws, min(item_id) AS id FROM (SELECT item_id, list_sort({_SET('text')}) AS ws FROM benchmark) GROUP BY ws)
-SELECT a.id AS a, b.id AS b, round({_JACCARD('a.ws', 'b.ws')}, 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE {_JACCARD('a.ws', 'b.ws')} >= 0.0401""")
+@query("similarity_dedup_combined")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(load(s, d, "benchmark"), 0.0401, "item_id").withColumn("similarity", F.round("similarity", 6))
+    kept = deduplicate(c("texts"))
+    return _turns(s, d).select("conv_id", F.size("texts").alias("n_turns"), F.size(kept).alias("n_kept"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
 
 
-@query("similarity_all_document_pairs")
+@query("similarity_filter_results")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Of each conversation's turns, as results in order, those unlike any before."""
+    return filter_alike(load(s, d, "conversations").withColumnRenamed("text", "content"), ["conv_id"], ["turn"]).select("conv_id", "turn")
+
+
+@query("similarity_document_pairs", f"""WITH w AS (SELECT doc_id, list_sort({_SET('text')}) AS ws FROM documents), g AS (SELECT ws, min(doc_id) AS id FROM w WHERE len(ws) > 0 GROUP BY ws), u AS (SELECT id, len(ws) AS n, unnest(ws) AS x FROM g),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.n) + any_value(b.n) AS n FROM u a JOIN u b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n) GROUP BY 1, 2)
+SELECT a, b, round(k / (n - k), 6) AS similarity FROM p WHERE k / (n - k) >= {DOCUMENT}
+UNION ALL SELECT id, doc_id, 1.0 FROM g JOIN w USING (ws) WHERE doc_id > id""")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Pairs of alike documents. Those with one word set are listed once each, with the first of them; a pair of
     different sets stands for all their documents, so no group of copies grows with its square."""
@@ -179,12 +291,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _neighbours(s, d).select("conv_id", "turn", F.round(content_similarity(c("a"), c("b"), "jaccard"), 6).alias("similarity"))
 
 
-@query("similarity_existing_document", f"""WITH w AS (SELECT doc_id, source, {_SET('text')} AS ws FROM documents WHERE lang = 'es'), f AS (SELECT source, arg_min(doc_id, doc_id) AS first_id, arg_min(ws, doc_id) AS ws FROM w GROUP BY source)
+@query("similarity_existing_document", f"""WITH w AS (SELECT doc_id, source, {_SET('text')} AS ws FROM documents), f AS (SELECT source, arg_min(doc_id, doc_id) AS first_id, arg_min(ws, doc_id) AS ws FROM w GROUP BY source)
 SELECT w.doc_id, first_id, round({_JACCARD('w.ws', 'f.ws')}, 6) AS similarity, {_JACCARD('w.ws', 'f.ws')} >= 0.5 AS is_same FROM w JOIN f USING (source)""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return existing_document(load(s, d, "documents").where("lang = 'es'"))
-
-
-@query("similarity_existing_all_documents")
 def _(s: SparkSession, d: str) -> DataFrame:
     return existing_document(load(s, d, "documents"))

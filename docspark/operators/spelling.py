@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
 c = F.col
-#: Fixed protection rules: words that never become one of the blocked corrections.
+#: Words that never become one of the blocked corrections.
 RULES = (
-    (("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"), ("TOW", "OEI", "PMA", "FIV", "SIX")),
-    (("act", "acts", "passenger", "passengers", "was", "may", "can", "use", "way"), ("ACT", "PAX", "WAS", "MAY", "CAN", "USE", "WAY")),
-    (("a", "an", "the", "is", "are", "was", "were", "have", "has", "had", "do", "does", "did"), ("THE", "ARE", "WAS", "HAD", "DID")),
+    ("one two three four five six seven eight nine ten", "TOW OEI PMA FIV SIX"),
+    (
+        "the and or but for at by to of in on with good bad big small new old first last next best act acts action actions passenger passengers can may "
+        "will shall must should could would need want like use used using way ways work works working",
+        "ACT PAX THE AND BIG BAD CAN MAY USE WAY WAS",
+    ),
+    ("a an the is are was were be been being have has had do does did will would could should", "THE ARE WAS HAD DID"),
+    ("act acts passenger passengers was may can use way", "ACT PAX WAS MAY CAN USE WAY"),
 )
+#: Dictionaries up to this size are broadcast, larger ones joined.
+MOST = 1_000_000
+CORRECTED = "corrected string, corrections array<struct<pos:int,original:string,corrected:string,method:string>>, total_words bigint, n_blocked bigint"
 ENTRY = "term string, standard_spelling string, acronym string, expanded string, aliases array<string>, common_misspellings array<string>"
 
 
@@ -27,29 +41,69 @@ def lookups(entries: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).where("word <> '' and word is not null").groupBy("word").agg(F.min(F.struct("kind", "right")).alias("m")).select("word", c("m.right").alias("correction"), c("m.kind").alias("kind"))
 
 
-def blocked(word: Column, correction: Column) -> Column:
-    out = F.lit(False)
+def blocked_pairs() -> dict[str, frozenset[str]]:
+    """For each protected word the corrections, in capitals, that it never becomes."""
+    found: dict[str, set[str]] = {}
     for protected, never in RULES:
-        out = out | (F.lower(word).isin(*protected) & F.upper(correction).isin(*never))
-    return out
+        for word in protected.split():
+            found.setdefault(word, set()).update(never.split())
+    return {word: frozenset(never) for word, never in found.items()}
+
+
+def _plain(text: str) -> str:
+    """NFKC, plain dashes and quotes, words that a line break had cut put together."""
+    text = unicodedata.normalize("NFKC", text).translate({0x2013: "-", 0x2014: "-", 0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})
+    return re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", text)
 
 
-def correct_contextual(docs: DataFrame, entries: DataFrame, use_rules: bool = True) -> DataFrame:
-    """(doc_id, corrected, corrections): words with a hyphen or slash and words of one or two characters stay.
+def correct_contextual(docs: DataFrame, entries: DataFrame, use_rules: bool = True, most: int = MOST) -> DataFrame:
+    """(doc_id, corrected, corrections, total_words, n_blocked) of normalised texts, in place: words with a hyphen or slash and
+    words of one or two characters stay, separators are untouched. Null texts count as empty.
 
-    Tokens are looked up by a broadcast join if the dictionary is small enough for the optimiser, else by a
-    shuffled one; the text is put together again in order, separators untouched.
+    A dictionary of up to ``most`` words is broadcast and nothing is shuffled. Of a larger one the texts' different words are joined
+    with it, and each document gets those of its words that it has.
     """
-    parts = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_\-/]+|[^A-Za-z0-9_\-/]+"), F.lit(0))
-    tokens = docs.select("doc_id", F.posexplode(parts).alias("pos", "tok"))
-    eligible = (F.length("tok") > 2) & ~c("tok").rlike("[-/]")
-    found = tokens.withColumn("word", F.when(eligible, F.lower("tok"))).join(lookups(entries), "word", "left")
-    stop = blocked(c("tok"), c("correction")) if use_rules else F.lit(False)
-    method = F.when(c("correction").isNull(), "no_correction").when(stop, "context_blocked").when(c("kind") == 0, "dictionary_match").otherwise("misspelling_correction")
-    done = found.withColumn("method", method).withColumn("new", F.when(c("method").isin("dictionary_match", "misspelling_correction"), c("correction")).otherwise(c("tok")))
-    changed = F.when(c("new") != c("tok"), F.struct("pos", c("tok").alias("original"), c("new").alias("corrected"), "method"))
-    grouped = done.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("ts"), F.array_sort(F.collect_list(changed)).alias("corrections"), F.count_if(c("tok").rlike("[A-Za-z0-9]")).alias("total_words"), F.count_if(c("method") == "context_blocked").alias("n_blocked"))
-    return grouped.select("doc_id", F.array_join(F.transform("ts", lambda x: x["new"]), "").alias("corrected"), "corrections", "total_words", "n_blocked")
+    shuffled = lookups(entries)
+    rows = shuffled.limit(most + 1).collect()
+    barred = blocked_pairs() if use_rules else {}
+    parts, word = re.compile(r"[A-Za-z0-9_\-/]+|[^A-Za-z0-9_\-/]+").findall, re.compile(r"[A-Za-z0-9]").search
+    eligible = lambda t: len(t) > 2 and "-" not in t and "/" not in t
+
+    def fixed(text: str, known: dict) -> dict:
+        out, changed, total, stopped = [], [], 0, 0
+        for pos, token in enumerate(parts(_plain(text))):
+            new = token
+            if word(token):
+                total += 1
+                if eligible(token) and (found := known.get(token.lower())):
+                    if found[0].upper() in barred.get(token.lower(), ()):
+                        stopped += 1
+                    elif (new := found[0]) != token:
+                        changed.append({"pos": pos, "original": token, "corrected": new, "method": "misspelling_correction" if found[1] else "dictionary_match"})
+            out.append(new)
+        return {"corrected": "".join(out), "corrections": changed, "total_words": total, "n_blocked": stopped}
+
+    kind = pa.struct(list(to_arrow_schema(DataType.fromDDL(CORRECTED))))
+    if len(rows) <= most:
+        shared = docs.sparkSession.sparkContext.broadcast({r["word"]: (r["correction"], r["kind"]) for r in rows})
+
+        @F.arrow_udf(CORRECTED)
+        def run(x: pa.Array) -> pa.Array:
+            return pa.array([fixed(t or "", shared.value) for t in x.to_pylist()], kind)
+
+        return docs.select("doc_id", run("text").alias("x")).select("doc_id", "x.*")
+
+    @F.arrow_udf("array<string>")
+    def asked(x: pa.Array) -> pa.Array:
+        return pa.array([sorted({t.lower() for t in parts(_plain(v or "")) if eligible(t) and word(t)}) for v in x.to_pylist()], pa.list_(pa.string()))
+
+    @F.arrow_udf(CORRECTED)
+    def run_own(x: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array([fixed(t or "", {e["word"]: (e["correction"], e["kind"]) for e in own or ()}) for t, own in zip(x.to_pylist(), known.to_pylist(), strict=True)], kind)
+
+    words_ = docs.select("doc_id", F.explode(asked("text")).alias("word")).join(shuffled, "word")
+    own = words_.groupBy("doc_id").agg(F.collect_list(F.struct("word", "correction", "kind")).alias("known"))
+    return docs.join(own, "doc_id", "left").select("doc_id", run_own("text", "known").alias("x")).select("doc_id", "x.*")
 
 
 def split_long_tokens(tokens: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,7 +129,7 @@ def fuzzy_candidates(tokens: DataFrame, known: DataFrame, most: int = 1) -> Data
 # --- queries ---------------------------------------------------------------------------------------------
 
 #: A small terminology for the test texts: (term, standard, acronym, aliases, misspellings).
-TERMS = (("heat", "HEAT", "ht", ("that", "heater"), ("haet", "the")), ("passenger", "PAX", "was", (), ("edin", "nder")), ("ation", "Action", "act", ("tion",), ("onre",)), ("reer", None, None, ("ster",), ("oner", "enti")))
+TERMS = (("heat", "HEAT", "ht", ("that", "heater"), ("haet", "the")), ("passenger", "PAX", "was", (), ("edin", "nder")), ("ation", "Action", "act", ("tion",), ("onre",)), ("reer", None, None, ("ster",), ("oner", "enti")), ("landing gear", "AND", None, ("and", "for", "ander"), ("mit",)), ("six pack", " Six ", "", ("one", "ten"), ("als",)), ("hadron", "HAD", None, ("have", "des"), ("la",)))
 
 
 def terminology(s: SparkSession) -> DataFrame:
@@ -84,10 +138,15 @@ def terminology(s: SparkSession) -> DataFrame:
     return s.sql(" union all ".join(f"select {lit(t)} term, {lit(st)} standard_spelling, {lit(ac)} acronym, cast(null as string) expanded, {arr(al)} aliases, {arr(ms)} common_misspellings" for t, st, ac, al, ms in TERMS))
 
 
-#: The lookup that follows from TERMS, as SQL states it.
-_LOOKUP = "lk AS (SELECT * FROM (VALUES ('heat', 'HEAT', 0), ('ht', 'HEAT', 0), ('that', 'HEAT', 0), ('heater', 'HEAT', 0), ('haet', 'HEAT', 1), ('the', 'HEAT', 1), ('pax', 'PAX', 0), ('passenger', 'PAX', 0), ('was', 'PAX', 0), ('edin', 'PAX', 1), ('nder', 'PAX', 1), ('action', 'Action', 0), ('ation', 'Action', 0), ('act', 'Action', 0), ('tion', 'Action', 0), ('onre', 'Action', 1), ('reer', 'reer', 0), ('ster', 'reer', 0), ('oner', 'reer', 1), ('enti', 'reer', 1)) t(word, correction, kind))"
-_TOKENS = r"""tk AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_\-/]+|[^A-Za-z0-9_\-/]+') AS ts FROM documents)),
-dn AS (SELECT doc_id, pos, tok, CASE WHEN correction IS NULL THEN 'no_correction' WHEN lower(tok) IN ('act', 'acts', 'passenger', 'passengers', 'was', 'may', 'can', 'use', 'way') AND upper(correction) IN ('ACT', 'PAX', 'WAS', 'MAY', 'CAN', 'USE', 'WAY') THEN 'context_blocked' WHEN kind = 0 THEN 'dictionary_match' ELSE 'misspelling_correction' END AS method, correction
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+_VALUE = lambda x: "NULL" if x is None else f"'{x}'"
+_LOOKUP = f"""en(term, standard, acronym, aliases, wrong) AS (VALUES {', '.join(f"({_VALUE(t)}, {_VALUE(st)}, {_VALUE(ac)}, {_LIST(al)}, {_LIST(ms)})" for t, st, ac, al, ms in TERMS)}),
+rt AS (SELECT *, trim(coalesce(nullif(trim(standard), ''), term)) AS correction FROM en), fm AS (SELECT unnest(list_concat([correction, term, acronym], aliases)) AS w, correction, 0 AS kind FROM rt UNION ALL SELECT unnest(wrong), correction, 1 FROM rt),
+lk AS (SELECT lower(trim(w)) AS word, arg_min(correction, (kind, correction)) AS correction, min(kind) AS kind FROM fm WHERE trim(w) <> '' GROUP BY 1)"""
+_BARRED = " OR ".join(f"(lower(tok) IN ({', '.join(repr(w) for w in words_.split())}) AND upper(correction) IN ({', '.join(repr(w) for w in never.split())}))" for words_, never in RULES)
+_TOKENS = rf"""tx AS (SELECT doc_id, regexp_replace(replace(replace(nfc_normalize(text), chr(8211), '-'), chr(8212), '-'), '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g') AS text FROM documents),
+tk AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_\-/]+|[^A-Za-z0-9_\-/]+') AS ts FROM tx)),
+dn AS (SELECT doc_id, pos, tok, CASE WHEN correction IS NULL THEN 'no_correction' WHEN {_BARRED} THEN 'context_blocked' WHEN kind = 0 THEN 'dictionary_match' ELSE 'misspelling_correction' END AS method, correction
   FROM tk LEFT JOIN lk ON lk.word = lower(tok) AND length(tok) > 2 AND NOT regexp_matches(tok, '[-/]')), nw AS (SELECT *, CASE WHEN method IN ('dictionary_match', 'misspelling_correction') THEN correction ELSE tok END AS new FROM dn)"""
 
 
@@ -108,10 +167,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return lookups(terminology(s))
 
 
-def _english(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
-
-
 def _all_tokens(s: SparkSession, d: str) -> DataFrame:
     """Tokens of every language, of letters of any alphabet."""
     return load(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
@@ -121,37 +176,19 @@ def _frequent(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
 
 
-@query("spelling_split_all_tokens")
+@query("spelling_split_tokens", r"""WITH tk AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM documents), cnt AS (SELECT token, count(*) AS n FROM tk GROUP BY 1), known AS (SELECT token AS word FROM cnt WHERE n >= 100), u AS (SELECT token FROM cnt WHERE length(token) >= 8 AND n < 100), x AS (SELECT token, unnest(range(3, length(token) - 2)) AS i FROM u)
+SELECT token, arg_min(substr(token, 1, i), i) AS "left", arg_min(substr(token, i + 1), i) AS "right" FROM x WHERE substr(token, 1, i) IN (SELECT word FROM known) AND substr(token, i + 1) IN (SELECT word FROM known) GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
     tokens = _all_tokens(s, d)
     return split_long_tokens(tokens, _frequent(tokens))
 
 
-@query("spelling_fuzzy_all")
+@query("spelling_fuzzy")
 def _(s: SparkSession, d: str) -> DataFrame:
     tokens = _all_tokens(s, d)
     return fuzzy_candidates(tokens, _frequent(tokens))
 
 
-_EN = "en AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en'), cnt AS (SELECT token, count(*) AS n FROM en GROUP BY 1), known AS (SELECT token AS word FROM cnt WHERE n >= 100)"
-
-
-@query("spelling_split_tokens", f"""WITH {_EN}, u AS (SELECT token FROM cnt WHERE length(token) >= 8 AND n < 100), x AS (SELECT token, unnest(range(3, length(token) - 2)) AS i FROM u)
-SELECT token, arg_min(substr(token, 1, i), i) AS "left", arg_min(substr(token, i + 1), i) AS "right" FROM x WHERE substr(token, 1, i) IN (SELECT word FROM known) AND substr(token, i + 1) IN (SELECT word FROM known) GROUP BY 1""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    tokens = _english(s, d)
-    known = tokens.groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
-    return split_long_tokens(tokens, known)
-
-
-@query("spelling_fuzzy", f"""WITH {_EN}, p AS (SELECT token, word, levenshtein(token, word) AS distance FROM cnt, known WHERE length(token) BETWEEN 3 AND 6 AND abs(length(token) - length(word)) <= 1 AND levenshtein(token, word) <= 1)
-SELECT token, arg_min(word, (distance, word)) AS word, min(distance)::INT AS distance FROM p GROUP BY 1""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    tokens = _english(s, d)
-    known = tokens.groupBy("token").count().where("count >= 100").select(c("token").alias("word"))
-    return fuzzy_candidates(tokens.where(F.length("token").between(3, 6)), known)
-
-
 @query("spelling_garbage_filter", r"""SELECT doc_id, len(list_filter(ts, lambda t: NOT regexp_full_match(t, '[^A-Za-z0-9]+') AND length(t) > 2))::INT AS n_kept FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\f]+'), lambda t: t <> '') AS ts FROM documents)""")
 def _(s: SparkSession, d: str) -> DataFrame:
     ts = F.filter(F.split("text", r"[ \t\n\r\x0B\f]+"), lambda t: t != "")
@@ -166,34 +203,3 @@ def _(s: SparkSession, d: str) -> DataFrame:
         a, b = phrase.split(" ")
         t = F.regexp_replace(t, rf"(?i)\b({a}) ({b})\b", "$1_$2")
     return load(s, d, "documents").select("doc_id", F.md5(t).alias("protected_md5"))
-
-
-# --- the enhanced corrector: protection, exact, fuzzy, word list -------------------------------------------
-
-
-def correct_enhanced(docs: DataFrame, entries: DataFrame, known: DataFrame, acronyms: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, token, corrected, method, n): distinct tokens with what becomes of them, by document.
-
-    A token of one character stays; compounds (``-/_``), numbers, acronyms, codes, ALL CAPS and Titlecase are
-    protected; then the terminology decides, then its closest term at distance one (tokens of four characters
-    or more that aren't known words), then the closest known word for unknown lower-case tokens over six characters.
-    """
-    tok = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9_\-/]*"), F.lit(0))
-    counts = docs.select("doc_id", F.explode(tok).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
-    t, low = c("tok"), F.lower("tok")
-    guard = F.when(F.length(t) < 2, "short").when(t.rlike("[-/_]"), "compound").when(t.rlike("^[0-9]+$"), "numeric").when(t.isin(*acronyms) | t.rlike(r"^[A-Za-z]\d+[A-Za-z]?$") | t.rlike("^[A-Z]{2,}$") | t.rlike("^[A-Z][a-z]+$"), "protected")
-    distinct = counts.select("tok").distinct().withColumn("guard", guard).withColumn("low", low)
-    exact = lookups(entries).where("kind = 0").select(c("word").alias("low"), "correction")
-    found = distinct.join(exact, "low", "left").join(known.select(c("word").alias("low"), F.lit(True).alias("is_known")), "low", "left")
-    open_ = found.where("guard is null and correction is null and is_known is null and length(tok) >= 4").select(c("low").alias("token")).distinct()
-    fuzzy = fuzzy_candidates(open_, exact.select(c("low").alias("word"))).join(exact.select(c("low").alias("word"), "correction"), "word").select(c("token").alias("low"), c("correction").alias("near_term"))
-    listed = fuzzy_candidates(open_.where(F.length("token") > 6), known).select(c("token").alias("low"), c("word").alias("near_word"))
-    done = found.join(fuzzy, "low", "left").join(listed, "low", "left")
-    chosen = done.select("tok", F.when(c("guard").isNotNull(), F.struct(c("tok").alias("t"), c("guard").alias("m"))).when(c("correction").isNotNull(), F.struct(c("correction").alias("t"), F.lit("exact").alias("m"))).when(c("near_term").isNotNull(), F.struct(c("near_term").alias("t"), F.lit("fuzzy").alias("m"))).when(c("near_word").isNotNull(), F.struct(c("near_word").alias("t"), F.lit("word_list").alias("m"))).otherwise(F.struct(c("tok").alias("t"), F.lit("unchanged").alias("m"))).alias("x"))
-    return counts.join(chosen, "tok").select("doc_id", c("tok").alias("token"), c("x.t").alias("corrected"), c("x.m").alias("method"), "n")
-
-
-@query("spelling_enhanced")
-def _(s: SparkSession, d: str) -> DataFrame:
-    x = correct_enhanced(load(s, d, "documents").select("doc_id", "text"), terminology(s), _frequent(_all_tokens(s, d)))
-    return x.groupBy("method").agg(F.sum("n").alias("n"), F.countDistinct("token").alias("n_tokens"))

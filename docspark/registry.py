@@ -18,6 +18,7 @@ MODULES = (
     "docspark.operators.search",
     "docspark.operators.layout",
     "docspark.operators.spelling",
+    "docspark.operators.correctors",
     "docspark.operators.reports",
     "docspark.operators.content",
     "docspark.plans.flows",

@@ -1,6 +1,7 @@
 """Rules and boundaries of the operators on literal rows."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import scalars
-from docspark.operators import catalog, chunking, files, similarity, spelling
+from docspark.operators import catalog, chunking, correctors, files, layout, similarity, spelling
 from docspark.sources import readers
 from docspark.sources.sinks import Collection, write_csv
 from docspark.streaming import jobs
@@ -99,11 +100,25 @@ def test_block_chunks_stay_on_pages(spark):
     assert [r["content"] for r in found] == ["x" * 1500, "[Page 1, HEADER] " + "y" * 600, "z"]
 
 
-def test_spelling(spark):
-    docs = spark.createDataFrame([(1, "Haet and was a-heat, the onre! ster")], "doc_id int, text string")
-    row = spelling.correct_contextual(docs, spelling.terminology(spark)).first()
-    assert row["corrected"] == "HEAT and was a-heat, HEAT Action! reer" and row["n_blocked"] == 1
-    assert [(x["original"], x["method"]) for x in row["corrections"]] == [("Haet", "misspelling_correction"), ("the", "misspelling_correction"), ("onre", "misspelling_correction"), ("ster", "dictionary_match")]
+@pytest.mark.parametrize("most", [1000, 0])
+def test_spelling(spark, most):
+    """By a broadcast dictionary and by a joined one; protected words stay, text is normalised, separators are kept."""
+    docs = spark.createDataFrame([(1, "Haet and was a-heat, the onre! ster"), (2, "for have ander one ten \uff48eat in-\n spect x\u2014y"), (3, None)], "doc_id int, text string")
+    found = {r["doc_id"]: r for r in spelling.correct_contextual(docs, spelling.terminology(spark), most=most).collect()}
+    assert found[1]["corrected"] == "HEAT and was a-heat, HEAT Action! reer" and found[1]["n_blocked"] == 2
+    assert [(x["original"], x["method"]) for x in found[1]["corrections"]] == [("Haet", "misspelling_correction"), ("the", "misspelling_correction"), ("onre", "misspelling_correction"), ("ster", "dictionary_match")]
+    assert found[2]["corrected"] == "for have AND one ten HEAT inspect x-y" and found[2]["n_blocked"] == 4
+    assert found[3]["corrected"] == "" and found[3]["total_words"] == 0
+
+
+#: Protected words with a correction that each never becomes, as the rules are written down in the survey's source.
+BARRED = [("one", "TOW"), ("seven", "FIV"), ("the", "AND"), ("with", "BAD"), ("work", "CAN"), ("best", "BIG"), ("could", "WAY"), ("actions", "ACT"), ("using", "USE"), ("need", "MAY"), ("been", "WAS"), ("had", "THE"), ("were", "DID"), ("an", "HAD"), ("way", "PAX"), ("passengers", "WAS")]
+
+
+def test_every_protection_rule():
+    barred = spelling.blocked_pairs()
+    assert all(never in barred[word] for word, never in BARRED) and len(barred) == 72
+    assert "TOW" not in barred["the"] and "BIG" not in barred["been"] and "house" not in barred
 
 
 def test_insert_or_get(spark):
@@ -209,13 +224,64 @@ def test_ask_without_hits(spark):
         flows.retrieve(chunks, questions, method="other")
 
 
-def test_enhanced_spelling(spark):
-    docs = spark.createDataFrame([(1, "Heat that haters heatex was AB12 x ok-no 42 considerr NASA zzz")], "doc_id int, text string")
-    known = spark.createDataFrame([("consider",), ("haters",)], "word string")
-    found = {r["token"]: (r["corrected"], r["method"]) for r in spelling.correct_enhanced(docs, spelling.terminology(spark), known).collect()}
-    assert found["that"] == ("HEAT", "exact") and found["heatex"] == ("HEAT", "fuzzy") and found["considerr"] == ("consider", "word_list")
-    assert found["Heat"][1] == found["NASA"][1] == "protected" and found["ok-no"][1] == "compound" and found["42"][1] == "numeric" and found["x"][1] == "short"
-    assert found["haters"] == ("haters", "unchanged") and found["zzz"] == ("zzz", "unchanged")
+def speller():
+    terms = {"heat": "HEAT", "alternator": "alternator", "maintenance check": "Maintenance Check", "airworthiness": "airworthiness", "certification": "certification"}
+    words = {"consider": 5, "considered": 9, "haters": 1, "tool": 3, "kit": 2, "house": 4, "mouse": 7, "form": 2}
+    return correctors.Corrector(terms, words, frozenset({"ntsb"}), frozenset({"alternation"}))
+
+
+def test_correct_word_of_each_corrector():
+    by = speller()
+    enhanced = {"x": "too_short", "ok-no": "compound_term", "42": "numeric", "NASA": "protected_term", "Heat": "protected_term", "f16": "protected_term", "ntsb": "protected_term", "heat": "exact_match", "alternators": "levenshtein_skip", "alternatar": "no_correction", "certificatioon": "levenshtein_skip", "xcertificationy": "fuzzy_match", "hous": "spellcheck_levenshtein_skip", "considerd": "conservative_spellcheck", "haters": "no_correction", "zzz": "no_correction"}
+    assert {w: by.enhanced(w)[2] for w in enhanced} == enhanced
+    assert by.enhanced("xcertificationy") == ("certification", True, "fuzzy_match") and by.enhanced("considerd")[0] == "considered"
+    assert by.command_line("hous") == ("house", True, "conservative_spellcheck") and by.command_line("ab")[2] == "too_short" and by.command_line("certificatioon")[2] == "fuzzy_match"
+    assert by.latest("maintenance_check") == ("Maintenance Check", True, "phrase") and by.latest("alternatrs")[0] == "alternator" and by.latest("louse")[0] == "mouse"
+    memo = {}
+    assert by.text("Maintenance check, toolhouse! ab heat louse", "latest", memo)["text"] == "Maintenance Check tool house HEAT mouse"
+    assert by.text("heat,  considerd\n-x!", "enhanced", {})["text"] == "HEAT,  considered\n-x!"
+    assert by.text("heat toolkit", "command_line", {})["text"] == "HEAT toolkit"
+
+
+def test_fuzzy_terms_and_suggestions_against_brute_force():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 22)))
+    terms = {w: w for w in sorted({word() for _ in range(120)})}
+    by = correctors.Corrector(terms, {word(): rng.randint(1, 3) for _ in range(80)})
+
+    def lcs(a, b):
+        rows = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, rows[j + 1] = rows[j + 1], last + 1 if x == y else max(rows[j], rows[j + 1])
+        return rows[-1]
+
+    hits = 0
+    for _ in range(400):
+        w = list(rng.choice(list(terms)))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "a", "bc", "x"])
+        w = "".join(w) or "a"
+        for cutoff in (90, 92, 95):
+            scored = [(-200 * lcs(w, t) / (len(w) + len(t)), k, t) for k, t in enumerate(terms)]
+            best = min(scored)
+            assert by.fuzzy(w, cutoff) == (best[2] if -best[0] >= cutoff else None)
+            hits += -best[0] >= cutoff
+        near = {n: [v for v in by.words if correctors.edit_distance(w, v, True) == n] for n in (1, 2)}
+        assert by.suggestion(w) == (None if w in by.words else min(near[1] or near[2], key=lambda v: (-by.words[v], v), default=None))
+    assert hits > 100
+
+
+def test_corrected_texts(spark):
+    docs = spark.createDataFrame([(1, "heat that haters considerr"), (2, None), (3, "")], "doc_id int, text string")
+    known = spark.createDataFrame([("consider", 3), ("haters", 1)], "word string, count int")
+    by = correctors.corrector(spelling.terminology(spark), known)
+    found = {r["doc_id"]: r["corrected"] for r in correctors.correct(docs, by).collect()}
+    assert found == {1: "HEAT HEAT haters consider", 2: None, 3: ""}
+    assert correctors.correct(docs, by, "latest").where("doc_id = 1").first()["corrected"] == "HEAT HEAT haters consider"
+    with pytest.raises(ValueError, match="unknown corrector"):
+        correctors.correct(docs, by, "other")
 
 
 def test_questions_reach_the_end_of_long_texts(spark, tmp_path):
@@ -241,12 +307,12 @@ def test_whole_table_similarity(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     sets = {r[0]: set(r[1].lower().split()) for r in rows}
     jac = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) if sets[a] | sets[b] else 0.0
-    run = {n: registry.load()[n][0](spark, str(tmp_path)).collect() for n in ("similarity_all_document_pairs", "similarity_existing_all_documents")}
+    run = {n: registry.load()[n][0](spark, str(tmp_path)).collect() for n in ("similarity_document_pairs", "similarity_existing_document")}
     first = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets if sets[k]}
-    found = {(r["a"], r["b"]): r["similarity"] for r in run["similarity_all_document_pairs"]}
+    found = {(r["a"], r["b"]): r["similarity"] for r in run["similarity_document_pairs"]}
     assert found == {(a, b): jac(a, b) for a in first for b in first if a < b and jac(a, b) >= 0.5 and first[a] == a and first[b] in (a, b)}
-    assert {(r["doc_id"], r["first_id"]) for r in run["similarity_existing_all_documents"]} == {(k, 1 if s == "x" else 3) for k, _, _, s in rows}
-    assert {r["doc_id"]: r["similarity"] for r in run["similarity_existing_all_documents"] if r["doc_id"] != 7} == {k: jac(k, 1 if s == "x" else 3) for k, _, _, s in rows if k != 7}
+    assert {(r["doc_id"], r["first_id"]) for r in run["similarity_existing_document"]} == {(k, 1 if s == "x" else 3) for k, _, _, s in rows}
+    assert {r["doc_id"]: r["similarity"] for r in run["similarity_existing_document"] if r["doc_id"] != 7} == {k: jac(k, 1 if s == "x" else 3) for k, _, _, s in rows if k != 7}
 
 
 def test_queries_of_every_language(spark, tmp_path):
@@ -256,12 +322,67 @@ def test_queries_of_every_language(spark, tmp_path):
     rows = [(1, "consideration " * 100 + "considerations", "en", "x", 1), (2, "straße " * 100 + "strasse straßen", "de", "x", 1), (3, "uno ing the dos", None, "y", 1), (4, "considerationstraße", "fr", "y", 1), (5, "z" * 1500, "es", "y", 1)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda n: registry.load()[n][0](spark, str(tmp_path)).collect()
-    for name, key in (("text_similarity_normalise_all", "doc_id"), ("text_join_hyphens_all", "doc_id"), ("ids_all_languages", "id")):
+    for name, key in (("text_similarity_normalise", "doc_id"), ("text_join_hyphens", "doc_id"), ("ids_all", "id")):
         assert sorted(r[key] for r in run(name)) == [1, 2, 3, 4, 5]
-    fuzzy = {r["token"]: (r["word"], r["distance"]) for r in run("spelling_fuzzy_all")}
+    fuzzy = {r["token"]: (r["word"], r["distance"]) for r in run("spelling_fuzzy")}
     assert fuzzy == {"consideration": ("consideration", 0), "considerations": ("consideration", 1), "straße": ("straße", 0), "straßen": ("straße", 1)}
-    assert [tuple(r) for r in run("spelling_split_all_tokens")] == [("considerationstraße", "consideration", "straße")]
-    assert {r["method"]: r["n"] for r in run("spelling_enhanced")}["word_list"] == 1
+    assert [tuple(r) for r in run("spelling_split_tokens")] == [("considerationstraße", "consideration", "straße")]
+    assert {r["doc_id"]: r["n_corrections"] for r in run("spelling_enhanced")}[1] == 1
     points = {r["id"]: r["payload"] for r in run("catalog_upsert_all_points")}
     assert sorted(points) == [100000, 100001, 200000, 300000, 400000, 500000, 500001]
     assert points[500000] == "z" * 1000 and points[300000] == "new uno ing the dos"
+
+
+def test_stages_pair_on_open_starts(spark):
+    """A completion closes all open starts of its stage; one without a start, or a start without one, shifts no other pair."""
+    log = [(1, "a", 1, 1, "succeeded"), (1, "a", 2, 2, "started"), (1, "a", 3, 3, "started"), (1, "a", 4, 4, "failed"), (1, "a", 5, 5, "succeeded"), (1, "a", 6, 6, "started"), (1, "b", 2, 7, "started"), (1, "b", 2, 8, "succeeded"), (2, "a", 9, 9, "started")]
+    df = spark.createDataFrame(log, "document_id int, stage string, at int, event_id int, status string")
+    found = {r["event_id"]: (r["completed_at"], r["success"]) for r in catalog.pair_stages(df).collect()}
+    assert found == {2: (4, False), 3: (4, False), 6: (None, None), 7: (2, True), 9: (None, None)}
+
+
+SIMILAR = ("Aircraft maintenance requires regular inspection of all components.", "Aircraft maintenance needs regular inspection of all parts.", "The weather is sunny today with clear skies.")
+
+
+def test_combined_similarity_and_first_of_alike(spark):
+    headed = [f"Document: file{k}.pdf\nPage: {k}\n\nAircraft maintenance procedures are critical." for k in (1, 2)]
+    rows = [(0, SIMILAR[0], SIMILAR[0], 1.0), (1, SIMILAR[0], SIMILAR[1], 0.7), (2, SIMILAR[0], SIMILAR[2], 0.1), (3, *headed, 0.9), (4, "", "x", 0.0), (5, None, "x", 0.0)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, expected double")
+    found = df.select("k", "expected", similarity.documents_similar(c("a"), c("b")).alias("x"), similarity.chunks_similar(c("a"), c("b"), 0.1).alias("y")).collect()
+    assert all(abs(r["x"]["similarity"] - r["expected"]) <= 0.3 for r in found) and [r["x"]["is_similar"] for r in sorted(found)][:3] == [True, True, False]
+    assert all(r["y"]["is_similar"] == (r["x"]["similarity"] >= 0.6) for r in found)
+    texts = [*SIMILAR, None, "", SIMILAR[0] + " ", *headed]
+    one = spark.createDataFrame([(texts,)], "texts array<string>")
+    assert one.select(similarity.deduplicate(c("texts")).alias("x")).first()["x"] == [SIMILAR[0], SIMILAR[2], headed[0]]
+    results = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "q int, rank int, content string")
+    assert sorted(r["rank"] for r in similarity.filter_alike(results, ["q"], ["rank"]).collect()) == [0, 2, 6]
+
+
+def test_first_of_alike_against_brute_force(spark):
+    rng, stop = random.Random(2), frozenset({"the", "of"})
+    groups = [[" ".join(rng.choice(["the", "of", "gear", "wing", "bolt", "nut"]) for _ in range(rng.randint(0, 7))) for _ in range(12)] for _ in range(15)]
+    df = spark.createDataFrame(list(enumerate(groups)), "k int, texts array<string>")
+    for method, threshold in (("jaccard", 0.6), ("combined", 0.5), ("combined", 0.75), ("cosine", 0.7)):
+        used = similarity.METHODS if method == "combined" else (method,)
+        value = lambda a, b: 1.0 if a == b else sum(similarity.cosine_ratio(a, b, stop) if m == "cosine" else similarity.RATIOS[m](a, b) for m in used) / len(used)  # noqa: B023, E731
+        for row in df.select("k", similarity.first_of_alike(c("texts"), threshold, method, stop=stop).alias("at")).collect():
+            kept = []
+            for k, t in enumerate(groups[row["k"]]):
+                if t and all(value(t, groups[row["k"]][j]) < threshold for j in kept):
+                    kept.append(k)
+            assert row["at"] == kept
+
+
+def test_cosine_leaves_out_stop_words_and_rare_terms():
+    assert similarity.cosine_ratio("the gear of", "the wing of", frozenset({"the", "of"})) == 0.0 < similarity.cosine_ratio("the gear of", "the wing of")
+    many = " ".join(f"w{k}" for k in range(900))
+    assert similarity.cosine_ratio(f"gear gear {many}", f"gear gear {many.replace('w', 'v')}", features=1) == pytest.approx(1.0)
+
+
+def test_layout_scalars(spark):
+    df = spark.createDataFrame([(1, 10, 5000, 1, "Figure 3 and CHART  12, charts"), (2, 9, 50, 1, "1) a"), (3, 50, 50, 0, "a) b"), (4, 50, 5001, 9, "x\n - y")], "k int, w int, h int, top int, t string")
+    rows = df.select("k", layout.usable_image(c("w"), c("h"), c("top")).alias("ok"), layout.chart_references(c("t")).alias("refs"), layout.list_type(c("t")).alias("kind")).collect()
+    assert [r["ok"] for r in rows] == [True, False, False, False] and rows[0]["refs"] == ["Figure", "CHART"]
+    assert [r["kind"] for r in rows] == ["unknown", "numbered", "lettered", "bulleted"]
+    box = spark.createDataFrame([(100.0, 50.0, 200.0, 100.0)], "x0 double, y0 double, x1 double, y1 double")
+    assert tuple(layout.to_points(box, F.lit(600.0), F.lit(800.0), F.lit(1200.0), F.lit(400.0)).first()) == (50.0, 100.0, 100.0, 200.0)
