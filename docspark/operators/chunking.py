@@ -40,11 +40,20 @@ def pack(pieces: Column, fits, joiner: str = " ") -> Column:
     return fold(pieces, "string", fits, lambda now, x: F.concat(now, F.lit(joiner), x))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_short_tail(chunks: Column, joiner: str, least: int = LEAST, most: int = MOST) -> Column:
     """A last chunk under ``least`` characters joins the one before, if both together are not over ``most``."""
-    before = F.try_element_at(chunks, F.lit(-2))
-    short = (F.size(chunks) > 1) & (F.length(_last(chunks)) < least) & (F.length(before) + len(joiner) + F.length(_last(chunks)) <= most)
-    return F.when(short, F.concat(F.slice(chunks, 1, F.greatest(F.lit(0), F.size(chunks) - 2)), F.array(F.concat(before, F.lit(joiner), _last(chunks))))).otherwise(chunks)
+
+    def merged(x: Column) -> Column:
+        before = F.try_element_at(x, F.lit(-2))
+        short = (F.size(x) > 1) & (F.length(_last(x)) < least) & (F.length(before) + len(joiner) + F.length(_last(x)) <= most)
+        return F.when(short, F.concat(F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 2)), F.array(F.concat(before, F.lit(joiner), _last(x))))).otherwise(x)
+
+    return let(chunks, merged)
 
 
 def sentence_pack(t: Column, size: int = SIZE) -> Column:
@@ -59,14 +68,18 @@ def sentence_split(t: Column, size: int = SIZE) -> Column:
 
 def semantic(t: Column) -> Column:
     """Paragraphs packed up to ``MOST``; an oversized paragraph is cut into sentences, which stay closed."""
-    paragraphs = F.get(F.transform(F.array(_pieces(t, "\n\n")), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(_pieces(t, "\n"))), F.lit(0))
+    paragraphs = let(_pieces(t, "\n\n"), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(_pieces(t, "\n")))
     part = lambda x, open_: F.struct(x.alias("t"), F.lit(open_).alias("open"))
     parts = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MOST, F.array(part(p, True))).otherwise(F.transform(sentence_split(p), lambda x: part(x, False)))))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     fits = lambda now, x: now["open"] & x["open"] & (F.length(now["t"]) + 2 + F.length(x["t"]) <= MOST)
     packed = fold(parts, "struct<t:string,open:boolean>", fits, lambda now, x: part(F.concat(now["t"], F.lit("\n\n"), x["t"]), True))
-    texts = F.transform(packed, lambda x: x["t"])
-    return F.when((F.size(packed) > 0) & last(packed)["open"], merge_short_tail(texts, "\n\n")).otherwise(texts)
+
+    def finished(x: Column) -> Column:
+        texts = F.transform(x, lambda y: y["t"])
+        return F.when((F.size(x) > 0) & last(x)["open"], merge_short_tail(texts, "\n\n")).otherwise(texts)
+
+    return let(packed, finished)
 
 
 def fixed(t: Column, name: Column, size: int = 1000) -> Column:
