@@ -39,7 +39,7 @@ from docspark.llm.components import connected_components
 
 RADIUS, WIDTH, SEED, HOT = 3, 3, 42, 4096
 #: Of the verified links: shingle width, least similarity, bands and min-hashes in each.
-NEAR_WIDTH, NEAR, BANDS, ROWS, GROUP, GROUP_BYTES = 5, 0.8, 40, 5, 1024, 16 << 20
+NEAR_WIDTH, NEAR, BANDS, ROWS, GROUP, GROUP_BYTES = 5, 0.8, 40, 5, 2048, 16 << 20
 RANGES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 PAIRS = tuple(combinations(range(5), 2))
 
@@ -285,17 +285,16 @@ def verified_links(texts: list[bytes], similarity: float = NEAR, width: int = NE
 def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_WIDTH, prints_width: int = WIDTH) -> DataFrame:
     """Links (a, b) of fingerprints (of ``prints_width`` words) that join all texts of at least this similarity; ``docs`` has text."""
     rows = docs.select(F.xxhash64("text").alias("id"), "text")
-    banded = materialise(rows.select("id", band_keys(F.col("text"), width).alias("keys")), "bands")
+    banded = materialise(rows.select("id", F.octet_length("text").alias("size"), band_keys(F.col("text"), width).alias("keys")), "bands")
     keyed = banded.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     groups = connected_components(keyed.join(shared, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), "root")
-    copies = banded.groupBy("id").agg(F.count("*").alias("n")).join(groups, "id")
-    members = join_counted(rows, materialise(copies, "groups"), ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("text").alias("text"))
-    members = materialise(members, "members")
-    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int")
-    sized = members.join(members.groupBy("root").agg(parts.alias("parts")), "root")
-    placed = sized.withColumn("part", F.pmod("id", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = placed.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "text")
+    copies = materialise(banded.groupBy("id").agg(F.count("*").alias("n"), F.max("size").alias("size")).join(groups, "id"), "groups")
+    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_BYTES), F.lit(1)).cast("int")
+    placed = materialise(copies.join(copies.groupBy("root").agg(parts.alias("parts")), "root").select("id", "n", "root", "parts"), "placed")
+    members = join_counted(rows, placed, ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("parts").alias("parts"), F.first("text").alias("text"))
+    dealt = members.withColumn("part", F.pmod("id", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "text")
 
     def links(group: pa.Table) -> pa.Table:
         texts = group["text"].cast(pa.binary()).to_pylist()
