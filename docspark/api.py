@@ -11,7 +11,7 @@ from docspark.operators.catalog import catalog_stats, file_rollup, metadata_filt
 from docspark.operators.files import MOST, UPLOADS
 from docspark.operators.search import embed
 from docspark.plans import flows
-from docspark.sources.readers import extract_text, list_files
+from docspark.sources.readers import PARSERS, extract_text, list_files
 from docspark.sources.sinks import Collection, write_csv
 
 c = F.col
@@ -36,8 +36,10 @@ class Service:
         return {"status": "healthy", "documents": self.documents.exists(), "chunks": self.chunks.exists()}
 
     def upload(self, folder: str, vectorise: bool = True) -> DataFrame:
-        """Files of a folder, checked, read, cut into chunks and stored; files stored before are left as they are."""
-        files = list_files(self.spark, folder).where((c("size") > 0) & (c("size") <= MOST) & c("ext").isin(*UPLOADS))
+        """Files of a folder, checked, read, cut into chunks and stored; files stored before are left as they are. Of the formats
+        that may be uploaded, those without a parser are left out."""
+        readable = [e for e in UPLOADS if e in PARSERS]
+        files = list_files(self.spark, folder).where((c("size") > 0) & (c("size") <= MOST) & c("ext").isin(*readable))
         read = files.select("name", "ext", "size", "mtime", extract_text(c("name"), c("ext"), c("content")).alias("x")).where("x.error is null and trim(x.text) <> ''")
         docs = read.select(F.xxhash64("name", "x.text").alias("id"), c("name").alias("filename"), c("ext").alias("file_type"), c("size").alias("file_size"), F.sha2("x.text", 256).alias("content_hash"), c("x.text").alias("raw_text"), c("mtime").alias("created_at"))
         new = docs.join(self.documents.read().select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
@@ -73,8 +75,8 @@ class Service:
 
     def delete(self, filename: str) -> dict:
         """A document and its chunks; returns how many of each went."""
-        name = filename.replace("'", "\\'")
-        return {"chunks": self.chunks.delete(f"filename = '{name}'"), "documents": self.documents.delete(f"filename = '{name}'")}
+        named = c("filename") == F.lit(filename)
+        return {"chunks": self.chunks.delete(named), "documents": self.documents.delete(named)}
 
     def clear(self) -> None:
         self.documents.clear()
@@ -90,9 +92,9 @@ class Service:
         return found.select("query_id", "answer", "confidence", F.lit("document_search").alias("kind")).unionByName(chat)
 
     def bulk_questions(self, questions: DataFrame, out: str, method: str = "hybrid_rrf") -> str:
-        """Answers to a table of questions as a quoted CSV; returns its folder."""
-        asked = questions.select(F.xxhash64("question").alias("query_id"), c("question").alias("text")).dropDuplicates(["query_id"])
-        answers = self.query(asked, method=method).join(asked, "query_id").select(c("text").alias("question"), "answer", F.lit(method).alias("retrieval_method"), F.format_string("%.3f", "confidence").alias("confidence_score"))
+        """Answers to a table of questions as a quoted CSV, a row for each row; returns its folder. Equal questions are asked once."""
+        rows = questions.select(F.xxhash64("question").alias("query_id"), c("question").alias("text"))
+        answers = self.query(rows.dropDuplicates(["query_id"]), method=method).join(rows, "query_id").select(c("text").alias("question"), "answer", F.lit(method).alias("retrieval_method"), F.format_string("%.3f", "confidence").alias("confidence_score"))
         return write_csv(answers, out, f"hybrid_{method.removeprefix('hybrid_')}_processed_")
 
     def compare(self, questions: DataFrame, k: int = 5) -> DataFrame:

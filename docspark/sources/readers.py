@@ -1,7 +1,7 @@
 """Sources: files of several formats to text, chunk and question readers, with stdlib parsers only.
 
 ``binaryFile`` lists and reads the files; each format has a parser that runs in Arrow batches on the
-executors. Parsers for formats that need an external engine (PDF, scanned images) are plugged in by name.
+executors. Parsers for formats that need an external engine (scanned images, older formats) are plugged in by name.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.sources.pdf import parse_pdf
+
 Parser = Callable[[str, bytes], str]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -66,11 +68,14 @@ def parse_xlsx(name: str, data: bytes) -> str:
     shared = []
     if "xl/sharedStrings.xml" in box.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(box.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
-    names = [s.get("name") for s in ElementTree.fromstring(box.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+    part = {}  # a sheet's file is named by its relationship, whatever its place
+    if "xl/_rels/workbook.xml.rels" in box.namelist():
+        part = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(box.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for k, sheet in enumerate(names, 1):
+    for k, found in enumerate(ElementTree.fromstring(box.read("xl/workbook.xml")).iter(f"{_S}sheet"), 1):
+        sheet, key = found.get("name"), next((v for a, v in found.attrib.items() if a.endswith("}id")), None)
         rows = []
-        for row in ElementTree.fromstring(box.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_S}row"):
+        for row in ElementTree.fromstring(box.read(f"xl/{part.get(key, f'worksheets/sheet{k}.xml')}")).iter(f"{_S}row"):
             cells = []
             for cell in row.findall(f"{_S}c"):
                 value = cell.findtext(f"{_S}v") or "".join(t.text or "" for t in cell.iter(f"{_S}t"))
@@ -82,7 +87,7 @@ def parse_xlsx(name: str, data: bytes) -> str:
     return "\n".join(out)
 
 
-PARSERS: dict[str, Parser] = {"txt": lambda name, data: decode(data), "csv": parse_csv, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx}
+PARSERS: dict[str, Parser] = {"txt": lambda name, data: decode(data), "csv": parse_csv, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "pdf": parse_pdf}
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:

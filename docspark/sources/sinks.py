@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import upsert
@@ -50,11 +50,11 @@ class Collection:
     def upsert(self, rows: DataFrame) -> None:
         self._write(upsert(self.read(), rows, "id"))
 
-    def delete(self, condition: str) -> int:
-        """Rows for which the condition holds go; returns how many."""
-        rows = self.read()
-        gone = rows.where(condition).count()
-        self._write(rows.where(~F.coalesce(F.expr(condition), F.lit(False))))
+    def delete(self, condition: Column | str) -> int:
+        """Rows for which the condition holds go; returns how many. Give values as a Column, never spliced into a text."""
+        rows, holds = self.read(), F.expr(condition) if isinstance(condition, str) else condition
+        gone = rows.where(holds).count()
+        self._write(rows.where(~F.coalesce(holds, F.lit(False))))
         return gone
 
     def clear(self) -> None:

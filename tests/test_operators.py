@@ -386,3 +386,39 @@ def test_layout_scalars(spark):
     assert [r["kind"] for r in rows] == ["unknown", "numbered", "lettered", "bulleted"]
     box = spark.createDataFrame([(100.0, 50.0, 200.0, 100.0)], "x0 double, y0 double, x1 double, y1 double")
     assert tuple(layout.to_points(box, F.lit(600.0), F.lit(800.0), F.lit(1200.0), F.lit(400.0)).first()) == (50.0, 100.0, 100.0, 200.0)
+
+
+def _pdf(*pages, deflate=True, fonts=""):
+    import zlib
+
+    kids, parts = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages))), []
+    parts.append(f"1 0 obj << /Type /Pages /Kids [{kids}] /Count {len(pages)} >> endobj".encode())
+    for k, content in enumerate(pages):
+        data = zlib.compress(content) if deflate else content
+        parts.append(f"{10 + 2 * k} 0 obj << /Type /Page /Parent 1 0 R /Contents {11 + 2 * k} 0 R /Resources << /Font << {fonts} >> >> >> endobj".encode())
+        parts.append(f"{11 + 2 * k} 0 obj << /Length {len(data)} {'/Filter /FlateDecode' if deflate else ''} >> stream\n".encode() + data + b"\nendstream endobj")
+    return b"%PDF-1.4\n" + b"\n".join(parts)
+
+
+@pytest.mark.parametrize("deflate", [True, False])
+def test_pdf_text(deflate):
+    one_ = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\) w\157rld) Tj 0 -14 Td [(sec) -20 (ond) -500 (line)] TJ T* (third) ' ET"
+    mapped = b"5 0 obj << /ToUnicode 6 0 R >> endobj 6 0 obj << >> stream\n1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0004> <0062> endbfrange\nendstream endobj"
+    data = _pdf(one_, b"BT ET", b"BT /F2 9 Tf <000100020004> Tj ET", deflate=deflate, fonts="/F2 5 0 R") + mapped
+    assert readers.PARSERS["pdf"]("a.pdf", data) == "Hello (big) world\nsecond line\nthird\nAbd"
+    for bad in (b"no", b"%PDF-1.4 /Encrypt"):
+        with pytest.raises(ValueError, match="PDF"):
+            readers.PARSERS["pdf"]("a.pdf", bad)
+
+
+def test_uploads_without_a_parser_are_left_out(spark, tmp_path):
+    from docspark.api import Service
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a'\\b.pdf").write_bytes(_pdf(b"BT (A text of a file that is read) Tj ET"))
+    (tmp_path / "in" / "b.doc").write_bytes(b"old")
+    service = Service(spark, f"{tmp_path}/store")
+    assert [r["filename"] for r in service.upload(str(tmp_path / "in")).collect()] == ["a'\\b.pdf"]
+    questions = spark.createDataFrame([("What is in the file there?",)] * 2, "question string")
+    assert spark.read.option("header", True).csv(service.bulk_questions(questions, f"{tmp_path}/out")).count() == 2
+    assert service.delete("a'\\b.pdf") == {"chunks": 1, "documents": 1}
