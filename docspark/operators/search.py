@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from docspark.registry import query
 
 c = F.col
 K1, B, RRF = 1.5, 0.75, 60
+#: The most bytes of query vectors that are broadcast, and the queries of a block beyond that.
+BROADCAST_BYTES, TILE = 64 << 20, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,14 +32,38 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, threshold: float | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score). ``queries`` (query_id, q) is a bounded set and is broadcast; each task
-    keeps a group limit of k a query before anything is shuffled."""
-    pairs = corpus.join(F.broadcast(queries), c("vec_id") != c("query_id")).withColumn("score", score(c("embedding"), c("q")))
+def against_queries(corpus: DataFrame, queries: DataFrame, most: int = BROADCAST_BYTES, tile: int = TILE) -> DataFrame:
+    """Every row of ``corpus`` with every row of the stated query set (query_id, q), in blocks.
+
+    The set is counted first. Up to ``most`` bytes of vectors it is broadcast and the corpus isn't shuffled. A larger set is
+    dealt into blocks of about ``tile`` queries and the corpus into parts of 64 times as many rows, both by a hash of the whole
+    row, so that a task run again deals alike (no column may be a map). A block and a part meet under a key of their own; the
+    part is streamed past the block, so no task holds more than a block, however large both sides are.
+    """
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    if n * max(1, width) * 8 <= most:
+        return corpus.join(F.broadcast(queries))
+    blocks, parts = -(-n // tile), max(1, -(-corpus.count() // (64 * tile)))
+    deal = lambda df, count: F.pmod(F.xxhash64(*df.columns), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = corpus.withColumn("part", deal(corpus, parts)).withColumn("block", every(blocks))
+    right = queries.withColumn("block", deal(queries, blocks)).withColumn("part", every(parts))
+    return left.join(right, ["block", "part"]).drop("block", "part")
+
+
+def if_few(rows: DataFrame, most: int = 1 << 20) -> Callable[[DataFrame], DataFrame]:
+    """``broadcast`` if ``rows`` (a word and an id each) are at most ``most``; else a plain join, whose skewed keys are split at run time."""
+    return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, threshold: float | None = None, most: int = BROADCAST_BYTES, tile: int = TILE) -> DataFrame:
+    """(query_id, rank, vec_id, score). ``queries`` (query_id, q) is a stated set, see ``against_queries``; each task
+    keeps a group limit of k a query before the ranks are shuffled."""
+    pairs = against_queries(corpus, queries, most, tile).where(c("vec_id") != c("query_id")).withColumn("score", score(c("embedding"), c("q")))
     if threshold is not None:
         pairs = pairs.where(c("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
-    return pairs.select("query_id", "vec_id", "score", "label").withColumn("rank", rank).where(c("rank") <= k)
+    return pairs.select("query_id", "vec_id", "score", *[x for x in ("label", "q_label") if x in pairs.columns]).withColumn("rank", rank).where(c("rank") <= k)
 
 
 def tokenise(t: Column) -> Column:
@@ -45,16 +72,17 @@ def tokenise(t: Column) -> Column:
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score) by Okapi BM25. Only postings of query terms are kept, by a broadcast of
-    the terms of the bounded query set; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    the terms if they are few (``if_few``), else by a shuffle; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
     docs = corpus.select("doc_id", tokenise(c("text")).alias("ts"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenise(c("text")))).alias("term"))
-    postings = docs.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
+    near = if_few(terms)
+    postings = docs.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term")
     tf = postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(F.broadcast(stats)).select("term", F.log(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf"), "mean_len")
-    scored = tf.join(F.broadcast(weights), "term").withColumn("w", c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / c("mean_len"))))
-    sums = scored.join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    scored = tf.join(near(weights), "term").withColumn("w", c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / c("mean_len"))))
+    sums = scored.join(near(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return sums.withColumn("rank", rank).where(c("rank") <= k)
 
@@ -148,7 +176,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("search_evaluate", f"""WITH {_DENSE(50, 10)} SELECT q_label, count(DISTINCT query_id) AS n_queries, round(avg((label = q_label)::INT), 6) AS precision_at_10, round(avg(CASE WHEN label = q_label THEN 1.0 / rank ELSE 0 END), 6) AS mean_reciprocal FROM dense GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
     asked = _asked(s, d, 50)
-    top = dense_topk(_vectors(s, d), asked, 10).join(F.broadcast(asked.select("query_id", "q_label")), "query_id")
+    top = dense_topk(_vectors(s, d), asked, 10)
     hit = (c("label") == c("q_label")).cast("int")
     return top.groupBy("q_label").agg(F.countDistinct("query_id").alias("n_queries"), F.round(F.avg(hit), 6).alias("precision_at_10"), F.round(F.avg(hit / c("rank")), 6).alias("mean_reciprocal"))
 
@@ -221,7 +249,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("search_hit_diagnostics", rf"""WITH {_HITS} SELECT query_id, rank::INT AS rank, length(h.text)::INT AS n_chars, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(h.text), '[ \t\n\r\x0B\f]+'), lambda w: w <> '')), list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[ \t\n\r\x0B\f]+'), lambda w: w <> ''))))::INT AS overlap,
 array_to_string(list_filter(['the', 'nd', 'zz'], lambda t: contains(lower(h.text), t)), ',') AS terms, md5(array_to_string(string_split(h.text, chr(10))[:15], chr(10))) AS first_lines FROM hits h JOIN benchmark b ON item_id = query_id""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    asked = F.broadcast(_questions(s, d).select("query_id", words(F.lower("text")).alias("qw")))
+    asked = _questions(s, d).select("query_id", words(F.lower("text")).alias("qw"))
     overlap = F.size(F.array_intersect(words(F.lower("text")), c("qw")))
     return _hits(s, d).join(asked, "query_id").select("query_id", "rank", F.length("text").alias("n_chars"), overlap.alias("overlap"), F.array_join(key_terms(c("text"), ("the", "nd", "zz")), ",").alias("terms"), F.md5(F.array_join(F.slice(F.split("text", "\n"), 1, 15), "\n")).alias("first_lines"))
 

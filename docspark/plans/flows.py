@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.scalars import chunk_clean, chunk_uuid, confidence, preview, vector_id
 from docspark.operators.chunking import semantic
-from docspark.operators.search import answer, bm25, cosine, embed, fuse
+from docspark.operators.search import against_queries, answer, bm25, cosine, embed, fuse
 from docspark.operators.similarity import deduplicate
 from docspark.plans.fixtures import documents, load
 from docspark.registry import query
@@ -25,13 +25,13 @@ def ingest(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str = "hybrid_rrf", weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
-    """(query_id, rank, item, score) of the best chunks (item, content, vector) for a bounded set of questions
+    """(query_id, rank, item, score) of the best chunks (item, content, vector) for a stated set of questions
     (query_id, text), by dense_only, sparse_only, hybrid_rrf, hybrid_weighted or hybrid_borda."""
     from pyspark.sql import Window
 
-    asked = F.broadcast(questions.select("query_id", embed(c("text")).alias("q")))
+    asked = questions.select("query_id", embed(c("text")).alias("q"))
     rank = lambda df, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))).where(c("rank") <= n)
-    dense = rank(chunks.join(asked).select("query_id", "item", cosine(c("vector"), c("q")).alias("score")).where("score is not null"), 3 * k)  # a bounded set against all, in broadcast
+    dense = rank(against_queries(chunks.select("item", "vector"), asked).select("query_id", "item", cosine(c("vector"), c("q")).alias("score")).where("score is not null"), 3 * k)
     sparse = bm25(chunks.select(c("item").alias("doc_id"), c("content").alias("text")), questions, 3 * k).select("query_id", c("doc_id").alias("item"), "rank", "score")
     if method == "dense_only":
         return dense.where(c("rank") <= k)

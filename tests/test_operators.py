@@ -4,13 +4,14 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import scalars
-from docspark.operators import catalog, chunking, correctors, files, layout, similarity, spelling
+from docspark.operators import catalog, chunking, correctors, files, layout, search, similarity, spelling
 from docspark.sources import readers
 from docspark.sources.sinks import Collection, write_csv
 from docspark.streaming import jobs
@@ -284,6 +285,29 @@ def test_corrected_texts(spark):
         correctors.correct(docs, by, "other")
 
 
+def test_dense_topk_in_tiles_equals_broadcast(spark):
+    """Beyond the size that is broadcast, blocks of queries meet parts of the corpus and nothing is lost."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=4).tolist(), k % 3) for k in range(300)] + [(7, [1.0, 0.0, 0.0, 0.0], 1), (7, [1.0, 0.0, 0.0, 0.0], 1)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    asked = corpus.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    take = lambda df: sorted(map(tuple, df.select("query_id", "rank", "vec_id", F.round("score", 9)).collect()))
+    whole, tiles = search.dense_topk(corpus, asked, 6), search.dense_topk(corpus, asked, 6, most=0, tile=2)
+    assert take(whole) == take(tiles) and len(take(whole)) == 60 * 6
+    plan = tiles._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert search.dense_topk(corpus, asked.limit(0), 6, most=-1).count() == 0
+
+
+def test_bm25_joins_by_shuffle_where_terms_are_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"red w{k % 4} blue " * (k % 3 + 1)) for k in range(20)] + [(20, None), (21, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "red w1"), (2, "w3 blue"), (3, "zz")], "query_id bigint, text string")
+    take = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in search.bm25(docs, asked, 5).collect())
+    few = take()
+    monkeypatch.setattr(search, "if_few", lambda rows: lambda df: df)
+    assert take() == few and len(few) == 10
+
+
 def test_questions_reach_the_end_of_long_texts(spark, tmp_path):
     """What follows the first 8,000 characters of a document is found by its vectors."""
     from docspark import registry
