@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,6 +141,43 @@ def pdf_date(raw: Column) -> Column:
     return F.when(F.startswith(raw, F.lit("D:")), F.coalesce(*tried))
 
 
+#: Fixed fields of the loose date format, in order: the first alternative that fits is taken, and nothing may follow.
+LOOSE = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9])(2[0-3]|[0-1]\d|\d)([0-5]\d|\d)(6[0-1]|[0-5]\d|\d)"
+
+
+def pdf_date_loose(raw: Column) -> Column:
+    """``D:`` and up to 14 characters without a check of their number: fields of one digit are taken too, so that a short date may
+    be read as another (``D:2024013123`` is 3 January, 01:02:03). Else null."""
+    core = F.substring(raw, 3, 14)
+    field = [F.regexp_extract(core, LOOSE, k) for k in range(7)]
+    whole = F.startswith(raw, F.lit("D:")) & (F.length(core) > 0) & (F.length(field[0]) == F.length(core)) & (field[1] != "0000")
+    part = [F.when(whole, F.trim(x)).try_cast("int") for x in field[1:]]
+    return F.when(part[5] < 60, F.try_make_timestamp(*part[:5], part[5].cast("decimal(8,6)")))
+
+
+def epoch_or_now(value: Column, now: Column) -> Column:
+    """Seconds since 1970 as a timestamp; what is no number counts as now."""
+    return F.coalesce(F.timestamp_seconds(value.try_cast("double")), now)
+
+
+def creation_time(path: Column, modified: Column) -> Column:
+    """When a file was made, as its own file system says: birth time where there is one, else the time of the last status change;
+    for files that the worker can't see (remote stores) the time of the last change that the store gives."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        out = []
+        for name in x.to_pylist():
+            try:
+                found = os.stat(unquote(re.sub(r"^file:/+", "/", name or "")))
+                out.append(getattr(found, "st_birthtime", None) or found.st_ctime)
+            except (OSError, ValueError):
+                out.append(None)
+        return pa.array(out, pa.float64())
+
+    return F.coalesce(F.timestamp_seconds(run(path)), modified)
+
+
 def age_days(at: Column, now: Column) -> Column:
     return F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)
 
@@ -288,6 +328,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in ("/CreationDate", "CreationDate", "/ModDate", "ModDate")]).alias("picked"))
 
 
+@query("dates_pdf_loose", rf"""WITH r AS (SELECT event_id, substr(strftime(ts, '%Y%m%d%H%M%S'), 1, (7 + event_id % 8)::INT) AS core FROM events), x AS (SELECT *, regexp_extract(core, '{LOOSE}', ['y', 'm', 'd', 'h', 'i', 's']) AS p, regexp_extract(core, '{LOOSE}', 0) AS hit FROM r)
+SELECT event_id, CASE WHEN core = hit THEN strftime(try_cast(p.y || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0') || ' ' || lpad(p.h, 2, '0') || ':' || lpad(p.i, 2, '0') || ':' || lpad(p.s, 2, '0') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS at_text FROM x""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    core = F.date_format("ts", "yyyyMMddHHmmss").substr(F.lit(1), (7 + c("event_id") % 8).cast("int"))
+    return load(s, d, "events").select("event_id", F.date_format(pdf_date_loose(F.concat(F.lit("D:"), core)), "yyyy-MM-dd HH:mm:ss").alias("at_text"))
+
+
 @query("dates_epoch", "SELECT event_id, strftime(make_timestamp((1700000000 + event_id)::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS at_text FROM events")
 def _(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "events").select("event_id", F.date_format(F.timestamp_seconds(c("event_id") + 1700000000), "yyyy-MM-dd HH:mm:ss").alias("at_text"))

@@ -17,6 +17,8 @@ MODULES = (
     "docspark.operators.similarity",
     "docspark.operators.search",
     "docspark.operators.layout",
+    "docspark.operators.detectors",
+    "docspark.operators.embedding",
     "docspark.operators.spelling",
     "docspark.operators.correctors",
     "docspark.operators.reports",
