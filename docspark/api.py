@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import catalog_stats, file_rollup, metadata_filter
 from docspark.operators.files import MOST, UPLOADS
-from docspark.operators.search import embed
+from docspark.operators.search import embed, tokenise
 from docspark.plans import flows
 from docspark.sources.readers import PARSERS, extract_text, list_files
 from docspark.sources.sinks import Collection, write_csv
 
 c = F.col
+METHODS = ("dense_only", "sparse_only", "hybrid_rrf", "hybrid_weighted", "hybrid_borda")
 DOCUMENTS = "id bigint, filename string, file_type string, file_size bigint, content_hash string, raw_text string, created_at timestamp"
 CHUNKS = "id bigint, document_id bigint, chunk_index int, chunk_id string, content string, filename string, vectorized boolean, vector array<float>, created_at timestamp"
 
@@ -82,26 +87,77 @@ class Service:
         self.documents.clear()
         self.chunks.clear()
 
-    def query(self, questions: DataFrame, max_chunks: int = 5, method: str = "hybrid_rrf") -> DataFrame:
-        """Answers to questions (query_id, text); short texts that need no search get the conversational fallback."""
+    def query(self, questions: DataFrame, max_chunks: int = 5, method: str = "hybrid_rrf", weights: tuple[float, float] = (0.6, 0.4), force_document_search: bool = False) -> DataFrame:
+        """Answers to questions (query_id, text); short texts that need no search get the conversational fallback, unless the
+        search is forced. ``weights`` (dense, sparse) are those of hybrid_weighted."""
         if not 1 <= max_chunks <= 20:
             raise ValueError("max_chunks must lie between 1 and 20")
-        searched = questions.where(F.size(F.split(F.trim("text"), r"\s+")) > 3)
+        searched = questions if force_document_search else questions.where(F.size(F.split(F.trim("text"), r"\s+")) > 3)
+        found = flows.ask(self._vectors(), searched, max_chunks, method, weights).select("query_id", "answer", "confidence", F.lit("document_search").alias("kind"), "sources")
+        if force_document_search:
+            return found
         chat = questions.join(searched.select("query_id"), "query_id", "left_anti").select("query_id", F.lit("How can I help you with your documents?").alias("answer"), F.lit(0.85).alias("confidence"), F.lit("conversational").alias("kind"))
-        found = flows.ask(self.chunks.read().where("vectorized").withColumnRenamed("id", "item"), searched, max_chunks, method)
-        return found.select("query_id", "answer", "confidence", F.lit("document_search").alias("kind")).unionByName(chat)
+        return found.unionByName(chat, allowMissingColumns=True)
 
-    def bulk_questions(self, questions: DataFrame, out: str, method: str = "hybrid_rrf") -> str:
-        """Answers to a table of questions as a quoted CSV, a row for each row; returns its folder. Equal questions are asked once."""
+    def bulk_questions(self, questions: DataFrame, out: str, method: str = "hybrid_rrf", max_chunks: int = 5, weights: tuple[float, float] = (0.6, 0.4), force_document_search: bool = False) -> str:
+        """Answers to a table of questions as a quoted CSV, a row for each row; returns its folder. Equal questions are asked once.
+        The time of a question is its share of the batch's. Answers are kept for ``query_statistics``."""
         rows = questions.select(F.xxhash64("question").alias("query_id"), c("question").alias("text"))
-        answers = self.query(rows.dropDuplicates(["query_id"]), method=method).join(rows, "query_id").select(c("text").alias("question"), "answer", F.lit(method).alias("retrieval_method"), F.format_string("%.3f", "confidence").alias("confidence_score"))
-        return write_csv(answers, out, f"hybrid_{method.removeprefix('hybrid_')}_processed_")
+        asked = rows.dropDuplicates(["query_id"])
+        began = time.perf_counter()
+        batch = f"{self.path}/answers/batch={uuid.uuid4().hex}"
+        self.query(asked, max_chunks, method, weights, force_document_search).withColumn("method", F.lit(method)).withColumn("at", F.current_timestamp()).write.parquet(batch)
+        answers = self.spark.read.parquet(batch)
+        each = (time.perf_counter() - began) / max(1, answers.count())
+        self.spark.createDataFrame([(each,)], "seconds double").write.parquet(f"{self.path}/times/{batch.rsplit('/', 1)[1]}")
+        context = F.array_join(F.transform("sources", lambda x: F.format_string("[Score: %.3f] %s", x["score"], x["preview"])), " <CHUNK_SPLIT> ")
+        answer_ = F.coalesce("answer", F.lit("Error: No answer generated"))
+        shaped = rows.join(answers, "query_id", "left").select(c("text").alias("question"), answer_.alias("answer"), F.coalesce(context, F.lit("")).alias("context"), F.lit(method).alias("retrieval_method"), F.lit(f"{each:.2f}s").alias("query_time"), F.format_string("%.3f", "confidence").alias("confidence_score"))
+        return write_csv(shaped, out, f"hybrid_{method.removeprefix('hybrid_')}_processed_")
+
+    def _vectors(self) -> DataFrame:
+        return self.chunks.read().where("vectorized").withColumnRenamed("id", "item")
+
+    def query_statistics(self) -> DataFrame:
+        """By method and kind of answer over all bulk answers so far: how many, their share, mean confidence and mean time."""
+        try:
+            kept = self.spark.read.parquet(f"{self.path}/answers")
+            times = self.spark.read.parquet(f"{self.path}/times")
+        except AnalysisException:  # nothing was asked yet
+            return self.spark.createDataFrame([], "method string, kind string, n bigint, share double, confidence double, seconds double")
+        by = kept.join(times, "batch").groupBy("method", "kind").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("seconds").alias("seconds"))
+        total = by.agg(F.sum("n").alias("total"))  # a single row
+        return by.join(F.broadcast(total)).select("method", "kind", "n", (c("n") / c("total")).alias("share"), "confidence", "seconds")
+
+    def hybrid_health(self) -> dict:
+        """What the retrievers have to work on: chunks with vectors for the dense one, chunks with words for the sparse one."""
+        n = self.chunks.read().agg(F.count_if("vectorized").alias("dense"), F.count_if(F.size(tokenise(c("content"))) > 0).alias("sparse")).first()
+        named = {"dense_retriever": n["dense"], "sparse_retriever": n["sparse"], "results_fusion": min(n["dense"], n["sparse"])}
+        return {name: {"items": found, "status": "Available" if found else "Not Available"} for name, found in named.items()}
+
+    def upload_summary(self, folder: str) -> DataFrame:
+        """For each file of a folder: whether its text is stored, how many chunks it has, and why not."""
+        files = list_files(self.spark, folder).select("name", "ext", "size", extract_text(c("name"), c("ext"), c("content")).alias("x"))
+        readable = [e for e in UPLOADS if e in PARSERS]
+        why = F.when(~c("ext").isin(*readable), F.concat(F.lit("Unsupported file type: ."), c("ext"))).when(c("size") == 0, "empty file").when(c("size") > MOST, "file too large").when(c("x.error").isNotNull(), c("x.error")).when(F.trim("x.text") == "", "no text found")
+        stored = self.list_documents().select("content_hash", "chunk_count")
+        rows = files.select("name", why.alias("error"), F.sha2("x.text", 256).alias("content_hash")).join(stored, "content_hash", "left")
+        done = c("error").isNull() & c("chunk_count").isNotNull()
+        return rows.select("name", done.alias("success"), F.when(done, c("chunk_count")).otherwise(0).alias("chunk_count"), F.when(~done, F.coalesce("error", F.lit("not stored"))).alias("error"))
 
     def compare(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """The best chunks by each method, and of how many methods each is."""
-        chunks = self.chunks.read().where("vectorized").withColumnRenamed("id", "item")
-        parts = [flows.retrieve(chunks, questions, k, m).select("query_id", "item", F.lit(m).alias("method")) for m in ("dense_only", "sparse_only", "hybrid_rrf", "hybrid_weighted", "hybrid_borda")]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        return every.groupBy("query_id", "item").agg(F.sort_array(F.collect_list("method")).alias("methods"), F.count("*").alias("n_methods"))
+        return self._ranked(questions, k).groupBy("query_id", "item").agg(F.sort_array(F.collect_list("method")).alias("methods"), F.count("*").alias("n_methods"))
+
+    def evaluate(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """For each method: questions with hits, mean number of hits, and agreement, the mean share of all methods that have its
+        hits too; ``best`` marks the highest agreement, ties by name. Without judged answers, agreement is what can be measured."""
+        found = self._ranked(questions, k)
+        votes = found.groupBy("query_id", "item").agg((F.count("*") / len(METHODS)).alias("share"))
+        by = found.join(votes, ["query_id", "item"]).groupBy("method").agg(F.countDistinct("query_id").alias("questions"), (F.count("*") / F.countDistinct("query_id")).alias("hits"), F.round(F.avg("share"), 6).alias("agreement"))
+        first = F.row_number().over(Window.orderBy(F.desc("agreement"), "method"))  # a row for each method
+        return by.withColumn("best", first == 1)
+
+    def _ranked(self, questions: DataFrame, k: int) -> DataFrame:
+        parts = [flows.retrieve(self._vectors(), questions, k, m).select("query_id", "item", F.lit(m).alias("method")) for m in METHODS]
+        return reduce(DataFrame.unionByName, parts)

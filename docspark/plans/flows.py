@@ -42,9 +42,9 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str =
     return rank(fuse(dense, sparse, method.removeprefix("hybrid_"), weights).withColumnRenamed("fused", "score"), k)
 
 
-def ask(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str = "hybrid_rrf") -> DataFrame:
+def ask(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str = "hybrid_rrf", weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """Answer, confidence and sources for each question; questions without hits get the fixed refusal."""
-    hits = retrieve(chunks, questions, k, method).join(chunks.select("item", "filename", "content"), "item")
+    hits = retrieve(chunks, questions, k, method, weights).join(chunks.select("item", "filename", "content"), "item")
     source = F.struct("rank", "filename", F.round("score", 3).alias("score"), preview(c("content"), 200).alias("preview"))
     by = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"), F.max("score").alias("most"), F.count("*").alias("n"))
     joined = questions.join(by, "query_id", "left")

@@ -9,12 +9,16 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import closing
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from docspark.sources.pdf import parse_pdf
 
@@ -139,6 +143,35 @@ def ocr_pages(pages: DataFrame, engines: tuple[Callable[[bytes], str], ...]) ->
     return pages.select("doc", F.struct("page", marked.alias("t")).alias("p")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n").alias("text"))
 
 
+def ocr_directory(spark: SparkSession, folder: str, read: Callable[[bytes], tuple[str, int]], out: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """The job over all PDF files of a folder. ``read`` gives a file's text and number of pages. Texts go to ``out``/texts, a row of
+    name and text each, results of all files to ``out``/files, and one summary row, which is returned, to ``out``/summary, as JSON."""
+
+    @F.arrow_udf("success boolean, error string, text string, pages int")
+    def run(contents: pa.Array) -> pa.Array:
+        rows = []
+        for data in contents.to_pylist():
+            try:
+                text, pages = read(data)
+                rows.append((True, None, text, pages))
+            except Exception as problem:  # noqa: BLE001
+                rows.append((False, f"{type(problem).__name__}: {problem}", "", 0))
+        kinds = (("success", pa.bool_()), ("error", pa.string()), ("text", pa.string()), ("pages", pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], [n for n, _ in kinds])
+
+    files = list_files(spark, folder, recursive=False, pattern="*.pdf")
+    if files.select("name").isEmpty():
+        return spark.createDataFrame([(False, "No PDF files found")], "success boolean, error string")
+    files.select("name", run("content").alias("x")).select("name", "x.*").write.parquet(f"{out}/read")
+    done = spark.read.parquet(f"{out}/read")  # engines are slow: each file is read once
+    done.where("success").select(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_ocr_extracted.txt")).alias("file"), "text").write.json(f"{out}/texts")
+    done.select("name", "success", "error", "pages", F.length("text").alias("total_characters")).write.json(f"{out}/files")
+    sums = [F.count("*").alias("total_files"), F.count_if("success").alias("successful_files"), F.sum("pages").alias("total_pages_processed"), F.sum(F.length("text")).alias("total_characters_extracted")]
+    given = F.to_json(F.create_map(*[F.lit(x) for pair in settings.items() for x in pair])) if settings else F.lit(None).cast("string")
+    done.agg(*sums).select(F.lit(folder).alias("input_directory"), F.lit(out).alias("output_directory"), "*", given.alias("ocr_settings")).write.json(f"{out}/summary")
+    return spark.read.json(f"{out}/summary")
+
+
 def page_markers(pages: Column) -> Column:
     """An array of page texts as one text with page markers; blank pages keep their number but are left out."""
     marked = F.transform(pages, lambda t, i: F.when(F.trim(t) != "", F.concat(F.lit("=== PAGE "), (i + 1).cast("string"), F.lit(" ===\n"), t)))
@@ -156,7 +189,71 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Stored chunks with the optional columns that the store has."""
-    rows = spark.read.parquet(path)
+    return _chunk_columns(spark.read.parquet(path), limit)
+
+
+def read_chunks_jdbc(spark: SparkSession, url: str, table: str = "chunks", limit: int | None = None, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """Chunks of a database, columns as for ``read_chunks``; ``limit`` and columns reach the database. ``split`` (column, lowest,
+    highest, number of parts) reads in parallel; without it one task reads all."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split:
+        reader = reader.options(**dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, split), strict=True)))
+    return _chunk_columns(reader.load(), limit)
+
+
+class SqliteSource(DataSource):
+    """Format ``docspark_sqlite``: a table of an SQLite file, by ranges of its row ids; options path, table and parts. The file must
+    be visible to all workers under one path. Columns that are not TEXT, INTEGER or REAL are read as text."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "docspark_sqlite"
+
+    def _connect(self):  # noqa: ANN202
+        import sqlite3
+
+        path = self.options["path"].removeprefix("file://")
+        return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+
+    def schema(self) -> str:
+        kinds = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double"}
+        with closing(self._connect()) as db:
+            columns = db.execute("SELECT name, type FROM pragma_table_info(?)", [self.options.get("table", "chunks")]).fetchall()
+        if not columns:
+            raise ValueError("the table does not exist")
+        return ", ".join(f"`{name}` {kinds.get(kind.upper(), 'string')}" for name, kind in columns)
+
+    def reader(self, schema: StructType) -> SqliteReader:
+        return SqliteReader(self, schema)
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, source: SqliteSource, schema: StructType) -> None:
+        self.source, self.schema, self.table = source, schema, source.options.get("table", "chunks").replace('"', '""')
+
+    def partitions(self) -> list[InputPartition]:
+        with closing(self.source._connect()) as db:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        if low is None:
+            return [InputPartition((0, -1))]
+        step = max(1, -(-(high - low + 1) // int(self.source.options.get("parts", "8"))))
+        return [InputPartition((a, min(high, a + step - 1))) for a in range(low, high + 1, step)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        names = ", ".join('"' + f.name.replace('"', '""') + '"' for f in self.schema)
+        text = [f.dataType.simpleString() == "string" for f in self.schema]
+        with closing(self.source._connect()) as db:
+            for row in db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', partition.value):
+                yield tuple(str(v) if t and v is not None else v for v, t in zip(row, text, strict=True))
+
+
+def read_chunks_sqlite(spark: SparkSession, path: str, table: str = "chunks", limit: int | None = None) -> DataFrame:
+    """Chunks of an SQLite file, columns as for ``read_chunks``, without a driver of its own."""
+    spark.dataSource.register(SqliteSource)
+    return _chunk_columns(spark.read.format("docspark_sqlite").option("table", table).load(path), limit)
+
+
+def _chunk_columns(rows: DataFrame, limit: int | None) -> DataFrame:
     picked = rows.select(*[c for c in ("chunk_id", "content", "filename", "page_number", "chunk_index") if c in rows.columns])
     return picked.limit(limit) if limit else picked
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import upsert
+from docspark.operators.files import is_kept
 
 
 class Collection:
@@ -76,6 +77,11 @@ def write_csv(rows: DataFrame, path: str, prefix: str = "processed_") -> str:
     return out
 
 
+def write_kept_files(classified: DataFrame, path: str) -> None:
+    """The paths of the files that the filter keeps (path, reason), one on each line."""
+    classified.where(is_kept(F.col("reason"))).select(F.col("path").alias("value")).write.text(path)
+
+
 def write_chunk_json(rows: DataFrame, path: str) -> None:
     """One JSON object for each vector: chunk_info, metadata, embedding, processing_info."""
     rows.select("vector_id", F.struct("content", "chunk_id", "filename", F.length("content").alias("chunk_size"), "chunk_index").alias("chunk_info"), F.struct(F.col("filename").alias("source")).alias("metadata"), F.struct(F.col("vector"), F.size("vector").alias("dimension"), F.lit("hashed-words").alias("model")).alias("embedding"), F.struct("document_id").alias("processing_info")).write.json(path)

@@ -15,7 +15,7 @@ def test_service(spark, tmp_path):
     service = Service(spark, f"file://{tmp_path}/store")
     assert service.upload(f"{tmp_path}/in", vectorise=False).count() == 2
     assert service.upload(f"{tmp_path}/in", vectorise=False).count() == 2
-    assert service.statistics().first()["total_documents"] == 2
+    assert service.statistics().first()["total_documents"] == 2 and service.query_statistics().count() == 0
     n = service.unvectorised().count()
     assert n > 0 and service.vectorise_pending() == n and service.unvectorised().count() == 0
     questions = spark.createDataFrame([(1, "what does the blue pump need"), (2, "hi")], "query_id bigint, text string")
@@ -24,7 +24,19 @@ def test_service(spark, tmp_path):
     assert service.compare(questions.where("query_id = 1")).count() >= 1 and service.stored_files().count() == 2
     assert service.chunk_metadata("B.CSV").count() >= 1
     out = service.bulk_questions(questions.withColumnRenamed("text", "question"), f"{tmp_path}/q.csv")
-    assert spark.read.csv(out, header=True).count() == 2
+    written = {r["question"]: r for r in spark.read.csv(out, header=True, escape='"', multiLine=True).collect()}
+    assert len(written) == 2 and written["hi"]["context"] in (None, "") and written["what does the blue pump need"]["context"].startswith("[Score: ")
+    assert all(r["query_time"].endswith("s") and r["retrieval_method"] == "hybrid_rrf" for r in written.values())
+    stats = {r["kind"]: r for r in service.query_statistics().collect()}
+    assert {k: (r["n"], r["share"]) for k, r in stats.items()} == {"document_search": (1, 0.5), "conversational": (1, 0.5)}
+    forced = service.query(questions, weights=(0.1, 0.9), method="hybrid_weighted", force_document_search=True)
+    assert [r["kind"] for r in forced.collect()] == ["document_search"] * 2
+    judged = service.evaluate(questions.where("query_id = 1")).collect()
+    assert len(judged) == 5 and sum(r["best"] for r in judged) == 1 and all(0 < r["agreement"] <= 1 for r in judged)
+    assert {x["status"] for x in service.hybrid_health().values()} == {"Available"}
+    summary = {r["name"]: r for r in service.upload_summary(f"{tmp_path}/in").collect()}
+    assert summary["a.txt"]["success"] and summary["copy.txt"]["success"] and summary["a.txt"]["chunk_count"] > 0
+    assert not summary["c.exe"]["success"] and summary["c.exe"]["error"] == "Unsupported file type: .exe"
     assert service.delete("b.csv")["documents"] == 1 and service.list_documents().count() == 1
     with pytest.raises(ValueError, match="between"):
         service.query(questions, 21)
