@@ -182,18 +182,24 @@ def filter_alike(results: DataFrame, by: list[str], order: list[str], content: s
 def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str = "text") -> DataFrame:
     """All pairs of different texts with a word-set Jaccard of at least ``threshold``, exactly.
 
-    Equal word sets collapse first. Of two sets so alike, the rarest words of each (its prefix) share one, so
-    only sets that meet in a prefix word are compared.
+    Equal word sets collapse first. Of two sets so alike, the rarest words of each (its prefix) share one, so only sets that meet
+    in a prefix word are compared. Words have one order, so a shared word at places i and j of two sets bounds what they share by
+    min(i, j) before and the shorter rest after it, and all shared prefix words by their number and the rest after the last;
+    pairs that can't reach the threshold go before the texts are fetched. Words meet by hash: a collision only adds a candidate.
     """
-    sets = rows.select(c(key).alias("id"), F.array_sort(words(F.lower(text))).alias("ws")).where(F.size("ws") > 0)
+    sets = rows.select(c(key).alias("id"), F.sort_array(words(F.lower(text))).alias("ws")).where(F.size("ws") > 0)
     classes = sets.groupBy("ws").agg(F.min("id").alias("id"))
     spread = classes.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     frequency = spread.groupBy("w").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = spread.join(frequency, "w").withColumn("rank", rank).where(c("rank") <= c("n") - F.ceil(c("n") * threshold) + 1).select("id", "n", "w")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (c("a.w") == c("b.w")) & (c("a.id") < c("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
-    candidates = a.join(b, near).select(c("a.id").alias("a"), c("b.id").alias("b")).distinct()
+    ranked = spread.join(frequency, "w").withColumn("rank", rank).where(c("rank") <= c("n") - F.ceil(c("n") * threshold) + 1)
+    prefix = ranked.select("id", "n", F.xxhash64("w").alias("w"), "rank")
+    least = (c("a.n") + c("b.n")) * (threshold / (1 + threshold)) - 1e-9
+    rest = F.least(c("a.n") - c("a.rank"), c("b.n") - c("b.rank"))
+    near = (c("a.w") == c("b.w")) & (c("a.id") < c("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold) & (F.least("a.rank", "b.rank") + rest >= least)
+    met = prefix.alias("a").join(prefix.alias("b"), near).select(c("a.id").alias("a"), c("b.id").alias("b"), rest.alias("rest"), least.alias("least"))
+    bounds = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("rest").alias("rest"), F.first("least").alias("least"))
+    candidates = bounds.where(c("k") + c("rest") >= c("least")).select("a", "b")
     left, right = classes.select(c("id").alias("a"), c("ws").alias("wa")), classes.select(c("id").alias("b"), c("ws").alias("wb"))
     return candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(c("wa"), c("wb"))).where(c("similarity") >= threshold).select("a", "b", "similarity")
 
@@ -267,7 +273,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     """Pairs of alike documents. Those with one word set are listed once each, with the first of them; a pair of
     different sets stands for all their documents, so no group of copies grows with its square."""
     docs = load(s, d, "documents").select("doc_id", "text")
-    sets = docs.select(c("doc_id").alias("b"), F.array_sort(words(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
+    sets = docs.select(c("doc_id").alias("b"), F.sort_array(words(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
     same = sets.join(sets.groupBy("ws").agg(F.min("b").alias("a")), "ws").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     return similar_pairs(docs, DOCUMENT, "doc_id").union(same).withColumn("similarity", F.round("similarity", 6))
 
