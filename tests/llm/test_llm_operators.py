@@ -780,3 +780,21 @@ def test_long_chats_of_templates_that_look_back():
 def test_chats_keep_the_type_of_ids(spark):
     rows = spark.createDataFrame([("b", 1, "user", "x"), ("a", 1, "assistant", "y"), (None, 1, "user", "")], "conv_id string, turn bigint, role string, text string")
     assert {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.format_conversations(rows)).collect()} == {"a": 1, "b": 0, None: 0}
+
+
+def test_prints_of_texts_at_the_least_similarity_stay_within_the_radius():
+    """Texts that are changed word by word, as far as a similarity of 0.8 allows, at random, in a run or from the start."""
+    rng, far, n_pairs = random.Random(1), 0, 0
+    for size in (20, 40, 80, 150, 300):
+        for trial in range(60):
+            words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            changed, start = list(words), rng.randrange(size)
+            order = rng.sample(range(size), size) if trial % 3 == 0 else [(k + start * (trial % 3 == 1)) % size for k in range(size)]
+            for at in order:
+                kept, changed[at] = changed[at], f"x{rng.randrange(5000)}"
+                if decontaminate.similarity(changed, words, 5) < decontaminate.SIMILARITY:
+                    changed[at] = kept
+                    break
+            a, b = (decontaminate.window_prints(decontaminate.shingle_sums(decontaminate.word_hashes(w), 5), size - 4)[0] for w in (words, changed))
+            far, n_pairs = max(far, int(np.bitwise_count(a ^ b).sum())), n_pairs + (changed != words)
+    assert n_pairs > 200 and far <= decontaminate.RADIUS
