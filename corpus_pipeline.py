@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import decontaminate, language, quality, simhash
-from docspark.llm.common import join_counted, materialise, shared_dir, table
+from docspark.llm.common import join_counted, materialise, shared_dir, sieve, sift, table
 from docspark.llm.sentencepiece_codec import encode_documents
 
 
@@ -40,12 +40,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
     found = simhash.near_duplicates(docs.select(F.struct(*row).alias("row"), "text"), key="row", similarity=simhash.NEAR)
-    kept = found.where("row = component").groupBy("row.no_id", "row.id", "row.text_hash").agg(F.count("*").alias("n"))
-    kept = materialise(kept, "kept")
+    judged = found.groupBy("row.no_id", "row.id", "row.text_hash").agg(F.count("*").alias("n"), F.bool_and(F.expr("row = component")).alias("kept"))
+    judged = materialise(judged, "judged")
     named = docs.select(*row, F.struct("*").alias("document"))
-    chosen = join_counted(named, kept, ["no_id", "id", "text_hash"], docs.count())
+    doubtful = sieve(judged.where("n > 1 or not kept"), "text_hash")  # any row outside it is kept and has no copies
+    kept = sift(judged.where("kept").drop("kept"), "text_hash", doubtful)
+    chosen = join_counted(sift(named, "text_hash", doubtful), kept, ["no_id", "id", "text_hash"], docs.count())
     copied = chosen.where("n > 1").dropDuplicates(["no_id", "id", "text_hash"])
-    return chosen.where("n = 1").unionByName(copied).select("document.*")
+    alone = sift(named, "text_hash", doubtful, "left_anti")
+    return alone.select("document.*").unionByName(chosen.where("n = 1").unionByName(copied).select("document.*"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,10 +31,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import join_counted, materialise, table
+from docspark.llm.common import join_counted, materialise, sieve, sift, table
 from docspark.llm.components import connected_components
 
 RADIUS, WIDTH, SEED, HOT = 3, 3, 42, 4096
@@ -286,11 +286,12 @@ def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_W
     """Links (a, b) of fingerprints (of ``prints_width`` words) that join all texts of at least this similarity; ``docs`` has text."""
     rows = docs.select(F.xxhash64("text").alias("id"), "text")
     banded = materialise(rows.select("id", band_keys(F.col("text"), width).alias("keys")), "bands")
-    keyed = banded.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    groups = connected_components(keyed.join(shared, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), "root")
-    copies = banded.groupBy("id").agg(F.count("*").alias("n")).join(groups, "id")
-    members = join_counted(rows, materialise(copies, "groups"), ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    keyed = banded.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
+    shared = keyed.select(F.col("id").alias("a"), F.min("id").over(Window.partitionBy("key")).alias("b"))
+    groups = connected_components(shared).select(F.col("node").alias("id"), "root")
+    copies = materialise(banded.groupBy("id").agg(F.count("*").alias("n")).join(groups, "id"), "groups")
+    grouped = sift(rows, "id", sieve(copies, "id"))  # so that no other texts are dealt
+    members = join_counted(grouped, copies, ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("text").alias("text"))
     members = materialise(members, "members")
     parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int")
     sized = members.join(members.groupBy("root").agg(parts.alias("parts")), "root")

@@ -716,6 +716,43 @@ def test_hot_keys_of_joins(spark):
     assert sorted((r["key"], r["x"]) for r in found.collect()) == sorted((r["key"], r["x"]) for r in left.collect() if r["key"] != 1)
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sieves_hold_all_their_keys(spark):
+    """Also hashes of either sign; few others pass, and the rest are just those that don't."""
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("hash"))
+    rows = rows.unionByName(spark.createDataFrame([(-k, x) for k, x in enumerate((0, -1, 2**63 - 1, -(2**63)), 1)], "id bigint, hash bigint"))
+    held = common.sieve(rows.where("id % 10 = 0 or id < 0"), "hash")
+    found = {r["id"] for r in common.sift(rows, "hash", held).collect()}
+    rest = {r["id"] for r in common.sift(rows, "hash", held, "left_anti").collect()}
+    assert set(range(0, 20_000, 10)) | {-1, -2, -3, -4} <= found and len(found) < 2_050
+    assert not found & rest and len(found) + len(rest) == 20_004
+    empty = common.sieve(rows.where("false"), "hash")
+    assert common.sift(rows, "hash", empty).count() == 0 and common.sift(rows, "hash", empty, "left_anti").count() == 20_004
+
+
+def test_near_dedup_deals_no_texts_without_copies(spark):
+    """Where joins are not broadcast, only texts that something is like are dealt, and the keys of all bands: under half of the bytes."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.randbytes(8).hex() for _ in range(300)) for _ in range(600)]  # so many that no key is hot
+    rows = [*enumerate(texts), (600, texts[3]), (3, texts[3]), (601, texts[5] + " end"), (7, texts[8] + " end"), (None, texts[9]), (None, None), (602, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = f"{common.shared_dir(spark)}/dealt-{rng.random()}"
+    docs.write.parquet(path)
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(path), "").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(kept, key=str) == sorted([x for x in enumerate(texts) if x[0] != 8] + [(7, texts[8] + " end"), (602, None)], key=str)
+    assert shuffled_bytes(spark) - before < sum(map(len, texts)) // 2
+
+
 def test_large_groups_meet_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 5)
     test_near_dedup_of_planted_copies(spark)
