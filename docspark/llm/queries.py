@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from docspark.llm.chat import OP4_SQL, op4_chat_format
 from docspark.llm.decontaminate import op9_decontamination
+from docspark.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from docspark.llm.language import op5_language_id
 from docspark.llm.lm_score import OP10_SQL, op10_lm_score
+from docspark.llm.mixing import OP13_SQL, op13_mixing
 from docspark.llm.mtree import OP7_SQL, op7_exact_topk
 from docspark.llm.quality import op3_quality
 from docspark.llm.sentencepiece_codec import op1_sentencepiece
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_mixing": op13_mixing,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_lm_score": OP10_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_lm_score": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_mixing": OP13_SQL}
