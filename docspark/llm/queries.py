@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docspark.llm.chat import OP4_SQL, op4_chat_format
+from docspark.llm.collocations import OP12_SQL, op12_collocations
 from docspark.llm.decontaminate import op9_decontamination
 from docspark.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from docspark.llm.language import op5_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_lm_score": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_mixing": OP13_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_sharding": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_lm_score": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_collocations": OP12_SQL, "op13_mixing": OP13_SQL}
