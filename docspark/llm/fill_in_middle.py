@@ -93,25 +93,24 @@ def selected(ends: Column, low: Column, high: Column) -> Column:
 
 
 def _digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))  # never null, which spares a filter that would compute it again
 
 
 def _dealt(docs: DataFrame, key: str, text: str, digest, size: int) -> DataFrame:
     """(id, text, digest, part) of all rows; documents of a frequent text are dealt to parts."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", digest(F.col("text")))
-    size = max(size, docs.count() >> 16)
-    counts = rows.groupBy(F.xxhash64("digest").alias("hash")).agg(F.count("*").alias("n"))
+    size, hashed = max(size, docs.count() >> 16), F.xxhash64("text")
+    counts = rows.groupBy(hashed.alias("hash")).agg(F.count("*").alias("n"))
     frequent = materialise(counts.where(F.col("n") > size).select("hash", F.ceil(F.col("n") / size).alias("parts")), "frequent")
-    met = rows.join(F.broadcast(frequent), F.xxhash64("digest") == frequent["hash"], "left")
-    return met.select("id", "text", "digest", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).alias("part"))
+    met = rows.join(F.broadcast(frequent), hashed == frequent["hash"], "left")
+    return met.select("id", "text", digest(F.col("text")).alias("digest"), F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).alias("part"))
 
 
 def text_index(dealt: DataFrame) -> DataFrame:
-    """(digest, part, text, lines) of distinct texts; ``lines`` as ``boundaries`` gives them."""
+    """(digest, part, text) of distinct texts, each of which is its digest's only one."""
     texts = dealt.groupBy("digest", "part").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.element_at("texts", 1)).otherwise(F.raise_error(F.lit("two texts share a digest")))
-    return texts.select("digest", "part", one.alias("text")).withColumn("lines", boundaries(F.col("text")))
+    return texts.select("digest", "part", one.alias("text"))
 
 
 def seeded(key: Column, seed: int, k: int) -> Column:
@@ -123,14 +122,17 @@ def seeded(key: Column, seed: int, k: int) -> Column:
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, rate: int = RATE, spm: int = SPM, digest=_digest, part: int = PART) -> DataFrame:
     """(the id, n, form, prefix_chars, middle_chars, output) of every row of ``docs``; ``rate`` percent are cut, ``spm`` percent of them suffix first."""
     dealt = _dealt(docs, key, text, digest, part)
+    index = text_index(dealt)
     ids = dealt.groupBy("digest", "part", "id").agg(F.count("*").alias("rows"))
-    met = ids.join(text_index(dealt), ["digest", "part"])
+    # lists are a relation of their own: the texts then stay where they were gathered, and cuts come to them
+    listed = ids.join(index.select("digest", "part", boundaries(F.col("text")).alias("lines")), ["digest", "part"])
     h1, h2, h3, h4 = (seeded(F.col("id"), seed, k) for k in range(4))
     n = F.col("lines.n")
     places = [f(F.pmod(h1, n + 1), F.pmod(h2, n + 1)) for f in (F.least, F.greatest)]
-    plain = (n == 0) | F.col("text").rlike("|".join(CONTROL)) | (F.pmod(h3, F.lit(100)) >= rate)
+    cuts = listed.select("digest", "part", "id", "rows", n.alias("n"), selected(F.col("lines.ends"), *places).alias("cut"))
+    plain = (F.col("n") == 0) | F.col("text").rlike("|".join(CONTROL)) | (F.pmod(h3, F.lit(100)) >= rate)
     form = F.when(plain, "plain").when(F.pmod(h4, F.lit(100)) < spm, "spm").otherwise("psm")
-    cut = met.select("id", "rows", "text", n.alias("n"), form.alias("form"), selected(F.col("lines.ends"), *places).alias("cut"))
+    cut = cuts.join(index, ["digest", "part"]).withColumn("form", form)
     low, high = F.col("cut.low"), F.col("cut.high")
     parts = [F.substring("text", F.lit(1), low.cast("int")), F.substring("text", high.cast("int") + 1, F.length("text")), F.substring("text", low.cast("int") + 1, (high - low).cast("int"))]
     prefix, suffix, middle = (F.concat(F.lit(c), p) for c, p in zip(CONTROL, parts, strict=True))
