@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import join_counted, materialise, table
 
 DEPTH, LEAST, COVER, TOP, DEAL = 4, 30, 80, 2000, 64
-SHARD, SLICE = 1 << 21, 4 << 20
+SHARD, SLICE = 1 << 20, 2 << 20
 FILTER_BITS = 1 << 28
 #: Of a byte: its lower case, and 1 for what separates words, 2 for what separates pieces.
 LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
@@ -50,55 +50,74 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Shard:
-    """Words in order: symbols from 1 (``names`` and ``langs`` have them from 0), and whether one begins a piece."""
+    """Words in order: symbols from 1 (``names`` and ``langs`` have them from 0), and whether one begins a piece.
+
+    The first ``known`` words were in the shard before: they stand in front of others, but no phrase that ends there counts again.
+    """
 
     symbols: np.ndarray
     begins: np.ndarray
     langs: pa.Array
     names: pa.Array
+    known: int = 0
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the symbols, from 0."""
-        import xxhash
-
-        seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in self.langs.unique().to_pylist()}
-        found = [xxhash.xxh64_intdigest(name, seeds[lang]) for lang, name in zip(self.langs.to_pylist(), self.names.to_pylist(), strict=True)]
-        return np.array(found, dtype=np.uint64)
+        langs = self.langs.dictionary_encode()
+        return _mixed(_mixed(_bytes_hash(langs.dictionary))[langs.indices.to_numpy()] + _bytes_hash(self.names))
 
     def without(self, kept: np.ndarray) -> Shard:
         """The words of symbols that are kept. What stood on both sides of another one is no neighbour."""
         held = kept[self.symbols - 1]
         cut = self.begins | ~np.r_[True, held[:-1]]
-        return Shard(self.symbols[held], cut[held], self.langs, self.names)
+        return Shard(self.symbols[held], cut[held], self.langs, self.names, int(held[: self.known].sum()))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(32)) * MIX
+    return values ^ values >> np.uint64(29)
+
+
+def _bytes_hash(values: pa.BinaryArray) -> np.ndarray:
+    """Of each value the sum of its bytes times powers of an odd number, by place."""
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    if not len(values) or ends[0] == ends[-1]:
+        return np.zeros(len(values), dtype=np.uint64)
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), MIX, dtype=np.uint64))
+    out, held = np.zeros(len(values), dtype=np.uint64), np.flatnonzero(sizes)
+    out[held] = np.add.reduceat(data * powers[place], ends[held] - ends[0])
+    return out
 
 
 def pair_hashes(hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """64-bit hashes of pairs of symbols (from 1)."""
-    mixed = (hashes[left - 1] * MIX + hashes[right - 1]) * MIX
-    return mixed ^ mixed >> np.uint64(29)
+    return _mixed(hashes[left - 1] * MIX + hashes[right - 1])
 
 
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of bytes: where words start, whether each begins a piece, and the words. At ``starts`` new texts begin."""
+    """Of bytes: where words start, how many pieces have ended before each and before the end, and the words. At ``starts`` new texts begin."""
     data = LOWER[data]
     kind = KIND[data]
     text, inside = np.zeros(len(data), dtype=bool), kind == 0
     text[starts] = True
     first = np.flatnonzero(inside & (text | np.r_[True, ~inside[:-1]]))
     kept = np.cumsum(inside, dtype=np.int32)
-    cuts = np.cumsum(text | (kind == 2), dtype=np.int32)[first]
+    cuts = np.cumsum(text | (kind == 2), dtype=np.int32)
     offsets = np.r_[kept[first] - 1, kept[-1:]].astype(np.int32)
     values = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    return first, np.diff(cuts, prepend=0) > 0, values
+    return first, np.r_[cuts[first], cuts[-1:]], values
 
 
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
     """(languages of the words, begins, words) of slices of about ``size`` bytes of a batch (lang, text)."""
-    langs = pc.fill_null(batch.column(0), "und").cast(pa.binary())
+    langs = pc.fill_null(batch.column(0), "und").cast(pa.binary()).dictionary_encode()
     texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    at = int(ends[0])
+    at, ended = int(ends[0]), 0
     while at < ends[-1]:
         to = min(at + size, int(ends[-1]))
         while to < ends[-1] and KIND[data[to]] == 0 and ends[np.searchsorted(ends, to)] != to:
@@ -106,30 +125,46 @@ def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
             stops = [int(x[0]) for x in (np.flatnonzero(KIND[near]), ends[np.searchsorted(ends, to) :] - to) if len(x)]
             to = min(to + len(near), to + min(stops))
         inner = ends[(ends >= at) & (ends < to)]
-        first, begins, words = _words(data[at:to], inner - at)
+        first, cuts, words = _words(data[at:to], inner - at)
         rows = np.searchsorted(ends, first + at, side="right") - 1
-        yield langs.take(pa.array(rows)), begins, words
-        at = to
+        yield langs.take(pa.array(rows)), np.diff(cuts[:-1] + ended, prepend=0) > 0, words.dictionary_encode()
+        at, ended = to, int(cuts[-1] - cuts[-2] if len(first) else ended + cuts[-1])
+
 
+def _joined(parts: list[pa.DictionaryArray]) -> pa.DictionaryArray:
+    return pa.chunked_array(parts).unify_dictionaries().combine_chunks()
 
-def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD, size: int = SLICE) -> Iterator[Shard]:
-    """Batches of (lang, text) as shards of about ``most`` words."""
+
+def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD, size: int = SLICE, carried: int = DEPTH - 1) -> Iterator[Shard]:
+    """Batches of (lang, text) as shards of about ``most`` words, each led by the last ``carried`` words of the one before."""
     held: list[tuple] = []
+    count = known = 0
 
     def one() -> Shard:
-        langs, names = (pa.chunked_array([h[k] for h in held], pa.binary()).dictionary_encode().combine_chunks() for k in (0, 2))
+        langs, names = (_joined([h[k] for h in held]) for k in (0, 2))
         code = langs.indices.to_numpy().astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()
-        met, symbols = np.unique(code, return_inverse=True)
-        lang, name = np.divmod(met, max(1, len(names.dictionary)))
-        return Shard(symbols + 1, np.concatenate([h[1] for h in held]), langs.dictionary.take(pa.array(lang)), names.dictionary.take(pa.array(name)))
+        coded = pa.array(code).dictionary_encode()
+        lang, name = np.divmod(coded.dictionary.to_numpy(), max(1, len(names.dictionary)))
+        return Shard(coded.indices.to_numpy().astype(np.int64) + 1, np.concatenate([h[1] for h in held]), langs.dictionary.take(pa.array(lang)), names.dictionary.take(pa.array(name)), known)
+
+    def tail() -> list[tuple]:
+        last, lacking = [], carried
+        for langs, begins, names in reversed(held):
+            n = min(lacking, len(begins))
+            if n:
+                last.insert(0, (langs[-n:].dictionary_decode().dictionary_encode(), begins[-n:], names[-n:].dictionary_decode().dictionary_encode()))
+                lacking -= n
+        return last
 
     for batch in batches:
         for part in _slices(batch, size):
             held.append(part)
-            if sum(len(h[1]) for h in held) >= most:
+            count += len(part[1])
+            if count >= most:
                 yield one()
-                held = []
-    if held and any(len(h[1]) for h in held):
+                held, count = tail(), 0
+                known = sum(len(x[1]) for x in held)
+    if count:
         yield one()
 
 
@@ -149,17 +184,35 @@ class Automaton:
         return self.longest[held, :words][:, ::-1], self.ends[held]
 
 
-def automaton(symbols: np.ndarray, begins: np.ndarray, depth: int = DEPTH) -> Automaton:
-    """The states of all pieces of a sequence (symbols from 1), sorted by their longest phrases, read backwards."""
-    n = len(symbols)
-    back = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0)) if n else np.zeros(0, dtype=int)
-    before = [np.where(back >= k, np.r_[np.zeros(min(k, n), dtype=np.int64), symbols[: max(0, n - k)]], 0) for k in range(depth)]
-    rank, ranks = np.zeros(n, dtype=np.int64), []
-    for column in reversed(before):  # ranks of the last words so far, from the farthest one to the nearest
-        _, rank = np.unique(column << 32 | rank, return_inverse=True)
-        ranks.append(rank)
-    _, first, count = np.unique(rank, return_index=True, return_counts=True)
-    rows = np.column_stack([column[first] for column in before]) if n else np.zeros((0, depth), dtype=np.int64)
+def _contexts(symbols: np.ndarray, back: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the rank, from 1, of its last ``depth`` words read backwards, and the words of each rank. Pieces end a context: ``back``
+    has how many words of the piece stand before each one."""
+    if depth == 1:
+        return symbols, np.arange(int(symbols.max(initial=0)) + 1)[:, None]
+    key, rows = _pairs(symbols, back, depth)
+    met, rank = np.unique(key, return_inverse=True)
+    return rank + 1, np.r_[np.zeros((1, depth), dtype=np.int64), rows(met)]
+
+
+def _pairs(symbols: np.ndarray, back: np.ndarray, depth: int) -> tuple:
+    """Keys that sort as the last ``depth`` words of each position, put together of the ranks of two halves, and what reads words from keys."""
+    near = (depth + 1) // 2
+    rank, rows = _contexts(symbols, back, near)
+    other, farther = (rank, rows) if depth == 2 * near else _contexts(symbols, back, depth - near)
+    before = np.zeros(len(symbols), dtype=np.int64)
+    before[near:] = np.where(back[near:] >= near, other[:-near], 0)
+    return rank << 32 | before, lambda keys: np.hstack([rows[keys >> 32], farther[keys & 0xFFFFFFFF]])
+
+
+def automaton(symbols: np.ndarray, begins: np.ndarray, depth: int = DEPTH, known: int = 0) -> Automaton:
+    """The states of all pieces of a sequence (symbols from 1), sorted by their longest phrases, read backwards. The first ``known`` symbols
+    are no end positions."""
+    places = np.arange(len(symbols))
+    back = places - np.maximum.accumulate(np.where(begins, places, 0)) if len(symbols) else places
+    keys, words = _pairs(symbols.astype(np.int64), back, depth)
+    keys = np.sort(keys[known:])
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    count, rows = np.diff(np.r_[starts, len(keys)]), words(keys[starts])
     ends = np.zeros((len(rows), depth + 2), dtype=np.int64)  # of the node of each depth that starts at a row
     change = np.zeros(len(rows), dtype=bool)
     for d in range(1, depth + 1):
@@ -176,9 +229,11 @@ def automaton(symbols: np.ndarray, begins: np.ndarray, depth: int = DEPTH) -> Au
     return Automaton(held, length, shortest, ends[at, length])
 
 
-def _over(docs: DataFrame, work: Callable[[Shard], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _over(docs: DataFrame, work: Callable[[Shard], Iterator[pa.RecordBatch]], schema: str, depth: int = DEPTH) -> DataFrame:
+    most, size = SHARD, SLICE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
+        for shard in shards(batches, most, size, depth - 1):
             yield from work(shard)
 
     return docs.mapInArrow(run, schema)
@@ -192,7 +247,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, hash, f) of all words of ``docs`` (lang, text); a null word has the language's sum."""
 
     def work(shard: Shard) -> Iterator[pa.RecordBatch]:
-        f = np.bincount(shard.symbols, minlength=len(shard.names) + 1)[1:]
+        f = np.bincount(shard.symbols[shard.known :], minlength=len(shard.names) + 1)[1:]
         codes = shard.langs.dictionary_encode()
         sums = np.bincount(codes.indices.to_numpy(), weights=f).astype(np.int64)
         hashes = pa.array(shard.hashes().view(np.int64))
@@ -229,7 +284,7 @@ def pair_counts(docs: DataFrame, words: Broadcast) -> DataFrame:
     def work(shard: Shard) -> Iterator[pa.RecordBatch]:
         hashes = shard.hashes()
         kept = shard.without(passes(words.value, hashes))
-        pairs, f = automaton(kept.symbols, kept.begins, 2).phrases(2)
+        pairs, f = automaton(kept.symbols, kept.begins, 2, kept.known).phrases(2)
         yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(hashes, pairs[:, 0], pairs[:, 1]).view(np.int64)), pa.array(f)], ["hash", "f"])
 
     return _over(docs, work, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
@@ -245,7 +300,7 @@ def phrase_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast, depth: in
             return
         joined = np.r_[False, passes(pairs.value, pair_hashes(hashes, kept.symbols[:-1], kept.symbols[1:]))] & ~kept.begins
         used = joined | np.r_[joined[1:], False]
-        found = automaton(kept.symbols[used], ~joined[used], depth)
+        found = automaton(kept.symbols[used], ~joined[used], depth, int(used[: kept.known].sum()))
         for n in range(2, depth + 1):
             symbols, f = found.phrases(n)
             for start in range(0, len(f), 65_536):
@@ -254,7 +309,7 @@ def phrase_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast, depth: in
                 langs = shard.langs.take(pa.array(part[:, 0]))
                 yield pa.RecordBatch.from_arrays([_text(langs), _text(texts), pa.array(np.full(len(part), n, dtype=np.int32)), pa.array(f[start : start + 65_536])], ["lang", "phrase", "words", "f"])
 
-    counted = _over(docs, work, "lang string, phrase string, words int, f long")
+    counted = _over(docs, work, "lang string, phrase string, words int, f long", depth)
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
@@ -301,6 +356,8 @@ def first_of_language(rows: DataFrame, top: int = TOP, deal: int = DEAL) -> Data
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = DEPTH, least: int = LEAST, cover: int = COVER, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to ``depth`` words that occur ``least`` times."""
+    if depth < 2:
+        raise ValueError("depth must be two words at least")
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     words = materialise(word_counts(rows).where(F.col("word").isNull() | (F.col("f") >= least)), "words")
     frequent = words.where("word is not null")
