@@ -2,7 +2,8 @@
 
 Each round hangs every node under the smallest node that its neighbours know of; the number of rounds grows
 with the logarithm of the longest chain. Only links are shuffled. Each round is written to the shared
-folder, so neither the plan nor the lineage grows.
+folder, so neither the plan nor the lineage grows. Nodes with more than 1/256 of all links are joined by broadcast, so that no
+task gets all neighbours of a hub.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialise
+from docspark.llm.common import join_counted, materialise
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -24,10 +25,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = _mark(links)
     while mark[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        under = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(under, large.a == under.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        met = join_counted(both, least, ["a"], 2 * mark[0])
+        large = materialise(met.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        under = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        small = join_counted(large, under, ["a"], 2 * mark[0]).select(F.explode(F.array(pair("b", "m"), pair("a", "m"))).alias("x")).select("x.*")
         links = materialise(small.where("a <> b").distinct(), "links")
         before, mark = mark, _mark(links)
         if mark == before:

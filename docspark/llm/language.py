@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_fraction, crc_bucket, hash_unit, table
+from docspark.llm.common import bounded_fraction, crc_bucket, table
 
 CELLS, SLAB, FOLDS, MAX_ROWS = 32_768, 1 << 18, 3, 1500
 #: Neighbouring trigrams overlap, so a document holds about a third as many independent observations.
@@ -126,13 +126,16 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learn from text and non-null lang of documents whose crc32 bucket is not 1."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 1))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    names = sorted(sizes)
-    if not names:
+    if not sizes:
         return LanguageModel([], np.zeros((0, CELLS), np.float32))
-    shares = docs.sparkSession.createDataFrame([(n, bounded_fraction(max_rows, sizes[n])) for n in names], "lang string, share double")
-    sample = known.join(F.broadcast(shares), "lang").where(hash_unit(F.col("doc_id")) < F.col("share")).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(n, bounded_fraction(max_rows, sizes[n])) for n in sorted(sizes)], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)  # by id and text: rows of one id are drawn apart
+    sample = known.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
     # at most languages x cells rows reach the driver, whatever the input
     sums = sample.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(sums["lang"]))  # a language of which no sampled text has a letter can't be told from others
+    if not names:
+        return LanguageModel([], np.zeros((0, CELLS), np.float32))
     counts = np.full((len(names), CELLS), 0.05)
     at = {n: k for k, n in enumerate(names)}
     np.add.at(counts, (sums["lang"].map(at).to_numpy(dtype=int), sums["cell"].to_numpy(dtype=int)), sums["n"].to_numpy(dtype=float))

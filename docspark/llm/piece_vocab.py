@@ -153,13 +153,18 @@ class PieceVocabulary:
 class KeyMemo:
     """What is known of keys, in two generations: words in use move to the young one, the rest is let go.
 
-    Holds at most twice ``most`` keys, whatever the corpus; ``fill`` computes values of new keys, all at once.
+    Holds at most about twice ``most`` bytes, whatever the corpus; ``fill`` computes values of new keys, all at once.
     """
 
-    LONG = 64
+    #: Longer keys are not kept; bytes of a kept key besides its own and its value's.
+    LONG, EACH = 64, 200
 
-    def __init__(self, fill, most: int = 500_000) -> None:
-        self.fill, self.most, self.young, self.old = fill, most, {}, {}
+    def __init__(self, fill, most: int = 20 << 20) -> None:
+        self.fill, self.most = fill, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
 
     def values(self, keys: list[str]) -> list:
         out = list(map(self.young.get, keys))
@@ -169,9 +174,13 @@ class KeyMemo:
             if new := [k for k, v in lacking.items() if v is None]:
                 lacking.update(zip(new, self.fill(new), strict=True))
             out = [lacking[k] if v is None else v for k, v in zip(keys, out, strict=True)]
-            if len(self.young) + len(lacking) > self.most:
-                self.old, self.young = self.young, {}
-            self.young.update((k, v) for k, v in lacking.items() if len(k) <= self.LONG)
+            kept = {k: v for k, v in lacking.items() if len(k) <= self.LONG}
+            size = sum(len(k) + len(v) + self.EACH for k, v in kept.items())
+            if self.held + size > self.most:
+                self.old, self.young, self.held = self.young, {}, 0
+            if size <= self.most:
+                self.young.update(kept)
+                self.held += size
         return out
 
 

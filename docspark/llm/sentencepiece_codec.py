@@ -2,7 +2,7 @@
 
 Texts are cut where the vocabulary proves a token boundary; each segment is encoded by a score-ordered
 agenda of adjacent symbol pairs and, when first seen by a worker, checked against the library in the same
-Arrow batch. Segments are remembered in a memo of bounded size. The ids are always the agenda's; segments of a
+Arrow batch. Segments are remembered in a memo of bounded bytes, which ends with the task, and batches are taken in parts of some megabytes. The ids are always the agenda's; segments of a
 text whose ids the library has otherwise are counted in ``differences``, each time that they occur. Models whose
 boundaries can't be proven are encoded and checked text by text.
 
@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import table
+from docspark.llm.common import hand_back, pieces_of, table
 from docspark.llm.piece_vocab import SPACE, KeyMemo, PieceVocabulary, vocabulary
 
 MODEL = "piece_bpe_32k.model"
-_MEMOS: dict[str, KeyMemo] = {}
 
 
 class Differing(bytes):
@@ -42,12 +41,9 @@ def checked(keys: list[str], vocab: PieceVocabulary) -> list[bytes]:
     return [vocab.packed(a) if a == b else Differing(vocab.packed(a)) for a, b in zip(own, vocab.library_ids(keys), strict=True)]
 
 
-def _memo(model_file: str) -> KeyMemo:
-    """The worker's memo of packed ids."""
-    if model_file not in _MEMOS:
-        vocab = vocabulary(model_file)
-        _MEMOS[model_file] = KeyMemo(lambda keys: checked(keys, vocab))
-    return _MEMOS[model_file]
+def _memo(vocab: PieceVocabulary) -> KeyMemo:
+    """A task's memo of packed ids."""
+    return KeyMemo(lambda keys: checked(keys, vocab))
 
 
 def _encode_slices(text: str, vocab: PieceVocabulary, memo: KeyMemo) -> tuple[list[bytes], int]:
@@ -92,10 +88,11 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        vocab, memo = vocabulary(file), _memo(file)
-        for batch in batches:
+        vocab = vocabulary(file)
+        memo = _memo(vocab)
+        for texts in (part for batch in batches for part in pieces_of(batch)):
             ids, ends, decoded, differences, end = [], [0], [], [], 0
-            for text in batch:
+            for text in texts:
                 slices, found = _encode_slices(text.as_py() or "", vocab, memo)
                 parts = [np.frombuffer(s, dtype=np.int32).tolist() for s in slices]
                 decoded.append(" ".join(_decode(p, vocab) for p in parts))
@@ -108,6 +105,9 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(differences, pa.int32())], ["ids", "decoded", "differences"])
+        memo.clear()
+        del memo
+        hand_back()
 
     return run(text)
 

@@ -31,15 +31,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import join_counted, materialise, sieve, sift, table
+from docspark.llm.common import hand_back, join_counted, materialise, sieve, sift, table
 from docspark.llm.components import connected_components
 
 RADIUS, WIDTH, SEED, HOT = 3, 3, 42, 4096
 #: Of the verified links: shingle width, least similarity, bands and min-hashes in each.
-NEAR_WIDTH, NEAR, BANDS, ROWS, GROUP, GROUP_BYTES = 5, 0.8, 40, 5, 1024, 16 << 20
+NEAR_WIDTH, NEAR, BANDS, ROWS, GROUP, GROUP_BYTES = 5, 0.8, 40, 5, 1024, 4 << 20
 RANGES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 PAIRS = tuple(combinations(range(5), 2))
 
@@ -287,8 +287,10 @@ def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_W
     rows = docs.select(F.xxhash64("text").alias("id"), "text")
     banded = materialise(rows.select("id", band_keys(F.col("text"), width).alias("keys")), "bands")
     keyed = banded.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
-    shared = keyed.select(F.col("id").alias("a"), F.min("id").over(Window.partitionBy("key")).alias("b"))
-    groups = connected_components(shared).select(F.col("node").alias("id"), "root")
+    # a band's texts hang under the least of them; a band that very many share is joined by broadcast
+    first = materialise(keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "shared")
+    met = join_counted(sift(keyed, "key", sieve(first, "key")), first, ["key"], first.agg(F.sum("n")).first()[0] or 0)
+    groups = connected_components(met.select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), "root")
     copies = materialise(banded.groupBy("id").agg(F.count("*").alias("n")).join(groups, "id"), "groups")
     grouped = sift(rows, "id", sieve(copies, "id"))  # so that no other texts are dealt
     members = join_counted(grouped, copies, ["id"], banded.count()).groupBy("id").agg(F.first("root").alias("root"), F.first("text").alias("text"))
@@ -303,6 +305,8 @@ def similar_links(docs: DataFrame, similarity: float = NEAR, width: int = NEAR_W
         found = verified_links(texts, similarity, width)
         fp = {i: simhash(texts[i], prints_width) for i in {x for link in found for x in link}}
         ends = [np.array([fp[link[k]] for link in found], dtype=np.uint64).view(np.int64) for k in (0, 1)]
+        if len(texts) > GROUP // 2:
+            hand_back()
         return pa.table({"a": ends[0], "b": ends[1]})
 
     return met.groupBy("root", "low", "high").applyInArrow(links, "a long, b long")
