@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from docspark.operators.catalog import catalog_stats, file_rollup, metadata_filter
 from docspark.operators.files import MOST, UPLOADS
-from docspark.operators.search import embed, tokenise
+from docspark.operators.search import embed
+from docspark.operators.sparse import tokenise
 from docspark.plans import flows
 from docspark.sources.readers import PARSERS, extract_text, list_files
 from docspark.sources.sinks import Collection, write_csv

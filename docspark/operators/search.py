@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import confidence, embed_clean, key_terms, preview, words
+from docspark.operators.sparse import K1, B, bm25_topk
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
 c = F.col
-K1, B, RRF = 1.5, 0.75, 60
+RRF = 60
 #: The most bytes of query vectors that are broadcast, and the queries of a block beyond that.
 BROADCAST_BYTES, TILE = 64 << 20, 4096
 
@@ -51,11 +52,6 @@ def against_queries(corpus: DataFrame, queries: DataFrame, most: int = BROADCAST
     return left.join(right, ["block", "part"]).drop("block", "part")
 
 
-def if_few(rows: DataFrame, most: int = 1 << 20) -> Callable[[DataFrame], DataFrame]:
-    """``broadcast`` if ``rows`` (a word and an id each) are at most ``most``; else a plain join, whose skewed keys are split at run time."""
-    return F.broadcast if rows.limit(most + 1).count() <= most else lambda df: df
-
-
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, threshold: float | None = None, most: int = BROADCAST_BYTES, tile: int = TILE) -> DataFrame:
     """(query_id, rank, vec_id, score). ``queries`` (query_id, q) is a stated set, see ``against_queries``; each task
     keeps a group limit of k a query before the ranks are shuffled."""
@@ -66,25 +62,9 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, thre
     return pairs.select("query_id", "vec_id", "score", *[x for x in ("label", "q_label") if x in pairs.columns]).withColumn("rank", rank).where(c("rank") <= k)
 
 
-def tokenise(t: Column) -> Column:
-    return F.regexp_extract_all(F.lower(t), F.lit(r"[a-z0-9]+"), F.lit(0))
-
-
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, doc_id, score) by Okapi BM25. Only postings of query terms are kept, by a broadcast of
-    the terms if they are few (``if_few``), else by a shuffle; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    docs = corpus.select("doc_id", tokenise(c("text")).alias("ts"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean_len"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenise(c("text")))).alias("term"))
-    near = if_few(terms)
-    postings = docs.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term")
-    tf = postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(stats)).select("term", F.log(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf"), "mean_len")
-    scored = tf.join(near(weights), "term").withColumn("w", c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / c("mean_len"))))
-    sums = scored.join(near(terms), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return sums.withColumn("rank", rank).where(c("rank") <= k)
+    """(query_id, rank, doc_id, score) by Okapi BM25, see ``sparse``."""
+    return bm25_topk(corpus, queries, k).ranked
 
 
 def fuse(a: DataFrame, b: DataFrame, method: str, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import scalars
-from docspark.operators import catalog, chunking, correctors, files, layout, search, similarity, spelling
+from docspark.operators import catalog, chunking, correctors, files, layout, search, similarity, sparse, spelling
 from docspark.sources import readers
 from docspark.sources.sinks import Collection, write_csv
 from docspark.streaming import jobs
@@ -304,7 +304,7 @@ def test_bm25_joins_by_shuffle_where_terms_are_many(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "red w1"), (2, "w3 blue"), (3, "zz")], "query_id bigint, text string")
     take = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in search.bm25(docs, asked, 5).collect())
     few = take()
-    monkeypatch.setattr(search, "if_few", lambda rows: lambda df: df)
+    monkeypatch.setattr(sparse, "if_few", lambda rows: lambda df: df)
     assert take() == few and len(few) == 10
 
 
