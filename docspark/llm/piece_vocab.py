@@ -159,7 +159,7 @@ class KeyMemo:
     #: Longer keys are not kept; bytes of a kept key besides its own and its value's.
     LONG, EACH = 64, 200
 
-    def __init__(self, fill, most: int = 20 << 20) -> None:
+    def __init__(self, fill, most: int = 32 << 20) -> None:
         self.fill, self.most = fill, most
         self.clear()
 
