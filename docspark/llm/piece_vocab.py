@@ -156,8 +156,8 @@ class KeyMemo:
     Holds at most about twice ``most`` bytes, whatever the corpus; ``fill`` computes values of new keys, all at once.
     """
 
-    #: Longer keys are not kept; bytes of a kept key besides its own and its value's.
-    LONG, EACH = 64, 200
+    #: Longer keys are not kept; bytes of a kept key, its own among them, besides its value's.
+    LONG, EACH = 64, 216
 
     def __init__(self, fill, most: int = 32 << 20) -> None:
         self.fill, self.most = fill, most
@@ -169,13 +169,14 @@ class KeyMemo:
     def values(self, keys: list[str]) -> list:
         out = list(map(self.young.get, keys))
         if None in out:
-            old = self.old.get
-            lacking = {k: old(k) for k, v in zip(keys, out, strict=True) if v is None}
+            lacking = dict.fromkeys(k for k, v in zip(keys, out, strict=True) if v is None)
+            if self.old:
+                lacking = dict(zip(lacking, map(self.old.get, lacking), strict=True))
             if new := [k for k, v in lacking.items() if v is None]:
                 lacking.update(zip(new, self.fill(new), strict=True))
             out = [lacking[k] if v is None else v for k, v in zip(keys, out, strict=True)]
             kept = {k: v for k, v in lacking.items() if len(k) <= self.LONG}
-            size = sum(len(k) + len(v) + self.EACH for k, v in kept.items())
+            size = len(kept) * self.EACH + sum(map(len, kept.values()))
             if self.held + size > self.most:
                 self.old, self.young, self.held = self.young, {}, 0
             if size <= self.most:

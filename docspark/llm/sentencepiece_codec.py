@@ -24,6 +24,8 @@ from docspark.llm.common import hand_back, pieces_of, table
 from docspark.llm.piece_vocab import SPACE, KeyMemo, PieceVocabulary, vocabulary
 
 MODEL = "piece_bpe_32k.model"
+#: Characters whose segments are looked up at once.
+LOOKUP = 1 << 20
 
 
 class Differing(bytes):
@@ -49,19 +51,28 @@ def _memo(model_file: str) -> KeyMemo:
     return KeyMemo(lambda keys: checked(keys, vocab))
 
 
-def _encode_slices(text: str, vocab: PieceVocabulary, memo: KeyMemo) -> tuple[list[bytes], int]:
-    """Packed ids of the slices of a text, and how many segments differ from the library's."""
-    if not text:
-        return [], 0
+def _encode_slices(texts: list[str], vocab: PieceVocabulary, memo: KeyMemo) -> list[tuple[list[bytes], int]]:
+    """For each text the packed ids of its slices, and how many segments differ from the library's. Segments of all texts are looked up
+    at once, very long texts slice by slice."""
     if not vocab.segmented:
-        own = vocab.agenda_ids(vocab.normalised(text))
-        return [vocab.packed(own)], int(own != vocab.library.encode(text))
-    out, differences = [], 0
-    for part in vocab.slices(text):
-        packed = memo.values(vocab.keys(part))
-        differences += list(map(type, packed)).count(Differing)
-        out.append(b"".join(packed))
-    return out, differences
+        own = [vocab.agenda_ids(vocab.normalised(t)) if t else [] for t in texts]
+        return [([vocab.packed(ids)], int(ids != vocab.library.encode(t))) if t else ([], 0) for t, ids in zip(texts, own, strict=True)]
+    out: list[tuple[list[bytes], int]] = [([], 0) for _ in texts]
+    parts = [(k, part) for k, t in enumerate(texts) if t for part in vocab.slices(t)]
+    start = 0
+    while start < len(parts):
+        end, size = start + 1, len(parts[start][1])
+        while end < len(parts) and size + len(parts[end][1]) <= LOOKUP:
+            size += len(parts[end][1])
+            end += 1
+        keys = [vocab.keys(part) for _, part in parts[start:end]]
+        packed, at = memo.values([key for own in keys for key in own]), 0
+        for (k, _), own in zip(parts[start:end], keys, strict=True):
+            ids = packed[at : at + len(own)]
+            at += len(own)
+            out[k] = ([*out[k][0], b"".join(ids)], out[k][1] + list(map(type, ids)).count(Differing))
+        start = end
+    return out
 
 
 def _decode(ids: list[int], vocab: PieceVocabulary, most: int = 1 << 20) -> str:
@@ -94,8 +105,7 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
         vocab, memo = vocabulary(file), _memo(file)
         for texts in (part for batch in batches for part in pieces_of(batch)):
             ids, ends, decoded, differences, end = [], [0], [], [], 0
-            for text in texts:
-                slices, found = _encode_slices(text.as_py() or "", vocab, memo)
+            for slices, found in _encode_slices(texts.fill_null("").to_pylist(), vocab, memo):
                 parts = [np.frombuffer(s, dtype=np.int32).tolist() for s in slices]
                 decoded.append(" ".join(_decode(p, vocab) for p in parts))
                 if add_end:

@@ -63,7 +63,7 @@ def test_ids_are_the_agendas(monkeypatch):
     monkeypatch.setattr(v, "library_ids", other)
     memo = KeyMemo(lambda keys: sentencepiece_codec.checked(keys, v))
     for _ in range(2):  # the second time from the memo
-        packed, differences = sentencepiece_codec._encode_slices("the cat the dog", v, memo)
+        ((packed, differences),) = sentencepiece_codec._encode_slices(["the cat the dog"], v, memo)
         assert np.frombuffer(b"".join(packed), dtype=np.int32).tolist() == right and differences == 2
 
 
