@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators.spelling import _LOOKUP, lookups, terminology
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -125,18 +124,6 @@ def merge_page_text(native: Column, recognised: Column, threshold: float = 0.85)
     return run(native, recognised)
 
 
-def correct_conservative(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Only known misspellings are corrected and known terms brought to their standard case; nothing fuzzy."""
-    parts = F.regexp_extract_all("text", F.lit(r"\w+|\W+"), F.lit(0))
-    tokens = docs.select("doc_id", F.posexplode(parts).alias("pos", "tok"))
-    found = tokens.join(lookups(entries), F.when(F.length("tok") >= 2, F.lower("tok")) == c("word"), "left")
-    new = F.when(c("correction").isNotNull() & (c("correction") != c("tok")), c("correction")).otherwise(c("tok"))
-    method = F.when(c("kind") == 1, "exact_misspelling_correction").otherwise("case_standardization")
-    changed = F.when(new != c("tok"), F.struct("pos", c("tok").alias("original"), new.alias("corrected"), method.alias("method")))
-    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("t")))).alias("ts"), F.array_sort(F.collect_list(changed)).alias("corrections"), F.count_if(c("tok").rlike(r"\w")).alias("total_words"))
-    return grouped.select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), "").alias("corrected"), "corrections", "total_words")
-
-
 # --- queries ---------------------------------------------------------------------------------------------
 
 
@@ -161,10 +148,3 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = load(s, d, "conversations").where("text is not null")
     return rows.select("conv_id", "turn", F.md5(merge_page_text(c("text"), F.concat(F.substring("text", 1, 80), F.lit("\n\nrecognised only\nOther")))).alias("merged_md5"))
-
-
-@query("spelling_conservative", rf"""WITH {_LOOKUP}, tk AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS ts FROM documents)),
-nw AS (SELECT doc_id, pos, tok, coalesce(correction, tok) AS new FROM tk LEFT JOIN lk ON word = lower(tok) AND length(tok) >= 2) SELECT doc_id, md5(string_agg(new, '' ORDER BY pos)) AS corrected_md5, count(*) FILTER (new <> tok) AS n_corrections FROM nw GROUP BY 1""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    x = correct_conservative(load(s, d, "documents").select("doc_id", "text"), terminology(s))
-    return x.select("doc_id", F.md5("corrected").alias("corrected_md5"), F.size("corrections").cast("long").alias("n_corrections"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
+from docspark.operators.dictionary import fuzzy_terms, halves, nearest_words
+from docspark.operators.phrases import protected
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -106,26 +108,6 @@ def correct_contextual(docs: DataFrame, entries: DataFrame, use_rules: bool = Tr
     return docs.join(own, "doc_id", "left").select("doc_id", run_own("text", "known").alias("x")).select("doc_id", "x.*")
 
 
-def split_long_tokens(tokens: DataFrame, known: DataFrame) -> DataFrame:
-    """(token, left, right): an unknown token of eight or more characters whose halves of at least three are both known; the first cut wins."""
-    unknown = tokens.select("token").distinct().where(F.length("token") >= 8).join(known.select(c("word").alias("token")), "token", "left_anti")
-    cuts = unknown.select("token", F.explode(F.sequence(F.lit(3), F.length("token") - 3)).alias("i"))
-    halves = cuts.select("token", "i", F.expr("substr(token, 1, i)").alias("l"), F.expr("substr(token, i + 1)").alias("r"))
-    good = halves.join(known.select(c("word").alias("l")), "l", "left_semi").join(known.select(c("word").alias("r")), "r", "left_semi")
-    return good.groupBy("token").agg(F.min_by(F.struct("l", "r"), "i").alias("m")).select("token", c("m.l").alias("left"), c("m.r").alias("right"))
-
-
-def fuzzy_candidates(tokens: DataFrame, known: DataFrame, most: int = 1) -> DataFrame:
-    """Closest dictionary word within an edit distance, by deletion neighbourhoods: two words at distance 1
-    share a form with one character left out, so only such pairs meet in the join."""
-    forms = lambda x: F.array_union(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.length(x)))))
-    t = tokens.select("token").distinct().where(F.length("token") >= 3)
-    a = t.select("token", F.explode(forms(c("token"))).alias("form"))
-    b = known.select("word").distinct().select("word", F.explode(forms(c("word"))).alias("form"))
-    pairs = a.join(b, "form").select("token", "word").distinct().withColumn("distance", F.levenshtein("token", "word")).where(c("distance") <= most)
-    return pairs.groupBy("token").agg(F.min(F.struct("distance", "word")).alias("m")).select("token", c("m.word").alias("word"), c("m.distance").alias("distance"))
-
-
 # --- queries ---------------------------------------------------------------------------------------------
 
 #: A small terminology for the test texts: (term, standard, acronym, aliases, misspellings).
@@ -180,13 +162,28 @@ def _frequent(tokens: DataFrame) -> DataFrame:
 SELECT token, arg_min(substr(token, 1, i), i) AS "left", arg_min(substr(token, i + 1), i) AS "right" FROM x WHERE substr(token, 1, i) IN (SELECT word FROM known) AND substr(token, i + 1) IN (SELECT word FROM known) GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
     tokens = _all_tokens(s, d)
-    return split_long_tokens(tokens, _frequent(tokens))
+    return halves(tokens, _frequent(tokens))
+
+
+#: SQL's distance is one of bytes, so letters beyond ASCII become capitals there.
+_BYTES = lambda x: f"translate({x}, 'àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01234')"
+_NEAR = lambda most: rf"""WITH tk AS (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM documents), cnt AS (SELECT token, count(*) AS n FROM tk GROUP BY 1),
+p AS (SELECT t.token, w.token AS word, levenshtein({_BYTES('t.token')}, {_BYTES('w.token')})::INT AS distance FROM cnt t JOIN cnt w ON w.n >= 100 AND length(t.token) >= 3 AND abs(length(t.token) - length(w.token)) <= {most})
+SELECT token, arg_min(word, (distance, word)) AS word, min(distance) AS distance FROM p WHERE distance <= {most} GROUP BY 1"""
+for _name, _most in (("spelling_fuzzy", 1), ("spelling_fuzzy_two", 2)):
 
+    @query(_name, _NEAR(_most))
+    def _(s: SparkSession, d: str, most: int = _most) -> DataFrame:
+        tokens = _all_tokens(s, d)
+        return nearest_words(tokens, _frequent(tokens), most)
 
-@query("spelling_fuzzy")
+
+@query("spelling_fuzzy_terms")
 def _(s: SparkSession, d: str) -> DataFrame:
+    """Every different token of the documents against the frequent ones, by the ratio of what they have in common."""
     tokens = _all_tokens(s, d)
-    return fuzzy_candidates(tokens, _frequent(tokens))
+    found = fuzzy_terms(tokens, _frequent(tokens), 90)
+    return found.select("token", "word", F.round("ratio", 6).alias("ratio"))
 
 
 @query("spelling_garbage_filter", r"""SELECT doc_id, len(list_filter(ts, lambda t: NOT regexp_full_match(t, '[^A-Za-z0-9]+') AND length(t) > 2))::INT AS n_kept FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\f]+'), lambda t: t <> '') AS ts FROM documents)""")
@@ -195,11 +192,20 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", F.size(F.filter(ts, lambda t: ~t.rlike("^[^A-Za-z0-9]+$") & (F.length(t) > 2))).alias("n_kept"))
 
 
-@query("spelling_protect_phrases", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(of) (the)\b', '\1_\2', 'g'), '(?i)\b(in) (the)\b', '\1_\2', 'g')) AS protected_md5 FROM documents""")
+#: A table of phrases: the first two, three and four words of the benchmark's items.
+_PHRASES_SQL = r"""ph AS (SELECT DISTINCT array_to_string(ws[1:k], ' ') AS phrase FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), (SELECT unnest([2, 3, 4]) AS k) WHERE len(ws) >= k)"""
+
+
+def _phrases(s: SparkSession, d: str) -> DataFrame:
+    ws = load(s, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("ws"))
+    return ws.select("ws", F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("k")).where("size(ws) >= k").select(F.array_join(F.expr("slice(ws, 1, k)"), " ").alias("phrase")).distinct()
+
+
+@query("spelling_protect_phrases", rf"""WITH {_PHRASES_SQL}, o AS (SELECT list(phrase ORDER BY length(phrase) DESC, phrase) AS ps FROM ph),
+r AS (SELECT doc_id, list_reduce(list_concat([text], ps), lambda t, p: regexp_replace(t, '(?i)\b(' || replace(p, ' ', ') (') || ')\b', CASE len(string_split(p, ' ')) WHEN 2 THEN '\1_\2' WHEN 3 THEN '\1_\2_\3' ELSE '\1_\2_\3_\4' END, 'g')) AS t FROM (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g') AS text FROM documents), o)
+SELECT doc_id, md5(t) AS protected_md5, (length(t) - length(replace(t, '_', '')))::INT AS n_marks FROM r""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Multi-word terms, longest first, get their spaces replaced so that tokenising keeps them whole."""
-    t = c("text")
-    for phrase in sorted(("of the", "in the"), key=lambda p: (-len(p), p), reverse=True):
-        a, b = phrase.split(" ")
-        t = F.regexp_replace(t, rf"(?i)\b({a}) ({b})\b", "$1_$2")
-    return load(s, d, "documents").select("doc_id", F.md5(t).alias("protected_md5"))
+    """Multi-word terms of a table, longest first, get their spaces replaced so that tokenising keeps them whole. Shown with x for
+    letters that SQL's borders of words don't know."""
+    x = load(s, d, "documents").select("doc_id", F.regexp_replace(protected(c("text"), _phrases(s, d)), "[À-ÖØ-öø-ɏ]", "x").alias("t"))
+    return x.select("doc_id", F.md5("t").alias("protected_md5"), (F.length("t") - F.length(F.replace("t", F.lit("_")))).alias("n_marks"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.functions import scalars
-from docspark.operators import catalog, chunking, correctors, files, layout, search, similarity, sparse, spelling
+from docspark.operators import catalog, chunking, files, layout, search, similarity, sparse, spelling
 from docspark.sources import readers
 from docspark.sources.sinks import Collection, write_csv
 from docspark.streaming import jobs
@@ -225,66 +225,6 @@ def test_ask_without_hits(spark):
         flows.retrieve(chunks, questions, method="other")
 
 
-def speller():
-    terms = {"heat": "HEAT", "alternator": "alternator", "maintenance check": "Maintenance Check", "airworthiness": "airworthiness", "certification": "certification"}
-    words = {"consider": 5, "considered": 9, "haters": 1, "tool": 3, "kit": 2, "house": 4, "mouse": 7, "form": 2}
-    return correctors.Corrector(terms, words, frozenset({"ntsb"}), frozenset({"alternation"}))
-
-
-def test_correct_word_of_each_corrector():
-    by = speller()
-    enhanced = {"x": "too_short", "ok-no": "compound_term", "42": "numeric", "NASA": "protected_term", "Heat": "protected_term", "f16": "protected_term", "ntsb": "protected_term", "heat": "exact_match", "alternators": "levenshtein_skip", "alternatar": "no_correction", "certificatioon": "levenshtein_skip", "xcertificationy": "fuzzy_match", "hous": "spellcheck_levenshtein_skip", "considerd": "conservative_spellcheck", "haters": "no_correction", "zzz": "no_correction"}
-    assert {w: by.enhanced(w)[2] for w in enhanced} == enhanced
-    assert by.enhanced("xcertificationy") == ("certification", True, "fuzzy_match") and by.enhanced("considerd")[0] == "considered"
-    assert by.command_line("hous") == ("house", True, "conservative_spellcheck") and by.command_line("ab")[2] == "too_short" and by.command_line("certificatioon")[2] == "fuzzy_match"
-    assert by.latest("maintenance_check") == ("Maintenance Check", True, "phrase") and by.latest("alternatrs")[0] == "alternator" and by.latest("louse")[0] == "mouse"
-    memo = {}
-    assert by.text("Maintenance check, toolhouse! ab heat louse", "latest", memo)["text"] == "Maintenance Check tool house HEAT mouse"
-    assert by.text("heat,  considerd\n-x!", "enhanced", {})["text"] == "HEAT,  considered\n-x!"
-    assert by.text("heat toolkit", "command_line", {})["text"] == "HEAT toolkit"
-
-
-def test_fuzzy_terms_and_suggestions_against_brute_force():
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 22)))
-    terms = {w: w for w in sorted({word() for _ in range(120)})}
-    by = correctors.Corrector(terms, {word(): rng.randint(1, 3) for _ in range(80)})
-
-    def lcs(a, b):
-        rows = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b):
-                last, rows[j + 1] = rows[j + 1], last + 1 if x == y else max(rows[j], rows[j + 1])
-        return rows[-1]
-
-    hits = 0
-    for _ in range(400):
-        w = list(rng.choice(list(terms)))
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = rng.choice(["", "a", "bc", "x"])
-        w = "".join(w) or "a"
-        for cutoff in (90, 92, 95):
-            scored = [(-200 * lcs(w, t) / (len(w) + len(t)), k, t) for k, t in enumerate(terms)]
-            best = min(scored)
-            assert by.fuzzy(w, cutoff) == (best[2] if -best[0] >= cutoff else None)
-            hits += -best[0] >= cutoff
-        near = {n: [v for v in by.words if correctors.edit_distance(w, v, True) == n] for n in (1, 2)}
-        assert by.suggestion(w) == (None if w in by.words else min(near[1] or near[2], key=lambda v: (-by.words[v], v), default=None))
-    assert hits > 100
-
-
-def test_corrected_texts(spark):
-    docs = spark.createDataFrame([(1, "heat that haters considerr"), (2, None), (3, "")], "doc_id int, text string")
-    known = spark.createDataFrame([("consider", 3), ("haters", 1)], "word string, count int")
-    by = correctors.corrector(spelling.terminology(spark), known)
-    found = {r["doc_id"]: r["corrected"] for r in correctors.correct(docs, by).collect()}
-    assert found == {1: "HEAT HEAT haters consider", 2: None, 3: ""}
-    assert correctors.correct(docs, by, "latest").where("doc_id = 1").first()["corrected"] == "HEAT HEAT haters consider"
-    with pytest.raises(ValueError, match="unknown corrector"):
-        correctors.correct(docs, by, "other")
-
-
 def test_dense_topk_in_tiles_equals_broadcast(spark):
     """Beyond the size that is broadcast, blocks of queries meet parts of the corpus and nothing is lost."""
     rng = np.random.default_rng(3)
