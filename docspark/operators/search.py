@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import confidence, embed_clean, key_terms, preview, words
+from docspark.operators.dense import block_topk, dense_index
 from docspark.operators.sparse import K1, B, bm25_topk
 from docspark.plans.fixtures import load
 from docspark.registry import query
@@ -33,6 +34,11 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def closeness(a: Column, b: Column) -> Column:
+    """1 / (1 + squared distance)."""
+    return 1 / (1 + squared_distance(a, b))
+
+
 def against_queries(corpus: DataFrame, queries: DataFrame, most: int = BROADCAST_BYTES, tile: int = TILE) -> DataFrame:
     """Every row of ``corpus`` with every row of the stated query set (query_id, q), in blocks.
 
@@ -53,8 +59,18 @@ def against_queries(corpus: DataFrame, queries: DataFrame, most: int = BROADCAST
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, threshold: float | None = None, most: int = BROADCAST_BYTES, tile: int = TILE) -> DataFrame:
-    """(query_id, rank, vec_id, score). ``queries`` (query_id, q) is a stated set, see ``against_queries``; each task
-    keeps a group limit of k a query before the ranks are shuffled."""
+    """(query_id, rank, vec_id, score). ``queries`` (query_id, q) is a stated set.
+
+    Cosines and ``closeness`` of a set of up to ``most`` bytes are found by blocks with bounds, see ``dense``. Other scores and larger
+    sets meet all of the corpus in tiles, see ``against_queries``; each task keeps a group limit of k a query before the ranks are shuffled.
+    """
+    if score in (cosine, closeness):
+        n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+        if n * max(1, width) * 8 <= most:
+            found = block_topk(dense_index(corpus, score is cosine), queries, k, threshold)
+            if "q_label" in queries.columns:
+                found = found.join(F.broadcast(queries.select("query_id", "q_label").dropDuplicates(["query_id"])), "query_id")
+            return found if "label" in corpus.columns else found.drop("label")
     pairs = against_queries(corpus, queries, most, tile).where(c("vec_id") != c("query_id")).withColumn("score", score(c("embedding"), c("q")))
     if threshold is not None:
         pairs = pairs.where(c("score") >= threshold)
@@ -142,7 +158,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("search_distance_topk", """SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
 (SELECT q.vec_id AS query_id, e.vec_id, 1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 10""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    top = dense_topk(_vectors(s, d), _asked(s, d), 10, lambda a, b: 1 / (1 + squared_distance(a, b)))
+    top = dense_topk(_vectors(s, d), _asked(s, d), 10, closeness)
     return top.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
