@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections import deque
+from collections.abc import Callable
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -26,13 +28,32 @@ def embed_clean(t: Column, most: int = 8000) -> Column:
     return F.substring(F.trim(F.regexp_replace(t, r"[ \t\n\r\x0B\f]+", " ")), 1, most)
 
 
+def _of_lines(t: Column, keep: Callable[[list[str]], list[str]]) -> Column:
+    """Texts of those of their lines that ``keep`` gives back."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "\n".join(keep(v.split("\n"))) for v in x.to_pylist()], pa.string())
+
+    return run(t)
+
+
 def keep_recent_lines(t: Column, window: int = 5) -> Column:
-    """Drop a line whose trimmed lower-case form is among the last ``window`` kept lines. Blank lines stay and count."""
-    norm = lambda x: F.lower(F.trim(x))
-    seen = lambda kept, line: F.exists(F.slice(kept, F.greatest(F.lit(1), F.size(kept) - window + 1), window), lambda k: norm(k) == norm(line))
-    start = F.array().cast("array<string>")
-    fold = F.aggregate(F.split(t, "\n"), start, lambda kept, line: F.when((norm(line) != "") & seen(kept, line), kept).otherwise(F.concat(kept, F.array(line))))
-    return F.array_join(fold, "\n")
+    """Drop a line whose trimmed lower-case form is among the last ``window`` kept lines. Blank lines stay and count.
+
+    The state is those last forms alone, so a text takes time in proportion to its lines.
+    """
+
+    def keep(lines: list[str]) -> list[str]:
+        kept, last = [], deque(maxlen=window)
+        for line in lines:
+            form = line.strip(" ").lower()
+            if not form or form not in last:
+                kept.append(line)
+                last.append(form)
+        return kept
+
+    return _of_lines(t, keep)
 
 
 def chunk_clean(t: Column) -> Column:
@@ -57,10 +78,12 @@ def extraction_clean(t: Column) -> Column:
     t = F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n")
     for a, b in (("[a-z]", "[A-Z]"), ("[a-zA-Z]", "[0-9]"), ("[0-9]", "[a-zA-Z]")):
         t = F.regexp_replace(t, f"({a})({b})", "$1 $2")
-    lines = F.transform(F.split(t, "\n"), F.trim)
-    start = F.array().cast("array<string>")
-    keep = F.aggregate(lines, start, lambda kept, x: F.when((x != "") & F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x))))
-    return F.trim(F.array_join(keep, "\n"))
+
+    def keep(lines: list[str]) -> list[str]:
+        seen: set[str] = set()
+        return [x for x in (line.strip(" ") for line in lines) if not x or not ((form := x.lower()) in seen or seen.add(form))]
+
+    return F.trim(_of_lines(t, keep))
 
 
 def unicode_normalise(t: Column) -> Column:

@@ -126,14 +126,83 @@ def chunks_similar(a: Column, b: Column, threshold: float = DOCUMENT, method: st
     return documents_similar(a, b, max(threshold, CHUNK), method)
 
 
+class Candidates:
+    """Texts so far, and for a new one those whose mean of the methods' values could reach a threshold.
+
+    Jaccard and cosine values are put together from an index of words and terms, in time of what is shared; sequence and fuzzy values are
+    at most the share of characters that both texts have, which is counted for all texts at once in ``BINS`` bins (a bound as well).
+    Cosines of pairs with more terms than ``FEATURES`` count as one.
+    """
+
+    BINS = 128
+
+    def __init__(self, methods: tuple[str, ...], stop: frozenset[str]) -> None:
+        self.methods, self.stop = methods, stop
+        self.words: dict[str, list[int]] = {}
+        self.terms: dict[str, list[tuple[int, int]]] = {}
+        self.sizes: list[tuple[int, int, int, int]] = []
+        self.letters = np.zeros((0, self.BINS), dtype=np.int32)
+        self.texts: dict[str, int] = {}
+
+    def _bins(self, t: str) -> np.ndarray:
+        points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
+        return np.bincount(points % self.BINS, minlength=self.BINS).astype(np.int32)
+
+    def _parts(self, t: str) -> tuple[set[str], Counter]:
+        ws = [w for w in re.findall(r"(?u)\b\w\w+\b", t.lower()) if w not in self.stop] if "cosine" in self.methods else []
+        return set(t.split()), Counter(ws + [f"{x} {y}" for x, y in zip(ws, ws[1:], strict=False)])
+
+    def add(self, t: str) -> None:
+        own, terms = self._parts(t)
+        at = len(self.sizes)
+        for w in own:
+            self.words.setdefault(w, []).append(at)
+        for term, n in terms.items():
+            self.terms.setdefault(term, []).append((at, n))
+        self.sizes.append((len(own), sum(n * n for n in terms.values()), len(terms), len(t)))
+        if at >= len(self.letters):
+            self.letters = np.vstack([self.letters, np.zeros((max(64, at), self.BINS), dtype=np.int32)])
+        self.letters[at] = self._bins(t)
+        self.texts.setdefault(t, at)
+
+    def could_reach(self, t: str, least: float) -> list[int]:
+        n = len(self.sizes)
+        if t in self.texts:
+            return [self.texts[t]]
+        if not n:
+            return []
+        own, terms = self._parts(t)
+        sizes = np.array(self.sizes, dtype=np.float64)
+        total = np.zeros(n)
+        if "jaccard" in self.methods:
+            common = np.bincount([j for w in own for j in self.words.get(w, ())], minlength=n)
+            whole = len(own) + sizes[:, 0] - common
+            total += np.where(whole > 0, common / np.maximum(whole, 1), 1.0)
+        if "cosine" in self.methods:
+            shared = [(j, a, b) for term, a in terms.items() for j, b in self.terms.get(term, ())]
+            at, a, b = (np.array([x[k] for x in shared], dtype=np.int64) for k in range(3))
+            sums = lambda w: np.bincount(at, weights=w, minlength=n) if len(at) else np.zeros(n)
+            single = (1 + math.log(1.5)) ** 2
+            mine, its = sums(a * a), sums(b * b)
+            norms = (mine + single * (sum(x * x for x in terms.values()) - mine)) * (its + single * (sizes[:, 1] - its))
+            exact = sums(a * b) / np.sqrt(np.maximum(norms, 1e-300))
+            total += np.where(len(terms) + sizes[:, 2] - np.bincount(at, minlength=n) > FEATURES, 1.0, exact)
+        if letters := sum(m in ("sequence", "fuzzy") for m in self.methods):
+            both = np.minimum(self.letters[:n], self._bins(t)).sum(axis=1)
+            total += letters * 2 * both / np.maximum(1, len(t) + sizes[:, 3])
+        return np.flatnonzero(total / len(self.methods) >= least - 1e-6).tolist()
+
+
 def first_of_alike(texts: Column, threshold: float, method: str = "combined", methods: tuple[str, ...] = METHODS, stop: frozenset[str] | None = None) -> Column:
     """The positions of an array's texts that stay: first wins, a later one goes if it is as similar as ``threshold`` to one that
     stayed. Null and empty texts go. Texts are compared as they are given; ``similarity_normalise`` them before.
 
-    Word sets meet by an index of the words of those that stayed, so Jaccard values cost no more than the words they share.
+    Word sets meet by an index of the words of those that stayed, so Jaccard values cost no more than the words they share; for other
+    methods only texts whose bound reaches the threshold are compared, see ``Candidates``.
     """
     used = _methods(method, methods)
-    ratio = _ratio(used, english_stop_words() if stop is None else stop)
+    stop_words = english_stop_words() if stop is None else stop
+    ratio = _ratio(used, stop_words)
 
     def by_words(group: list[str | None]) -> list[int]:
         kept, sizes, holders = [], [], {}
@@ -150,16 +219,19 @@ def first_of_alike(texts: Column, threshold: float, method: str = "combined", me
             kept.append(k)
         return kept
 
-    def one_by_one(group: list[str | None]) -> list[int]:
-        kept: list[int] = []
+    def by_bounds(group: list[str | None]) -> list[int]:
+        kept, known = [], Candidates(used, stop_words)
         for k, t in enumerate(group):
-            if t and not any(ratio(t, group[j], threshold) >= threshold for j in kept):
-                kept.append(k)
+            if t:
+                near = known.could_reach(t, threshold)
+                if not any(ratio(t, group[kept[j]], threshold) >= threshold for j in near):
+                    known.add(t)
+                    kept.append(k)
         return kept
 
     @F.arrow_udf("array<int>")
     def run(x: pa.Array) -> pa.Array:
-        find = by_words if used == ("jaccard",) and threshold > 0 else one_by_one
+        find = by_words if used == ("jaccard",) and threshold > 0 else by_bounds
         return pa.array([None if g is None else find(g) for g in x.to_pylist()], pa.list_(pa.int32()))
 
     return run(texts)
@@ -187,7 +259,11 @@ def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str
     min(i, j) before and the shorter rest after it, and all shared prefix words by their number and the rest after the last;
     pairs that can't reach the threshold go before the texts are fetched. Words meet by hash: a collision only adds a candidate.
     """
-    sets = rows.select(c(key).alias("id"), F.sort_array(words(F.lower(text))).alias("ws")).where(F.size("ws") > 0)
+    return similar_sets(rows.select(c(key).alias("id"), F.sort_array(words(F.lower(text))).alias("ws")).where(F.size("ws") > 0), threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """``similar_pairs`` of rows that have their sorted word sets already (id, ws)."""
     classes = sets.groupBy("ws").agg(F.min("id").alias("id"))
     spread = classes.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     frequency = spread.groupBy("w").agg(F.count("*").alias("df"))
@@ -204,12 +280,43 @@ def similar_pairs(rows: DataFrame, threshold: float, key: str = "id", text: str
     return candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(c("wa"), c("wb"))).where(c("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def alike_chunks(rows: DataFrame, threshold: float) -> DataFrame:
+    """(document_id, i, j, similarity) of ``rows`` (document_id, chunk_index, chunk_text): pairs of different word sets with at least the
+    threshold, by the first chunk of each, and each further chunk of a set with its first. Nothing is paired that shares no rare word."""
+    own = F.transform(words(F.lower("chunk_text")), lambda w: F.concat_ws(":", F.coalesce(c("document_id").cast("string"), F.lit("")), w))  # so only chunks of one document meet
+    sets = rows.select(F.struct("document_id", "chunk_index").alias("id"), F.sort_array(own).alias("ws")).where(F.size("ws") > 0)
+    same = sets.join(sets.groupBy("ws").agg(F.min("id").alias("first")), "ws").where("first < id").select(c("first").alias("a"), c("id").alias("b"), F.lit(1.0).alias("similarity"))
+    pairs = similar_sets(sets, threshold).unionByName(same)
+    return pairs.select("a.document_id", c("a.chunk_index").alias("i"), c("b.chunk_index").alias("j"), "similarity")
+
+
+def pair_statistics(rows: DataFrame, alike: float) -> DataFrame:
+    """(document_id, n, mean, most, least, alike): of the Jaccard values of all pairs of a document's chunks, how many there are and how many
+    reach ``alike``, without making pairs that share no word. Chunks with one word set are counted together, and weigh as many."""
+    sets = rows.select("document_id", F.sort_array(words(F.lower("chunk_text"))).alias("ws"))
+    classes = sets.groupBy("document_id", "ws").agg(F.count("*").alias("m")).withColumn("id", F.xxhash64("ws")).withColumn("size", F.size("ws"))
+    spread = classes.select("document_id", "id", "ws", "m", "size", F.explode("ws").alias("w")).drop("ws")
+    a, b = spread.alias("a"), spread.alias("b")
+    met = a.join(b, (c("a.document_id").eqNullSafe(c("b.document_id"))) & (c("a.w") == c("b.w")) & (c("a.id") < c("b.id")))
+    shared = met.groupBy("a.document_id", c("a.id").alias("x"), c("b.id").alias("y"), c("a.m").alias("mx"), c("b.m").alias("my"), (c("a.size") + c("b.size")).alias("sizes")).agg(F.count("*").alias("k"))
+    value = c("k") / (c("sizes") - c("k"))
+    pairs = shared.select("document_id", (c("mx") * c("my")).alias("times"), value.alias("value"))
+    # chunks of one set are alike entirely, those without words too: two empty sets count as one
+    inside = classes.select("document_id", (c("m") * (c("m") - 1) / 2).cast("long").alias("times"), F.lit(1.0).alias("value")).where("times > 0")
+    made = pairs.unionByName(inside).groupBy(c("document_id").alias("of")).agg(F.sum("times").alias("made"), F.sum(c("times") * c("value")).alias("total"), F.max("value").alias("most"), F.min("value").alias("least"), F.sum(F.when(c("value") >= alike, c("times")).otherwise(0)).alias("alike"))
+    counts = sets.groupBy("document_id").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("n")).where("n > 0")
+    found = counts.join(made, c("document_id").eqNullSafe(c("of")), "left")
+    rest = c("n") > F.coalesce("made", F.lit(0))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return found.select("document_id", "n", (zero(c("total")) / c("n")).alias("mean"), zero(c("most")).alias("most"), F.when(rest, 0.0).otherwise(c("least")).alias("least"), F.coalesce("alike", F.lit(0)).alias("alike"))
+
+
 def existing_document(docs: DataFrame) -> DataFrame:
     """Arriving documents against the first stored one of the same name (here: source)."""
     w = docs.select("doc_id", "source", words(F.lower("text")).alias("ws"))
-    first = w.groupBy("source").agg(F.min("doc_id").alias("first_id"), F.min_by("ws", "doc_id").alias("first_ws"))
+    first = w.groupBy(c("source").alias("name")).agg(F.min("doc_id").alias("first_id"), F.min_by("ws", "doc_id").alias("first_ws"))
     x = jaccard(c("ws"), c("first_ws"))
-    return w.join(first, "source").select("doc_id", "first_id", F.round(x, 6).alias("similarity"), (x >= DOCUMENT).alias("is_same"))
+    return w.join(first, c("source").eqNullSafe(c("name"))).select("doc_id", "first_id", F.round(x, 6).alias("similarity"), (x >= DOCUMENT).alias("is_same"))
 
 
 # --- queries ---------------------------------------------------------------------------------------------
@@ -218,24 +325,24 @@ _SET = lambda t: rf"list_distinct(list_filter(regexp_split_to_array(lower({t}),
 _JACCARD = lambda a, b: f"(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
 
 
-@query("similarity_jaccard_chunks", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_index, {_SET('chunk_text')} AS ws FROM chunks)
-SELECT a.document_id, a.chunk_index AS i, b.chunk_index AS j, round({_JACCARD('a.ws', 'b.ws')}, 6) AS similarity FROM w a JOIN w b ON a.document_id = b.document_id AND a.chunk_index < b.chunk_index""")
+_CHUNK_SETS = f"""{CHUNKS_SQL}, w AS (SELECT document_id, chunk_index, list_sort({_SET('chunk_text')}) AS ws FROM chunks)"""
+
+
+@query("similarity_jaccard_chunks", f"""WITH {_CHUNK_SETS}, g AS (SELECT document_id, ws, min(chunk_index) AS i FROM w WHERE len(ws) > 0 GROUP BY 1, 2)
+SELECT a.document_id, a.i, b.i AS j, round({_JACCARD('a.ws', 'b.ws')}, 6) AS similarity FROM g a JOIN g b ON a.document_id = b.document_id AND a.i < b.i WHERE {_JACCARD('a.ws', 'b.ws')} >= {CHUNK}
+UNION ALL SELECT document_id, g.i, chunk_index, 1.0 FROM g JOIN w USING (document_id, ws) WHERE chunk_index > g.i""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Pairs inside a document, as the audit lists them; a document's chunks are few."""
-    w = chunks(s, d).select("document_id", "chunk_index", words(F.lower("chunk_text")).alias("ws"))
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, (c("a.document_id") == c("b.document_id")) & (c("a.chunk_index") < c("b.chunk_index")))
-    return pairs.select("a.document_id", c("a.chunk_index").alias("i"), c("b.chunk_index").alias("j"), F.round(jaccard(c("a.ws"), c("b.ws")), 6).alias("similarity"))
+    """Pairs of alike chunks of a document: of different word sets their first chunks, and each further chunk of a set with its first."""
+    rows = chunks(s, d).select("document_id", "chunk_index", "chunk_text")
+    return alike_chunks(rows, CHUNK).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("similarity_pair_stats", f"""WITH {CHUNKS_SQL}, w AS (SELECT document_id, chunk_index, {_SET('chunk_text')} AS ws FROM chunks),
 p AS (SELECT a.document_id, {_JACCARD('a.ws', 'b.ws')} AS similarity FROM w a JOIN w b ON a.document_id = b.document_id AND a.chunk_index < b.chunk_index)
 SELECT document_id, count(*) AS n, round(avg(similarity), 6) AS mean, round(max(similarity), 6) AS most, round(min(similarity), 6) AS least, count(*) FILTER (similarity >= 0.3) AS alike FROM p GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    w = chunks(s, d).select("document_id", "chunk_index", words(F.lower("chunk_text")).alias("ws"))
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, (c("a.document_id") == c("b.document_id")) & (c("a.chunk_index") < c("b.chunk_index"))).select("a.document_id", jaccard(c("a.ws"), c("b.ws")).alias("x"))
-    return pairs.groupBy("document_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("most"), F.round(F.min("x"), 6).alias("least"), F.count_if(c("x") >= 0.3).alias("alike"))
+    x = pair_statistics(chunks(s, d).select("document_id", "chunk_index", "chunk_text"), 0.3)
+    return x.select("document_id", "n", *[F.round(v, 6).alias(v) for v in ("mean", "most", "least")], "alike")
 
 
 @query("similarity_greedy_dedup", f"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS xs FROM documents),
