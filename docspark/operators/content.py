@@ -71,33 +71,73 @@ def content_info(t: Column) -> Column:
     return F.struct(F.size(lines).alias("rows"), (F.size(F.split(F.try_element_at(lines, F.lit(1)), r"\s{2,}|\|")) - 0).alias("columns"), title.alias("title"), F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(LIST))).alias("items"))
 
 
+def best_cuts(x: np.ndarray, k: int) -> list[int]:
+    """Where sorted numbers are cut in ``k`` runs with the least sum of squared distances to the runs' means, exactly: the best last run of
+    each prefix, by dynamic programming. Ties (to six places) go to the smallest last cut."""
+    n = len(x)
+    sums, squares = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
+    cost = lambda i, j: squares[j] - squares[i] - (sums[j] - sums[i]) ** 2 / np.maximum(j - i, 1)
+    best, cuts = cost(0, np.arange(n + 1)), []
+    for parts in range(2, k + 1):
+        last, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
+        for j in range(parts, n + 1):
+            i = np.arange(parts - 1, j)
+            total = np.round(best[i] + cost(i, j), 6)
+            at[j] = i[total.argmin()]
+            last[j] = best[at[j]] + cost(at[j], j)
+        best = last
+        cuts.append(at)
+    found, end = [], n
+    for at in reversed(cuts):
+        end = int(at[end])
+        found.insert(0, end)
+    return found
+
+
+def columns_of(mids: list[float], width: float, most: int = 3, gap: float = 0.2) -> list[int]:
+    """The column of each block, from 0 on the left: as many runs of their middles as there can be, ``most`` at most, whose means lie at least
+    ``gap`` of the width apart."""
+    x = np.array(mids, dtype=float)
+    order = np.argsort(x, kind="stable")
+    for k in range(min(most, len(x)), 1, -1):
+        ends = [0, *best_cuts(x[order], k), len(x)]
+        means = [x[order][a:b].mean() for a, b in zip(ends, ends[1:], strict=False)]
+        if min(np.diff(means)) >= gap * width:
+            out = np.zeros(len(x), dtype=int)
+            out[order] = np.repeat(np.arange(k), np.diff(ends))
+            return out.tolist()
+    return [0] * len(x)
+
+
 def count_columns(mids: Column, width: Column, most: int = 3, gap: float = 0.2) -> Column:
-    """Text columns of a page from the middles of its blocks: the largest number of clusters, three at most,
-    whose centres lie at least a fifth of the page's width apart, by a deterministic one-dimensional k-means."""
+    """The number of text columns of a page from the middles of its blocks, see ``columns_of``; one where there are none."""
 
     @F.arrow_udf("int")
     def run(lists: pa.Array, widths: pa.Array) -> pa.Array:
-        out = []
-        for values, w in zip(lists.to_pylist(), widths.to_pylist(), strict=True):
-            x, found = np.sort(np.array(values or [], dtype=float)), 1
-            for k in range(min(most, len(x)), 1, -1):
-                centres = np.quantile(x, (np.arange(k) + 0.5) / k)
-                for _ in range(50):
-                    label = np.abs(x[:, None] - centres).argmin(axis=1)
-                    new = np.array([x[label == j].mean() if (label == j).any() else centres[j] for j in range(k)])
-                    if np.array_equal(new, centres):
-                        break
-                    centres = new
-                full = len(np.unique(np.abs(x[:, None] - centres).argmin(axis=1))) == k
-                if full and np.diff(np.sort(centres)).min() >= gap * w:
-                    found = k
-                    break
-            out.append(found)
-        return pa.array(out, pa.int32())
+        found = zip(lists.to_pylist(), widths.to_pylist(), strict=True)
+        return pa.array([max(columns_of(m or [], w, most, gap), default=0) + 1 for m, w in found], pa.int32())
 
     return run(mids, width)
 
 
+def column_text(blocks: Column, most: int = 3, gap: float = 0.2) -> Column:
+    """The text of a page from its blocks, an array of structs (x0, y0, x1, y1, text): column by column from the left, each from the top;
+    blocks without text go. The page's width is that of its blocks. Empty for null."""
+
+    @F.arrow_udf("string")
+    def run(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages.to_pylist():
+            held = [b | {"text": b["text"].strip()} for b in page or () if b and (b["text"] or "").strip()]
+            width = max((b["x1"] for b in held), default=0) - min((b["x0"] for b in held), default=0)
+            at = columns_of([(b["x0"] + b["x1"]) / 2 for b in held], width, most, gap)
+            columns = [sorted((b for b, k in zip(held, at, strict=True) if k == col), key=lambda b: b["y0"]) for col in range(max(at, default=0) + 1)]
+            out.append("\n\n".join("\n".join(b["text"] for b in column) for column in columns).strip())
+        return pa.array(out, pa.string())
+
+    return run(blocks)
+
+
 def merge_page_text(native: Column, recognised: Column, threshold: float = 0.85) -> Column:
     """Native paragraphs, then recognised ones that are like none of them; of those only lines that are like
     no native line; each line once, whatever its case."""
@@ -137,13 +177,37 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", content_info(c("text")).alias("x")).select("doc_id", c("x.rows").alias("n_rows"), "x.items")
 
 
-@query("typing_columns")
+#: All cuts of a page's middles in two and three runs, with their costs and the least gap of their means.
+_CUTS = """pages AS (SELECT l_orderkey, l_linenumber, ((l_partkey % 600) + 0.0)::DOUBLE AS mid, l_linenumber::DOUBLE AS y FROM lineitem),
+x AS (SELECT l_orderkey, list(mid ORDER BY mid) AS xs, count(*)::INT AS n FROM pages GROUP BY 1),
+c AS (SELECT l_orderkey, xs, n, 2 AS k, 0 AS i, unnest(range(1, n)) AS j FROM x WHERE n > 1 UNION ALL
+  SELECT l_orderkey, xs, n, 3, i, unnest(range(i + 1, n)) FROM (SELECT *, unnest(range(1, n - 1)) AS i FROM x WHERE n > 2)),
+r AS (SELECT l_orderkey, k, i, j, CASE WHEN k = 2 THEN [xs[1:j], xs[j + 1:]] ELSE [xs[1:i], xs[i + 1:j], xs[j + 1:]] END AS rs FROM c),
+m AS (SELECT l_orderkey, k, i, j, rs, list_transform(rs, lambda r: list_avg(r)) AS means, list_sum(list_transform(rs, lambda r: list_sum(list_transform(r, lambda v: v * v)) - list_sum(r) * list_sum(r) / len(r))) AS cost FROM r),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY l_orderkey, k ORDER BY round(cost, 6), j, i) = 1),
+good AS (SELECT l_orderkey, k, means, rs, list_min(list_transform(range(1, k), lambda t: means[t + 1] - means[t])) AS gap FROM best)"""
+
+
+@query("typing_columns", f"""WITH {_CUTS} SELECT l_orderkey, coalesce(max(k) FILTER (gap >= 120.0), 1)::INT AS n_columns FROM x LEFT JOIN good USING (l_orderkey) GROUP BY 1""")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Pages stand in by orders, block middles by part keys."""
     pages = load(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list((c("l_partkey") % 600).cast("double")).alias("mids"))
     return pages.select("l_orderkey", count_columns(c("mids"), F.lit(600.0)).alias("n_columns"))
 
 
+@query("typing_column_text", f"""WITH {_CUTS.replace("((l_partkey % 600) + 0.0)::DOUBLE AS mid", "((l_partkey % 600) + l_linenumber / 64)::DOUBLE AS mid")}, w AS (SELECT l_orderkey, max(mid) + 10 - (min(mid) - 10) AS width FROM pages GROUP BY 1),
+chosen AS (SELECT l_orderkey, arg_max(rs, k) AS rs FROM good JOIN w USING (l_orderkey) WHERE gap >= 0.2 * width GROUP BY 1),
+placed AS (SELECT p.l_orderkey, p.y, 'b' || p.l_linenumber AS t, CASE WHEN rs IS NULL THEN 1 ELSE list_position(list_transform(rs, lambda r: list_contains(r, mid)), TRUE) END AS col FROM pages p LEFT JOIN chosen USING (l_orderkey)),
+cols AS (SELECT l_orderkey, col, string_agg(t, chr(10) ORDER BY y) AS t FROM placed GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(t, chr(10) || chr(10) ORDER BY col) AS text FROM cols GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Pages stand in by orders; a line of an order is a block, placed by its part and its number."""
+    mid = c("l_partkey") % 600 + c("l_linenumber") / 64
+    block = F.struct((mid - 10).alias("x0"), c("l_linenumber").cast("double").alias("y0"), (mid + 10).alias("x1"), (c("l_linenumber") + 0.5).alias("y1"), F.concat(F.lit(" b"), c("l_linenumber").cast("string")).alias("text"))
+    pages = load(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("blocks"))
+    return pages.select("l_orderkey", column_text(c("blocks")).alias("text"))
+
+
 @query("typing_merge_page_text")
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = load(s, d, "conversations").where("text is not null")
