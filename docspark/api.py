@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import catalog_stats, file_rollup, metadata_filter
@@ -16,6 +16,7 @@ from docspark.operators.files import MOST, UPLOADS
 from docspark.operators.search import embed
 from docspark.operators.sparse import tokenise
 from docspark.plans import flows
+from docspark.scratch import written
 from docspark.sources.readers import PARSERS, extract_text, list_files
 from docspark.sources.sinks import Collection, write_csv
 
@@ -33,6 +34,7 @@ class Service:
     path: str
 
     def __post_init__(self) -> None:
+        self.observed: dict[str, dict] = {}  # counts of the last upload and the last embedding, from the jobs themselves
         self.documents = Collection(self.spark, f"{self.path}/documents", DOCUMENTS)
         self.chunks = Collection(self.spark, f"{self.path}/chunks", CHUNKS)
         self.documents.create()
@@ -46,12 +48,17 @@ class Service:
         that may be uploaded, those without a parser are left out."""
         readable = [e for e in UPLOADS if e in PARSERS]
         files = list_files(self.spark, folder).where((c("size") > 0) & (c("size") <= MOST) & c("ext").isin(*readable))
-        read = files.select("name", "ext", "size", "mtime", extract_text(c("name"), c("ext"), c("content")).alias("x")).where("x.error is null and trim(x.text) <> ''")
+        seen = Observation()
+        parsed = files.select("name", "ext", "size", "mtime", extract_text(c("name"), c("ext"), c("content")).alias("x"))
+        failed = c("x.error").isNotNull()
+        parsed = parsed.observe(seen, F.count("*").alias("files"), F.count_if(failed).alias("failed"), F.count_if(~failed & (F.coalesce(F.trim("x.text"), F.lit("")) == "")).alias("without_text"))
+        read = written(parsed, "parsed").where("x.error is null and trim(x.text) <> ''")  # parsed once
+        self.observed["upload"] = seen.get
         docs = read.select(F.xxhash64("name", "x.text").alias("id"), c("name").alias("filename"), c("ext").alias("file_type"), c("size").alias("file_size"), F.sha2("x.text", 256).alias("content_hash"), c("x.text").alias("raw_text"), c("mtime").alias("created_at"))
         new = docs.join(self.documents.read().select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
         self.documents.upsert(new.select(*[f.name for f in self.documents.read().schema]))
         waiting = self.documents.read().join(self.chunks.read().select(c("document_id").alias("id")).distinct(), "id", "left_anti")
-        made = flows.ingest(waiting).join(waiting.select("id", "created_at"), "id")
+        made = written(flows.ingest(waiting).join(waiting.select("id", "created_at"), "id"), "ingested")
         vector = c("vector") if vectorise else F.lit(None).cast("array<float>")
         self.chunks.upsert(made.select(F.xxhash64("chunk_id").alias("id"), c("id").alias("document_id"), "chunk_index", "chunk_id", "content", "filename", vector.isNotNull().alias("vectorized"), vector.alias("vector"), "created_at"))
         return self.list_documents()
@@ -60,11 +67,13 @@ class Service:
         return self.chunks.read().where(~c("vectorized")).orderBy("document_id", "chunk_index").limit(limit)
 
     def vectorise_pending(self, limit: int = 50) -> int:
-        waiting = self.unvectorised(limit)
-        done = waiting.withColumn("vector", embed(c("content"))).withColumn("vectorized", c("vector").isNotNull())
-        n = waiting.count()
+        """Embeds waiting chunks and stores them; how many there were, and how many got a vector, is observed as they are written."""
+        seen = Observation()
+        done = self.unvectorised(limit).withColumn("vector", embed(c("content"))).withColumn("vectorized", c("vector").isNotNull())
+        done = written(done.observe(seen, F.count("*").alias("chunks"), F.count_if("vectorized").alias("vectors")), "vectorised")
+        self.observed["vectorise"] = seen.get
         self.chunks.upsert(done)
-        return n
+        return seen.get["chunks"]
 
     def list_documents(self) -> DataFrame:
         counts = self.chunks.read().groupBy(c("document_id").alias("id")).agg(F.count("*").alias("chunk_count"), F.count_if("vectorized").alias("vectorized_chunks"))

@@ -1,8 +1,8 @@
 """Embeddings by a client of a remote model: retries with growing waits, null on failure, statistics.
 
 A client is made by a factory on each worker (connections are not sent around) and takes one cleaned text. What a call took and
-how it ended is kept beside its vector, so statistics are a plain aggregate, whichever worker did the work. Write the result to
-a table before using it twice, or the model is called twice.
+how it ended is kept beside its vector, so statistics are a plain aggregate, whichever worker did the work. ``embedded_once`` writes
+the result to a table and observes its totals as it does; used twice without a table, the model is called twice.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import WS, embed_clean
 from docspark.plans.fixtures import load
 from docspark.registry import query
+from docspark.scratch import written
 
 c = F.col
 Client = Callable[[str], list[float]]
@@ -52,21 +53,36 @@ def embed_by(text: Column, factory: Callable[[], Client], retries: int = 3, dela
     return run(embed_clean(text))
 
 
-def embedding_statistics(embedded: DataFrame, dimension: int | None = None, column: str = "embedded") -> DataFrame:
-    """One row over the results of ``embed_by``. The success rate counts errors against the vectors made, as the totals do; with
-    no vector all rates are 0."""
+def embedding_metrics(dimension: int | None = None, column: str = "embedded") -> list[Column]:
+    """Totals over the results of ``embed_by``, as aggregates or to be observed while a job writes them."""
     x = lambda name: c(f"{column}.{name}")
     made = x("vector").isNotNull()
     odd = F.count_if(made & (F.size(x("vector")) != dimension)) if dimension else F.lit(0).cast("long")
     zero = lambda value: F.coalesce(value, F.lit(0))
-    totals = embedded.agg(
+    return [
         F.count_if(made).alias("total_embeddings"), zero(F.sum(x("tokens"))).alias("total_tokens"), zero(F.sum(x("seconds"))).cast("double").alias("total_time"),
         F.count_if(x("error").isNotNull()).alias("errors"), zero(F.sum(x("retries"))).alias("retries"), odd.alias("odd_dimensions"),
-    )
-    each = lambda value: zero(F.try_divide(value, c("total_embeddings"))).cast("double")
+    ]
+
+
+def embedding_statistics(embedded: DataFrame, dimension: int | None = None, column: str = "embedded") -> DataFrame:
+    """One row over the results of ``embed_by``. The success rate counts errors against the vectors made, as the totals do; with
+    no vector all rates are 0."""
+    each = lambda value: F.coalesce(F.try_divide(value, c("total_embeddings")), F.lit(0)).cast("double")
+    totals = embedded.agg(*embedding_metrics(dimension, column))
     return totals.select("*", each(c("total_time")).alias("avg_time"), each(c("total_tokens")).alias("avg_tokens"), each(c("total_embeddings") - c("errors")).alias("success_rate"))
 
 
+def embedded_once(rows: DataFrame, factory: Callable[[], Client], text: str = "content", retries: int = 3, delay: float = 1.0, dimension: int | None = None) -> tuple[DataFrame, dict]:
+    """``rows`` with ``embedded``, as a table that the model was called for once, and the job's own totals with rates, observed as it wrote."""
+    seen = Observation()
+    done = written(rows.withColumn("embedded", embed_by(c(text), factory, retries, delay)).observe(seen, *embedding_metrics(dimension)), "embedded")
+    totals = {k: v or 0 for k, v in seen.get.items()}
+    n = totals.get("total_embeddings", 0)
+    rate = lambda value: value / n if n else 0.0
+    return done, totals | {"avg_time": rate(totals["total_time"]), "avg_tokens": rate(totals["total_tokens"]), "success_rate": rate(n - totals["errors"])}
+
+
 # --- queries ---------------------------------------------------------------------------------------------
 
 

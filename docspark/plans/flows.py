@@ -11,6 +11,7 @@ from docspark.operators.search import against_queries, answer, bm25, cosine, emb
 from docspark.operators.similarity import deduplicate
 from docspark.plans.fixtures import documents, load
 from docspark.registry import query
+from docspark.scratch import written
 
 c = F.col
 
@@ -18,7 +19,8 @@ c = F.col
 def ingest(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Documents (id, filename, raw_text) to deduplicated chunks with ids and vectors; exact copies are stored once."""
     first = docs.groupBy(F.sha2("raw_text", 256).alias("content_hash")).agg(F.min_by(F.struct("id", "filename", "raw_text"), "id").alias("d")).select("content_hash", "d.*")
-    kept = first.withColumn("cut", semantic(chunk_clean(c("raw_text")))).withColumn("kept", deduplicate(c("cut"), threshold))
+    clean = first.withColumn("clean", chunk_clean(c("raw_text")))
+    kept = clean.withColumn("cut", semantic(c("clean"))).withColumn("kept", deduplicate(c("cut"), threshold))
     chunks = kept.select("id", "filename", "content_hash", F.posexplode_outer("kept").alias("chunk_index", "content")).where("content is not null")
     keyed = chunks.withColumn("chunk_id", chunk_uuid(c("filename"), c("chunk_index"), c("content"))).withColumn("vector_id", vector_id(c("id").cast("string"), c("chunk_index").cast("string")))
     return keyed.withColumn("vector", embed(c("content")))
@@ -29,16 +31,17 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str =
     (query_id, text), by dense_only, sparse_only, hybrid_rrf, hybrid_weighted or hybrid_borda."""
     from pyspark.sql import Window
 
+    if method not in ("dense_only", "sparse_only") and not method.startswith("hybrid_"):
+        raise ValueError(f"unknown method {method}")
     asked = questions.select("query_id", embed(c("text")).alias("q"))
     rank = lambda df, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))).where(c("rank") <= n)
     dense = rank(against_queries(chunks.select("item", "vector"), asked).select("query_id", "item", cosine(c("vector"), c("q")).alias("score")).where("score is not null"), 3 * k)
-    sparse = bm25(chunks.select(c("item").alias("doc_id"), c("content").alias("text")), questions, 3 * k).select("query_id", c("doc_id").alias("item"), "rank", "score")
     if method == "dense_only":
         return dense.where(c("rank") <= k)
+    most = k if method == "sparse_only" else 3 * k
+    sparse = bm25(chunks.select(c("item").alias("doc_id"), c("content").alias("text")), questions, most).select("query_id", c("doc_id").alias("item"), "rank", "score")
     if method == "sparse_only":
-        return sparse.where(c("rank") <= k)
-    if not method.startswith("hybrid_"):
-        raise ValueError(f"unknown method {method}")
+        return sparse
     return rank(fuse(dense, sparse, method.removeprefix("hybrid_"), weights).withColumnRenamed("fused", "score"), k)
 
 
@@ -63,6 +66,6 @@ for _method in ("dense_only", "sparse_only", "hybrid_rrf", "hybrid_weighted", "h
     @query(f"flow_ask_{_method}")
     def _(s: SparkSession, d: str, m: str = _method) -> DataFrame:
         """Over chunks, so that every part of a text has a vector; ``embed`` takes 8,000 characters as one input."""
-        stored = ingest(documents(s, d)).select(c("chunk_id").alias("item"), "filename", "content", "vector")
+        stored = written(ingest(documents(s, d)).select(c("chunk_id").alias("item"), "filename", "content", "vector"), "chunks")  # cut and embedded once
         questions = load(s, d, "benchmark").select(c("item_id").alias("query_id"), "text")
         return ask(stored, questions, 5, m)
