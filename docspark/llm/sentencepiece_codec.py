@@ -2,7 +2,7 @@
 
 Texts are cut where the vocabulary proves a token boundary; each segment is encoded by a score-ordered
 agenda of adjacent symbol pairs and, when first seen by a worker, checked against the library in the same
-Arrow batch. Segments are remembered in a worker's memo of bounded bytes, and batches are taken in parts of some megabytes. The ids are always the agenda's; segments of a
+Arrow batch. Segments are remembered in a memo of bounded bytes that ends with its task, and batches are taken in parts of some megabytes. The ids are always the agenda's; segments of a
 text whose ids the library has otherwise are counted in ``differences``, each time that they occur. Models whose
 boundaries can't be proven are encoded and checked text by text.
 
@@ -13,7 +13,6 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,10 +43,8 @@ def checked(keys: list[str], vocab: PieceVocabulary) -> list[bytes]:
     return [vocab.packed(a) if a == b else Differing(vocab.packed(a)) for a, b in zip(own, vocab.library_ids(keys), strict=True)]
 
 
-@functools.cache
-def _memo(model_file: str) -> KeyMemo:
-    """The worker's memo of packed ids, of bounded bytes."""
-    vocab = vocabulary(model_file)
+def _memo(vocab: PieceVocabulary) -> KeyMemo:
+    """A task's memo of packed ids, of bounded bytes."""
     return KeyMemo(lambda keys: checked(keys, vocab))
 
 
@@ -102,7 +99,8 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        vocab, memo = vocabulary(file), _memo(file)
+        vocab = vocabulary(file)
+        memo = _memo(vocab)
         for texts in (part for batch in batches for part in pieces_of(batch)):
             ids, ends, decoded, differences, end = [], [0], [], [], 0
             for slices, found in _encode_slices(texts.fill_null("").to_pylist(), vocab, memo):
@@ -117,6 +115,7 @@ def encode_decode(text: Column, model_file: str | None = None, add_end: bool = T
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(differences, pa.int32())], ["ids", "decoded", "differences"])
+        memo.clear()
         hand_back()
 
     return run(text)
