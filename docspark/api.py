@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import catalog_stats, file_rollup, metadata_filter
+from docspark.operators.correctors import correct_conservative
 from docspark.operators.files import MOST, UPLOADS
 from docspark.operators.search import embed
 from docspark.operators.sparse import tokenise
@@ -22,6 +23,8 @@ from docspark.sources.sinks import Collection, write_csv
 
 c = F.col
 METHODS = ("dense_only", "sparse_only", "hybrid_rrf", "hybrid_weighted", "hybrid_borda")
+#: How sure an answer is that no found text stands behind. ``failed`` is what a bulk answer gets where there is none.
+CONFIDENCE = {"failed": 0.1, "nothing_found": 0.3, "nothing_found_fallback": 0.2, "conversational_fallback": 0.8}
 DOCUMENTS = "id bigint, filename string, file_type string, file_size bigint, content_hash string, raw_text string, created_at timestamp"
 CHUNKS = "id bigint, document_id bigint, chunk_index int, chunk_id string, content string, filename string, vectorized boolean, vector array<float>, created_at timestamp"
 
@@ -82,8 +85,27 @@ class Service:
     def stored_files(self) -> DataFrame:
         return file_rollup(self.chunks.read().withColumnRenamed("content", "chunk_text"))
 
-    def chunk_metadata(self, name_part: str, limit: int = 10) -> DataFrame:
-        return metadata_filter(self.chunks.read(), name_part, max(1, min(100, limit)))
+    def chunk_metadata(self, name_part: str = "", limit: int = 10, vector_id: int | str | None = None) -> DataFrame:
+        """Chunks by a part of their file name or by the id of their vector."""
+        return metadata_filter(self.chunks.read().withColumn("vector_id", c("id")), name_part, max(1, min(100, limit)), vector_id)
+
+    def correct_spelling(self, entries: DataFrame, common: frozenset[str] = frozenset()) -> DataFrame:
+        """The stored documents' texts corrected by a terminology, conservatively; the counts are kept for ``spelling_statistics``."""
+        seen = Observation()
+        texts = self.documents.read().select(c("id").alias("doc_id"), c("raw_text").alias("text"))
+        n = F.coalesce(F.size("corrections"), F.lit(0))
+        words = F.coalesce("total_words", F.lit(0))
+        counted = correct_conservative(texts, entries, common).observe(seen, F.sum(n).alias("total_corrections"), F.sum(words - n).alias("no_corrections"), F.count("*").alias("documents"))
+        done = written(counted, "corrected")
+        found = {k: v or 0 for k, v in seen.get.items()}
+        self.observed["spelling"] = found | {"dictionary_corrections": found["total_corrections"]}
+        return done
+
+    def spelling_statistics(self) -> dict:
+        """What the last correction came to."""
+        if "spelling" not in self.observed:
+            return {"success": False, "error": "nothing was corrected yet"}
+        return {"success": True, "spell_correction_stats": self.observed["spelling"]}
 
     def statistics(self) -> DataFrame:
         return catalog_stats(self.documents.read(), self.chunks.read().withColumn("chunk_size", F.length("content")))
@@ -103,10 +125,11 @@ class Service:
         if not 1 <= max_chunks <= 20:
             raise ValueError("max_chunks must lie between 1 and 20")
         searched = questions if force_document_search else questions.where(F.size(F.split(F.trim("text"), r"\s+")) > 3)
-        found = flows.ask(self._vectors(), searched, max_chunks, method, weights).select("query_id", "answer", "confidence", F.lit("document_search").alias("kind"), "sources")
+        sure = F.when(c("sources").isNull(), CONFIDENCE["nothing_found"]).otherwise(c("confidence"))
+        found = flows.ask(self._vectors(), searched, max_chunks, method, weights).select("query_id", "answer", sure.alias("confidence"), F.lit("document_search").alias("kind"), "sources")
         if force_document_search:
             return found
-        chat = questions.join(searched.select("query_id"), "query_id", "left_anti").select("query_id", F.lit("How can I help you with your documents?").alias("answer"), F.lit(0.85).alias("confidence"), F.lit("conversational").alias("kind"))
+        chat = questions.join(searched.select("query_id"), "query_id", "left_anti").select("query_id", F.lit("How can I help you with your documents?").alias("answer"), F.lit(CONFIDENCE["conversational_fallback"]).alias("confidence"), F.lit("conversational").alias("kind"))
         return found.unionByName(chat, allowMissingColumns=True)
 
     def bulk_questions(self, questions: DataFrame, out: str, method: str = "hybrid_rrf", max_chunks: int = 5, weights: tuple[float, float] = (0.6, 0.4), force_document_search: bool = False) -> str:
@@ -122,7 +145,7 @@ class Service:
         self.spark.createDataFrame([(each,)], "seconds double").write.parquet(f"{self.path}/times/{batch.rsplit('/', 1)[1]}")
         context = F.array_join(F.transform("sources", lambda x: F.format_string("[Score: %.3f] %s", x["score"], x["preview"])), " <CHUNK_SPLIT> ")
         answer_ = F.coalesce("answer", F.lit("Error: No answer generated"))
-        shaped = rows.join(answers, "query_id", "left").select(c("text").alias("question"), answer_.alias("answer"), F.coalesce(context, F.lit("")).alias("context"), F.lit(method).alias("retrieval_method"), F.lit(f"{each:.2f}s").alias("query_time"), F.format_string("%.3f", "confidence").alias("confidence_score"))
+        shaped = rows.join(answers, "query_id", "left").select(c("text").alias("question"), answer_.alias("answer"), F.coalesce(context, F.lit("")).alias("context"), F.lit(method).alias("retrieval_method"), F.lit(f"{each:.2f}s").alias("query_time"), F.format_string("%.3f", F.coalesce("confidence", F.lit(CONFIDENCE["failed"]))).alias("confidence_score"))
         return write_csv(shaped, out, f"hybrid_{method.removeprefix('hybrid_')}_processed_")
 
     def _vectors(self) -> DataFrame:
@@ -168,6 +191,16 @@ class Service:
         first = F.row_number().over(Window.orderBy(F.desc("agreement"), "method"))  # a row for each method
         return by.withColumn("best", first == 1)
 
+    def comparison_summary(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """For each question how many methods were tried, how many gave hits, and the best: the one whose hits most other methods have too, ties
+        by name; null where none has any."""
+        found = self._ranked(questions, k)
+        votes = found.groupBy("query_id", "item").agg(F.count("*").alias("votes"))
+        by = found.join(votes, ["query_id", "item"]).groupBy("query_id", "method").agg(F.avg("votes").alias("agreement"))
+        best = by.groupBy("query_id").agg(F.min(F.struct((-c("agreement")).alias("less"), "method")).alias("best"), F.count("*").alias("with_hits"))
+        joined = questions.select("query_id").join(best, "query_id", "left")
+        return joined.select("query_id", F.lit(len(METHODS)).alias("methods_tested"), F.coalesce("with_hits", F.lit(0)).alias("with_hits"), c("best.method").alias("best_method"))
+
     def _ranked(self, questions: DataFrame, k: int) -> DataFrame:
         parts = [flows.retrieve(self._vectors(), questions, k, m).select("query_id", "item", F.lit(m).alias("method")) for m in METHODS]
         return reduce(DataFrame.unionByName, parts)

@@ -88,7 +88,7 @@ def extraction_clean(t: Column) -> Column:
 
 def unicode_normalise(t: Column) -> Column:
     """NFKC; dashes become hyphens and bullets spaces. There is no JVM built-in for it."""
-    table = {0x2013: "-", 0x2014: "-", 0x2022: " ", 0x25AA: " ", 0x25CF: " "}
+    table = {0x2013: "-", 0x2014: "-", 0x2022: " ", 0x25AA: " ", 0x25CF: " ", 0xF0A1: " "}
 
     @F.arrow_udf("string")
     def run(x: pa.Array) -> pa.Array:

@@ -76,9 +76,11 @@ def duplicate_groups(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.groupBy(F.md5("chunk_text").alias("text_md5")).agg(F.count("*").alias("n"), F.min("document_id").alias("first_document")).where("n > 1")
 
 
-def metadata_filter(chunk_rows: DataFrame, name_part: str, limit: int) -> DataFrame:
-    """Chunks whose file name holds a text, whatever its case, with the number of all such chunks."""
+def metadata_filter(chunk_rows: DataFrame, name_part: str = "", limit: int = 10, vector_id: int | str | None = None) -> DataFrame:
+    """Chunks whose file name holds a text, whatever its case, or those of one vector, with the number of all such chunks."""
     found = chunk_rows.where(F.contains(F.lower(F.coalesce("filename", F.lit("unknown"))), F.lit(name_part.lower())))
+    if vector_id is not None:
+        found = found.where(c("vector_id").cast("string") == F.lit(str(vector_id)))
     total = found.agg(F.count("*").alias("total_chunks"))
     top = found.orderBy("document_id", "chunk_index").limit(limit).select("document_id", "chunk_index", "filename")
     return top.join(F.broadcast(total))  # a single row
@@ -142,6 +144,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).agg(F.count("*").alias("n"), F.round(F.avg("chunk_size"), 4).alias("avg_size"), F.min("chunk_size").alias("min_size"), F.max("chunk_size").alias("max_size"))
 
 
+@query("catalog_chunks_by_vector", f"""WITH {CHUNKS_SQL}, v AS (SELECT max(vector_id) AS v FROM chunks), f AS (SELECT * FROM chunks, v WHERE vector_id = v)
+SELECT document_id, chunk_index, filename, (SELECT count(*) FROM f) AS total_chunks FROM f ORDER BY 1, 2 LIMIT 10""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = chunks(s, d)
+    return metadata_filter(rows, vector_id=rows.agg(F.max("vector_id")).first()[0])
+
+
 @query("catalog_metadata_filter", f"""WITH {CHUNKS_SQL}, f AS (SELECT * FROM chunks WHERE contains(lower(filename), 'src1/'))
 SELECT document_id, chunk_index, filename, (SELECT count(*) FROM f) AS total_chunks FROM f ORDER BY document_id, chunk_index LIMIT 100""")
 def _(s: SparkSession, d: str) -> DataFrame:
@@ -157,19 +166,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return found.select("id", "filename", "content_hash")
 
 
-@query("catalog_upsert_points", f"""WITH {CHUNKS_SQL}, new AS (SELECT document_id * 100000 + chunk_index AS id, 'new ' || left(chunk_text, 20) AS payload FROM chunks WHERE document_id % 7 = 0),
-old AS (SELECT document_id * 100000 + chunk_index AS id, left(chunk_text, 20) AS payload FROM chunks WHERE document_id % 2 = 0)
-SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    rows = chunks(s, d).select("document_id", (c("document_id") * 100000 + c("chunk_index")).alias("id"), F.substring("chunk_text", 1, 20).alias("payload"))
-    return upsert(rows.where("document_id % 2 = 0").select("id", "payload"), rows.where("document_id % 7 = 0").select("id", F.concat(F.lit("new "), "payload").alias("payload")), "id")
-
+#: Chunks that are vectorised are stored; of all documents the last, shorter chunks arrive again, whole.
+_POINTS = f"""WITH {CHUNKS_SQL}, p AS (SELECT document_id * 100000 + chunk_index AS id, chunk_text AS payload, vectorized, chunk_size FROM chunks),
+new AS (SELECT id, 'new ' || payload AS payload FROM p WHERE chunk_size < 1000), old AS (SELECT id, payload FROM p WHERE vectorized)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)"""
+for _name in ("catalog_upsert_points", "catalog_upsert_all_points"):
 
-@query("catalog_upsert_all_points")
-def _(s: SparkSession, d: str) -> DataFrame:
-    """Every chunk whole: those that are vectorized are stored, those of all documents but every fifth arrive again."""
-    rows = chunks(s, d).select("document_id", "vectorized", (c("document_id") * 100000 + c("chunk_index")).alias("id"), c("chunk_text").alias("payload"))
-    return upsert(rows.where("vectorized or document_id % 5 = 0").select("id", "payload"), rows.where("document_id % 5 <> 0").select("id", F.concat(F.lit("new "), "payload").alias("payload")), "id")
+    @query(_name, _POINTS)
+    def _(s: SparkSession, d: str) -> DataFrame:
+        rows = chunks(s, d).select("vectorized", "chunk_size", (c("document_id") * 100000 + c("chunk_index")).alias("id"), c("chunk_text").alias("payload"))
+        return upsert(rows.where("vectorized").select("id", "payload"), rows.where("chunk_size < 1000").select("id", F.concat(F.lit("new "), "payload").alias("payload")), "id")
 
 
 @query("catalog_insert_or_get", f"""WITH {DOCUMENTS_SQL}, stored AS (SELECT content_hash, min(id) AS stored_id FROM cat WHERE id % 2 = 0 GROUP BY 1),

@@ -19,15 +19,31 @@ REJECT = r"^~|^\.|^\$|^copy of |superseded|obsolete|^test|^sample|\.tmp$|\.bak$"
 LEAST, MOST, LEAST_PDF, SUSPICIOUS = 1024, 100 << 20, 5120, (1024, 2048, 4096, 8192)
 
 
-def classify(folder: Column, name: Column, ext: Column, size: Column) -> Column:
-    """The first rule that holds names the reason; the folder rule searches the whole lower-cased path."""
-    low = F.lower(name)
+def classify(folder: Column, name: Column, ext: Column, size: Column, state: Column | None = None) -> Column:
+    """The first rule that holds names the reason; the folder rule searches the whole lower-cased path. ``state`` is what ``path_states`` says
+    of a path; where that is not null it is the reason."""
+    low, state = F.lower(name), F.lit(None).cast("string") if state is None else state
     return (
-        F.when(~ext.isin(*ALLOWED), "bad_extension").when(F.lower(folder).rlike(FOLDERS), "archive_folder").when(low.rlike(KEEP), "important_file").when(low.rlike(REJECT), "rejected_pattern")
+        F.when(state.isNotNull(), state).when(~ext.isin(*ALLOWED), "bad_extension").when(F.lower(folder).rlike(FOLDERS), "archive_folder").when(low.rlike(KEEP), "important_file").when(low.rlike(REJECT), "rejected_pattern")
         .when(size < LEAST, "too_small").when(size > MOST, "too_large").when((ext == "pdf") & (size < LEAST_PDF), "pdf_too_small").when(size.isin(*SUSPICIOUS), "suspicious_size").otherwise("passed_all_checks")
     )
 
 
+def path_states(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """``asked`` (path) with size, and state: ``not_a_file`` for a folder of listed files, ``file_not_found`` for what is not ``listed`` (path, size),
+    ``cannot_read_file`` for a file without a size, null for the others."""
+    met = asked.join(listed.select("path", "size", F.lit(True).alias("known")), "path", "left").join(_folders(listed).select(c("folder").alias("path"), F.lit(True).alias("is_folder")), "path", "left")
+    state = F.when(c("known") & c("size").isNotNull(), F.lit(None).cast("string")).when(c("known"), "cannot_read_file").when(c("is_folder"), "not_a_file").otherwise("file_not_found")
+    return met.withColumn("state", state).drop("known", "is_folder")
+
+
+def _folders(listed: DataFrame) -> DataFrame:
+    """All folders above listed files."""
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(steps) - 1)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    return listed.select(F.explode(above).alias("folder")).distinct()
+
+
 def is_kept(reason: Column) -> Column:
     return reason.isin("important_file", "passed_all_checks")
 

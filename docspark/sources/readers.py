@@ -11,6 +11,7 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import closing
+from functools import reduce
 from urllib.parse import quote
 from xml.etree import ElementTree
 
@@ -179,9 +180,17 @@ def page_markers(pages: Column) -> Column:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a question column under any case; blank questions are left out."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    rows = rows.toDF(*[c.lower() for c in rows.columns])
+    """A CSV, or a folder of them, with a question column under any case; blank questions are left out. Files that are no UTF-8 are read as
+    latin-1."""
+    sound = spark.read.format("binaryFile").load(path).select("path", F.expr("is_valid_utf8(cast(content as string))").alias("sound")).collect()  # a row a file
+    parts = []
+    for encoding, files in (("UTF-8", [r["path"] for r in sound if r["sound"]]), ("ISO-8859-1", [r["path"] for r in sound if not r["sound"]])):
+        if files:
+            part = spark.read.csv(files, header=True, multiLine=True, escape='"', encoding=encoding)
+            parts.append(part.toDF(*[c.lower() for c in part.columns]))
+    if not parts:
+        raise ValueError("there is no file")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if "question" not in rows.columns:
         raise ValueError("the file has no question column")
     return rows.where(F.trim("question") != "")
