@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from docspark.llm.common import table
 
@@ -38,7 +40,7 @@ SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 39, 8
 MAX_ITEMS, MAX_BYTES = 1024, 4 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-MATCH = "array<struct<item_id:bigint,similarity:double,start_word:bigint,n_words:bigint,distance:int>>"
+MATCH = "array<struct<item_id:{id},similarity:double,start_word:bigint,n_words:bigint,distance:int>>"
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -176,17 +178,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[str]]]
 
 def match_columns(spark: SparkSession, text: Column, benchmark: DataFrame) -> list[Column]:
     """For each block of items a column of the matches in a text: an array of structs, empty for most texts."""
-    return [_match_column(text, spark.sparkContext.broadcast(block)) for block in _blocks(benchmark)]
+    id_type = benchmark.schema["item_id"].dataType
+    return [_match_column(text, spark.sparkContext.broadcast(block), id_type) for block in _blocks(benchmark)]
 
 
-def _match_column(text: Column, shared: Broadcast) -> Column:
+def _match_column(text: Column, shared: Broadcast, id_type: DataType) -> Column:
     built: list[Index] = []
 
-    @F.arrow_udf(MATCH)
+    @F.arrow_udf(MATCH.format(id=id_type.simpleString()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not built:
             built.append(Index(shared.value).build())
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]))
+        kind = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]))
         for batch in batches:
             yield pa.array([built[0].matches(x.as_py()) for x in batch], kind)
 
@@ -197,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, similarity, start_word, n_words, distance."""
     spark = docs.sparkSession
     parts = [docs.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.*") for c in match_columns(spark, F.col("text"), benchmark)]
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint, distance int")
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, start_word bigint, n_words bigint, distance int")
 
 
 def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

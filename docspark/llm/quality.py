@@ -6,7 +6,7 @@ every chunk, and the chunks' values are combined (their mean and their largest)
 
 The network is fitted on a bounded sample of labelled rows (``max_rows``, drawn by a hash of the key and the text, the same in
 every run), of each the whole text. Fitting and scoring share the forward pass, which goes over a text slab by slab and holds
-a few MB whatever its length; the driver holds the sample's texts. lang, source and doc_id are never inputs.
+a few MB whatever its length; the driver holds the sample's texts, ``MAX_BYTES`` at most. lang, source and doc_id are never inputs.
 
 Defined results: null and empty texts get the score that no active filter gives; labels that are null take
 no part, of repeated labels of a document the largest counts; rows that share a labelled doc_id (null ids have no label) all
@@ -29,6 +29,8 @@ from docspark.llm.common import bounded_fraction, crc_bucket, hash_unit, table
 
 WIDTH, FILTERS, STRIDE, SLAB = 6, 16, 128, 65_536
 MAX_ROWS, FOLDS, THRESHOLD = 1500, 5, 0.3
+#: Bytes of the sample's texts together.
+MAX_BYTES = 64 << 20
 
 
 @dataclass
@@ -130,13 +132,25 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 32
     return Network(p["tables"], p["bias"].astype(np.float32), p["mean"], p["top"], float(p["shift"]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most ``max_rows`` labelled texts whose crc32 bucket is not 0: (order, text, quality)."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """At most ``max_rows`` labelled texts of ``max_bytes`` together whose crc32 bucket is not 0: (order, text, quality). In the order of
+    their hashes, texts that would go beyond the bytes are left out. Sizes are looked at first, so no other text is sent anywhere."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = bounded_fraction(max_rows, known.count())
     sample = known.where(hash_unit(F.col("doc_id")) < 1.2 * share)  # about so many rows, so the broadcast is bounded as well
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    return texts.select(F.xxhash64("doc_id", "text").alias("order"), "text", "quality").orderBy("order", "text", "quality").limit(max_rows)
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("order"), "text", "quality")
+    sizes = texts.select("order", F.octet_length("text").alias("bytes")).orderBy("order").limit(max_rows).collect()
+    held, over = 0, set()
+    for row in sizes:
+        if held + row["bytes"] > max_bytes:
+            over.add(row["order"])
+        else:
+            held += row["bytes"]
+    if over:  # else all of the first rows fit
+        chosen = docs.sparkSession.createDataFrame([(x,) for x in {r["order"] for r in sizes} - over], "order long")
+        texts = texts.join(F.broadcast(chosen), "order")
+    return texts.orderBy("order", "text", "quality").limit(max_rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:

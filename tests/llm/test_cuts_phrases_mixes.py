@@ -294,3 +294,55 @@ def test_mixing_of_nothing(spark):
 def test_mixing_uses_no_python(spark):
     plan = mixing.mixture(table(spark, mixed_rows(5)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- ids of any type, bounded samples, hubs and crowded bands ---------------------------------------------
+
+
+def test_ids_that_are_texts(spark):
+    import corpus_pipeline
+    from docspark.llm import decontaminate
+
+    passage = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([("b", f"before {passage} after"), ("a", "nothing of it here"), (None, passage), ("c", "nothing of it here")], "doc_id string, text string")
+    items = spark.createDataFrame([("item-1", passage), (None, passage + " more")], "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert {("b", "item-1"), (None, "item-1")} <= found
+    assert sorted(r["doc_id"] for r in decontaminate.without(docs, items).collect()) == ["a", "c"]
+    assert decontaminate.contaminated(docs, items.limit(0)).schema["item_id"].dataType.simpleString() == "string"
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["a", "b"]  # of near copies the null id goes
+
+
+def test_the_quality_sample_is_bounded_in_bytes(spark):
+    from docspark.llm import quality
+
+    docs = spark.createDataFrame([(k, "x" * (10_000 if k % 7 == 0 else 100)) for k in range(100)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id bigint, quality int")
+    rows = quality.training_rows(docs, labels, max_bytes=9_000).collect()
+    assert 0 < sum(len(r["text"]) for r in rows) <= 9_000 and {len(r["text"]) for r in rows} == {100} and len(rows) > 50
+
+
+def test_a_star_of_many_links(spark):
+    from docspark.llm import components
+
+    links = spark.range(1, 20_001).selectExpr("0 AS a", "id AS b").union(spark.range(20_000, 20_050).selectExpr("id AS a", "id + 1 AS b"))
+    found = components.connected_components(links)
+    assert found.where("root <> 0").count() == 0 and found.count() == 20_051
+
+
+def test_languages_of_one_id_are_sampled_row_by_row(spark):
+    from docspark.llm import language
+
+    rows = [(1, f"the cat sat on the mat number {k}", "en") for k in range(3000)] + [(k, f"der hund lief durch den garten {k}", "de") for k in range(2, 40)] + [(50, "123", "xx")]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert sorted(model.names) == ["de", "en"] and model.predict("the cat sat on the mat")[0] == "en" and model.predict("der hund lief")[0] == "de"
+
+
+def test_a_band_of_thousands_of_different_texts(spark):
+    """Texts that share one frame, but not enough of it, stay; those that share nearly all of it are linked."""
+    from docspark.llm import simhash
+
+    frame = " ".join(f"frame{k}" for k in range(40))
+    docs = spark.range(3000).selectExpr(f"'{frame}' || ' own' || id || ' tail' || id AS text")
+    links = simhash.similar_links(docs)
+    assert links.selectExpr("count(distinct a) + count(distinct b)").first()[0] > 0
