@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is known by its id and its text: rows with one id (null included) and different texts are different documents,
     and only rows alike in both are copies of one.
     """
-    row = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
+    row = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
     found = simhash.near_duplicates(docs.select(F.struct(*row).alias("row"), "text"), key="row", similarity=simhash.NEAR)
     judged = found.groupBy("row.no_id", "row.id", "row.text_hash").agg(F.count("*").alias("n"), F.bool_and(F.expr("row = component")).alias("kept"))
     judged = materialise(judged, "judged")
