@@ -1,6 +1,6 @@
 """BM25 top-k that leaves out postings which can't matter: impacts, their maxima by block of documents, bounds.
 
-A posting's impact is what its term adds to a document's score. Documents lie in blocks of about ``BLOCK`` of like length, and for each term
+A posting's impact is what its term adds to a document's score. Documents lie in blocks of some ``BLOCK`` of like length, and for each term
 and block the largest impact is kept. For a query:
 
 1. its *first* terms are those with the largest impacts (the rare ones) that hold about ``SHARE`` of its postings; only their postings are
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docspark.scratch import written
@@ -45,19 +45,18 @@ def if_few(rows: DataFrame, most: int = 1 << 20) -> Callable[[DataFrame], DataFr
 
 
 def impacts(corpus: DataFrame, terms: DataFrame, near: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """(term, doc_id, block, w) of the postings of ``terms``; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    docs = corpus.select("doc_id", tokenise(c("text")).alias("ts"))
-    sized = docs.select("doc_id", F.size("ts").alias("len"), "ts")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    postings = sized.select("doc_id", "len", F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term")
+    """(term, doc_id, block, w) of the postings of ``terms``; idf is ln(1 + (N - df + 0.5) / (df + 0.5)). The corpus is read once: the number
+    of documents and their mean length are observed by the job that counts terms."""
+    seen = Observation()
+    docs = corpus.select("doc_id", tokenise(c("text")).alias("ts")).select("doc_id", F.size("ts").alias("len"), "ts")
+    docs = docs.observe(seen, F.count("*").alias("n"), F.avg("len").alias("mean_len"))
+    postings = docs.select("doc_id", "len", F.explode("ts").alias("term")).join(near(terms.select("term").distinct()), "term")
     tf = written(postings.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "frequencies")
-    weights = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
-    weights = weights.select("term", F.log(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf"), "mean_len")
-    w = c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / c("mean_len")))
-    like = F.floor(8 * F.log2(c("len") + 1)).cast("int")
-    parts = sized.groupBy(like.alias("like")).agg(F.ceil(F.count("*") / block).alias("parts"))  # some hundred rows at most
-    placed = tf.withColumn("like", like).join(F.broadcast(parts), "like").withColumn("block", c("like").cast("long") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), c("parts")))
-    return placed.join(near(weights), "term").select("term", "doc_id", "block", w.alias("w"))
+    n, mean_len = F.lit(seen.get["n"] or 0), F.lit(seen.get["mean_len"] or 1.0)
+    weights = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - c("df") + 0.5) / (c("df") + 0.5)).alias("idf"))
+    w = c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / mean_len))
+    like, parts = F.floor(2 * F.log2(c("len") + 1)).cast("long"), max(1, (seen.get["n"] or 0) // (8 * block))  # lengths spread over some eight steps
+    return tf.join(near(weights), "term").select("term", "doc_id", (like * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("block"), w.alias("w"))
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, share: float = SHARE, block: int = BLOCK) -> Retrieved:
@@ -78,7 +77,8 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, share: float = SHAR
     whole = _with_others(best.select("query_id", "doc_id", "part"), others, postings, near)
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     floor = whole.withColumn("at", at).where(c("at") == k).select("query_id", (c("score") - SLACK).alias("floor"))  # none: no document can be left out
-    floors = written(terms.select("query_id").distinct().join(floor, "query_id", "left").select("query_id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), "floors")
+    asked = split.select("query_id").distinct()
+    floors = written(asked.join(floor, "query_id", "left").select("query_id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), "floors")
     few = if_few(floors)
 
     bounds = maxima.join(near(others), "term").groupBy("query_id", "block").agg(F.sum("most").alias("bound")).join(few(floors), "query_id")
@@ -89,8 +89,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, share: float = SHAR
     open_blocks = bounds.where(c("bound") >= c("floor")).select("query_id", "block")
     members = postings.join(open_blocks, "block").join(near(others), ["query_id", "term"]).select("query_id", "doc_id").distinct()
     bare = members.join(parts.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("part", F.lit(0.0))
-    candidates = written(hopeful.unionByName(bare), "candidates")
-    scored = written(_with_others(candidates, others, postings, near), "scores")
+    scored = _with_others(hopeful.unionByName(bare), others, postings, near)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     ranked = scored.select("query_id", "doc_id", "score").withColumn("rank", rank).where(c("rank") <= k)
     read = parts.select("query_id", "n").unionByName(scored.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("summed"))
@@ -100,7 +99,6 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, share: float = SHAR
 
 def _with_others(rows: DataFrame, others: DataFrame, postings: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``rows`` (query_id, doc_id, part) with ``score``, the part and the impacts of the query's other terms, and ``n``, their number."""
-    asked = rows.select("query_id", "doc_id").join(near(others), "query_id")
-    rest = asked.join(postings.select("term", "doc_id", "w"), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("rest"), F.count("*").alias("n"))
-    met = rows.join(rest, ["query_id", "doc_id"], "left")
-    return met.select("query_id", "doc_id", (c("part") + F.coalesce("rest", F.lit(0.0))).alias("score"), F.coalesce("n", F.lit(0)).alias("n"))
+    asked = rows.join(near(others), "query_id", "left")
+    met = asked.join(postings.select("term", "doc_id", "w"), ["term", "doc_id"], "left")
+    return met.groupBy("query_id", "doc_id").agg((F.max("part") + F.coalesce(F.sum("w"), F.lit(0.0))).alias("score"), F.count("w").alias("n"))
