@@ -111,11 +111,36 @@ def first_regions(blocks_: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.explode(kept).alias("r")).select("doc_id", "r.pos")
 
 
+def _levels(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``level``: 2 to that power is no less than the longer side of the box. Boxes without corners in order have none."""
+    side = F.greatest(c("x1") - c("x0"), c("y1") - c("y0")).cast("double")
+    sound = (c("x0") <= c("x1")) & (c("y0") <= c("y1")) & ~F.isnan(side) & (side < float(1 << 40))
+    return rows.withColumn("level", F.when(sound, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1.0))))).cast("int")))
+
+
+def _cells(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """Boxes in the cells, of two to the power of each level from their own on, that they touch: four at most at each level."""
+    at = rows.where("level is not null").withColumn("grid", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= c("level"))))
+    steps = lambda lo, hi: F.sequence(F.floor(c(lo) / F.pow(F.lit(2.0), c("grid"))), F.floor(c(hi) / F.pow(F.lit(2.0), c("grid"))))
+    return at.withColumn("cx", F.explode(steps("x0", "x1"))).withColumn("cy", F.explode(steps("y0", "y1"))).withColumn("own", c("grid") == c("level"))
+
+
 def outside_tables(blocks_: DataFrame, tables: DataFrame, most: float = 0.3, of_smaller: bool = False) -> DataFrame:
-    """Blocks that no table region of their page covers by more than a share of the block's area, or of the smaller of both areas."""
+    """Blocks that no table region of their page covers by more than a share of the block's area, or of the smaller of both areas.
+
+    Blocks and regions meet by the cells of grids that they touch: each pair at the level of the larger of both, where either has few
+    cells, so boxes of any size meet only what is near, and a page may hold very many. Boxes alike are compared once.
+    """
+    where, box = ["doc_id", "page"], ["x0", "y0", "x1", "y1"]
+    boxes, regions = (_levels(df.select(*where, *box).distinct()) for df in (blocks_, tables))
+    levels = sorted(r["level"] for r in boxes.select("level").union(regions.select("level")).distinct().collect() if r["level"] is not None)  # forty at most
+    if not levels:
+        return blocks_
     base = F.least(area("a"), area("b")) if of_smaller else area("b")
-    covered = (c("a.doc_id") == c("b.doc_id")) & (c("a.page") == c("b.page")) & (base > 0) & (intersection("a", "b") > most * base)
-    return blocks_.alias("b").join(tables.alias("a"), covered, "left_anti")
+    meet = [c(f"a.{x}") == c(f"b.{x}") for x in (*where, "grid", "cx", "cy")]
+    near = _cells(boxes, levels).alias("b").join(_cells(regions, levels).alias("a"), [*meet, c("a.own") | c("b.own")])
+    covered = near.where((base > 0) & (intersection("a", "b") > most * base)).select(*[c(f"b.{x}") for x in (*where, *box)]).distinct()
+    return blocks_.join(covered, [*where, *box], "left_anti").select(*blocks_.columns)
 
 
 def intersection(a: str, b: str) -> Column:
@@ -301,7 +326,7 @@ for _variant, (_share, _base) in {"layout_table_overlap": (0.3, "(b.x1 - b.x0) *
         """Blocks outside of table regions. The test texts have no tables, so a detector's regions are laid over them: each page's second block, shifted and cut."""
         b = blocks(s, d)
         regions = b.where("pos % 4 = 1").select("doc_id", "page", F.expr("x0 + 4.7D").alias("x0"), F.expr("y0 + 12.3D").alias("y0"), F.expr("x0 + 4.7D + (x1 - x0) * (pos % 7) / 6.0D").alias("x1"), F.expr("y1 + 14").alias("y1"))
-        return outside_tables(b, regions, share, share == 0.5).select("b.doc_id", "b.pos")
+        return outside_tables(b, regions, share, share == 0.5).select("doc_id", "pos")
 
 
 @query("layout_page_fill", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)
