@@ -167,7 +167,30 @@ def merge_page_text(native: Column, recognised: Column, threshold: float = 0.85)
 # --- queries ---------------------------------------------------------------------------------------------
 
 
-@query("typing_content_types")
+def _case_sum(tests: list[tuple[str, float]]) -> str:
+    return "least(1.0::DOUBLE, 0.0::DOUBLE" + "".join(f" + CASE WHEN {test} THEN {value}::DOUBLE ELSE 0.0::DOUBLE END" for test, value in tests) + ")"
+
+
+_HAS = lambda pattern: f"regexp_matches(text, '{pattern}')"
+_GAPS = r"""list_transform(ls[1:5], lambda x: list_transform(range(1, len(regexp_extract_all(x, '\s{2,}')) + 1), lambda i:
+  list_sum(list_transform(regexp_split_to_array(x, '\s{2,}')[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(regexp_extract_all(x, '\s{2,}')[1:i - 1], lambda p: length(p))), 0)))"""
+_ALIGNED = """len(ls) >= 3 AND len(list_filter(gs[2:], lambda g: len(g) = len(gs[1]) AND len(list_filter(list_zip(g, gs[1]), lambda z: abs(z[1] - z[2]) > 5)) = 0)) > 0"""
+_SCORES = {
+    "table_score": [*((_HAS(p), 0.3) for p in TABLE), (_ALIGNED, 0.4), (r"len(list_filter(ls, lambda x: regexp_matches(x, '\d+.*\d+.*\d+'))) >= 2", 0.3)],
+    "chart_score": [*((_HAS(p), 0.5) for p in CHART), *((f"contains(lower(text), '{w}')", 0.1) for w in CHART_WORDS)],
+    "header_score": [("length(text) < 100 AND len(ls) <= 2", 0.4), *((_HAS(p), 0.3) for p in HEADER), ("upper(text) = text AND lower(text) <> text AND length(text) < 50", 0.4)],
+    "list_score": [("items >= 2", 0.6), ("items = 1 AND len(ls) <= 3", 0.4)],
+    "equation_score": [("symbols >= 3", 0.5), ("symbols BETWEEN 1 AND 2 AND length(text) < 100", 0.3), (_HAS(r"\w+\s*=\s*\w+"), 0.3)],
+}
+_TYPES_SQL = f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+g AS (SELECT *, {_GAPS} AS gs, len(list_filter(ls, lambda x: regexp_matches(x, '{LIST}'))) AS items, len(list_filter({list(SYMBOLS)}, lambda x: contains(text, x))) AS symbols FROM l),
+s AS (SELECT doc_id, {", ".join(f"{_case_sum(tests)} AS {name}" for name, tests in _SCORES.items())} FROM g),
+k AS (SELECT doc_id, CASE WHEN table_score > 0.6::DOUBLE THEN ('TABLE', table_score) WHEN chart_score > 0.7::DOUBLE THEN ('CHART', chart_score) WHEN header_score > 0.8::DOUBLE THEN ('HEADER', header_score)
+  WHEN list_score > 0.7::DOUBLE THEN ('LIST', list_score) WHEN equation_score > 0.8::DOUBLE THEN ('EQUATION', equation_score) ELSE ('PARAGRAPH', 0.9::DOUBLE) END AS x FROM s)
+SELECT doc_id, x[1] AS type, round(x[2], 6) AS confidence FROM k"""
+
+
+@query("typing_content_types", _TYPES_SQL)
 def _(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", content_type(c("text")).alias("x")).select("doc_id", "x.type", F.round("x.confidence", 6).alias("confidence"))
 

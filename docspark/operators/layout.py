@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import jaccard, words
-from docspark.operators.chunking import block_chunks
+from docspark.operators.chunking import MOST, block_chunks
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -247,7 +247,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return blocks(s, d).groupBy("doc_id", "page").agg(F.count("*").alias("n_blocks"), F.round(F.avg(conf), 3).alias("avg_confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.least(F.lit(1.0), F.avg(conf) + F.sum(F.length("text")) / 1000 * 0.1), 4).alias("quality"))
 
 
-@query("layout_block_chunks")
+@query("layout_block_chunks", f"""WITH {_BLOCKS}, r AS (SELECT doc_id, page, pos, block_type, trim(coalesce(text, '')) AS raw, coalesce(text, '') AS text FROM blocks),
+b AS (SELECT doc_id, page, pos, CASE WHEN raw = '' OR starts_with(raw, 'Image ') OR starts_with(raw, 'Drawing/Graphic ') THEN '' WHEN block_type = 'TEXT_BLOCK' THEN raw ELSE '[Page ' || page || ', ' || block_type || '] ' || raw END AS t, length(raw) AS bare
+  FROM r WHERE NOT (starts_with(text, 'Drawing/Graphic ') AND block_type = 'DRAWING')),
+p AS (SELECT doc_id, page, list({{'t': t, 'n': length(t), 'bare': bare}} ORDER BY pos) AS bs FROM b GROUP BY 1, 2),
+f AS (SELECT doc_id, page, list_reduce(list_transform(bs, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1].n + x[1].bare > {MOST} AND acc[-1].t <> '' THEN list_concat(acc, x)
+  ELSE list_concat(acc[:-2], [{{'t': acc[-1].t || CASE WHEN acc[-1].t = '' OR x[1].t = '' THEN '' ELSE chr(10) END || x[1].t, 'n': acc[-1].n + x[1].n, 'bare': x[1].bare}}]) END) AS cs FROM p),
+o AS (SELECT doc_id, page, list_filter(cs, lambda x: x.t <> '') AS cs FROM f)
+SELECT doc_id, page, unnest(range(0, len(cs)))::INT AS page_chunk, unnest(list_transform(cs, lambda x: length(x.t)))::INT AS n_chars, unnest(list_transform(cs, lambda x: md5(x.t))) AS content_md5 FROM o""")
 def _(s: SparkSession, d: str) -> DataFrame:
     x = block_chunks(blocks(s, d))
     return x.select("doc_id", "page", "page_chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
