@@ -13,7 +13,7 @@ without computing its distance if the stored parent distance proves by the trian
 reach the bound. Bounds are widened by what rounding can add. Scores are exact integers: in floating point as long as a page's
 sums stay below 2^53, else in Python's integers.
 
-Queries are dealt to groups of about ``QUERIES``, and each page is copied to every group, so queries and pages meet in tasks of
+Queries are dealt to groups of about ``QUERIES``, and each page is copied to those groups that ask for it, so queries and pages meet in tasks of
 bounded size, whichever pivot is popular; a page's queries are streamed past it. The stated query set grows with the table, so
 on vectors without clusters, where bounds prune little, the work grows with its square; that is the searches' own nature.
 
@@ -202,8 +202,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     of_pivot = F.element_at(F.create_map(*[F.lit(int(v)) for kv in pages.items() for v in kv]), F.col("pivot"))
     page, group = F.pmod(F.xxhash64("row"), of_pivot).cast("int"), F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(groups)).cast("int")
     none = F.lit(None).cast("long")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    rows = placed.select("pivot", page.alias("page"), copies, none.alias("query"), "row", "vec_id", "x", F.lit(None).cast("double").alias("bound"))
+    rows = placed.select("pivot", page.alias("page"), none.alias("query"), "row", "vec_id", "x", F.lit(None).cast("double").alias("bound"))
 
     @F.arrow_udf("array<int>")
     def reached(x: pa.Array, bound: pa.Array) -> pa.Array:
@@ -248,7 +247,8 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=_FOUND_KIND)
 
     def searched(asking: DataFrame) -> DataFrame:
-        both = rows.unionByName(asking.select("pivot", "page", "group", "query", none.alias("row"), F.col("query_id").alias("vec_id"), "x", "bound"))
+        wanted = asking.select("pivot", "page", "group").distinct()  # a page is copied to those groups alone that ask for it
+        both = rows.join(wanted, ["pivot", "page"]).unionByName(asking.select("pivot", "page", "group", "query", none.alias("row"), F.col("query_id").alias("vec_id"), "x", "bound"))
         return both.repartition("pivot", "page", "group").sortWithinPartitions("pivot", "page", "group", F.col("query").asc_nulls_first()).mapInArrow(run, FOUND)
 
     asking = placed.where(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "x", F.col("row"), group.alias("group"))
