@@ -66,10 +66,15 @@ def pieces(words: DataFrame, parts: str) -> DataFrame:
     return _cut(words.select("word", F.length("word").alias("n")), parts).select("word", "n", "k", F.xxhash64(F.expr("substring(word, start + 1, size)")).alias("piece"))
 
 
-def windows(tokens: DataFrame, shortest: str, longest: str, parts: str, shift: str) -> DataFrame:
-    """(token, n, k, piece) of tokens (of length m), for each length n that a word may have, wherever its k-th piece may stand."""
-    lengths = tokens.select("token", F.length("token").alias("m")).withColumn("low", F.expr(shortest)).withColumn("high", F.expr(longest)).where("low <= high")
-    cut = _cut(lengths.withColumn("n", F.explode(F.sequence("low", "high"))), parts).withColumn("shift", F.expr(shift))
+def windows(tokens: DataFrame, words: DataFrame, shortest: str, longest: str, parts: str, shift: str) -> DataFrame:
+    """(token, n, k, piece) of tokens (of length m), for each length n between two bounds that a word has, wherever its k-th piece may stand.
+
+    Only lengths that words have are looked at, so a token far longer than all words has no rows, however long it is.
+    """
+    known = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect() if r["n"])  # a number for each length
+    lengths = tokens.select("token", F.length("token").alias("m")).withColumn("low", F.expr(shortest)).withColumn("high", F.expr(longest))
+    n = F.explode(F.filter(F.array(*map(F.lit, known)).cast("array<int>"), lambda x: x.between(c("low"), c("high"))))
+    cut = _cut(lengths.withColumn("n", n), parts).withColumn("shift", F.expr(shift))
     placed = cut.withColumn("from", F.greatest(F.lit(0), c("start") - c("shift"))).withColumn("to", F.least(c("m") - c("size"), c("start") + c("shift"))).where("from <= to")
     at = placed.withColumn("at", F.explode(F.sequence("from", "to")))
     return at.select("token", "n", "k", F.xxhash64(F.expr("substring(token, at + 1, size)")).alias("piece")).distinct()
@@ -86,8 +91,9 @@ def fuzzy_terms(tokens: DataFrame, terms: DataFrame, cutoff: int) -> DataFrame:
         raise ValueError("a cutoff must lie over 66 and up to 100")
     lost = 100 - cutoff
     parts = f"int(200 * n * {lost} div {100 * cutoff}) + 1"
-    own = windows(tokens.where("token <> ''").select("token").distinct(), f"int(ceil({cutoff} * m / {200 - cutoff}))", f"int(m * {200 - cutoff} div {cutoff})", parts, f"int((m + n) * {lost} div 100)")
-    pairs = _met(own, pieces(terms.where("word <> ''").select("word").distinct(), parts))
+    terms = terms.where("word <> ''").select("word").distinct()
+    own = windows(tokens.where("token <> ''").select("token").distinct(), terms, f"int(ceil({cutoff} * m / {200 - cutoff}))", f"int(m * {200 - cutoff} div {cutoff})", parts, f"int((m + n) * {lost} div 100)")
+    pairs = _met(own, pieces(terms, parts))
     total = F.length("token") + F.length("word")
     scored = pairs.withColumn("common", _of_pairs(c("token"), c("word"), common_length)).where(200 * c("common") >= cutoff * total)
     best = scored.groupBy("token").agg(F.min(F.struct((-2.0 * c("common") / total).alias("ratio"), c("word"))).alias("best"))
@@ -100,8 +106,9 @@ def nearest_words(tokens: DataFrame, known: DataFrame, most: int = 1) -> DataFra
     if most not in (1, 2):
         raise ValueError("most must be 1 or 2, as a token of three characters then shares one with each word so near")
     parts = f"least(n, {most + 1})"
-    own = windows(tokens.where(F.length("token") >= 3).select("token").distinct(), f"greatest(1, m - {most})", f"m + {most}", parts, f"{most}")
-    pairs = _met(own, pieces(known.where("word <> ''").select("word").distinct(), parts)).withColumn("distance", F.levenshtein("token", "word", most))
+    known = known.where("word <> ''").select("word").distinct()
+    own = windows(tokens.where(F.length("token") >= 3).select("token").distinct(), known, f"greatest(1, m - {most})", f"m + {most}", parts, f"{most}")
+    pairs = _met(own, pieces(known, parts)).withColumn("distance", F.levenshtein("token", "word", most))
     best = pairs.where(c("distance") >= 0).groupBy("token").agg(F.min(F.struct("distance", "word")).alias("best"))
     return best.select("token", "best.word", "best.distance")
 
@@ -126,7 +133,7 @@ def suggestions(tokens: DataFrame, known: DataFrame) -> DataFrame:
     left = unknown.where(F.length("token") <= SHORT + 2).select("token", F.explode(_left_out("token")).alias("rest"))
     pairs = left.join(short.select("word", F.explode(_left_out("word")).alias("rest")), "rest").select("token", "word").distinct()
     # two edits touch four pieces at most: a swap may lie on the border of two
-    own = windows(unknown.where(F.length("token") >= SHORT - 1), f"greatest({SHORT + 1}, m - 2)", "m + 2", "5", "2")
+    own = windows(unknown.where(F.length("token") >= SHORT - 1), long, f"greatest({SHORT + 1}, m - 2)", "m + 2", "5", "2")
     pairs = pairs.unionByName(_met(own, pieces(long.select("word"), "5"))).where(F.levenshtein("token", "word", 4) >= 0)
     near = pairs.withColumn("distance", _of_pairs(c("token"), c("word"), swap_distance)).where("distance between 1 and 2").join(rows, "word")
     best = near.groupBy("token").agg(F.min(F.struct("distance", (-c("count")).alias("rare"), "word")).alias("best"))
@@ -136,8 +143,9 @@ def suggestions(tokens: DataFrame, known: DataFrame) -> DataFrame:
 def halves(tokens: DataFrame, known: DataFrame, right: int = 3) -> DataFrame:
     """(token, left, right): a different, unknown token of eight or more characters whose halves, of at least three and ``right``
     characters, are both known (column word), whatever their case; the first cut wins."""
-    long = tokens.select("token").distinct().where(F.length("token") >= 8).withColumn("low", F.lower("token"))
     words = known.select(c("word").alias("low")).distinct()
+    longest = words.agg(F.max(F.length("low"))).first()[0] or 0  # a longer half is no word
+    long = tokens.select("token").distinct().where(F.length("token").between(8, 2 * longest)).withColumn("low", F.lower("token"))
     cuts = long.join(words, "low", "left_anti").select("token", "low", F.explode(F.sequence(F.lit(3), F.length("token") - right)).alias("i"))
     both = cuts.select("token", "i", F.expr("substring(low, 1, i)").alias("a"), F.expr("substring(low, i + 1)").alias("b"))
     for side in ("a", "b"):

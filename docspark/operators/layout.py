@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import jaccard, words
 from docspark.operators.chunking import MOST, block_chunks
+from docspark.operators.similarity import similar_sets
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -88,27 +91,100 @@ def confident(words_: DataFrame, least: float = 0.3) -> DataFrame:
     return words_.where((c("confidence") > least) & (F.trim("text") != ""))
 
 
+def runs(text: Column, every: Column) -> Column:
+    """Hashes of the runs of six characters of a text: ``every`` one, or the least of each seven that follow each other, a quarter of them."""
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array, every: pa.Array) -> pa.Array:
+        out = []
+        for text, whole in zip(texts.to_pylist(), every.to_pylist(), strict=True):
+            points = np.frombuffer((text or "").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+            n = len(points) - 5
+            if n < 1:
+                out.append([])
+                continue
+            sums = np.zeros(n, dtype=np.uint64)
+            for k in range(6):
+                sums = (sums ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                sums ^= sums >> np.uint64(29)
+            if not whole and n >= 7:
+                sums = np.lib.stride_tricks.sliding_window_view(sums, 7).min(axis=1)
+            out.append(np.unique(sums).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(text, every)
+
+
 def first_regions(blocks_: DataFrame) -> DataFrame:
     """(doc_id, pos) of text regions that no region kept before on their page covers, repeats or nearly repeats.
 
     Repeats are texts alike but for case, spaces and line feeds; of two texts over five characters so, also one that holds the
     other, or word sets with a Jaccard over 0.7, or over 0.6 if both have more than two words. Covered is a region of which one
-    before covers over 0.6. A page's regions are folded in order; a page holds few.
+    before covers over 0.6.
+
+    What can repeat or cover what is found by equi-joins of a page's different texts, word sets and boxes: a text's head (six
+    of its first twelve characters) among the runs of others, rare words of word sets, cells of grids that boxes touch. A page's regions are then
+    taken in order, looking at these links alone, so a page may hold very many, and any number alike.
     """
     clean = F.regexp_replace(F.regexp_replace(F.lower("text"), "[\n ]", ""), r"^\s+|\s+$", "")
-    region = F.struct("pos", clean.alias("clean"), words(F.lower("text")).alias("ws"), *[c(x).cast("double").alias(x) for x in ("x0", "y0", "x1", "y1")])
-    pages = blocks_.select("doc_id", "page", region.alias("r")).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-
-    def repeats(k: Column, r: Column) -> Column:
-        longer = (F.length(k["clean"]) > 5) & (F.length(r["clean"]) > 5)
-        alike = F.when((F.size(k["ws"]) > 2) & (F.size(r["ws"]) > 2), jaccard(k["ws"], r["ws"]) > 0.6).when(F.size(k["ws"]) + F.size(r["ws"]) > 0, jaccard(k["ws"], r["ws"]) > 0.7).otherwise(F.lit(False))
-        side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(k[hi], r[hi]) - F.greatest(k[lo], r[lo]))
-        covered = side("x0", "x1") * side("y0", "y1") > 0.6 * (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-        return (k["clean"] == r["clean"]) | (longer & (F.contains(k["clean"], r["clean"]) | F.contains(r["clean"], k["clean"]) | alike)) | covered
-
-    start = F.slice("rs", 1, 0)
-    kept = F.reduce("rs", start, lambda kept, r: F.when(F.exists(kept, lambda k: repeats(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
-    return pages.select("doc_id", F.explode(kept).alias("r")).select("doc_id", "r.pos")
+    page = F.struct("doc_id", "page").alias("p")
+    box = ["x0", "y0", "x1", "y1"]
+    rows = blocks_.select(page, "pos", clean.alias("clean"), F.sort_array(words(F.lower("text"))).alias("ws"), *[c(x).cast("double").alias(x) for x in box])
+    whole_box = c("x0").isNotNull() & c("y0").isNotNull() & c("x1").isNotNull() & c("y1").isNotNull()
+    rows = rows.withColumn("text_id", F.when(c("clean").isNotNull(), F.xxhash64("clean"))).withColumn("set_id", F.when(F.size("ws") > 0, F.xxhash64("ws"))).withColumn("box_id", F.when(whole_box, F.xxhash64(*box)))
+    link = lambda df, kind, a, b: df.select("p", F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("pos"), a.alias("a"), b.alias("b"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("boolean").alias("long"))
+
+    texts = rows.where(F.length("clean") > 5).select("p", "text_id", "clean").distinct()
+    # what holds a text holds its head: the least run of six characters in the first twelve is the least of some twelve there as well; of a
+    # shorter text the first six characters are looked for among all runs of its page
+    short = F.length("clean") < 12
+    heads = texts.select("p", c("text_id").alias("a"), c("clean").alias("short"), short.alias("brief"), runs(F.substring("clean", F.lit(1), F.when(short, 6).otherwise(12)), short)[0].alias("gram"))
+    least = texts.where(~short).select("p", c("text_id").alias("b"), c("clean").alias("whole"), F.lit(False).alias("brief"), F.explode(runs(c("clean"), F.lit(False))).alias("gram"))
+    pages = texts.where(short).select("p").distinct()
+    every = texts.join(pages, "p", "left_semi").select("p", c("text_id").alias("b"), c("clean").alias("whole"), F.lit(True).alias("brief"), F.explode(runs(c("clean"), F.lit(True))).alias("gram"))
+    held = heads.join(least.unionByName(every), ["p", "brief", "gram"])
+    inside = held.where((c("a") != c("b")) & F.contains("whole", "short"))
+
+    own = F.transform("ws", lambda w: F.concat_ws(":", F.to_json("p"), w))  # so only sets of one page meet
+    sets = rows.where(F.length("clean") > 5).select("p", "set_id", "ws").distinct().where(F.size("ws") > 0)
+    pairs = similar_sets(sets.select(F.struct("p", "set_id", F.size("ws").alias("n")).alias("id"), F.sort_array(own).alias("ws")), 0.6)
+    both = (c("a.n") > 2) & (c("b.n") > 2)
+    alike = pairs.where((both & (c("similarity") > 0.6)) | (c("similarity") > 0.7)).select(c("a.p").alias("p"), c("a.set_id").alias("x"), c("b.set_id").alias("y"))
+
+    boxes = _levels(rows.select("p", "box_id", *box).distinct())
+    levels = sorted(r["level"] for r in boxes.select("level").distinct().collect() if r["level"] is not None)
+    cells = _cells(boxes, levels) if levels else boxes.where("false").withColumns({x: F.lit(0) for x in ("grid", "cx", "cy")} | {"own": F.lit(True)})
+    near = cells.alias("b").join(cells.alias("a"), [*(c(f"a.{x}") == c(f"b.{x}") for x in ("p", "grid", "cx", "cy")), c("a.own") | c("b.own")])
+    covers = near.where(intersection("a", "b") > 0.6 * area("b")).select(c("b.p").alias("p"), c("a.box_id").alias("x"), c("b.box_id").alias("y")).distinct()
+
+    regions = rows.select("p", F.lit(0).alias("kind"), c("pos").cast("int").alias("pos"), c("text_id").alias("a"), c("set_id").alias("b"), c("box_id").alias("c"), (F.coalesce(F.length("clean"), F.lit(0)) > 5).alias("long"))
+    links = link(inside, 1, c("a"), c("b")).unionByName(link(alike, 2, c("x"), c("y"))).unionByName(link(covers, 3, c("x"), c("y")))
+
+    def fold(group: pa.Table) -> pa.Table:
+        at = {k: {} for k in (1, 2, 3)}
+        found: list[tuple] = []
+        for kind, pos, a, b, box_, long in zip(*(group[x].to_pylist() for x in ("kind", "pos", "a", "b", "c", "long")), strict=True):
+            if kind == 0:
+                found.append((pos, a, b, box_, long))
+            else:
+                at[kind].setdefault(b, set()).add(a)
+                if kind != 3:  # of boxes only the earlier one covers
+                    at[kind].setdefault(a, set()).add(b)
+        texts_, sets_, boxes_, kept = set(), set(), set(), []
+        for pos, text, words_, box_, long in sorted(found, key=lambda x: x[0]):
+            repeated = text in texts_ or (long and (not texts_.isdisjoint(at[1].get(text, ())) or words_ in sets_ or not sets_.isdisjoint(at[2].get(words_, ()))))
+            if repeated or not boxes_.isdisjoint(at[3].get(box_, ())):
+                continue
+            kept.append(pos)
+            texts_.update({text} - {None})
+            boxes_.update({box_} - {None})
+            if long and words_ is not None:
+                sets_.add(words_)
+        ids = group["p"].combine_chunks().field("doc_id") if group.num_rows else pa.array([])
+        return pa.table({"doc_id": pa.array([ids[0].as_py()] * len(kept), ids.type), "pos": pa.array(kept, pa.int32())})
+
+    kind = blocks_.schema["doc_id"].dataType.simpleString()
+    return regions.unionByName(links).groupBy("p").applyInArrow(fold, f"doc_id {kind}, pos int")
 
 
 def _levels(rows: DataFrame) -> DataFrame:

@@ -189,3 +189,12 @@ def test_conservative_corrections_keep_every_row(spark, most):
     assert sorted(((r["doc_id"], r["corrected"], r["total_words"]) for r in found), key=repr) == sorted([(1, None, None), (2, "", 0), (3, "The PAX, PAX: PAX PAX gear a é_x PAX good", 10), (3, "PAX", 1), (None, "gear", 1), (None, "x", 1)], key=repr)
     assert {x["method"] for r in found for x in r["corrections"] or ()} == {"exact_misspelling_correction", "case_standardization"}
     assert {r["corrected"] for r in correctors.correct_conservative(docs.limit(0), entries).collect()} == set()
+
+
+def test_a_token_of_200_000_characters_costs_nothing(spark):
+    long = "ab" * 100_000
+    tokens, known = frame(spark, [long, "heatt", "toolhouse"], "token"), frame(spark, ["heat", "tool", "house"], "word", count={"heat": 1, "tool": 2, "house": 1})
+    assert [tuple(r)[:2] for r in dictionary.fuzzy_terms(tokens, known, 80).collect()] == [("heatt", "heat")]
+    assert [tuple(r) for r in dictionary.nearest_words(tokens, known, 2).collect()] == [("heatt", "heat", 1)]
+    assert [tuple(r) for r in dictionary.suggestions(tokens, known).collect()] == [("heatt", "heat")]
+    assert [tuple(r) for r in dictionary.halves(tokens, known).collect()] == [("toolhouse", "tool", "house")]
