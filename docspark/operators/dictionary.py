@@ -33,18 +33,23 @@ def swap_distance(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, replacements and swaps of neighbours that make b of a; ``most`` + 1 stands for any more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    far = most + 1  # only a band of places that few edits can bring together is looked at
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
+        row: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = min(last.get(j, far) + 1, row.get(j - 1, far) + 1)
+            if j:
+                y = b[j - 1]
+                best = min(best, last.get(j - 1, far) + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, before.get(j - 2, far) + 1)
+            row[j] = min(best, far)
+        if min(row.values()) > most:
+            return far
         before, last = last, row
-    return min(last[-1], most + 1)
+    return last.get(len(b), far)
 
 
 def _of_pairs(a: Column, b: Column, value) -> Column:
