@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import confidence, embed_clean, key_terms, preview, words
+from docspark.operators.best import product_topk
 from docspark.operators.dense import block_topk, dense_index
-from docspark.operators.sparse import K1, B, bm25_topk
+from docspark.operators.sparse import K1, B, bm25_topk, scan_topk
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -80,7 +81,8 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, score=cosine, thre
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score) by Okapi BM25, see ``sparse``."""
-    return bm25_topk(corpus, queries, k).ranked
+    found = scan_topk(corpus, queries, k)
+    return bm25_topk(corpus, queries, k).ranked if found is None else found
 
 
 def fuse(a: DataFrame, b: DataFrame, method: str, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
@@ -197,7 +199,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _two_lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Cosine and distance lists of different lengths stand for two retrievers."""
     a = dense_topk(_vectors(s, d), _asked(s, d), 20)
-    b = dense_topk(_vectors(s, d), _asked(s, d), 12, lambda x, y: dot(x, y) + F.pmod(c("vec_id"), F.lit(7)) / 20)
+    b = product_topk(_vectors(s, d).withColumn("bonus", F.pmod(c("vec_id"), F.lit(7)) / 20), _asked(s, d), 12, bonus="bonus", own=True)
     return tuple(x.select("query_id", c("vec_id").alias("item"), "rank", "score") for x in (a, b))
 
 

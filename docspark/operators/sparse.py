@@ -10,22 +10,31 @@ and block the largest impact is kept. For a query:
    block without first terms; only what remains has the other terms' postings read.
 
 So the postings of words that most documents have are read for few documents. Results are exact: bounds are only ever too high.
+
+That is for query sets of any size. Of a set with few terms (``FEW``) the documents' postings stay where the documents are: ``scan_topk``
+writes each document's counts of the set's terms in one row, sends the terms' weights to the tasks and keeps each task's best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.best import CELLS, Best, ranked
 from docspark.scratch import written
 
 c = F.col
 K1, B = 1.5, 0.75
 #: Documents of a block, the share of a query's postings that its first terms have, and how far sums of rounded numbers may differ.
 BLOCK, SHARE, SLACK = 64, 0.15, 1e-6
+#: The most pairs of a query and a term that are sent to the tasks.
+FEW = 1 << 18
 
 
 class Retrieved(NamedTuple):
@@ -102,3 +111,70 @@ def _with_others(rows: DataFrame, others: DataFrame, postings: DataFrame, near:
     asked = rows.join(near(others), "query_id", "left")
     met = asked.join(postings.select("term", "doc_id", "w"), ["term", "doc_id"], "left")
     return met.groupBy("query_id", "doc_id").agg((F.max("part") + F.coalesce(F.sum("w"), F.lit(0.0))).alias("score"), F.count("w").alias("n"))
+
+
+def counted_terms(corpus: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """(doc_id, len, terms, counts) of each row: its number of tokens, which terms of the vocabulary it has, and how often each."""
+    shared, kind = corpus.sparkSession.sparkContext.broadcast(vocabulary), corpus.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            tokens = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(tokens.flatten(), value_set=known)
+            met = at.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)[met]
+            keys, counts = np.unique(row * len(known) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[met].astype(np.int64), return_counts=True)
+            row, term = np.divmod(keys, max(1, len(known)))
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(sizes)))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "len", "terms", "counts"])
+
+    return corpus.select("doc_id", tokenise(c("text")).alias("ts")).mapInArrow(run, f"doc_id {kind}, len long, terms array<int>, counts array<int>")
+
+
+def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, few: int = FEW) -> DataFrame | None:
+    """As ``bm25_topk``, (query_id, doc_id, score, rank); None if the queries have over ``few`` terms in all, or if ids repeat."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokenise(c("text")))).alias("term")).distinct()
+    held = terms.limit(few + 1).toArrow().combine_chunks()
+    if held.num_rows > few:
+        return None
+    column = lambda name: held[name].combine_chunks() if isinstance(held[name], pa.ChunkedArray) else held[name]
+    vocabulary, ids = pc.unique(column("term")), pc.unique(column("query_id"))
+    spark, names = corpus.sparkSession, ["query_id", "doc_id", "score"]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    if not held.num_rows:
+        return ranked(spark.createDataFrame([], schema), k, "doc_id")
+    docs = written(counted_terms(corpus, vocabulary), "counts")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return None
+    n, mean_len = docs.agg(F.count("*"), F.avg("len")).first()
+    df = docs.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    idf = np.zeros(len(vocabulary))
+    found = df["count"].to_numpy().astype(np.float64)
+    idf[df["term"].to_numpy()] = np.log(1 + (n - found + 0.5) / (found + 0.5))
+    of = pc.index_in(column("term"), value_set=vocabulary).to_numpy()
+    order = np.argsort(of, kind="stable")
+    asked = pc.index_in(column("query_id"), value_set=ids).to_numpy()[order].astype(np.int64)
+    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(vocabulary)))]
+    shared = spark.sparkContext.broadcast((ids, idf, asked, ends, float(mean_len or 1.0) or 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, idf, asked, ends, mean_len = shared.value
+        best, size = Best(len(ids), k), max(1, CELLS // (2 * max(len(ids), 64)))
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                part = batch.slice(low, size)
+                sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                term, tf = (part.column(x).flatten().to_numpy(zero_copy_only=False) for x in (2, 3))
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.column(1).to_numpy()[row] / mean_len))
+                times = ends[term + 1] - ends[term]
+                first = np.repeat(ends[term] - np.r_[0, np.cumsum(times)[:-1]] if len(term) else ends[:0], times)
+                cell = np.repeat(row * len(ids), times) + asked[first + np.arange(len(first))]
+                scores = np.bincount(cell, weights=np.repeat(w, times), minlength=part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+                best.add(part.column(0), scores, scores > 0)
+        yield from best.rows(ids, names)
+
+    return ranked(docs.mapInArrow(run, schema), k, "doc_id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docspark.functions.scalars import chunk_clean, chunk_uuid, confidence, preview, vector_id
 from docspark.operators.chunking import semantic
-from docspark.operators.search import against_queries, answer, bm25, cosine, embed, fuse
+from docspark.operators.best import product_topk
+from docspark.operators.search import answer, bm25, embed, fuse
 from docspark.operators.similarity import deduplicate
 from docspark.plans.fixtures import documents, load
 from docspark.registry import query
@@ -35,7 +36,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str =
         raise ValueError(f"unknown method {method}")
     asked = questions.select("query_id", embed(c("text")).alias("q"))
     rank = lambda df, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))).where(c("rank") <= n)
-    dense = rank(against_queries(chunks.select("item", "vector"), asked).select("query_id", "item", cosine(c("vector"), c("q")).alias("score")).where("score is not null"), 3 * k)
+    dense = product_topk(chunks.select("item", "vector"), asked, 3 * k, "item", "vector", unit=True) if method != "sparse_only" else None
     if method == "dense_only":
         return dense.where(c("rank") <= k)
     most = k if method == "sparse_only" else 3 * k
