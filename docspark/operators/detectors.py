@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import preview
+from docspark.operators.parts import by_parts
 from docspark.operators.layout import block_confidence, block_type
 from docspark.plans.fixtures import load
 from docspark.registry import query
@@ -54,16 +55,19 @@ def detect(files: DataFrame, detectors: dict[str, Detector]) -> DataFrame:
     def by(detector: Detector):  # noqa: ANN202
         @F.arrow_udf(RESULT)
         def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for names, contents in batches:
+            def results(contents: list[bytes | None], names: list[str]) -> list[dict]:
                 out = []
-                for name, data in zip(names.to_pylist(), contents.to_pylist(), strict=True):
+                for name, data in zip(names, contents, strict=True):
                     began = time.perf_counter()
                     try:
                         blocks, error = [dict.fromkeys(f for f, _ in _FIELDS) | b for b in detector(name, data or b"")], None
                     except Exception as problem:  # noqa: BLE001
                         blocks, error = [], f"{type(problem).__name__}: {problem}"
                     out.append({"success": error is None, "error": error, "seconds": time.perf_counter() - began, "blocks": blocks})
-                yield pa.array(out, _ARROW)
+                return out
+
+            for names, contents in batches:
+                yield by_parts(contents, results, _ARROW, names)
 
         return run("name", "content")
 

@@ -102,12 +102,20 @@ def embed(t: Column, dimension: int = 64) -> Column:
 
     @F.arrow_udf("array<float>")
     def run(x: pa.Array) -> pa.Array:
-        out = []
+        out, places = [], {}
+
+        def place(w: str) -> int:
+            """The place of a word's number, from ``dimension`` on if it is taken off."""
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            if len(places) > 100_000:
+                places.clear()
+            places[w] = at = h % dimension + (0 if h >> 63 else dimension)
+            return at
+
         for text in x.to_pylist():
-            v = np.zeros(dimension)
-            for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % dimension] += 1 if h >> 63 else -1
+            at = [places[w] if w in places else place(w) for w in (text or "").lower().split()]
+            counts = np.bincount(np.array(at, dtype=np.int64), minlength=2 * dimension)
+            v = (counts[:dimension] - counts[dimension:]).astype(np.float64)
             norm = np.linalg.norm(v)
             out.append((v / norm).astype(np.float32).tolist() if norm else None)
         return pa.array(out, pa.list_(pa.float32()))
