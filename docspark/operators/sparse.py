@@ -129,7 +129,8 @@ def counted_terms(corpus: DataFrame, vocabulary: pa.Array) -> DataFrame:
             row, term = np.divmod(keys, max(1, len(known)))
             ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(sizes)))].astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "len", "terms", "counts"])
+            lengths = pc.list_value_length(tokens).cast(pa.int64())  # none of a null text, which counts as a document but not for the mean
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, *lists], ["doc_id", "len", "terms", "counts"])
 
     return corpus.select("doc_id", tokenise(c("text")).alias("ts")).mapInArrow(run, f"doc_id {kind}, len long, terms array<int>, counts array<int>")
 
@@ -169,7 +170,7 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, few: int = FEW) ->
                 sizes = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
                 term, tf = (part.column(x).flatten().to_numpy(zero_copy_only=False) for x in (2, 3))
                 row = np.repeat(np.arange(part.num_rows), sizes)
-                w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.column(1).to_numpy()[row] / mean_len))
+                w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * pc.fill_null(part.column(1), 0).to_numpy(zero_copy_only=False)[row] / mean_len))
                 times = ends[term + 1] - ends[term]
                 first = np.repeat(ends[term] - np.r_[0, np.cumsum(times)[:-1]] if len(term) else ends[:0], times)
                 cell = np.repeat(row * len(ids), times) + asked[first + np.arange(len(first))]

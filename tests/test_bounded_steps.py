@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import best, dictionary, layout, parts, search, similarity, sparse
+from docspark.operators import best, content, dictionary, layout, parts, search, similarity, sparse
 
 
 def test_regions_of_small_pages_as_by_links(spark):
@@ -88,3 +88,28 @@ def test_embedding_is_that_of_single_words(spark):
     rows = spark.createDataFrame([("a b a",), ("",), (None,), ("b",)], "t string").select(search.embed(F.col("t")).alias("v")).collect()
     assert rows[1]["v"] is None and rows[2]["v"] is None and sum(x != 0 for x in rows[3]["v"]) == 1
     assert np.isclose(np.linalg.norm(rows[0]["v"]), 1) and max(map(abs, rows[0]["v"])) == pytest.approx(2 / 5**0.5, abs=1e-6)
+
+
+def test_all_pairs_of_chunks_by_tiles(spark):
+    rng = random.Random(8)
+    rows = [(d, k, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 5)))) for d, n in ((1, 7), (2, 1), (3, 20)) for k in range(n)]
+    docs = spark.createDataFrame([*rows, (None, 0, "a"), (None, 1, "a")], "document_id int, chunk_index int, chunk_text string")
+    right = []
+    for d, i, s in rows:
+        for e, j, t in rows:
+            if d == e and i < j:
+                a, b = set(s.split()), set(t.split())
+                right.append((d, i, j, round(len(a & b) / len(a | b), 9) if a | b else 1.0))
+    for tile in (256, 4):
+        assert sorted((r["document_id"], r["i"], r["j"], round(r["similarity"], 9)) for r in similarity.chunk_pairs(docs, tile).collect()) == sorted(right)
+    take = lambda df: sorted(tuple(-1 if v is None else round(v, 9) for v in r) for r in df.collect())
+    assert take(similarity.pair_statistics(docs, 0.3)) == take(similarity.pair_statistics(docs, 0.3, few=5)) == take(similarity._statistics_by_words(docs, 0.3))
+    assert "lambda" not in similarity.pair_statistics(docs, 0.3)._jdf.queryExecution().optimizedPlan().toString()  # no row for each word
+
+
+def test_columns_of_many_pages_at_once():
+    rng = random.Random(9)
+    pages = [[float(rng.choice([10, 30, 200, 210, 420, 400]) + rng.randint(0, 3)) for _ in range(rng.randint(0, 9))] for _ in range(400)]
+    widths = np.array([rng.choice([300.0, 600.0]) for _ in pages])
+    found = content.columns_of_all(pa.array(pages, pa.list_(pa.float64())), widths)
+    assert [x.tolist() for x in found] == [content.columns_of(m, w) if m else [] for m, w in zip(pages, widths.tolist(), strict=True)]
