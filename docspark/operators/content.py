@@ -7,9 +7,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators.parts import bounds
 from docspark.plans.fixtures import load
 from docspark.registry import query
 
@@ -109,13 +111,63 @@ def columns_of(mids: list[float], width: float, most: int = 3, gap: float = 0.2)
     return [0] * len(x)
 
 
+def columns_of_all(mids: pa.Array, widths: np.ndarray, most: int = 3, gap: float = 0.2) -> list[np.ndarray]:
+    """``columns_of`` the lists of an array, those of one length together."""
+    sizes = pc.fill_null(pc.list_value_length(mids), 0).to_numpy(zero_copy_only=False)
+    flat, starts = mids.flatten().to_numpy(zero_copy_only=False).astype(float), np.r_[0, np.cumsum(sizes)[:-1]]
+    out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sizes)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        for at in np.array_split(np.flatnonzero(sizes == n), max(1, int(n * np.count_nonzero(sizes == n)) >> 18)):
+            x = flat[starts[at][:, None] + np.arange(n)]
+            order = np.argsort(x, axis=1, kind="stable")
+            x, found, open_ = np.take_along_axis(x, order, axis=1), np.zeros((len(at), n), dtype=int), np.arange(len(at))
+            for k in range(min(most, n), 1, -1):
+                y = x[open_]
+                ends = np.c_[np.zeros(len(y), dtype=int), _best_cuts_of_all(y, k), np.full(len(y), n)]
+                sums = np.c_[np.zeros(len(y)), np.cumsum(y, axis=1)]
+                means = np.diff(np.take_along_axis(sums, ends, axis=1), axis=1) / np.diff(ends, axis=1)
+                good = np.diff(means, axis=1).min(axis=1) >= gap * widths[at][open_]
+                label = (np.arange(n)[None, :, None] >= ends[good][:, None, 1:-1]).sum(axis=2)
+                np.put_along_axis(whole := np.zeros((good.sum(), n), dtype=int), order[open_[good]], label, axis=1)
+                found[open_[good]] = whole
+                open_ = open_[~good]
+                if not len(open_):
+                    break
+            for row, page in enumerate(at.tolist()):
+                out[page] = found[row]
+    return out
+
+
+def _best_cuts_of_all(x: np.ndarray, k: int) -> np.ndarray:
+    """``best_cuts`` of rows of sorted numbers."""
+    rows, n = x.shape
+    sums, squares = (np.c_[np.zeros(rows), np.cumsum(v, axis=1)] for v in (x, x * x))
+    cost = lambda i, j: squares[:, j] - squares[:, i] - (sums[:, j] - sums[:, i]) ** 2 / np.maximum(j - i, 1)
+    best, cuts, every = cost(np.zeros(n + 1, dtype=int), np.arange(n + 1)), [], np.arange(rows)
+    for parts in range(2, k + 1):
+        last, at = np.full((rows, n + 1), np.inf), np.zeros((rows, n + 1), dtype=int)
+        for j in range(parts, n + 1):
+            i = np.arange(parts - 1, j)
+            of = cost(i, np.full(len(i), j))
+            chosen = np.round(best[:, i] + of, 6).argmin(axis=1)
+            at[:, j] = i[chosen]
+            last[:, j] = best[every, at[:, j]] + of[every, chosen]
+        best = last
+        cuts.append(at)
+    found, end = [], np.full(rows, n)
+    for at in reversed(cuts):
+        end = at[every, end]
+        found.insert(0, end)
+    return np.stack(found, axis=1)
+
+
 def count_columns(mids: Column, width: Column, most: int = 3, gap: float = 0.2) -> Column:
     """The number of text columns of a page from the middles of its blocks, see ``columns_of``; one where there are none."""
 
     @F.arrow_udf("int")
     def run(lists: pa.Array, widths: pa.Array) -> pa.Array:
-        found = zip(lists.to_pylist(), widths.to_pylist(), strict=True)
-        return pa.array([max(columns_of(m or [], w, most, gap), default=0) + 1 for m, w in found], pa.int32())
+        found = columns_of_all(lists, widths.to_numpy(zero_copy_only=False).astype(float), most, gap)
+        return pa.array([int(x.max(initial=0)) + 1 for x in found], pa.int32())
 
     return run(mids, width)
 
@@ -127,12 +179,15 @@ def column_text(blocks: Column, most: int = 3, gap: float = 0.2) -> Column:
     @F.arrow_udf("string")
     def run(pages: pa.Array) -> pa.Array:
         out = []
-        for page in pages.to_pylist():
-            held = [b | {"text": b["text"].strip()} for b in page or () if b and (b["text"] or "").strip()]
-            width = max((b["x1"] for b in held), default=0) - min((b["x0"] for b in held), default=0)
-            at = columns_of([(b["x0"] + b["x1"]) / 2 for b in held], width, most, gap)
-            columns = [sorted((b for b, k in zip(held, at, strict=True) if k == col), key=lambda b: b["y0"]) for col in range(max(at, default=0) + 1)]
-            out.append("\n\n".join("\n".join(b["text"] for b in column) for column in columns).strip())
+        for start, end in bounds(pc.fill_null(pc.list_value_length(pages), 0).to_pylist(), 1 << 14):
+            held = [[b | {"text": b["text"].strip()} for b in page or () if b and (b["text"] or "").strip()] for page in pages[start:end].to_pylist()]
+            widths = np.array([max((b["x1"] for b in page), default=0) - min((b["x0"] for b in page), default=0) for page in held], dtype=float)
+            mids = pa.array([[(b["x0"] + b["x1"]) / 2 for b in page] for page in held], pa.list_(pa.float64()))
+            for page, at in zip(held, columns_of_all(mids, widths, most, gap), strict=True):
+                columns: list[list[dict]] = [[] for _ in range(int(at.max(initial=0)) + 1)]
+                for b, k in zip(page, at.tolist(), strict=True):
+                    columns[k].append(b)
+                out.append("\n\n".join("\n".join(b["text"] for b in sorted(column, key=lambda b: b["y0"])) for column in columns).strip())
         return pa.array(out, pa.string())
 
     return run(blocks)
