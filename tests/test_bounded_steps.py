@@ -113,3 +113,17 @@ def test_columns_of_many_pages_at_once():
     widths = np.array([rng.choice([300.0, 600.0]) for _ in pages])
     found = content.columns_of_all(pa.array(pages, pa.list_(pa.float64())), widths)
     assert [x.tolist() for x in found] == [content.columns_of(m, w) if m else [] for m, w in zip(pages, widths.tolist(), strict=True)]
+
+
+def test_merged_lines_are_those_of_sql_for_any_space_and_letter(spark, tmp_path):
+    import duckdb
+
+    from docspark import registry
+
+    texts = [" line\nx\nline\nB", "İa\nx\nia\ny\ni̇a", "ΑΣ\nx\nασ\ny\nας", "　b \nx\nb", "\tb\nx\nb", "ßa\nx\nẞa", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    run, sql = registry.load()["layout_merge_native_ocr"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
