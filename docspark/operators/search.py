@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from docspark.functions.scalars import confidence, embed_clean, key_terms, preview, words
 from docspark.operators.best import product_topk
 from docspark.operators.dense import block_topk, dense_index
-from docspark.operators.sparse import K1, B, bm25_topk, scan_topk
+from docspark.operators.sparse import K1, B, bm25_topk, if_few, scan_topk
 from docspark.plans.fixtures import load
 from docspark.registry import query
+from docspark.scratch import written
 
 c = F.col
 RRF = 60
@@ -229,10 +230,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return both.groupBy("query_id").agg(F.count("*").alias("n_union"), F.count_if(c("a").isNotNull() & c("b").isNotNull()).alias("n_both"))
 
 
+def with_rows(top: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
+    """Each row of ``top``, at most some of a query, with its row of ``corpus``. It is made once; if it is small, the corpus isn't shuffled."""
+    found = written(top, "top")
+    return corpus.join(if_few(found)(found), key)
+
+
 def _hits(s: SparkSession, d: str, k: int = 5) -> DataFrame:
     docs = load(s, d, "documents").select("doc_id", F.concat(F.lit("doc_"), c("doc_id").cast("string")).alias("filename"), "text")
     top = bm25(load(s, d, "documents"), _questions(s, d), k)
-    return top.join(docs, "doc_id").select("query_id", "rank", "filename", (c("doc_id") % 9).alias("section"), "score", preview(c("text"), 200).alias("content"), "doc_id", "text")
+    return with_rows(top, docs, "doc_id").select("query_id", "rank", "filename", (c("doc_id") % 9).alias("section"), "score", preview(c("text"), 200).alias("content"), "doc_id", "text")
 
 
 _HITS = f"""{_BM25}, hits AS (SELECT query_id, rank, 'doc_' || doc_id AS filename, doc_id % 9 AS section, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS content, text FROM sparse JOIN documents USING (doc_id) WHERE rank <= 5)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions.scalars import chunk_clean, chunk_uuid, confidence, preview, vector_id
 from docspark.operators.chunking import semantic
 from docspark.operators.best import product_topk
-from docspark.operators.search import answer, bm25, embed, fuse
+from docspark.operators.search import answer, bm25, embed, fuse, with_rows
 from docspark.operators.similarity import deduplicate
 from docspark.plans.fixtures import documents, load
 from docspark.registry import query
@@ -48,7 +48,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str =
 
 def ask(chunks: DataFrame, questions: DataFrame, k: int = 5, method: str = "hybrid_rrf", weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """Answer, confidence and sources for each question; questions without hits get the fixed refusal."""
-    hits = retrieve(chunks, questions, k, method, weights).join(chunks.select("item", "filename", "content"), "item")
+    hits = with_rows(retrieve(chunks, questions, k, method, weights), chunks.select("item", "filename", "content"), "item")
     source = F.struct("rank", "filename", F.round("score", 3).alias("score"), preview(c("content"), 200).alias("preview"))
     by = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"), F.max("score").alias("most"), F.count("*").alias("n"))
     joined = questions.join(by, "query_id", "left")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docspark import registry
 from docspark.operators import best, content, dictionary, layout, parts, search, similarity, sparse
 
 
@@ -127,3 +128,21 @@ def test_merged_lines_are_those_of_sql_for_any_space_and_letter(spark, tmp_path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("name", ["search_answers", "search_bulk_answers", "search_hit_diagnostics", "search_context_and_citations"])
+def test_few_hits_meet_their_texts_without_a_shuffle_of_texts(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of tables beyond it
+    try:
+        plan = registry.load()[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(k for k, line in enumerate(plan.splitlines()) if "documents.parquet" in line)
+    assert any("BroadcastHashJoin" in line for line in plan.splitlines()[:at])
+    assert not any("hashpartitioning(doc_id" in line for line in plan.splitlines())
+
+
+def test_rows_of_hits(spark):
+    corpus = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id int, text string")
+    top = spark.createDataFrame([(7, 2), (8, 1), (8, 2), (9, None), (9, 5)], "query_id int, doc_id int")
+    assert sorted((r["query_id"], r["text"]) for r in search.with_rows(top, corpus, "doc_id").collect()) == [(7, "b"), (7, "c"), (8, "a"), (8, "b"), (8, "c")]
