@@ -5,6 +5,8 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from docspark.operators import correctors, dictionary, phrases, spelling
 from tests import brute_speller
@@ -198,3 +200,30 @@ def test_a_token_of_200_000_characters_costs_nothing(spark):
     assert [tuple(r) for r in dictionary.nearest_words(tokens, known, 2).collect()] == [("heatt", "heat", 1)]
     assert [tuple(r) for r in dictionary.suggestions(tokens, known).collect()] == [("heatt", "heat")]
     assert [tuple(r) for r in dictionary.halves(tokens, known).collect()] == [("toolhouse", "tool", "house")]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_patterns_meet_just_where_few_edits_lead(edits):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(0, 6))) for _ in range(90)})
+    for a in words:
+        own = dictionary.holes(a, edits)
+        for b in words:
+            assert (not own.isdisjoint(dictionary.around(b, edits))) == (dictionary.swap_distance(a, b) <= edits), (a, b)
+
+
+def test_suggestions_of_a_crowd_stay_in_proportion(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab") for _ in range(10))
+    known = {w: rng.randint(1, 5) for w in {word() for _ in range(500)}} | {"x" * 26: 3, "q￿r": 9}
+    tokens = sorted({word()[: rng.randint(8, 10)] for _ in range(300)} | {"x" * 25, "qr", "q￿"})
+    right = {}
+    for t in set(tokens) - set(known):
+        near = [(d, -n, w) for w, n in known.items() if 1 <= (d := dictionary.swap_distance(t, w)) <= 2]
+        right |= {t: min(near)[2]} if near else {}
+    seen = Observation()
+    pairs = dictionary._first_near(spark.createDataFrame(list(enumerate(tokens)), "id long, token string"), spark.createDataFrame(list(enumerate(sorted(known))), "rank long, word string"), 2)
+    pairs.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] <= len(tokens)
+    plan = dictionary.suggestions(frame(spark, tokens, "token"), frame(spark, known, "word", count=known))
+    assert {r["token"]: r["word"] for r in plan.collect()} == right
