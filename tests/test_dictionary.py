@@ -227,3 +227,14 @@ def test_suggestions_of_a_crowd_stay_in_proportion(spark):
     assert seen.get["n"] <= len(tokens)
     plan = dictionary.suggestions(frame(spark, tokens, "token"), frame(spark, known, "word", count=known))
     assert {r["token"]: r["word"] for r in plan.collect()} == right
+
+
+def test_sieve_keeps_unaltered_tokens_from_the_shuffle(spark):
+    altered = [f"é{k}x" for k in range(200)]
+    texts = spark.createDataFrame([(1, " ".join([*altered[:50], *(f"n{k}" for k in range(5000))])), (2, None)], "doc_id int, text string")
+    sieve = correctors.sieved(frame(spark, altered, "token"), len(altered))
+    kept = {r["doc_id"]: r["ts"] for r in texts.select("doc_id", correctors._tokens(F.col("text"), "enhanced", sieve).alias("ts")).collect()}
+    assert set(altered[:50]) <= set(kept[1]) and len(kept[1]) < 500 and kept[2] == []
+    judged = frame(spark, altered, "token").select("token", F.upper("token").alias("new"), F.lit(True).alias("changed"), F.lit("m").alias("method"), F.array(F.upper("token")).alias("parts"))
+    take = lambda most: sorted(map(str, correctors.replaced(texts, judged, "enhanced", most).collect()))
+    assert take(0) == take(1000)
