@@ -25,6 +25,8 @@ from docspark.llm.piece_vocab import SPACE, KeyMemo, PieceVocabulary, vocabulary
 MODEL = "piece_bpe_32k.model"
 #: Characters whose segments are looked up at once.
 LOOKUP = 1 << 20
+#: Bytes of a generation of the memo: segments of some 25 million characters are then made once, not again and again.
+MEMO_BYTES = 64 << 20
 
 
 class Differing(bytes):
@@ -45,7 +47,7 @@ def checked(keys: list[str], vocab: PieceVocabulary) -> list[bytes]:
 
 def _memo(vocab: PieceVocabulary) -> KeyMemo:
     """A task's memo of packed ids, of bounded bytes."""
-    return KeyMemo(lambda keys: checked(keys, vocab))
+    return KeyMemo(lambda keys: checked(keys, vocab), MEMO_BYTES)
 
 
 def _encode_slices(texts: list[str], vocab: PieceVocabulary, memo: KeyMemo) -> list[tuple[list[bytes], int]]:

@@ -835,3 +835,12 @@ def test_prints_of_texts_at_the_least_similarity_stay_within_the_radius():
             a, b = (decontaminate.window_prints(decontaminate.shingle_sums(decontaminate.word_hashes(w), 5), size - 4)[0] for w in (words, changed))
             far, n_pairs = max(far, int(np.bitwise_count(a ^ b).sum())), n_pairs + (changed != words)
     assert n_pairs > 200 and far <= decontaminate.RADIUS
+
+
+def test_memo_holds_the_segments_of_a_task():
+    memo, made = sentencepiece_codec._memo(None), []
+    memo.fill = lambda keys: (made.append(len(keys)), [b"12345678"] * len(keys))[1]
+    for _ in range(2):
+        for start in range(0, 280_000, 10_000):
+            memo.values([f"segment{k}" for k in range(start, start + 10_000)])
+    assert sum(made) == 280_000
