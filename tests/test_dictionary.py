@@ -238,3 +238,19 @@ def test_sieve_keeps_unaltered_tokens_from_the_shuffle(spark):
     judged = frame(spark, altered, "token").select("token", F.upper("token").alias("new"), F.lit(True).alias("changed"), F.lit("m").alias("method"), F.array(F.upper("token")).alias("parts"))
     take = lambda most: sorted(map(str, correctors.replaced(texts, judged, "enhanced", most).collect()))
     assert take(0) == take(1000)
+
+
+def test_contextual_query_is_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from docspark import registry
+
+    texts = [None, "", "\n", "that", "café-\nbar that", "caf-\n bar", "foo-\xa0\nbar", "a-\x0b\nb", "aé-\nbé", "ﬁre that…", "“that” ‘the one’", "ｔｈａｔ", "é x–y that—was", "a-\n-b", "Haet² was"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("spelling_contextual", "spelling_statistics"):
+        run, sql = registry.load()[name]
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        made = con.execute(sql)
+        rows = run(spark, str(tmp_path)).select(*[x[0] for x in made.description]).collect()
+        assert sorted(map(tuple, rows)) == sorted(made.fetchall()), name
