@@ -10,11 +10,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.scalars import preview
-from docspark.operators.parts import by_parts
+from docspark.operators.parts import bounds
 from docspark.operators.layout import block_confidence, block_type
 from docspark.plans.fixtures import load
 from docspark.registry import query
@@ -24,8 +25,8 @@ from docspark.sources.readers import decode
 c = F.col
 Detector = Callable[[str, bytes], list[dict]]
 _FIELDS = [("page", pa.int32()), ("kind", pa.string()), ("x0", pa.float64()), ("y0", pa.float64()), ("x1", pa.float64()), ("y1", pa.float64()), ("confidence", pa.float64()), ("text", pa.string())]
-_ARROW = pa.struct([("success", pa.bool_()), ("error", pa.string()), ("seconds", pa.float64()), ("blocks", pa.list_(pa.struct(_FIELDS)))])
-RESULT = "struct<success:boolean,error:string,seconds:double,blocks:array<struct<page:int,kind:string,x0:double,y0:double,x1:double,y1:double,confidence:double,text:string>>>"
+RESULT = "success boolean, error string, seconds double, blocks array<struct<page:int,kind:string,x0:double,y0:double,x1:double,y1:double,confidence:double,text:string>>"
+KINDS = "array<struct<kind:string,files:int,successful:int,seconds:double,n_blocks:int,with_text:int>>"
 
 
 def first_that_works(*strategies: Detector) -> Detector:
@@ -52,27 +53,38 @@ def text_blocks(name: str, data: bytes) -> list[dict]:
 def detect(files: DataFrame, detectors: dict[str, Detector]) -> DataFrame:
     """(name, library, success, error, seconds, blocks) of each file (name, content) by each detector."""
 
-    def by(detector: Detector):  # noqa: ANN202
-        @F.arrow_udf(RESULT)
-        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            def results(contents: list[bytes | None], names: list[str]) -> list[dict]:
-                out = []
-                for name, data in zip(names, contents, strict=True):
-                    began = time.perf_counter()
-                    try:
-                        blocks, error = [dict.fromkeys(f for f, _ in _FIELDS) | b for b in detector(name, data or b"")], None
-                    except Exception as problem:  # noqa: BLE001
-                        blocks, error = [], f"{type(problem).__name__}: {problem}"
-                    out.append({"success": error is None, "error": error, "seconds": time.perf_counter() - began, "blocks": blocks})
-                return out
+    fields = [f for f, _ in _FIELDS]
 
-            for names, contents in batches:
-                yield by_parts(contents, results, _ARROW, names)
-
-        return run("name", "content")
-
-    found = files.select("name", F.explode(F.array(*[F.struct(F.lit(k).alias("library"), by(v).alias("x")) for k, v in detectors.items()])).alias("r"))
-    return found.select("name", "r.library", "r.x.success", "r.x.error", "r.x.seconds", F.transform("r.x.blocks", _typed).alias("blocks"))
+    def results(detector: Detector, names: list[str], contents: list[bytes | None]) -> list[pa.Array]:
+        errors, seconds, ends = [], [], [0]
+        rows: list[tuple] = []
+        for name, data in zip(names, contents, strict=True):
+            began = time.perf_counter()
+            try:
+                blocks, error = [tuple(map(b.get, fields)) for b in detector(name, data or b"")], None
+            except Exception as problem:  # noqa: BLE001
+                blocks, error = [], f"{type(problem).__name__}: {problem}"
+            rows += blocks
+            errors.append(error)
+            seconds.append(time.perf_counter() - began)
+            ends.append(len(rows))
+        columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+        found = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, _FIELDS, strict=True)], fields)
+        return [pa.array([e is None for e in errors]), pa.array(errors, pa.string()), pa.array(seconds, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = batch.columns
+            for a, b in bounds(pc.fill_null(pc.binary_length(contents), 0).to_pylist()):
+                part = names[a:b], contents[a:b]
+                for library, detector in detectors.items():
+                    made = results(detector, *(x.to_pylist() for x in part))
+                    yield pa.RecordBatch.from_arrays([part[0], pa.array([library] * (b - a), pa.string()), *made], ["name", "library", "success", "error", "seconds", "blocks"])
+
+    # a file's bytes go to the workers once, whatever the number of detectors
+    name = files.schema["name"].dataType.simpleString()
+    found = files.select("name", "content").mapInArrow(run, f"name {name}, library string, {RESULT}")
+    return found.withColumn("blocks", F.transform("blocks", _typed))
 
 
 def _typed(b):  # noqa: ANN001, ANN202
@@ -82,12 +94,17 @@ def _typed(b):  # noqa: ANN001, ANN202
 
 def compare_detectors(found: DataFrame) -> DataFrame:
     """For each library: files, those that succeeded, blocks, blocks with text and their share, kinds."""
-    blocks = F.explode_outer("blocks").alias("b")
-    files = found.groupBy("library").agg(F.count("*").alias("files"), F.count_if("success").alias("successful"), F.sum("seconds").alias("seconds"))
-    rows = found.select("library", blocks).where("b is not null")
-    each = rows.groupBy("library").agg(F.count("*").alias("n_blocks"), F.count_if(F.trim("b.text") != "").alias("with_text"), F.sort_array(F.collect_set("b.kind")).alias("kinds"))
+    blocks = F.filter("blocks", lambda b: b.isNotNull())
+    rows = found.select("library", F.coalesce("success", F.lit(False)).cast("int").alias("successful"), "seconds", blocks.alias("blocks"))
+    counts = {"files": F.lit(1), "successful": c("successful"), "seconds": c("seconds"), "n_blocks": F.size("blocks"), "with_text": F.size(F.filter("blocks", lambda b: F.trim(b["text"]) != ""))}
+    # the detectors run once: a file's counts and its kinds are rows of one pass
+    whole = F.struct(F.lit(None).cast("string").alias("kind"), *[v.alias(k) for k, v in counts.items()])
+    kinds = F.transform(F.array_distinct(F.transform("blocks", lambda b: b["kind"])), lambda k: F.struct(k.alias("kind"), F.lit(0).alias("files"), F.lit(0).alias("successful"), F.lit(0.0).alias("seconds"), F.lit(0).alias("n_blocks"), F.lit(0).alias("with_text")))
+    sums = lambda: [F.sum(k).alias(k) for k in counts]
+    each = rows.select("library", F.inline(F.concat(F.array(whole), F.coalesce(kinds, F.array().cast(KINDS))))).groupBy("library", "kind").agg(*sums())
+    found = each.groupBy("library").agg(*sums(), F.sort_array(F.collect_set("kind")).alias("kinds"))
     n = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    return files.join(each, "library", "left").select("library", "files", "successful", "seconds", n("n_blocks"), n("with_text"), F.coalesce(F.try_divide("with_text", "n_blocks"), F.lit(0.0)).alias("text_rate"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    return found.select("library", "files", "successful", "seconds", n("n_blocks"), n("with_text"), F.coalesce(F.try_divide("with_text", "n_blocks"), F.lit(0.0)).alias("text_rate"), "kinds")
 
 
 def compare_tables(found: DataFrame) -> DataFrame:

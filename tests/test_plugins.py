@@ -132,3 +132,19 @@ def test_ocr_job_and_kept_files(spark, tmp_path):
     kept = spark.createDataFrame([("/x/a.pdf", "passed_all_checks"), ("/x/b.pdf", "too_small"), ("/x/c d.pdf", "important_file")], "path string, reason string")
     sinks.write_kept_files(kept, f"{tmp_path}/kept")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/kept").collect()) == ["/x/a.pdf", "/x/c d.pdf"]
+
+
+def test_compared_detectors_run_once_a_file(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def two(name, data):
+        calls.add(1)
+        if name == "b":
+            raise ValueError("bad")
+        return [{"kind": "X", "text": " "}, {"text": "| a | b |\n| c | d |", "other": 1}, {"kind": "X"}]
+
+    files = spark.createDataFrame([("a", b"x"), ("b", b"y"), (None, None)], "name string, content binary")
+    found = {r["library"]: r for r in detectors.compare_detectors(detectors.detect(files, {"two": two, "empty": lambda *_: []})).collect()}
+    assert calls.value == 3
+    assert (found["two"]["files"], found["two"]["successful"], found["two"]["n_blocks"], found["two"]["with_text"], found["two"]["kinds"]) == (3, 2, 6, 2, ["TABLE", "X"])
+    assert tuple(found["empty"][k] for k in ("files", "successful", "n_blocks", "with_text", "text_rate", "kinds")) == (3, 3, 0, 0, 0.0, [])
