@@ -254,3 +254,25 @@ def test_contextual_query_is_its_sql_on_odd_texts(spark, tmp_path):
         made = con.execute(sql)
         rows = run(spark, str(tmp_path)).select(*[x[0] for x in made.description]).collect()
         assert sorted(map(tuple, rows)) == sorted(made.fetchall()), name
+
+
+def test_altered_tokens_are_shared_in_few_bytes(spark):
+    table = spark.range(40_000).select(F.concat(F.lit("Tokén"), "id").alias("token"), F.concat(F.lit("new"), "id").alias("new"), F.lit(True).alias("changed"), F.lit("spellcheck").alias("method"), F.array(F.concat(F.lit("new"), "id")).alias("parts"))
+    held = correctors.shared(table).value
+    assert isinstance(held, bytes) and len(held) < 40_000 * 80
+    import pyarrow as pa
+
+    found = correctors.found_in(pa.ipc.open_stream(held).read_all(), {"Tokén7", "Tokén39999", "Tokén40000", ""})
+    assert {t: (r["new"], r["changed"], r["method"], r["parts"]) for t, r in found.items() if t.startswith("Tokén")} == {f"Tokén{k}": (f"new{k}", True, "spellcheck", [f"new{k}"]) for k in (7, 39999)}
+    none = pa.ipc.open_stream(correctors.shared(table.limit(0)).value).read_all()
+    assert correctors.found_in(none, {"a"}) == {} == correctors.found_in(none, set())
+
+
+def test_codes_that_tokens_share_lose_none(spark):
+    import zlib
+
+    same = ["plumless", "buckeroo"]
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    judged = frame(spark, same, "token").select("token", F.upper("token").alias("new"), F.lit(True).alias("changed"), F.lit("m").alias("method"), F.array(F.upper("token")).alias("parts"))
+    texts = spark.createDataFrame([(1, "a buckeroo, plumless"), (2, "plumless b"), (3, None)], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["corrected"]) for r in correctors.replaced(texts, judged, "enhanced").collect()) == [(1, "a BUCKEROO, PLUMLESS"), (2, "PLUMLESS b"), (3, None)]
