@@ -276,3 +276,12 @@ def test_codes_that_tokens_share_lose_none(spark):
     judged = frame(spark, same, "token").select("token", F.upper("token").alias("new"), F.lit(True).alias("changed"), F.lit("m").alias("method"), F.array(F.upper("token")).alias("parts"))
     texts = spark.createDataFrame([(1, "a buckeroo, plumless"), (2, "plumless b"), (3, None)], "doc_id int, text string")
     assert sorted((r["doc_id"], r["corrected"]) for r in correctors.replaced(texts, judged, "enhanced").collect()) == [(1, "a BUCKEROO, PLUMLESS"), (2, "PLUMLESS b"), (3, None)]
+
+
+def test_shared_tokens_of_many_tasks_are_one_piece(spark):
+    import pyarrow as pa
+
+    table = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("t"), "id").alias("token"), F.lit("n").alias("new"), F.lit(True).alias("changed"), F.concat(F.lit("m"), (F.col("id") / 500).cast("int")).alias("method"), F.array(F.lit("n")).alias("parts"))
+    held = pa.ipc.open_stream(correctors.shared(table).value).read_all()
+    assert held["code"].num_chunks == 1
+    assert {t: r["method"] for t, r in correctors.found_in(held, {f"t{k}" for k in range(4000)}).items()} == {f"t{k}": f"m{k // 500}" for k in range(4000)}
